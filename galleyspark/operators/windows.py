@@ -51,17 +51,22 @@ def carry_speaker(lines: DataFrame, keys: Sequence[str], block: Sequence[str], o
     return out.withColumn("speaker", F.col("carried.v")).drop("carried")
 
 
-def merge_turns(blocks: DataFrame, keys: Sequence[str], block: Sequence[str], order: Sequence[str], joiner: str = "\n") -> DataFrame:
-    """Join adjacent speech blocks of one speaker; a removed block is a boundary."""
-    state = F.struct(F.when(~F.col("removed"), F.col("speaker")).alias("who"), F.col("removed").alias("cut"))
-    seen = prefix_scan(blocks, keys, block, order, prev=Running("last", state, before=True))
-    starts = seen.withColumn("starts", F.when(
-        F.col("removed") | (F.col("prev").isNotNull() & ~F.col("prev.cut") & F.col("prev.who").eqNullSafe(F.col("speaker"))), 0).otherwise(1).cast("long"))
-    islands = prefix_scan(starts.drop("prev"), keys, block, order, island=Running("sum", "starts"))
-    kept = islands.filter(~F.col("removed"))
-    return kept.groupBy(*keys, "island").agg(
-        F.min("speaker").alias("speaker"), F.count("*").alias("parts"),
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(*order, "text"))), lambda s: s["text"]), joiner).alias("text"))
+def merge_turns(blocks: DataFrame, keys: Sequence[str], block: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """Join adjacent speech blocks of one speaker; a removed block is a boundary, a blank one is not.
+
+    blocks: kind, speaker, text, removed. Other kinds stay as they are.
+    """
+    clean = F.trim(F.regexp_replace("text", r"\s+", " "))
+    live = blocks.withColumn("text", clean).filter(F.col("removed") | (F.col("text") != ""))
+    state = F.struct(F.col("kind"), F.col("speaker"), F.col("removed"))
+    seen = prefix_scan(live, keys, block, order, prev=Running("last", state, before=True))
+    joins = (F.col("prev").isNotNull() & ~F.col("prev.removed") & (F.col("kind") == "speech") & (F.col("prev.kind") == "speech")
+             & F.col("prev.speaker").eqNullSafe(F.col("speaker")))
+    starts = seen.withColumn("starts", F.when(F.col("removed") | joins, 0).otherwise(1).cast("long")).drop("prev")
+    islands = prefix_scan(starts, keys, block, order, island=Running("sum", "starts")).filter(~F.col("removed"))
+    return islands.groupBy(*keys, "island").agg(
+        F.min("kind").alias("kind"), F.min("speaker").alias("speaker"), F.count("*").alias("parts"),
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(*order, "text"))), lambda s: s["text"]), " ").alias("text"))
 
 
 def coverage_measures(segments: DataFrame, bridge: float, keys: Sequence[str] = ("item_id",), block: Sequence[str] = ("blk",)) -> DataFrame:

@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from galleyspark.operators.editorial import ADVICE
+
 NOW = "2024-01-31 00:00:00"  # the end of the event data
 ITEM_NOW = "1998-06-15 00:00:00"  # inside the order data
 
@@ -59,9 +61,6 @@ def reviews(t) -> DataFrame:
     )
 
 
-# The five reading recommendations.
-ADVICE = ["值得编译", "值得看全文", "看摘要", "值得看摘要", "无关"]
-
 REVIEWS = """reviews AS (SELECT item_id, CAST(item_id % 6 AS INTEGER) AS relevance, CAST(density AS INTEGER) AS density,
   CASE WHEN any_r = 1 AND item_id % 6 >= 4 THEN 'model_lab' ELSE 'none' END AS priority,
   CASE WHEN all_f = 1 THEN 'low' ELSE 'high' END AS evidence_quality,

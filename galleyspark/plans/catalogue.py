@@ -1,6 +1,8 @@
 """Imports every plan module so that its jobs are registered."""
 
 from galleyspark.plans import (  # noqa: F401
+    editorial,
+    rollups,
     windows,
 )
 from galleyspark.plans.registry import CHECKS, JOBS  # noqa: F401

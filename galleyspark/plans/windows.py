@@ -102,13 +102,16 @@ def carry_speaker(t):
     return carried(t).select("item_id", "turn", "line_no", "speaker")
 
 
-@job("merge_turns", f"""WITH {CARRY}, blk AS (SELECT *, length(line) % 11 = 0 AS removed FROM carried),
-p AS (SELECT *, lag(removed) OVER w AS pcut, lag(speaker) OVER w AS pwho, row_number() OVER w AS rn FROM blk WINDOW w AS (PARTITION BY item_id ORDER BY turn, line_no)),
-s AS (SELECT *, CASE WHEN removed THEN 0 WHEN rn > 1 AND NOT pcut AND pwho IS NOT DISTINCT FROM speaker THEN 0 ELSE 1 END AS starts FROM p),
+@job("merge_turns", f"""WITH {CARRY}, raw AS (SELECT item_id, turn, line_no, speaker, CASE WHEN is_reset THEN 'heading' ELSE 'speech' END AS kind,
+  length(line) % 11 = 0 AS removed, trim(regexp_replace(line, '\\s+', ' ', 'g')) AS text FROM carried),
+blk AS (SELECT * FROM raw WHERE removed OR text <> ''),
+p AS (SELECT *, lag(removed) OVER w AS pcut, lag(kind) OVER w AS pkind, lag(speaker) OVER w AS pwho, row_number() OVER w AS rn FROM blk WINDOW w AS (PARTITION BY item_id ORDER BY turn, line_no)),
+s AS (SELECT *, CASE WHEN removed THEN 0 WHEN rn > 1 AND NOT pcut AND kind='speech' AND pkind='speech' AND pwho IS NOT DISTINCT FROM speaker THEN 0 ELSE 1 END AS starts FROM p),
 i AS (SELECT *, CAST(sum(starts) OVER (PARTITION BY item_id ORDER BY turn, line_no) AS BIGINT) AS island FROM s)
-SELECT item_id, island, min(speaker) AS speaker, count(*) AS parts, string_agg(line, chr(10) ORDER BY turn, line_no) AS text FROM i WHERE NOT removed GROUP BY 1,2""")
+SELECT item_id, island, min(kind) AS kind, min(speaker) AS speaker, count(*) AS parts, string_agg(text, ' ' ORDER BY turn, line_no) AS text FROM i WHERE NOT removed GROUP BY 1,2""")
 def merge_turns(t):
-    blocks = carried(t).select("item_id", "turn", "line_no", "speaker", F.col("line").alias("text"), (F.length("line") % 11 == 0).alias("removed"))
+    blocks = carried(t).select("item_id", "turn", "line_no", "speaker", F.when(F.col("is_reset"), "heading").otherwise("speech").alias("kind"),
+                               F.col("line").alias("text"), (F.length("line") % 11 == 0).alias("removed"))
     return ops.merge_turns(blocks, ["item_id"], ["turn"], ["turn", "line_no"])
 
 
