@@ -1,6 +1,7 @@
 """Imports every plan module so that its jobs are registered."""
 
 from galleyspark.plans import (  # noqa: F401
+    columns,
     editorial,
     rollups,
     windows,
