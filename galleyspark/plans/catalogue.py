@@ -3,6 +3,8 @@
 from galleyspark.plans import (  # noqa: F401
     columns,
     editorial,
+    evidence,
+    matching,
     rollups,
     windows,
 )
