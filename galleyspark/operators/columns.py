@@ -196,7 +196,7 @@ def speaker_labels_reliable(transcripts: DataFrame) -> DataFrame:
 
 def quote_units(text: Column | str) -> Column:
     """Han characters one by one, any other word once."""
-    return F.regexp_count(text, F.lit(r"[\x{3400}-\x{9fff}]|[\p{L}\p{N}]+(?:['’\-][\p{L}\p{N}]+)*"))
+    return F.regexp_count(text, F.lit(r"[\x{3400}-\x{9fff}]|[\p{L}\p{N}]+(?:['’\-][\p{L}\p{N}]+)*+"))
 
 
 def warning_fingerprints(warnings: DataFrame) -> DataFrame:

@@ -57,9 +57,16 @@ def prefix_scan(df: DataFrame, keys: Sequence[str], block: Sequence[str], order:
     """Add running aggregates per ``keys`` in ``order``.
 
     ``block`` names columns that are a prefix of the order (each block is a contiguous run
-    of the key's rows when sorted by ``block`` and then ``order``).
+    of the key's rows when sorted by ``block`` and then ``order``). Without a block the key is
+    solved in one task: right only for keys that are bounded by construction, such as the lines
+    exploded from the text of one row.
     """
     keys, block, order = list(keys), list(block), list(order)
+    if not block:
+        whole = Window.partitionBy(*keys).orderBy(*order)
+        frame = lambda r: whole.rowsBetween(Window.unboundedPreceding, -1 if r.before else Window.currentRow)
+        own = lambda r, c: F.coalesce(c, F.lit(0)) if r.kind == "sum" else c
+        return df.select("*", *[own(r, r.over(frame(r))).alias(n) for n, r in running.items()])
     local = Window.partitionBy(*keys, *block).orderBy(*order)
     through = local.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     ahead = local.rowsBetween(Window.unboundedPreceding, -1)

@@ -206,7 +206,7 @@ def claim_owners(source: DataFrame, derived: DataFrame) -> DataFrame:
 
 
 # Number tokens, written quantities with their units, and numeral ranges.
-DIGITS = r"\d+(?:[.,]\d+)*"
+DIGITS = r"\d+(?:[.,]\d+)*+"
 NUMERALS = "[零〇一二三四五六七八九十百千万亿两]+"
 
 

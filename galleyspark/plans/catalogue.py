@@ -6,6 +6,7 @@ from galleyspark.plans import (  # noqa: F401
     evidence,
     matching,
     rollups,
+    transcripts,
     windows,
 )
 from galleyspark.plans.registry import CHECKS, JOBS  # noqa: F401
