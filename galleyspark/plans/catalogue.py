@@ -6,6 +6,7 @@ from galleyspark.plans import (  # noqa: F401
     evidence,
     matching,
     rollups,
+    sources,
     transcripts,
     windows,
 )
