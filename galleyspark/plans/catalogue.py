@@ -7,6 +7,7 @@ from galleyspark.plans import (  # noqa: F401
     matching,
     rollups,
     sources,
+    state,
     transcripts,
     windows,
 )
