@@ -33,9 +33,13 @@ def first_seen(scans: DataFrame, lookback_hours: int, burst_limit: int = 3) -> D
     scans: feed, scan_no, scan_at, ordinal, ident, published_at; one scan is a whole feed document. Everything of a feed's first
     scan is seeded. More than ``burst_limit`` new but old-dated identities in one scan are seeded for good.
     """
-    scans = scans.filter(F.col("ident").isNotNull())
-    start = scans.groupBy("feed").agg(F.min("scan_no").alias("first_scan"))
-    seen = scans.groupBy("feed", "ident").agg(F.min(F.struct("scan_no", "ordinal", "scan_at", "published_at")).alias("o")).select("feed", "ident", "o.scan_no", "o.scan_at", "o.published_at")
+    seen = scans.filter(F.col("ident").isNotNull()).groupBy("feed", "ident").agg(F.min(F.struct("scan_no", "ordinal", "scan_at", "published_at")).alias("o"))
+    return seed_rules(seen.select("feed", "ident", "o.scan_no", "o.scan_at", "o.published_at"), lookback_hours, burst_limit)
+
+
+def seed_rules(seen: DataFrame, lookback_hours: int, burst_limit: int = 3) -> DataFrame:
+    """First-seen times and seeding from the first observation of each identity: feed, ident, scan_no, scan_at, published_at."""
+    start = seen.groupBy("feed").agg(F.min("scan_no").alias("first_scan"))
     j = seen.join(start, "feed")
     old = (F.col("scan_no") > F.col("first_scan")) & F.col("published_at").isNotNull() & (F.col("published_at") < F.col("scan_at") - F.make_dt_interval(F.lit(0), F.lit(lookback_hours)))
     j = j.withColumn("old", old)

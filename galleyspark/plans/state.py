@@ -44,17 +44,13 @@ def promote_late(t):
     return ops.promote_late(items, ops.first_seen(s, 24), b.ts(b.NOW), 600).select("item_id", "feed", F.date_format("first_seen_at", "yyyy-MM-dd HH").alias("first_seen"))
 
 
-@job("first_seen_stream", f"WITH {SCANS}, {LEDGER} SELECT feed, scan_no, ordinal, strftime(first_seen_at,'%Y-%m-%d %H') AS first_seen, seeded FROM scans JOIN ledger USING (feed, ident)")
+@job("first_seen_stream", f"WITH {SCANS}, {LEDGER} SELECT feed, ident, strftime(first_seen_at,'%Y-%m-%d %H') AS first_seen, seeded FROM ledger")
 def first_seen_stream(t):
-    src = t.spark.readStream.schema(t.events.schema).option("pathGlobFilter", "events.parquet").parquet(t.folder)
-
     class Streamed:
-        events = src
+        events = t.spark.readStream.schema(t.events.schema).option("pathGlobFilter", "events.parquet").parquet(t.folder)
 
-    s = scans(Streamed)
-    s = s.select("feed", "scan_no", F.unix_micros("scan_at").alias("scan_at"), "ordinal", F.when(F.col("ident").isNotNull(), F.array("ident", F.concat(F.lit("x"), "ident"))).otherwise(F.array().cast("array<string>")).alias("keys"), F.unix_micros("published_at").alias("published_at"))
-    got = streams.run_available(streams.first_seen_stream(s, 24), "append")
-    return got.select("feed", "scan_no", "ordinal", F.date_format(F.timestamp_micros("first_seen"), "yyyy-MM-dd HH").alias("first_seen"), "seeded")
+    seen = streams.run_available(streams.first_observations_stream(scans(Streamed)), "update", ["feed", "ident"])
+    return ops.seed_rules(seen, 24).select("feed", "ident", F.date_format("first_seen_at", "yyyy-MM-dd HH").alias("first_seen"), "seeded")
 
 
 @job("first_seen_articles", """WITH f AS (SELECT 'u' || user_id || '/' || (event_id%50) AS url, min(ts) AS at, bool_or(event_type='view') AS dated FROM events GROUP BY 1) SELECT url, strftime("at",'%Y-%m-%d %H:%M:%S') AS first_seen, dated OR CAST("at" + to_hours(8) AS DATE) = DATE '2024-01-29' AS eligible FROM f""")
@@ -205,8 +201,8 @@ cp AS (SELECT ref, regexp_replace(lower(title),'[^a-z0-9\\x{{3400}}-\\x{{9fff}}]
 q AS (SELECT ref AS query_id, ref%3 AS k, title, show_name FROM cat WHERE ref%40=7), qq AS (SELECT query_id, regexp_replace(lower('please ' || CASE k WHEN 0 THEN title WHEN 1 THEN '不是 ' || title ELSE title || ' of ' || show_name END || ' now'),'[^a-z0-9\\x{{3400}}-\\x{{9fff}}]+','','g') AS q FROM q),
 nm AS (SELECT ref, kind, alias, FALSE AS whole FROM al UNION ALL SELECT ref, 'title', ct, TRUE FROM cp WHERE length(ct)>=3 UNION ALL SELECT ref, 'show', cs, TRUE FROM cp WHERE length(cs)>=3),
 h AS (SELECT query_id, ref, kind, whole OR coalesce(n,0)=1 AS good, contains(q,'不是'||nm.alias) OR contains(q,'不要'||nm.alias) OR contains(q,'排除'||nm.alias) AS neg FROM qq JOIN nm ON contains(q, nm.alias) LEFT JOIN fr ON fr.alias=nm.alias),
-p AS (SELECT query_id, ref, bool_or(neg) AS neg, bool_or(good AND kind='title') AS t, bool_or(good AND kind='show') AS s FROM h GROUP BY 1,2), f AS (SELECT * FROM p WHERE NOT neg AND (t OR s)), bo AS (SELECT query_id, bool_or(t AND s) AS both FROM f GROUP BY 1)
-SELECT query_id, ref FROM f JOIN bo USING (query_id) WHERE NOT both OR (t AND s)""")
+p AS (SELECT query_id, ref, bool_or(neg) AS neg, bool_or(good AND kind='title') AS t, bool_or(good AND kind='show') AS s FROM h GROUP BY 1,2), f AS (SELECT * FROM p WHERE NOT neg AND (t OR s)), bo AS (SELECT query_id, bool_or(t AND s) AS two FROM f GROUP BY 1)
+SELECT query_id, ref FROM f JOIN bo USING (query_id) WHERE NOT two OR (t AND s)""")
 def resolve_catalog_refs(t):
     c = catalog(t)
     k = F.col("ref") % 3

@@ -2,19 +2,18 @@
 
 from __future__ import annotations
 
+import json
 import uuid
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.state import GroupState
 from pyspark.sql.types import LongType, StructField, StructType
 
 from galleyspark.session import ensure_checkpoint_dir
 
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-
 
 def run_available(stream: DataFrame, mode: str, keys: list[str] | None = None) -> DataFrame:
     """Run a stream over everything that is there and return its result as a table.
@@ -28,13 +27,15 @@ def run_available(stream: DataFrame, mode: str, keys: list[str] | None = None) -
     def write(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{base}/out/batch={number}")
 
-    old = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    # Timeouts on the wall clock ask for one empty batch after another; this run ends with its data.
+    flag = "spark.sql.streaming.noDataMicroBatches.enabled"
+    before = spark.conf.get(flag)
+    spark.conf.set(flag, "false")
     try:
         q = stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", f"{base}/log").trigger(availableNow=True).start()
         q.awaitTermination()
     finally:
-        spark.conf.set("spark.sql.streaming.stateStore.providerClass", old)
+        spark.conf.set(flag, before)
     out = spark.read.schema(StructType([*stream.schema.fields, StructField("batch", LongType())])).parquet(f"{base}/out")
     if not keys:
         return out.drop("batch")
@@ -62,121 +63,62 @@ def observation_stream(log: DataFrame) -> DataFrame:
 
 def _frame(rows: Iterator[pd.DataFrame], order: list[str]) -> pd.DataFrame:
     """The rows a key got in this batch, in log order. A batch is bounded by the trigger, not by the key's history."""
-    parts = list(rows)
-    return (parts[0] if len(parts) == 1 else pd.concat(parts)).sort_values(order)
-
+    return pd.concat(list(rows)).sort_values(order)
 
-class ConversationWindow(StatefulProcessor):
-    """Keeps the last exchanges of a session and the user turn that waits for its answer."""
 
-    KEEP, USER, REPLY = 4, 500, 2000
+KEEP, USER_CHARS, REPLY_CHARS, IDLE_MS = 4, 500, 2000, 168 * 3600 * 1000
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        ttl = 168 * 3600 * 1000
-        self.window = handle.getListState("window", "turn long, user string, assistant string", ttlDurationMs=ttl)
-        self.open = handle.getValueState("open", "turn long, role string, text string", ttlDurationMs=ttl)
 
-    def handleInputRows(self, key, rows, timerValues):
-        kept = [tuple(r) for r in self.window.get()]
-        prev = self.open.get() if self.open.exists() else None
-        for r in _frame(rows, ["turn"]).itertuples(index=False):
-            if prev is not None and r.role == "assistant" and prev[1] == "user":
-                user, reply = " ".join(prev[2].split())[: self.USER], r.text.strip()[: self.REPLY]
-                if user and reply:
-                    kept.append((int(r.turn), user, reply))
-            prev = (int(r.turn), r.role, r.text)
-        kept = kept[-self.KEEP:]
-        if kept:
-            self.window.put(kept)
-        self.open.update(prev)
-        n = len(kept)
-        yield pd.DataFrame({"session": [key[0]], "exchanges": [n], "first_turn": [kept[0][0] if n else None], "last_turn": [kept[-1][0] if n else None],
-                            "chars": [sum(len(u) + len(a) for _, u, a in kept)]}).astype({"first_turn": "Int64", "last_turn": "Int64"})
-
-    def close(self) -> None:
-        pass
+def _window(key, rows, state: GroupState):
+    """Keeps the last exchanges of a session and the turn that may be answered next."""
+    if state.hasTimedOut:
+        state.remove()
+        return
+    kept, prev = json.loads(state.get[0]) if state.exists else ([], None)
+    for r in _frame(rows, ["turn"]).itertuples(index=False):
+        if prev is not None and r.role == "assistant" and prev[0] == "user":
+            user, reply = " ".join(prev[1].split())[:USER_CHARS], r.text.strip()[:REPLY_CHARS]
+            if user and reply:
+                kept.append([int(r.turn), user, reply])
+        prev = [r.role, r.text]
+    kept = kept[-KEEP:]
+    state.update((json.dumps([kept, prev]),))
+    state.setTimeoutDuration(IDLE_MS)
+    if kept:
+        yield pd.DataFrame({"session": [key[0]], "exchanges": [len(kept)], "first_turn": [kept[0][0]], "last_turn": [kept[-1][0]], "chars": [sum(len(u) + len(a) for _, u, a in kept)]})
 
 
 def conversation_window(turns: DataFrame) -> DataFrame:
     """Sizes of each session's window as turns arrive. turns: a stream of session, turn, role, text. Idle sessions expire."""
-    schema = "session long, exchanges int, first_turn long, last_turn long, chars int"
-    return turns.groupBy("session").transformWithStateInPandas(ConversationWindow(), schema, "Update", "ProcessingTime")
+    out = "session long, exchanges int, first_turn long, last_turn long, chars int"
+    return turns.groupBy("session").applyInPandasWithState(_window, out, "window string", "update", "ProcessingTimeTimeout")
 
 
-class Backlog(StatefulProcessor):
+def _backlog(key, rows, state: GroupState):
     """Attempts and next check of one item; a final item stays final."""
+    minute, day = 60_000_000, 86_400_000_000
+    s = state.get if state.exists else None
+    for r in _frame(rows, ["at", "seq"]).itertuples(index=False):
+        at = int(r.at)
+        created, attempts, final = s[:3] if s else (at, 0, False)
+        late = at - created >= 3 * day and attempts >= 2
+        final = bool(final or (s and r.counted and (late or attempts >= 71)))
+        wait = 360 * minute if s and attempts >= 48 else 30 * minute
+        s = (created, attempts + int(r.counted), final, at + wait)
+    state.update(s)
+    yield pd.DataFrame({"item_id": [key[0]], "created": [s[0]], "attempts": [s[1]], "final": [s[2]], "next": [s[3]]})
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("backlog", "created long, attempts long, final boolean, next long")
 
-    def handleInputRows(self, key, rows, timerValues):
-        minute, day = 60_000_000, 86_400_000_000
-        s = self.state.get() if self.state.exists() else None
-        for r in _frame(rows, ["at", "seq"]).itertuples(index=False):
-            at = int(r.at)
-            created, attempts, final = (s[0], s[1], s[2]) if s else (at, 0, False)
-            final = bool(final or (s and r.counted and ((at - created >= 3 * day and attempts >= 2) or attempts >= 71)))
-            wait = 360 * minute if s and attempts >= 48 else 30 * minute
-            s = (created, attempts + int(r.counted), final, at + wait)
-        self.state.update(s)
-        yield pd.DataFrame({"item_id": [key[0]], "created": [s[0]], "attempts": [s[1]], "final": [s[2]], "next": [s[3]]})
+def backlog_stream(failures: DataFrame) -> DataFrame:
+    """failures: a stream of item_id, seq, at (microseconds), counted."""
+    out = "item_id long, created long, attempts long, final boolean, next long"
+    return failures.groupBy("item_id").applyInPandasWithState(_backlog, out, "created long, attempts long, final boolean, next long", "update", "NoTimeout")
 
-    def close(self) -> None:
-        pass
 
+def first_observations_stream(scans: DataFrame) -> DataFrame:
+    """First observation per (feed, identity), in update mode: all that the first-seen rules need to remember.
 
-def backlog_stream(failures: DataFrame) -> DataFrame:
-    """failures: a stream of item_id, seq, at (microseconds), counted."""
-    schema = "item_id long, created long, attempts long, final boolean, next long"
-    return failures.groupBy("item_id").transformWithStateInPandas(Backlog(), schema, "Update", "None")
-
-
-class FirstSeen(StatefulProcessor):
-    """Ledger of one feed's item keys. The unit is a whole scan, so the scan number is part of the data."""
-
-    def __init__(self, lookback_us: int, burst_limit: int):
-        self.lookback, self.burst = lookback_us, burst_limit
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.ledger = handle.getMapState("ledger", "key string", "first long, seeded boolean")
-        self.started = handle.getValueState("started", "scan long")
-
-    def _entry(self, key):
-        return self.ledger.getValue((key,)) if self.ledger.containsKey((key,)) else None
-
-    def handleInputRows(self, key, rows, timerValues):
-        out = []
-        frame = _frame(rows, ["scan_no", "ordinal"])
-        for scan, items in frame.groupby("scan_no", sort=True):
-            initial = not self.started.exists()
-            if items["keys"].map(lambda ks: any(ks)).any():
-                self.started.update((int(scan),))
-            suspects, seen = {}, []
-            for r in items.itertuples(index=False):
-                names = [k for k in r.keys if k]
-                known = [e for e in map(self._entry, names) if e is not None]
-                first = min([e[0] for e in known], default=int(r.scan_at))
-                seeded = initial or any(e[1] for e in known)
-                if names and not known and not initial and not pd.isna(r.published_at) and r.published_at < r.scan_at - self.lookback:
-                    suspects[tuple(names)] = first
-                for k in names:
-                    self.ledger.updateValue((k,), (first, bool(seeded)))
-                seen.append((int(r.ordinal), names))
-            if len(suspects) > self.burst:
-                for names, first in suspects.items():
-                    for k in names:
-                        self.ledger.updateValue((k,), (self._entry(k)[0], True))
-            for ordinal, names in seen:
-                entries = [self._entry(k) for k in names]
-                if entries:
-                    out.append((key[0], int(scan), ordinal, min(e[0] for e in entries), any(e[1] for e in entries)))
-        yield pd.DataFrame(out, columns=["feed", "scan_no", "ordinal", "first_seen", "seeded"])
-
-    def close(self) -> None:
-        pass
-
-
-def first_seen_stream(scans: DataFrame, lookback_hours: int, burst_limit: int = 3) -> DataFrame:
-    """scans: a stream of feed, scan_no, scan_at and published_at (microseconds), ordinal, keys (array)."""
-    schema = "feed long, scan_no long, ordinal long, first_seen long, seeded boolean"
-    return scans.groupBy("feed").transformWithStateInPandas(FirstSeen(lookback_hours * 3_600_000_000, burst_limit), schema, "Append", "None")
+    State is keyed by identity, so a feed with very many items is spread out; ``operators.state.seed_rules`` reads the result.
+    """
+    return scans.filter(F.col("ident").isNotNull()).groupBy("feed", "ident").agg(
+        F.min(F.struct("scan_no", "ordinal", "scan_at", "published_at")).alias("o")).select("feed", "ident", "o.scan_no", "o.scan_at", "o.published_at")
