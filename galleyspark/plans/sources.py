@@ -65,7 +65,10 @@ def parse_atom_items(t):
     return feeds.parse_atom_items(raw).select("item_id", "title", "url", F.date_format("published_at", "yyyy-MM-dd").alias("published"), "duration")
 
 
-@job("extract_articles")
+@job("extract_articles", r"""WITH a AS (SELECT page_id, regexp_extract(html,'(?s)<article>(.*)</article>',1) AS b FROM pages), f AS (SELECT page_id, regexp_replace(regexp_replace(b,'</?(p|h1|br|li|div|h2|h3|h4|section|blockquote|pre)[^>]*>',chr(10),'g'),'<[^>]+>','','g') AS f, regexp_extract(b,'(?s)<h1>(.*?)</h1>',1) AS h FROM a),
+u AS (SELECT page_id, replace(replace(f,'&quot;','"'),'&amp;','&') AS f, replace(replace(h,'&quot;','"'),'&amp;','&') AS h FROM f),
+l AS (SELECT page_id, h, list_filter(list_transform(string_split(f,chr(10)), lambda x: trim(regexp_replace(x,'[\s\x{a0}]+',' ','g'))), lambda x: x<>'') AS p FROM u)
+SELECT page_id, trim(regexp_replace(h,'[\s\x{a0}]+',' ','g')) AS title, CAST(length(array_to_string(p,chr(10))) AS INTEGER) AS chars, sha256(array_to_string(p,chr(10))) AS sha, CAST(NULL AS VARCHAR) AS published, FALSE AS paywall FROM l""".replace("\\\\", "\\"))
 def extract_articles(t):
     a = pages.extract_articles(t.pages)
     return a.select("page_id", "title", F.length("text").alias("chars"), F.sha2("text", 256).alias("sha"), F.date_format("published_at", "yyyy-MM-dd HH:mm:ss").alias("published"), "paywall")

@@ -166,12 +166,14 @@ def clean_transcripts(t):
     return c.groupBy("item_id", "stages", "fillers").agg(F.array_join(F.transform(parts, lambda s: s["text"]), "|").alias("text"))
 
 
-@job("merge_rolling_captions")
+@job("merge_rolling_captions", r"""WITH f AS (SELECT doc_id AS item_id, trim(regexp_replace(text, '[\s\x{0b}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+', ' ', 'g')) AS flat FROM documents),
+w AS (SELECT item_id, string_split(flat,' ') AS p, unnest(range(1,len(string_split(flat,' '))+1)) AS i FROM f) SELECT item_id, CAST(sum(length(p[i] || '-' || (i-1))+1)-1 AS INTEGER) AS chars, sha256(string_agg(p[i] || '-' || (i-1),' ' ORDER BY i)) AS sha FROM w GROUP BY 1""")
 def merge_rolling_captions(t):
-    """documents as rolling captions: windows of 15 words every 10 words."""
-    words = F.split(F.trim(F.regexp_replace("text", r"(?U)\s+", " ")), " ")
-    chunks = F.transform(F.sequence(F.lit(0), F.floor((F.size(words) - 1) / 10).cast("int")), lambda i: F.array_join(F.slice(words, i * 10 + 1, 15), " "))
-    return ops.merge_rolling_captions(t.documents.select(F.col("doc_id").alias("item_id"), chunks.alias("chunks"))).select("item_id", F.length("text").alias("chars"), F.sha2("text", 256).alias("sha"))
+    """documents as rolling captions: windows of 15 words every 10 words. Words carry their number, so only true overlaps agree."""
+    d = t.documents.select(F.col("doc_id").alias("item_id"), F.split(F.trim(F.regexp_replace("text", r"(?U)\s+", " ")), " ").alias("words"))
+    d = d.select("item_id", F.transform("words", lambda w, i: F.concat(w, F.lit("-"), i)).alias("words"))
+    windows = F.transform(F.sequence(F.lit(0), F.floor((F.size("words") - 1) / 10).cast("int")), lambda i: F.array_join(F.slice("words", i * 10 + 1, 15), " "))
+    return ops.merge_rolling_captions(d.select("item_id", windows.alias("chunks"))).select("item_id", F.length("text").alias("chars"), F.sha2("text", 256).alias("sha"))
 
 
 @job("pack_batches", """WITH RECURSIVE u AS (SELECT doc_id, i-1 AS pos, length(p[i]) AS chars FROM (SELECT doc_id, string_split(text,chr(10)) AS p, unnest(range(1,len(string_split(text,chr(10)))+1)) AS i FROM documents)),
