@@ -7,6 +7,8 @@ from html.parser import HTMLParser
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+
+from galleyspark.functions.text import EDGE_BLANKS
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import ArrayType, IntegerType, MapType, StringType, StructField, StructType
 
@@ -81,7 +83,7 @@ def text_of(nodes: Column, top: Column, sep: str = "") -> Column:
     pieces = F.transform(within(nodes, top, lambda n: n["tag"] == "#text"), lambda n: n["text"])
     if not sep:
         return F.array_join(pieces, "")
-    return F.array_join(F.filter(F.transform(pieces, lambda p: F.regexp_replace(p, r"(?U)\A\s+|\s+\z", "")), lambda p: p != ""), sep)
+    return F.array_join(F.filter(F.transform(pieces, lambda p: F.regexp_replace(p, EDGE_BLANKS, "")), lambda p: p != ""), sep)
 
 
 def first(nodes: Column, keep) -> Column:

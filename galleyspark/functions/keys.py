@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from galleyspark.functions.arrow import _nfkd_bare, accent_free, nfkc
-from galleyspark.functions.text import casefold, col
+from galleyspark.functions.text import BLANKS, casefold, col
 
 # Tracking parameters that never identify a feed or an asset.
 FEED_TRACKING = ["fbclid", "gclid", "mc_cid", "mc_eid", "igshid", "ref", "ref_src", "si", "_hsenc", "_hsmi"]
@@ -135,7 +135,7 @@ def show_key(c: Column | str) -> Column:
 def source_name_key(c: Column | str) -> Column:
     """Source names compared by letters and digits of any script, after compatibility folding, without a leading 'the'."""
     spaced = F.regexp_replace(casefold(nfkc(c)), r"[^\p{L}\p{N}\s]", " ")
-    return F.regexp_replace(F.trim(F.regexp_replace(spaced, r"(?U)\s+", " ")), "^the ", "")
+    return F.regexp_replace(F.trim(F.regexp_replace(spaced, BLANKS, " ")), "^the ", "")
 
 
 def noise_free_title(c: Column | str) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from galleyspark.functions import keys
-from galleyspark.functions.text import casefold
+from galleyspark.functions.text import EDGE_BLANKS, casefold
 from galleyspark.operators.editorial import ADVICE
 
 
@@ -133,7 +133,7 @@ def digest_format(digests: DataFrame, banned: str = r"\[新\]|【新】|RSI[（(
 
 def answer_completeness(answers: DataFrame) -> DataFrame:
     """First rule an answer breaks. answers: item_id, text."""
-    v = F.regexp_replace("text", r"(?U)\A\s+|\s+\z", "")
+    v = F.regexp_replace("text", EDGE_BLANKS, "")
     last = F.trim(F.element_at(F.split(v, "\n"), -1))
     promise = r"\A(?:好的[，。]?|收到[，。]?|可以[，。]?)?\s*(?:我会|我来|我将|让我).{0,65}(?:整理|分析|检查|查询|总结|处理)(?:一下)?[。！!]*\z"
     problem = (F.when(v == "", "empty").when(last.rlike(r"[:：]\s*$"), "unfinished_introduction")

@@ -95,7 +95,7 @@ def focus_mentions(docs: DataFrame, focus: DataFrame) -> DataFrame:
     words = d.select("item_id", F.explode(F.array_distinct(F.concat(F.array(F.lit("")), F.regexp_extract_all("body", F.lit("([a-z0-9]+)"), F.lit(1))))).alias("word"))
     pairs = words.join(names, "word").select("item_id", "focus_id", "name")
     whole = F.rlike("body", F.concat(F.lit(r"(?<![a-z0-9])\Q"), "name", F.lit(r"\E(?![a-z0-9])")))
-    return pairs.join(d, "item_id").filter(whole).select("item_id", "focus_id")
+    return pairs.join(d, "item_id").filter(F.contains(F.col("body"), F.col("name")) & whole).select("item_id", "focus_id")
 
 
 def reviews_in_run(runs: DataFrame, reviews: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from galleyspark.functions.arrow import nfkc
-from galleyspark.functions.text import casefold, collapse, normalised
+from galleyspark.functions.text import BLANKS, casefold, collapse, normalised
 from galleyspark.operators.columns import quote_units
 from galleyspark.operators.ordered import Running, first_n, prefix_scan
 
@@ -80,7 +80,7 @@ def evidence_coverage(units: DataFrame, refs: DataFrame) -> DataFrame:
 
 
 def _term_form(c: Column) -> Column:
-    return F.trim(F.regexp_replace(F.regexp_replace(casefold(nfkc(c)), r"\p{P}", " "), r"(?U)\s+", " "))
+    return F.trim(F.regexp_replace(F.regexp_replace(casefold(nfkc(c)), r"\p{P}", " "), BLANKS, " "))
 
 
 def supported_terms(terms: DataFrame, units: DataFrame) -> DataFrame:

@@ -221,17 +221,21 @@ def history_aliases(items: DataFrame, episodes: DataFrame) -> DataFrame:
     return items.join(e, ["title", "show", "published_at"]).select("item_id", "alias_id")
 
 
-def identity_keys(items: DataFrame) -> Column:
-    """Identities of a release: id, links, title with day, show with title and day. items: item_id, urls, feed_url, title, show, published_at, is_discovery."""
-    feed = keys.url_key("feed_url")
-    urls = F.filter(F.transform("urls", lambda u: F.trim(F.coalesce(u, F.lit("")))), lambda u: (u != "") & ((feed == "") | (keys.url_key(u) != feed)))
-    day = F.date_format("published_at", "yyyy-MM-dd")
-    ascii_t, word_t, show = keys.ascii_title("title"), keys.word_title("title"), keys.show_key("show")
+def identity_keys(items: DataFrame) -> DataFrame:
+    """Adds ``ids``, the identities of a release: id, links, title with day, show with title and day.
+
+    items: item_id, urls, feed_url, title, show, published_at, is_discovery. Link keys are only computed where a feed link is known.
+    """
+    staged = items.select("*", keys.url_key("feed_url").alias("__feed"), F.filter(F.transform("urls", lambda u: F.trim(F.coalesce(u, F.lit("")))), lambda u: u != "").alias("__urls"),
+                          F.date_format("published_at", "yyyy-MM-dd").alias("__day"), keys.ascii_title("title").alias("__a"), keys.word_title("title").alias("__w"), keys.show_key("show").alias("__s"))
+    feed, day = F.col("__feed"), F.col("__day")
+    urls = F.when(feed == "", F.col("__urls")).otherwise(F.filter("__urls", lambda u: keys.url_key(u) != feed))
     one = lambda c, v: F.when(c, F.array(v)).otherwise(F.array().cast("array<string>"))
-    return F.array_distinct(F.concat(
+    ids = F.array_distinct(F.concat(
         F.array(F.concat(F.lit("id:"), F.col("item_id").cast("string"))), F.transform(urls, lambda u: F.concat(F.lit("url:"), u)),
-        one(F.coalesce((F.length(ascii_t) >= 12) & day.isNotNull() & ~F.col("is_discovery"), F.lit(False)), F.concat_ws(":", F.lit("title-day"), ascii_t, day)),
-        one(F.coalesce((show != "") & (F.length(word_t) >= 8) & day.isNotNull(), F.lit(False)), F.concat_ws(":", F.lit("show-title-day"), show, word_t, day))))
+        one(F.coalesce((F.length("__a") >= 12) & day.isNotNull() & ~F.col("is_discovery"), F.lit(False)), F.concat_ws(":", F.lit("title-day"), "__a", day)),
+        one(F.coalesce((F.col("__s") != "") & (F.length("__w") >= 8) & day.isNotNull(), F.lit(False)), F.concat_ws(":", F.lit("show-title-day"), "__s", "__w", day))))
+    return staged.withColumn("ids", ids).drop("__feed", "__urls", "__day", "__a", "__w", "__s")
 
 
 def identity_representative(items: DataFrame) -> DataFrame:

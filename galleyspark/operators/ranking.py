@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from galleyspark.functions.arrow import accent_free
-from galleyspark.functions.text import casefold, occurrences
+from galleyspark.functions.text import BLANKS, casefold, occurrences
 from galleyspark.operators.ordered import dense_position, first_n
 
 
@@ -41,7 +41,7 @@ def select_edition(items: DataFrame, cap=5) -> DataFrame:
     cap = clamp_cap(cap)
     tier = F.coalesce("tier", F.lit("B"))
     tier_rank = F.when(tier == "A", 0).when(tier == "B", 1).otherwise(2)
-    source = F.lower(F.trim(F.regexp_replace("source", r"(?U)\s+", " ")))
+    source = F.lower(F.trim(F.regexp_replace("source", BLANKS, " ")))
     order = F.struct(tier_rank.alias("tier_rank"), (-F.col("level")).alias("neg_level"), (-F.col("stars")).alias("neg_stars"), F.col("ordinal"))
     one = items.groupBy("day", source.alias("source_key")).agg(F.min_by(F.struct("item_id", "level", "stars", tier.alias("tier")), order).alias("i"), F.min(order).alias("o"))
     top = first_n(one.select("day", "source_key", "i.*", "o"), ["day"], [F.col("o")], 6 if cap == 5 else cap, "slot")

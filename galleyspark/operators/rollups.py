@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from galleyspark.functions.text import BLANKS
 from galleyspark.operators.ordered import Running, dense_position, first_n, prefix_scan
 
 # Result statuses, those that wait for work, and those the health view may name.
@@ -141,7 +142,7 @@ def discovery_summary(rows: DataFrame, cap: int) -> DataFrame:
 
 def speech_density(transcripts: DataFrame) -> DataFrame:
     """Words per minute of a transcript against the gates of each kind of source. transcripts: item_id, text, minutes."""
-    flat = F.trim(F.regexp_replace("text", r"(?U)\s+", " "))
+    flat = F.trim(F.regexp_replace("text", BLANKS, " "))
     words = F.when(flat == "", 0).otherwise(F.size(F.split(flat, " "))).cast("long")
     m = transcripts.select("item_id", "minutes", F.length(flat).cast("long").alias("chars"), words.alias("words"))
     wpm = F.col("words") / F.col("minutes")
@@ -168,12 +169,9 @@ def turn_distribution(transcripts: DataFrame, min_turns: int = 20, early: float
 
     transcripts: item_id, text. Line offsets come from a scan over the exploded lines, so a long text is not one task's work.
     """
-    flat = F.regexp_replace(F.trim("text"), r"(?U)\s+", " ")
-    has = lambda where, phrases: F.exists(F.array(*[F.lit(p) for p in phrases]), lambda p: F.contains(where, p))
-    base = transcripts.select(
-        "item_id", F.length("text").alias("total"),
-        has(F.lower(F.substring(flat, 1, 2500)), OPENING).alias("opening"),
-        has(F.lower(F.expr("right(regexp_replace(trim(text), '(?U)\\\\s+', ' '), 3000)")), CLOSING).alias("closing"))
+    either = lambda phrases: "|".join("\\Q" + p + "\\E" for p in phrases)
+    base = transcripts.select("item_id", F.length("text").alias("total"), F.regexp_replace(F.trim("text"), BLANKS, " ").alias("flat")).select(
+        "item_id", "total", F.lower(F.substring("flat", 1, 2500)).rlike(either(OPENING)).alias("opening"), F.lower(F.right("flat", F.lit(3000))).rlike(either(CLOSING)).alias("closing"))
     lines = transcripts.select("item_id", F.posexplode(F.split("text", "\n")).alias("n", "line")).select(
         "item_id", "n", F.floor(F.col("n") / 1024).alias("blk"), F.length("line").alias("len"), F.regexp_extract("line", LABEL, 1).alias("label"))
     placed = prefix_scan(lines, ["item_id"], ["blk"], ["n"], at=Running("sum", F.col("len") + 1, before=True))
@@ -212,7 +210,7 @@ NUMERALS = "[零〇一二三四五六七八九十百千万亿两]+"
 
 def number_tokens(text: Column) -> Column:
     """Distinct number expressions of a text; white space inside is ignored."""
-    compact = F.regexp_replace(text, r"(?U)\s+", "")
+    compact = F.regexp_replace(text, BLANKS, "")
     plain = F.regexp_extract_all(compact, F.lit(f"(?U)({DIGITS}|{NUMERALS}(?=[个年月周日天人项倍亿万岁秒分]))"), F.lit(1))
     spans = F.lit(f"({NUMERALS})[到至]({NUMERALS})")
     return F.array_distinct(F.concat(plain, F.regexp_extract_all(compact, spans, F.lit(1)), F.regexp_extract_all(compact, spans, F.lit(2))))
@@ -221,7 +219,7 @@ def number_tokens(text: Column) -> Column:
 def number_preservation(pairs: DataFrame) -> DataFrame:
     """Numbers of the source missing in the derived text and numbers that are new. pairs: item_id, source_text, derived_text."""
     p = pairs.select("item_id", number_tokens(F.col("source_text")).alias("s"), number_tokens(F.col("derived_text")).alias("d"),
-                     F.regexp_replace("derived_text", r"(?U)\s+", "").alias("compact"))
+                     F.regexp_replace("derived_text", BLANKS, "").alias("compact"))
     # A numeral written in words counts as kept when it occurs inside a longer written number.
     gone = F.filter(F.array_except("s", "d"), lambda v: v.rlike(r"^[\x00-\x7F]*$") | ~F.contains(F.col("compact"), v))
     new = F.array_except("d", "s")

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from galleyspark.functions import arrow
-from galleyspark.functions.text import casefold
+from galleyspark.functions.text import BLANKS, EDGE_BLANKS, casefold
 from galleyspark.operators.ordered import Running, dense_position, prefix_scan
 from galleyspark.session import cut_lineage
 
@@ -56,7 +56,7 @@ def transcript_lines(docs: DataFrame) -> DataFrame:
     """
     norm = F.regexp_replace(F.regexp_replace(F.regexp_replace("text", r"\r\n?", "\n"), "[\ufeff\u200b]", ""), "\u00a0", " ")
     norm = F.regexp_replace(norm, r"[\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}]", "\n")
-    trim = lambda x: F.trim(F.regexp_replace(x, r"(?U)\A\s+|\s+\z", ""))
+    trim = lambda x: F.trim(F.regexp_replace(x, EDGE_BLANKS, ""))
     filled = lambda a: F.filter(F.transform(F.split(a, "\n"), trim), lambda x: x != "")
     d = docs.select("item_id", norm.alias("t")).withColumn("web", F.lower(F.regexp_replace("t", r"\A\s+", "")).startswith("webvtt"))
     d = d.withColumn("captions", F.col("web") | F.rlike("t", F.lit(CUE_TIMING.replace(r"\A", "(?m)^").replace(r"\z", "$"))))
@@ -369,7 +369,7 @@ LEADING_CUE = r"(?m)^[ \t]*" + CUE + r"(?:[ \t]*-->[ \t]*" + CUE + r")?[ \t]*(?:
 
 
 def without_stamps(text: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(F.regexp_replace(text, BRACKET_CUE, ""), LEADING_CUE, ""), r"(?U)\A\s+|\s+\z", "")
+    return F.regexp_replace(F.regexp_replace(F.regexp_replace(text, BRACKET_CUE, ""), LEADING_CUE, ""), EDGE_BLANKS, "")
 
 
 def chunk_translation(docs: DataFrame) -> DataFrame:
@@ -484,7 +484,7 @@ def compression_checks(pairs: DataFrame, ratio: float = 0.4) -> DataFrame:
 
     s, d = F.col("source_text"), F.col("short_text")
     owners = lambda t: F.regexp_extract_all(t, F.lit(OWNER), F.lit(1))
-    pairs = pairs.select("item_id", s, d, number_tokens(s).alias("sn"), number_tokens(d).alias("dn"), owners(s).alias("so"), owners(d).alias("do"), F.regexp_replace(d, r"(?U)\s+", "").alias("compact"))
+    pairs = pairs.select("item_id", s, d, number_tokens(s).alias("sn"), number_tokens(d).alias("dn"), owners(s).alias("so"), owners(d).alias("do"), F.regexp_replace(d, BLANKS, "").alias("compact"))
     size = F.length(d) / F.length(s)
     only = lambda t: t.rlike(r"(?<!不)仅")
     count = lambda arr, x: F.size(F.filter(arr, lambda y: y == x))

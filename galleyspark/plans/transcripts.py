@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from galleyspark.functions.text import BLANKS
 from galleyspark.functions import arrow
 from galleyspark.operators import transcripts as ops
 from galleyspark.plans import bindings as b
@@ -170,7 +171,7 @@ def clean_transcripts(t):
 w AS (SELECT item_id, string_split(flat,' ') AS p, unnest(range(1,len(string_split(flat,' '))+1)) AS i FROM f) SELECT item_id, CAST(sum(length(p[i] || '-' || (i-1))+1)-1 AS INTEGER) AS chars, sha256(string_agg(p[i] || '-' || (i-1),' ' ORDER BY i)) AS sha FROM w GROUP BY 1""")
 def merge_rolling_captions(t):
     """documents as rolling captions: windows of 15 words every 10 words. Words carry their number, so only true overlaps agree."""
-    d = t.documents.select(F.col("doc_id").alias("item_id"), F.split(F.trim(F.regexp_replace("text", r"(?U)\s+", " ")), " ").alias("words"))
+    d = t.documents.select(F.col("doc_id").alias("item_id"), F.split(F.trim(F.regexp_replace("text", BLANKS, " ")), " ").alias("words"))
     d = d.select("item_id", F.transform("words", lambda w, i: F.concat(w, F.lit("-"), i)).alias("words"))
     windows = F.transform(F.sequence(F.lit(0), F.floor((F.size("words") - 1) / 10).cast("int")), lambda i: F.array_join(F.slice("words", i * 10 + 1, 15), " "))
     return ops.merge_rolling_captions(d.select("item_id", windows.alias("chunks"))).select("item_id", F.length("text").alias("chars"), F.sha2("text", 256).alias("sha"))

@@ -40,3 +40,13 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: survives the loss of executors, unlike a local one."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Spread a table over all cores if its scan has fewer splits than there are cores.
+
+    Text jobs are bound by CPU, not by bytes, so a few small files must not become one task. Tables of many splits, the case on
+    a cluster, are left as they are: no shuffle is added.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

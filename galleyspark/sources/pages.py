@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from galleyspark.functions import keys
 from galleyspark.functions.html import attr, first, has_class, html_nodes, inside, text_of, within
-from galleyspark.functions.text import casefold
+from galleyspark.functions.text import BLANKS, casefold
 from galleyspark.operators.ordered import first_n
 
 # Body selectors in order, what is dropped inside a body, what breaks lines, how paywalled pages show.
@@ -22,7 +22,7 @@ LD_DATES = "array<struct<datePublished string, duration string, name string, hea
 
 
 def _squash(c: Column) -> Column:
-    return F.trim(F.regexp_replace(c, r"(?U)\s+", " "))
+    return F.trim(F.regexp_replace(c, BLANKS, " "))
 
 
 def _any_class(n: Column, names: list[str]) -> Column:
