@@ -13,6 +13,7 @@ from pyspark.sql.window import Window
 from galleyspark.functions.arrow import accent_free
 from galleyspark.functions.text import BLANKS, casefold, occurrences
 from galleyspark.operators.ordered import dense_position, first_n
+from galleyspark.session import cut_lineage
 
 
 def strip_accents(value: str) -> str:
@@ -61,13 +62,15 @@ def fair_candidate_order(items: DataFrame, cap: int = 0) -> DataFrame:
     Round-robin is a sort by (index in source, rotated source number); the 2:1 merge is a sort by (A: i div 2, B: j).
     """
     grp = ["day", "state", "tier"]
-    i = dense_position(items.withColumn("b0", F.floor(F.col("ordinal") / 65536)), grp + ["source_no"], ["b0"], ["ordinal"], "k").drop("b0")
-    sources = items.select(*grp, "source_no").distinct()
+    narrow = items.select("day", "item_id", "ordinal", "tier", "source_no", "state", "has_feed", "dated")
+    # Each scan reads its input twice; narrow checkpoints between the scans keep the work linear.
+    i = cut_lineage(dense_position(narrow.withColumn("b0", F.floor(F.col("ordinal") / 65536)), grp + ["source_no"], ["b0"], ["ordinal"], "k").drop("b0"))
+    sources = i.select(*grp, "source_no").distinct()
     w = Window.partitionBy(*grp).orderBy("source_no")  # one row per configured source
     n = F.count("*").over(Window.partitionBy(*grp))
     rot = sources.select("*", F.pmod(F.row_number().over(w) - 1 - F.pmod(day_ordinal(F.col("day")), n), n).alias("r"))
     j = i.join(rot, grp + ["source_no"]).withColumn("later", (F.col("k") > 1).cast("int")).withColumn("b1", F.floor(F.col("k") / 64))
-    j = dense_position(j, grp + ["later"], ["b1"], ["k", "r"], "m").drop("b1")
+    j = cut_lineage(dense_position(j, grp + ["later"], ["b1"], ["k", "r"], "m").drop("b1"))
     turn = F.when(F.col("tier") == "A", F.floor((F.col("m") - 1) / 2)).otherwise(F.col("m") - 1)
     j = j.select("day", "item_id", (~F.col("has_feed")).cast("int").alias("no_feed"), (~F.col("dated")).cast("int").alias("undated"),
                  (F.col("state") != "new").cast("int").alias("retry"), "later", turn.alias("turn"), F.when(F.col("tier") == "A", 0).otherwise(1).alias("side"), "m",

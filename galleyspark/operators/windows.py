@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from galleyspark.operators.ordered import Running, dense_position, first_n, prefix_scan
+from galleyspark.session import cut_lineage
 
 
 def latest_fetch_status(fetch: DataFrame, now: Column, days: int = 3) -> DataFrame:
@@ -63,6 +64,8 @@ def merge_turns(blocks: DataFrame, keys: Sequence[str], block: Sequence[str], or
     joins = (F.col("prev").isNotNull() & ~F.col("prev.removed") & (F.col("kind") == "speech") & (F.col("prev.kind") == "speech")
              & F.col("prev.speaker").eqNullSafe(F.col("speaker")))
     starts = seen.withColumn("starts", F.when(F.col("removed") | joins, 0).otherwise(1).cast("long")).drop("prev")
+    if block:  # the second scan reads its input twice
+        starts = cut_lineage(starts)
     islands = prefix_scan(starts, keys, block, order, island=Running("sum", "starts")).filter(~F.col("removed"))
     return islands.groupBy(*keys, "island").agg(
         F.min("kind").alias("kind"), F.min("speaker").alias("speaker"), F.count("*").alias("parts"),

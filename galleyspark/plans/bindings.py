@@ -86,14 +86,14 @@ def events(t) -> DataFrame:
 
 
 def segments(t) -> DataFrame:
-    """events -> timed segments: 60.5 s apart per user in time order."""
+    """events -> timed segments: 60.5 s apart per user in time order. Jobs read a segment table more than once, so it is checkpointed."""
     from galleyspark.operators.ordered import dense_position
+    from galleyspark.session import cut_lineage
 
     rows = events(t).withColumn("blk", F.to_date("ts"))
     placed = dense_position(rows, ["user_id"], ["blk"], ["ts", "event_id"], "n")
     start = 60.5 * (F.col("n") - 1).cast("double")
-    return placed.select(F.col("user_id").alias("item_id"), "n", start.alias("start"), (start + F.col("value")).alias("end"),
-                         "event_type", "event_id")
+    return cut_lineage(placed.select(F.col("user_id").alias("item_id"), "n", start.alias("start"), (start + F.col("value")).alias("end"), "event_type", "event_id"))
 
 
 SEGMENTS = """segments AS (SELECT user_id AS item_id, n, 60.5::DOUBLE*(n-1) AS start_s, 60.5::DOUBLE*(n-1)+value AS end_s, event_type, event_id FROM (
