@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import itertools
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
@@ -63,3 +65,23 @@ def portions(batches: Iterable[pa.RecordBatch], text: str, size: int = 4_000_000
             held += n or 0
         if begin < batch.num_rows:
             yield batch.slice(begin)
+
+
+class WordHash(dict):
+    """64-bit hash of a word, kept for words seen before; emptied when ``most`` words are held."""
+
+    def __init__(self, most: int = 400_000):
+        self.most = most
+
+    def __missing__(self, word: str) -> int:
+        import xxhash
+
+        self[word] = got = xxhash.xxh3_64_intdigest(word)
+        return got
+
+    def codes(self, texts: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of the words of all texts in one array, and the number of words of each text."""
+        if len(self) > self.most:
+            self.clear()
+        sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+        return np.fromiter(map(self.__getitem__, itertools.chain.from_iterable(texts)), np.uint64, int(sizes.sum())), sizes

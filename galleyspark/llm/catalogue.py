@@ -1,6 +1,7 @@
 """Imports every operator module so that its query is registered."""
 
 from galleyspark.llm import (  # noqa: F401
+    importance,
     tiling,
     token_planes,
 )
