@@ -2,6 +2,7 @@
 
 from galleyspark.llm import (  # noqa: F401
     importance,
+    near_dups,
     pfair,
     tiling,
     token_planes,
