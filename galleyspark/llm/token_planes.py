@@ -16,6 +16,7 @@ A reader finds any id position or document through the index and decodes that ch
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,22 +30,56 @@ CHUNKS = "part int, chunk int, offset long, doc_ids array<long>, counts array<lo
 END_ID = 2
 
 
-class WordIds(dict):
-    """Bytes of the ids of each word. A text's ids are those of its words, as no token of this vocabulary spans white space."""
+#: Texts of these characters alone are cut into words here just as the vocabulary file's own rules cut them.
+PLAIN = re.compile(r"[\t\n\r\x20-\x7e\xa1-\xa9\xab\xac\xae-\xb1\xb6\xb7\xbb\xbf-\xff\u2010-\u2027]*")
+WORD = re.compile(r"[a-z\xdf-\xf6\xf8-\xff]+|[0-9]|'(?:s|t|re|ve|m|ll|d)|[^a-z0-9\s\xdf-\xf6\xf8-\xff]+")  # of lower-case texts
+WORD_END = "</w>"
 
-    def __init__(self, path: str, most: int = 300_000):
+
+class WordIds:
+    """Ids of texts by a word-end BPE file, with the ids of words seen before at hand.
+
+    A token never spans two words, so a text's ids are those of its words. New words go through the library, many at once; the last
+    token of each is known by its word-end mark. Texts with other characters, or with the strings of special tokens, go through the
+    library whole. Words are held in two generations: when the younger holds ``most``, it replaces the older.
+    """
+
+    def __init__(self, path: str, most: int = 250_000):
         from tokenizers import Tokenizer
 
         self.model, self.most = Tokenizer.from_file(path), most
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        vocabulary = self.model.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for w, i in vocabulary.items() if w.endswith(WORD_END)]] = True
+
+    def whole(self, texts: list[str]) -> list[bytes]:
+        return [np.array(got.ids, "<u4").tobytes() for got in self.model.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def learn(self, words: list[str], together: int = 500) -> None:
+        lists = [words[i : i + together] for i in range(0, len(words), together)]
+        for some, got in zip(lists, self.model.encode_batch_fast([" ".join(x) for x in lists], add_special_tokens=False), strict=True):
+            ids = np.array(got.ids, "<u4")
+            cuts = np.flatnonzero(self.ends[ids]) + 1
+            if len(cuts) == len(some):
+                raw, cuts = ids.tobytes(), (4 * cuts).tolist()
+                self.young.update(zip(some, (raw[i:j] for i, j in zip([0, *cuts], cuts)), strict=True))
+            else:
+                self.young.update(zip(some, self.whole(some), strict=True))
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        if len(self) > self.most:
-            self.clear()
-        split = [(t or "").replace("\n", " ").split(" ") for t in texts]
-        new = list(set().union(*split) - self.keys())
-        for word, got in zip(new, self.model.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            self[word] = np.array(got.ids, "<u4").tobytes()
-        return [b"".join(map(self.__getitem__, words)) for words in split]
+        if len(self.young) > self.most:
+            self.old, self.young = self.young, {}
+        texts = [t or "" for t in texts]
+        plain = ["<|" not in t and PLAIN.fullmatch(t) is not None for t in texts]
+        split = [WORD.findall(t.lower()) if p else () for t, p in zip(texts, plain, strict=True)]
+        missing = set().union(*split) - self.young.keys()
+        known = missing & self.old.keys()
+        self.young.update((w, self.old[w]) for w in known)
+        self.learn(list(missing - known))
+        others = iter(self.whole([t for t, p in zip(texts, plain, strict=True) if not p]))
+        return [b"".join(map(self.young.__getitem__, words)) if p else next(others) for words, p in zip(split, plain, strict=True)]
 
 
 def to_planes(ids: np.ndarray, kind: str) -> list[bytes]:
@@ -67,10 +102,11 @@ _loaded: dict[str, WordIds] = {}
 
 
 def write_planes(docs: DataFrame, vocabulary: str, folder: str | None = None, kind: str = "byte", block_ids: int = 16_384,
-                 chunk_ids: int = 1 << 18, end_id: int = END_ID) -> tuple[DataFrame, DataFrame]:
+                 chunk_ids: int = 1 << 18, end_id: int = END_ID, in_file_order: bool = False) -> tuple[DataFrame, DataFrame]:
     """Encode ``docs(doc_id, text)`` in ascending doc_id order into the format above; returns ``(chunks, index)`` as read back.
 
     Null texts and empty texts hold the end id alone. Null doc_ids come first; equal doc_ids are all kept, in the order of their texts.
+    ``in_file_order`` keeps the order of rows in the Parquet files that ``docs`` was read from instead, such as a mix.
     An empty table gives empty tables. Other columns are not read. Range partitions keep the order without one task seeing all rows.
     """
     spark = docs.sparkSession
@@ -107,7 +143,13 @@ def write_planes(docs: DataFrame, vocabulary: str, folder: str | None = None, ki
         if held:
             yield flush()
 
-    ordered = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    columns = [F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")]
+    if in_file_order:  # files of a write are numbered part-N in the order of its partitions
+        file_no = F.regexp_extract(F.col("_metadata.file_name"), r"part-(\d+)", 1).try_cast("long")
+        ordered = docs.select(*columns, file_no.alias("f"), F.col("_metadata.file_name").alias("name"), F.col("_metadata.row_index").alias("at"))
+        ordered = ordered.repartitionByRange("f", "name", "at").sortWithinPartitions("f", "name", "at").select("doc_id", "text")
+    else:
+        ordered = docs.select(*columns).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     chunks = settle(ordered.mapInArrow(encode, CHUNKS), folder and f"{folder}/chunks")
     sizes = chunks.select("part", "chunk", "offset", F.col("doc_ids")[0].alias("first_doc"), F.size("doc_ids").alias("n_docs"),
                           F.aggregate("counts", F.lit(0).cast("long"), lambda a, x: a + x).alias("n_ids"))
