@@ -6,5 +6,6 @@ from galleyspark.llm import (  # noqa: F401
     pfair,
     tiling,
     token_planes,
+    toxicity,
 )
 from galleyspark.llm.base import CHECKS, JOBS  # noqa: F401
