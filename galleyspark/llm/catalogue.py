@@ -2,6 +2,7 @@
 
 from galleyspark.llm import (  # noqa: F401
     importance,
+    licenses,
     near_dups,
     pfair,
     tiling,
