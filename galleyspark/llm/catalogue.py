@@ -7,6 +7,7 @@ from galleyspark.llm import (  # noqa: F401
     pfair,
     tiling,
     token_planes,
+    pseudonyms,
     topk,
     toxicity,
 )
