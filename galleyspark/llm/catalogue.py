@@ -8,6 +8,7 @@ from galleyspark.llm import (  # noqa: F401
     tiling,
     token_planes,
     pseudonyms,
+    secrets,
     topk,
     toxicity,
 )
