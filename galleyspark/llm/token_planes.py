@@ -16,6 +16,7 @@ A reader finds any id position or document through the index and decodes that ch
 
 from __future__ import annotations
 
+import os
 import re
 from collections.abc import Iterator
 
@@ -44,7 +45,8 @@ class WordIds:
     library whole. Words are held in two generations: when the younger holds ``most``, it replaces the older.
     """
 
-    def __init__(self, path: str, most: int = 250_000):
+    def __init__(self, path: str, most: int = 150_000):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism; idle thread pools hold memory
         from tokenizers import Tokenizer
 
         self.model, self.most = Tokenizer.from_file(path), most
