@@ -72,6 +72,8 @@ WORDINGS = [
     (2, 0.8, "licen[cs]e (?:is )?{name}"),
     (1, 0.6, "{name} licen[cs]e(?:d)?"),
 ]
+#: For names that speak of a license themselves.
+BARE = (2, 0.7, "{name}(?: version [0-9](?: [0-9])?)?")
 #: Every rule holds one of these; texts without any are not looked at.
 GATE = ["licen", " under ", " governed by ", " covered by ", " subject to "]
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -90,7 +92,7 @@ class Rule(NamedTuple):
 def rules() -> list[Rule]:
     """All families in all wordings, the base phrases last, as rules that nothing suppresses."""
     made = [Rule(f"{label}/{k}", label, priority, trust, keyword, f"(?<= )(?:{wording.replace('{id}', short).replace('{name}', name)})(?= )")
-            for label, name, keyword, short in FAMILIES for k, (priority, trust, wording) in enumerate(WORDINGS)]
+            for label, name, keyword, short in FAMILIES for k, (priority, trust, wording) in enumerate(WORDINGS + [BARE] * ("licen" in name))]
     return made + [Rule(f"base/{label}", label, 3, 0.95, phrase, f"(?<= ){phrase}(?= )") for phrase, label in BASE]
 
 
