@@ -67,20 +67,17 @@ def prefix_scan(df: DataFrame, keys: Sequence[str], block: Sequence[str], order:
         frame = lambda r: whole.rowsBetween(Window.unboundedPreceding, -1 if r.before else Window.currentRow)
         own = lambda r, c: F.coalesce(c, F.lit(0)) if r.kind == "sum" else c
         return df.select("*", *[own(r, r.over(frame(r))).alias(n) for n, r in running.items()])
-    local = Window.partitionBy(*keys, *block).orderBy(*order)
+    # Blocks are known by one struct, which is never null and equal where its fields are: window and join use one partitioning of the rows.
+    at = F.struct(*keys, *block)
+    local = Window.partitionBy("__at").orderBy(*order)
     through = local.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     ahead = local.rowsBetween(Window.unboundedPreceding, -1)
-    out = df.select("*", *[r.over(ahead if r.before else through).alias(f"__l_{n}") for n, r in running.items()])
+    out = df.withColumn("__at", at).select("*", *[r.over(ahead if r.before else through).alias(f"__l_{n}") for n, r in running.items()])
     order_cols = [F.col(c) for c in order]
     blocks = df.groupBy(*keys, *block).agg(*[r.of_block(order_cols).alias(f"__c_{n}") for n, r in running.items()])
     across = Window.partitionBy(*keys).orderBy(*block).rowsBetween(Window.unboundedPreceding, -1)
-    carried = blocks.select(
-        *[F.col(c).alias(f"__k_{c}") for c in keys + block],
-        *[r.carry_over(f"__c_{n}", across).alias(f"__p_{n}") for n, r in running.items()],
-    )
-    on = [F.col(c).eqNullSafe(F.col(f"__k_{c}")) for c in keys + block]
-    joined = out.join(carried, on, "left")
-    return joined.select(
+    carried = blocks.select(at.alias("__at"), *[r.carry_over(f"__c_{n}", across).alias(f"__p_{n}") for n, r in running.items()])
+    return out.join(carried, "__at", "left").select(
         *[F.col(f"`{c}`") for c in df.columns],
         *[r.merge(F.col(f"__p_{n}"), F.col(f"__l_{n}")).alias(n) for n, r in running.items()],
     )

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from galleyspark.functions import arrow
+from galleyspark.functions import arrow, cutting
 from galleyspark.functions.text import BLANKS, EDGE_BLANKS, casefold
 from galleyspark.operators.ordered import Running, dense_position, prefix_scan
 from galleyspark.session import cut_lineage
@@ -354,12 +354,12 @@ def _chunks(docs: DataFrame, pieces: Column) -> DataFrame:
 
 def chunk_citations(docs: DataFrame) -> DataFrame:
     """Lossless citation chunks. docs: item_id, text."""
-    return _chunks(docs, arrow.citation_chunks("text"))
+    return _chunks(docs, cutting.citation_chunks("text"))
 
 
 def chunk_evidence(docs: DataFrame) -> DataFrame:
     """Lossless evidence blocks."""
-    return _chunks(docs, arrow.evidence_chunks("text"))
+    return _chunks(docs, cutting.evidence_chunks("text"))
 
 
 # Cue stamps that are removed before translation.
@@ -374,7 +374,7 @@ def without_stamps(text: Column) -> Column:
 
 def chunk_translation(docs: DataFrame) -> DataFrame:
     """Segments for translation: stamps removed, cut at sentence ends."""
-    return _chunks(docs.select("item_id", without_stamps(F.col("text")).alias("text")), arrow.sentence_chunks("text"))
+    return _chunks(docs.select("item_id", without_stamps(F.col("text")).alias("text")), cutting.sentence_chunks("text"))
 
 
 STAMP_SPLIT = r"(?m)(?=^\[\d{1,3}:\d{2}(?::\d{2})?\])"
@@ -385,7 +385,7 @@ def stamped_bodies(docs: DataFrame) -> DataFrame:
     """Pieces at line-start stamps; texts without stamps become citation chunks. Returns item_id, pos, blk, text."""
     cut = F.filter(F.split("text", STAMP_SPLIT), lambda x: x != "")
     pieces = F.when(F.rlike("text", F.lit(r"(?m)^\[\d{1,3}:\d{2}(?::\d{2})?\]")), cut)
-    plain = arrow.citation_chunks(F.when(pieces.isNull(), F.col("text")))
+    plain = cutting.citation_chunks(F.when(pieces.isNull(), F.col("text")))
     return docs.select("item_id", F.posexplode(F.coalesce(pieces, plain)).alias("pos", "text")).withColumn("blk", F.floor(F.col("pos") / BLOCK))
 
 
@@ -417,7 +417,7 @@ def pack_batches(docs: DataFrame) -> DataFrame:
 
 def merge_rolling_captions(captions: DataFrame) -> DataFrame:
     """One running text per caption file. captions: item_id, chunks (array in order)."""
-    return captions.select("item_id", arrow.merged_captions("chunks").alias("text"))
+    return captions.select("item_id", cutting.merged_captions("chunks").alias("text"))
 
 
 # Compaction and checks --------------------------------------------------------------------------

@@ -11,7 +11,7 @@ from galleyspark.plans.columns import _F, _FEEDQ, _NOISE, _SPLIT, URL_KEY
 from galleyspark.plans.editorial import scored_copies
 from galleyspark.operators.editorial import representation_score
 from galleyspark.plans.registry import job
-from galleyspark.session import spread
+from galleyspark.session import dealt
 
 _STOPW = ",".join(f"'{w}'" for w in keys.TITLE_STOPWORDS)
 
@@ -82,7 +82,7 @@ def merge_metadata(t):
 def assets(t):
     """orders -> items (even keys) and catalogue assets (odd keys)."""
     k = F.col("o_orderkey")
-    base = spread(t.orders).select(k.alias("id"), F.concat(F.lit("https://cdn.example.org/a/"), F.floor(k / 10), F.lit("?utm_source=x")).alias("url"), F.concat(F.lit("Talk: "), "o_orderstatus").alias("title"),
+    base = dealt(t.orders).select(k.alias("id"), F.concat(F.lit("https://cdn.example.org/a/"), F.floor(k / 10), F.lit("?utm_source=x")).alias("url"), F.concat(F.lit("Talk: "), "o_orderstatus").alias("title"),
                            F.concat(F.lit("Show "), F.col("o_custkey") % 10).alias("show"), F.col("o_orderdate").cast("timestamp").alias("at"), "o_totalprice")
     items = base.filter(F.col("id") % 2 == 0).select(F.col("id").alias("item_id"), "url", F.lit(None).cast("string").alias("audio_url"), "title", "show", F.col("at").alias("published_at"), F.col("o_totalprice").alias("duration"), F.lit(True).alias("from_feed"))
     other = base.filter(F.col("id") % 2 == 1).select(
@@ -169,7 +169,7 @@ SC = """sc AS (SELECT *, CASE WHEN custkey%6=0 THEN 40 ELSE 0 END + CASE WHEN cu
 
 
 def identified(t):
-    i = spread(scored_copies(t)).withColumn("is_discovery", F.col("item_id") % 9 == 0)
+    i = dealt(scored_copies(t)).withColumn("is_discovery", F.col("item_id") % 9 == 0)
     i = representation_score(i).drop("title", "published_at").withColumn("title", F.concat(F.lit("Release with a LONG name: "), F.col("custkey") % 40)).withColumn("published_at", F.col("day").cast("timestamp"))
     i = i.select("*", F.concat(F.lit("the Show "), "tier").alias("show"), F.lit("").alias("feed_url"),
                  F.array(F.when(F.col("custkey") % 3 == 0, F.concat(F.lit("https://cdn.example.org/"), F.col("custkey"), F.lit("/"), F.col("day")))).alias("urls"))

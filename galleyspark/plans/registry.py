@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from galleyspark.session import spread
+from galleyspark.session import dealt
 
 TEXT_TABLES = ("documents", "pages", "conversations")
 JOBS: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -24,7 +24,7 @@ class Tables:
         if name.startswith("_"):
             raise AttributeError(name)
         table = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
-        return spread(table) if name in TEXT_TABLES else table
+        return dealt(table) if name in TEXT_TABLES else table
 
 
 def job(name: str, sql: str | None = None):

@@ -18,6 +18,7 @@ def build_session(app_name: str = "galleyspark", cores: int | str = "*", shuffle
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.driver.memory", "8g")
         .config("spark.ui.enabled", "false")
+        .config("galleyspark.text.partitions", str(shuffle_partitions))
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )
@@ -26,14 +27,18 @@ def build_session(app_name: str = "galleyspark", cores: int | str = "*", shuffle
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``; a scratch folder only where it is unset."""
-    configured = spark.conf.get("spark.checkpoint.dir", None)
+    """The shared folder named by ``spark.checkpoint.dir``. Where it is unset, a scratch folder serves one machine; a cluster gets an error."""
     current = spark.sparkContext.getCheckpointDir()
     if current:
         return current
-    folder = configured or tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
     spark.sparkContext.setCheckpointDir(folder)
-    return folder
+    return spark.sparkContext.getCheckpointDir()
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
@@ -42,11 +47,10 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Spread a table over all cores if its scan has fewer splits than there are cores.
+def dealt(df: DataFrame) -> DataFrame:
+    """``df`` in the number of partitions that the session's ``galleyspark.text.partitions`` asks for; as it is where that is unset.
 
-    Text jobs are bound by CPU, not by bytes, so a few small files must not become one task. Tables of many splits, the case on
-    a cluster, are left as they are: no shuffle is added.
+    Local sessions set it, as test tables are single row groups. Clusters leave it unset: no shuffle is added.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    n = df.sparkSession.conf.get("galleyspark.text.partitions", None)
+    return df.repartition(int(n)) if n else df

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from galleyspark.functions import keys
-from galleyspark.functions.arrow import merged_captions
+from galleyspark.functions.cutting import merged_captions
 from galleyspark.operators.columns import short_form
 from galleyspark.operators.evidence import collapse
 

@@ -24,3 +24,17 @@ def test_top_n_is_limited_before_the_shuffle(spark):
 def test_scan_reads_only_what_it_needs(spark):
     text = plan(spark, "latest_fetch_status")
     assert "PushedFilters" in text and "props" not in text
+
+
+@pytest.mark.parametrize("name", ["carry_speaker", "backlog_state", "reconcile_deliveries"])
+def test_ordered_scans_shuffle_their_rows_once(spark, name):
+    """Without broadcasts, the scan's window and its join use one partitioning: each exchange by block is either the rows' or the carried summary's."""
+    import re
+
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        text = plan(spark, name).split("== Initial Plan ==")[0]
+        assert re.search(r"SortMergeJoin \[__at", text) and len(re.findall(r"Exchange hashpartitioning\(__at", text)) == 2
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)

@@ -5,7 +5,7 @@ from datetime import date, datetime, timedelta
 
 from pyspark.sql import functions as F
 
-from galleyspark.functions import arrow, keys
+from galleyspark.functions import arrow, cutting, keys
 from galleyspark.operators import columns, editorial, matching, ranking, rollups, state, transcripts, windows
 from galleyspark.operators.ordered import Running, prefix_scan
 
@@ -139,15 +139,40 @@ def test_scores(spark):
     assert strict[1] == (5, "值得编译") and strict[2][0] == 3 and strict[3] == (2, "无关") and strict[4] == (2, "无关") and strict[5] == (3, "值得看摘要")
 
 
-def test_pieces_rebuild_the_text():
+def longest_end(text, low, high, marks):
+    """Largest end in (low, high] such that one of the marks ends there, else high."""
+    return max((i for i in range(low + 1, high + 1) if any(text[:i].endswith(m) and i - len(m) >= low for m in marks)), default=high)
+
+
+def test_pieces_rebuild_the_text(spark):
     rng = random.Random(5)
-    for _ in range(50):
-        text = "".join(rng.choice(["word ", "end. ", "\n", "\n\n", "句。", "x" * 40]) for _ in range(rng.randint(0, 900)))
-        for cut, high in ((arrow.citation_pieces, 2200), (arrow.evidence_pieces, 450)):
-            got = cut(text)
-            assert "".join(got) == text and all(0 < len(p) <= high for p in got)
-        assert all(len(p) <= 1200 for p in arrow.sentence_pieces(text))
-    assert arrow.rolling_merge(["a b c", "b c d", "d"]) == "a b c d" and arrow.greedy_batches([10, 4000, 10, 10]) == [0, 1, 2, 2]
+    texts = ["".join(rng.choice(["word ", "end. ", "\n", "\n\n", "句。", "x" * 40, "😀"]) for _ in range(rng.randint(0, 900))) for _ in range(60)]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, text string")
+    for r in df.select("text", cutting.citation_chunks("text").alias("c"), cutting.evidence_chunks("text").alias("e"), cutting.sentence_chunks("text").alias("s")).collect():
+        assert "".join(r.c) == r.text and all(0 < len(p) <= 2200 for p in r.c)
+        assert "".join(r.e) == r.text
+        rest = r.text
+        for p in r.e:
+            assert len(p) == (len(rest) if len(rest) <= 450 else longest_end(rest, 200, 450, [" "]))
+            rest = rest[len(p):]
+        assert all(len(p) <= 1200 and p.strip() for p in r.s) and "".join("".join(r.s).split()) == "".join(r.text.split())
+        for p in r.s[:-1]:
+            assert len(p) == 1200 or p[-1] in "\n。.?!" and len(p) > 600
+
+
+def test_captions_lose_only_overlaps(spark):
+    rng = random.Random(6)
+    rows = [(0, ["a b c", "b c d", "d"]), (1, []), (2, ["", " x  y ", "y x", "y"]), (3, [" ".join(rng.choice("ab") for _ in range(rng.randint(0, 40))) for _ in range(30)])]
+
+    def joined(chunks):
+        text = []
+        for new in map(str.split, chunks):
+            text += new[max(n for n in range(31) if n <= len(new) and n <= len(text) and text[len(text) - n:] == new[:n]):]
+        return " ".join(text)
+
+    got = dict(spark.createDataFrame(rows, "i int, c array<string>").select("i", cutting.merged_captions("c")).collect())
+    assert got == {i: joined(c) for i, c in rows} and got[0] == "a b c d"
+    assert arrow.greedy_batches([10, 4000, 10, 10]) == [0, 1, 2, 2]
 
 
 def test_cleaning_keeps_evidence(spark):
