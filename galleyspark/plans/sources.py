@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from galleyspark.operators import columns as cols
 from galleyspark.plans import bindings as b
 from galleyspark.plans.columns import HASHES, archived
+from galleyspark.functions.text import collapse
 from galleyspark.plans.registry import job
 from galleyspark.sources import archive, feeds, pages
 
@@ -37,18 +38,22 @@ def raw_feeds(t):
     item = F.concat(
         F.lit("<item><title>"), F.when(k % 19 == 0, "").otherwise(F.concat(F.lit("Talk &amp; more "), s)), F.lit("</title><itunes:title>other</itunes:title>"), F.when(k % 3 != 0, F.concat(F.lit("<link>https://example.org/e/"), s, F.lit("</link>"))).otherwise("<link>http://example.org/</link>"),
         F.when(k % 5 != 0, F.concat(F.lit('<guid isPermaLink="false">g'), s, F.lit("</guid>"))).otherwise(""), F.lit("<pubDate>"), F.date_format(F.col("o_orderdate").cast("timestamp"), "EEE, dd MMM yyyy HH:mm:ss"), F.lit(" +0000</pubDate>"),
-        F.lit("<description>short</description><content:encoded><![CDATA[<p>Long <b>text</b> about</p><p>order "), s, F.lit("</p>]]></content:encoded><itunes:duration>"), F.floor(F.col("o_totalprice") / 60), F.lit(":07</itunes:duration>"),
+        F.lit("<description>short</description><content:encoded><![CDATA[<p>Long <b>text</b> about</p><p>caf&eacute; &#8217; order "), s, F.lit("</p>]]></content:encoded><itunes:duration>"), F.floor(F.col("o_totalprice") / 60), F.lit(":07</itunes:duration>"),
         F.lit('<enclosure url="https://cdn.example.org/'), s, F.lit('.mp3" type="audio/mpeg"/><podcast:transcript url="https://example.org/t/'), s, F.lit('.vtt" type="text/vtt"/><podcast:transcript url="http://no.example.org/x"/></item>'))
     docs = t.orders.select(F.floor(k / 20).alias("doc"), k.alias("k"), item.alias("item")).groupBy("doc").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "item"))), lambda x: x["item"]), "").alias("items"))
     head = '<?xml version="1.0"?><rss version="2.0" xmlns:itunes="http://www.itunes.com/dtds/podcast-1.0.dtd" xmlns:podcast="https://podcastindex.org/namespace/1.0" xmlns:content="http://purl.org/rss/1.0/modules/content/"><channel><title>Feed</title>'
-    return docs.select(F.concat(F.lit("https://feeds.example.org/"), "doc").alias("feed_url"), F.concat(F.lit("Show "), "doc").alias("show"), F.concat(F.lit(head), "items", F.lit("</channel></rss>")).alias("xml"))
+    whole = F.concat(F.lit(head), "items", F.lit("</channel></rss>"))
+    other = F.replace(F.replace(whole, F.lit("itunes:"), F.lit("it:")), F.lit("xmlns:itunes="), F.lit("xmlns:it="))  # a prefix of the feed's own
+    xml = F.when(F.col("doc") % 50 == 49, F.substring(whole, 1, 500)).when(F.col("doc") % 3 == 1, other).otherwise(whole)
+    return docs.select(F.concat(F.lit("https://feeds.example.org/"), "doc").alias("feed_url"), F.concat(F.lit("Show "), "doc").alias("show"), xml.alias("xml"))
 
 
-@job("parse_feed_items", """WITH i AS (SELECT o_orderkey AS k, o_orderkey//20 AS doc, 'Talk & more ' || o_orderkey AS title, CASE WHEN o_orderkey%5<>0 THEN 'g'||o_orderkey ELSE '' END AS guid, CASE WHEN o_orderkey%3<>0 THEN 'https://example.org/e/'||o_orderkey END AS link, * FROM orders WHERE o_orderkey%19<>0)
+@job("parse_feed_items", """WITH i AS (SELECT o_orderkey AS k, o_orderkey//20 AS doc, 'Talk & more ' || o_orderkey AS title, CASE WHEN o_orderkey%5<>0 THEN 'g'||o_orderkey ELSE '' END AS guid, CASE WHEN o_orderkey%3<>0 THEN 'https://example.org/e/'||o_orderkey END AS link, * FROM orders WHERE o_orderkey%19<>0 AND (o_orderkey//20)%50<>49)
 SELECT 'rss:' || substr(sha256('https://feeds.example.org/' || doc || '|' || CASE WHEN guid<>'' THEN guid ELSE coalesce(link, title || '|' || strftime(o_orderdate,'%Y-%m-%d %H:%M:%S') || '+00:00') END),1,32) AS item_id, title, coalesce(link, 'https://feeds.example.org/' || doc) AS url,
- strftime(o_orderdate,'%Y-%m-%d %H:%M:%S') AS published, CAST(floor(o_totalprice/60)*60+7 AS DOUBLE) AS duration, guid, 'https://cdn.example.org/' || k || '.mp3' AS audio_url, 'Long text about order ' || k AS description, CAST(1 AS INTEGER) AS transcripts FROM i""")
+ strftime(o_orderdate,'%Y-%m-%d %H:%M:%S') AS published, CAST(floor(o_totalprice/60)*60+7 AS DOUBLE) AS duration, guid, 'https://cdn.example.org/' || k || '.mp3' AS audio_url, 'Long text about café ’ order ' || k AS description, CAST(1 AS INTEGER) AS transcripts, CAST(NULL AS VARCHAR) AS error FROM i
+UNION ALL SELECT NULL, NULL, 'https://feeds.example.org/' || (o_orderkey//20), NULL, NULL, NULL, NULL, NULL, NULL, 'unreadable' FROM orders WHERE (o_orderkey//20)%50=49 GROUP BY o_orderkey//20""")
 def parse_feed_items(t):
-    return feeds.parse_feed_items(raw_feeds(t)).select("item_id", "title", "url", F.date_format("published_at", "yyyy-MM-dd HH:mm:ss").alias("published"), "duration", "guid", "audio_url", "description", F.size("transcripts").alias("transcripts"))
+    return feeds.parse_feed_items(raw_feeds(t)).select("item_id", "title", "url", F.date_format("published_at", "yyyy-MM-dd HH:mm:ss").alias("published"), "duration", "guid", "audio_url", "description", F.when(F.col("transcripts").isNotNull(), F.size("transcripts")).alias("transcripts"), "error")
 
 
 @job("parse_atom_items", """WITH i AS (SELECT *, substr(sha256(CAST(o_orderkey AS VARCHAR)),1,11) AS v FROM orders) SELECT CASE WHEN o_orderkey%7=0 THEN 'x' ELSE v END AS item_id, 'Video ' || o_orderkey AS title, 'https://www.youtube.com/watch?v=' || v AS url,
@@ -105,19 +110,22 @@ def cap_articles_per_source(t):
     return pages.cap_articles_per_source(plain_articles(t), 4).select("source", "url", "rn")
 
 
-@job("parse_caption_cues", """WITH l AS (SELECT doc_id, doc_id%2=0 AS vtt, unnest(range(0,len(string_split(text,chr(10))))) AS i, len(string_split(text,chr(10)))*2.0::DOUBLE AS dur FROM documents)
-SELECT doc_id AS item_id, CAST(i AS INTEGER) AS pos, i*2.5::DOUBLE AS start, least(dur, i*2.5::DOUBLE+2.25) AS "end" FROM l""")
+@job("parse_caption_cues", r"""WITH l AS (SELECT doc_id, string_split(text,chr(10)) AS p, unnest(range(0,len(string_split(text,chr(10))))) AS i FROM documents),
+c AS (SELECT doc_id, i, len(p)*2.0::DOUBLE AS dur, trim(regexp_replace(p[i+1],'[\s\x{0b}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+',' ','g')) AS text FROM l)
+SELECT doc_id AS item_id, CAST(i AS INTEGER) AS pos, i*2.5::DOUBLE AS start, least(dur, i*2.5::DOUBLE+2.25) AS "end", trim('“& ' || text) AS text FROM c""")
 def parse_caption_cues(t):
-    lines = F.split("text", "\n")
+    """Every line of a document is a cue, in VTT with tags and entities for even doc_ids, else in JSON."""
+    lines = F.transform(F.split("text", "\n"), collapse)
     two = lambda c: F.lpad(c.cast("string"), 2, "0")
 
     def stamp(ms):
         return F.concat(two(F.floor(ms / 3600000)), F.lit(":"), two(F.floor(ms / 60000) % 60), F.lit(":"), two(F.floor(ms / 1000) % 60), F.lit("."), F.lpad((ms % 1000).cast("string"), 3, "0"))
 
-    vtt = F.concat(F.lit("WEBVTT\n\n"), F.array_join(F.transform(lines, lambda x, i: F.concat(stamp(i * 2500), F.lit(" --> "), stamp(i * 2500 + 2250), F.lit("\n"), F.lit("a word\n"))), "\n"))
-    js = F.concat(F.lit('{"events":['), F.array_join(F.transform(lines, lambda x, i: F.concat(F.lit('{"tStartMs":'), i * 2500, F.lit(',"dDurationMs":2250,"segs":[{"utf8":"a "},{"utf8":"word"}]}'))), ","), F.lit("]}"))
+    vtt = F.concat(F.lit("WEBVTT\n\n"), F.array_join(F.transform(lines, lambda x, i: F.concat(stamp(i * 2500), F.lit(" --> "), stamp(i * 2500 + 2250), F.lit(" align:start\n<c.a>&ldquo;&amp;</c>\n"), _xml(x), F.lit("\n"))), "\n"))
+    seg = F.transform(lines, lambda x, i: F.struct((i * 2500).alias("tStartMs"), F.lit(2250).alias("dDurationMs"), F.array(F.struct(F.lit("&ldquo;&amp; ").alias("utf8")), F.struct(_xml(x).alias("utf8"))).alias("segs")))
+    js = F.to_json(F.struct(seg.alias("events")))
     raw = t.documents.select(F.col("doc_id").alias("item_id"), F.when(F.col("doc_id") % 2 == 0, "vtt").otherwise("json").alias("format"), F.when(F.col("doc_id") % 2 == 0, vtt).otherwise(js).alias("body"), (F.size(lines) * 2.0).alias("duration"))
-    return feeds.parse_caption_cues(raw).select("item_id", "pos", "start", "end")
+    return feeds.parse_caption_cues(raw).select("item_id", "pos", "start", "end", "text")
 
 
 @job("caption_text", """SELECT doc_id AS item_id, 'Hello & welcome to' AS head, 'w' || (n-1) AS last, CAST(4 + n AS INTEGER) AS words FROM (SELECT doc_id, len(string_split(text,chr(10))) AS n FROM documents)""")
@@ -174,15 +182,17 @@ def page_metadata(t):
     return m.select("page_id", "title", F.date_format("published_at", "yyyy-MM-dd").alias("published"), "duration")
 
 
-@job("discovery_rows_to_items", """SELECT event_id AS row_id, CASE WHEN event_id%13=0 THEN 'invalid' WHEN event_type='error' THEN 'invalid' WHEN value>100 THEN 'invalid' WHEN ts < TIMESTAMP '2024-01-31' - to_hours(240) THEN 'outside' WHEN event_type='signup' AND event_id%2=0 THEN 'invalid' ELSE 'ok' END AS verdict FROM events""")
+@job("discovery_rows_to_items", """SELECT event_id AS row_id, CASE WHEN event_id%17=0 THEN NULL WHEN event_id%13=0 THEN -1 ELSE event_id+1 END AS seq, CASE WHEN event_id%13=0 OR event_id%17=0 THEN 'invalid' WHEN event_type='error' THEN 'invalid' WHEN value>100 THEN 'invalid' WHEN ts < TIMESTAMP '2024-01-31' - to_hours(240) THEN 'outside' WHEN event_type='signup' AND event_id%2=0 THEN 'invalid' ELSE 'ok' END AS verdict, 'Show' AS catalog_name, 'f' || event_id AS feed_url, CAST(2 AS INTEGER) AS feeds, CASE WHEN value>0 THEN value END AS duration FROM events""")
 def discovery_rows_to_items(t):
     e = F.col("event_id")
     row = F.struct(F.when(e % 13 == 0, F.lit("-1")).otherwise((e + 1).cast("string")).alias("seq"), F.when(F.col("event_type") == "error", "Private link").otherwise("rss").alias("linkType"),
                    F.when(F.col("value") > 100, F.lit("soon")).otherwise(F.unix_seconds("ts").cast("string")).alias("publishTime"), F.lit("T").alias("title"),
-                   F.when((F.col("event_type") == "signup") & (e % 2 == 0), " ").otherwise("Show").alias("podcastName"), F.lit("https://example.org/x").alias("link"), F.col("value").alias("duration"))
-    raw = b.events(t).select(e.alias("row_id"), F.to_json(row).alias("body"))
+                   F.when((F.col("event_type") == "signup") & (e % 2 == 0), " ").otherwise("Show").alias("podcastName"), F.lit("https://example.org/x").alias("link"), F.col("value").alias("duration"),
+                   F.lit("Show").alias("catalogName"), F.array(F.lit("known")).alias("catalogFeedUrls"), F.lit("").alias("rssUrl"), F.concat(F.lit("f"), e).alias("feedUrl"))
+    body = F.replace(F.to_json(row), F.lit('"rssUrl":"",'), F.lit(""))
+    raw = b.events(t).select(e.alias("row_id"), F.when(e % 17 == 0, body).otherwise(F.regexp_replace(body, r'"seq":"(-?\d+)"', '"seq":$1')).alias("body"))  # numbers in quotes are no numbers
     # A time with a fraction of a second is cut to the second when it is written, so the edge of the window stays the same.
-    return feeds.discovery_rows_to_items(raw, b.ts(b.NOW), 240).select("row_id", "verdict")
+    return feeds.discovery_rows_to_items(raw, b.ts(b.NOW), 240).select("row_id", "seq", "verdict", "catalog_name", "feed_url", F.size("feed_urls").alias("feeds"), "duration")
 
 
 @job("archive_upsert", """WITH a AS (SELECT doc_id AS item_id, 1 AS v, text FROM documents WHERE doc_id%5<>4 UNION ALL SELECT doc_id, 2, text || ' revised' FROM documents WHERE doc_id%3=0 AND doc_id%7<>0), r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY v DESC) AS rn, min(v) OVER (PARTITION BY item_id) AS stored FROM a WHERE trim(text)<>'')
@@ -213,16 +223,19 @@ def verify_manifest(t):
 @job("mentions_from_history", """WITH c AS (SELECT conv_id, turn, 'om_' || conv_id || '_' || (turn//2) AS message_id, role, length(text) AS n, trim(regexp_replace(text,'["\\\\\\n\\t]',' ','g')) AS text FROM conversations WHERE role='user' AND length(text)%5<>0 AND conv_id%7<>0),
 r AS (SELECT *, row_number() OVER (PARTITION BY message_id ORDER BY turn) AS rn FROM c WHERE text<>'') SELECT message_id, conv_id AS chat, 'ou_' || turn AS sender, text FROM r WHERE rn=1""")
 def mentions_from_history(t):
-    """conversations -> chat history rows as JSON, half of them rich posts."""
+    """conversations -> chat history rows as JSON, half of them rich posts, some localised, some with structured ids."""
     n, turn, conv = F.length("text"), F.col("turn"), F.col("conv_id")
     text = F.trim(F.regexp_replace("text", '["\\\\\n\t]', " "))
     post = F.to_json(F.struct(F.lit("").alias("title"), F.array(F.array(F.struct(F.lit("at").alias("tag"), F.lit("skip").alias("text")), F.struct(F.lit("text").alias("tag"), F.concat(F.lit("@_user_1 "), text).alias("text")))).alias("content")))
     plain = F.to_json(F.struct(F.concat(F.lit("@_user_1 "), text).alias("text")))
-    body = F.when(n % 2 == 0, post).otherwise(plain)
+    local = F.concat(F.when(conv % 4 == 0, '{"zh_cn":').otherwise('{"en_us":'), post, F.lit("}"))
+    body = F.when((n % 2 == 0) & (conv % 2 == 0), local).when(n % 2 == 0, post).otherwise(plain)
     at = lambda h: F.unix_millis(b.ts(b.NOW) - F.make_dt_interval(F.lit(0), h)).cast("string")
     hours = F.when(conv % 7 == 0, 900).otherwise(20)
     msg = F.struct(F.concat(F.lit("om_"), conv, F.lit("_"), F.floor(turn / 2)).alias("message_id"), F.lit(False).alias("deleted"), F.when(n % 2 == 0, "post").otherwise("text").alias("msg_type"), at(hours).alias("create_time"), at(hours).alias("update_time"),
                    F.struct(F.when(F.col("role") == "user", "user").otherwise("app").alias("sender_type"), F.lit("open_id").alias("id_type"), F.concat(F.lit("ou_"), turn).alias("id")).alias("sender"),
                    F.array(F.struct(F.lit("@_user_1").alias("key"), F.when(n % 5 == 0, "ou_other").otherwise("ou_bot").alias("id"))).alias("mentions"), F.struct(body.alias("content")).alias("body"))
-    raw = t.conversations.select(conv.alias("chat"), turn.alias("seq"), F.to_json(msg).alias("raw"))
+    flat = F.to_json(msg)
+    nested = F.regexp_replace(flat, '"id":"(ou_bot|ou_other)"', '"id":{"open_id":"$1"}')
+    raw = t.conversations.select(conv.alias("chat"), turn.alias("seq"), F.when(conv % 3 == 0, nested).otherwise(flat).alias("raw"))
     return feeds.mentions_from_history(raw, "ou_bot", b.ts("2024-01-29 00:00:00"), b.ts(b.NOW)).select("message_id", "chat", "sender", "text")

@@ -5,13 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from galleyspark.functions.text import EDGE_BLANKS
+
 
 def archive_upsert(current: DataFrame, new: DataFrame) -> DataFrame:
     """Latest version of every item with the time it was first stored. Only complete, non-empty texts enter.
 
     Both: item_id, updated_at, verified, text and any other columns. The narrow aggregate finds the winner; text moves once.
     """
-    both = current.unionByName(new).filter(F.col("verified") & (F.trim("text") != ""))
+    both = current.unionByName(new).filter(F.col("verified") & (F.regexp_replace("text", EDGE_BLANKS, "") != ""))
     cols = [c for c in both.columns if c != "item_id"]
     latest = both.groupBy("item_id").agg(F.max_by(F.struct(*cols), "updated_at").alias("v"), F.min("updated_at").alias("stored_at"))
     return latest.select("item_id", "v.*", "stored_at", F.sha2("v.text", 256).alias("content_sha256"), F.substring(F.sha2(F.col("item_id").cast("string"), 256), 1, 8).alias("reference"))

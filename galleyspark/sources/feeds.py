@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from galleyspark.functions import keys
+from galleyspark.functions.arrow import unescaped
 from galleyspark.functions.cutting import merged_captions
+from galleyspark.functions.text import EDGE_BLANKS
 from galleyspark.operators.columns import short_form
 from galleyspark.operators.evidence import collapse
 
@@ -17,24 +19,39 @@ ATOM = """title string, entry array<struct<`yt:videoId` string, title string, pu
  `media:group` struct<`media:description` string, `media:content` struct<_duration string, _url string>>>>"""
 
 
-def unescape(c: Column) -> Column:
-    """The entities that occur in feeds and captions."""
-    for entity, plain in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&nbsp;", " "), ("&amp;", "&")):
-        c = F.replace(c, F.lit(entity), F.lit(plain))
-    return c
+#: The prefix of each namespace here, and what its address holds.
+NAMESPACES = {"itunes": r"[^\"']*itunes\.com/dtds/podcast-1\.0\.dtd", "podcast": r"[^\"']*podcastindex[^\"']*", "content": r"[^\"']*purl\.org/rss/1\.0/modules/content/?",
+              "yt": r"[^\"']*youtube\.com/xml/schemas/2015", "media": r"[^\"']*search\.yahoo\.com/mrss/?"}
+
+
+def with_known_prefixes(xml: Column) -> Column:
+    """Feeds choose their prefixes; names are rewritten to the ones read here where a namespace is declared under another."""
+    for known, address in NAMESPACES.items():
+        own = F.regexp_extract(xml, rf"xmlns:([\w.-]+)\s*=\s*[\"']{address}[\"']", 1)
+        xml = F.when((own == "") | (own == known), xml).otherwise(F.regexp_replace(xml, F.concat(F.lit("(</?)"), own, F.lit(":")), F.lit(f"$1{known}:")))
+    return xml
+
+
+def stripped(c: Column) -> Column:
+    """Without white space of any kind at the ends."""
+    return F.regexp_replace(c, EDGE_BLANKS, "")
 
 
 def plain_text(markup: Column) -> Column:
     """Texts between tags, trimmed and joined by blanks."""
-    return F.array_join(F.filter(F.transform(F.split(unescape(markup), "<[^>]*>"), lambda s: F.trim(unescape(s))), lambda s: s != ""), " ")
+    parts = F.split(unescaped(F.array_join(F.split(unescaped(markup), "<[^>]*>"), "\u0001")), "\u0001")
+    return F.array_join(F.filter(F.transform(parts, stripped), lambda s: s != ""), " ")
 
 
 def parse_feed_items(raw: DataFrame, limit: int = 0) -> DataFrame:
-    """Items of RSS documents in feed order. raw: feed_url, show, xml. Items without title are left out; ids are stable hashes."""
-    feed = raw.select("feed_url", "show", F.from_xml("xml", RSS).alias("x"))
-    items = feed.select("feed_url", "show", F.posexplode("x.channel.item").alias("pos", "i"))
+    """Items of RSS documents in feed order. raw: feed_url, show, xml. Items without title are left out; ids are stable hashes.
+
+    A document that does not parse, or is no feed, is one row with ``error`` and nulls."""
+    feed = raw.select("feed_url", "show", F.from_xml(with_known_prefixes(F.col("xml")), RSS).alias("x"))
+    bad = F.col("x.channel").isNull()
+    items = feed.select("feed_url", "show", F.when(bad, "unreadable").alias("error"), F.posexplode_outer("x.channel.item").alias("pos", "i")).filter("error is not null or i is not null")
     if limit:
-        items = items.filter(F.col("pos") < limit)
+        items = items.filter((F.col("pos") < limit) | F.col("error").isNotNull())
     trim = lambda c: F.coalesce(F.trim(c), F.lit(""))
     guid = trim(F.col("i.guid._VALUE"))
     link = F.coalesce(keys.safe_public_url(trim(F.col("i.link"))), keys.safe_public_url(guid))
@@ -43,19 +60,20 @@ def parse_feed_items(raw: DataFrame, limit: int = 0) -> DataFrame:
     links = F.filter(F.transform("i.enclosure", lambda e: keys.safe_public_url(e["_url"])), lambda u: u.isNotNull())
     scripts = F.filter(F.transform(F.coalesce("i.`podcast:transcript`", F.array().cast("array<struct<_url string,_type string,_language string>>")), lambda s: F.struct(
         keys.safe_public_url(s["_url"]).alias("url"), F.coalesce(s["_type"], F.lit("text/plain")).alias("type"), F.coalesce(s["_language"], F.lit("")).alias("language"))), lambda s: s["url"].isNotNull())
-    j = items.select("feed_url", "show", "pos", trim(F.col("i.title")).alias("title"), guid.alias("guid"), link.alias("link"), keys.published_utc(trim(F.col("i.pubDate"))).alias("published_at"),
+    j = items.select("feed_url", "show", "error", "pos", trim(F.col("i.title")).alias("title"), guid.alias("guid"), link.alias("link"), keys.published_utc(trim(F.col("i.pubDate"))).alias("published_at"),
                      trim(F.col("i.`itunes:duration`")).alias("duration_string"), longest.alias("markup"), F.coalesce(F.get(links, F.lit(0)), F.lit("")).alias("audio_url"), scripts.alias("transcripts"))
     undated = F.concat(F.col("title"), F.lit("|"), F.coalesce(F.concat(F.date_format("published_at", "yyyy-MM-dd HH:mm:ss"), F.lit("+00:00")), F.lit("")))
     ident = F.when(F.col("guid") != "", F.col("guid")).otherwise(F.coalesce("link", undated))
-    return j.filter("title <> ''").select(
-        F.concat(F.lit("rss:"), F.substring(F.sha2(F.concat("feed_url", F.lit("|"), ident), 256), 1, 32)).alias("item_id"), "feed_url", "show", "pos", "title",
-        F.coalesce("link", keys.safe_public_url("feed_url"), "feed_url").alias("url"), "published_at", keys.duration_seconds("duration_string").alias("duration"), "guid", "audio_url",
-        plain_text(F.col("markup")).alias("description"), "transcripts")
+    sound = lambda c: F.when(F.col("error").isNull(), c)
+    return j.filter("title <> '' or error is not null").select(
+        sound(F.concat(F.lit("rss:"), F.substring(F.sha2(F.concat("feed_url", F.lit("|"), ident), 256), 1, 32))).alias("item_id"), "feed_url", "show", "pos", sound(F.col("title")).alias("title"),
+        F.coalesce("link", keys.safe_public_url("feed_url"), "feed_url").alias("url"), "published_at", keys.duration_seconds("duration_string").alias("duration"), sound(F.col("guid")).alias("guid"),
+        sound(F.col("audio_url")).alias("audio_url"), sound(plain_text(F.col("markup"))).alias("description"), sound(F.col("transcripts")).alias("transcripts"), "error")
 
 
 def parse_atom_items(raw: DataFrame, limit: int = 0) -> DataFrame:
     """Video entries of Atom documents, clips left out. raw: feed_url, show, xml."""
-    e = raw.select("feed_url", "show", F.posexplode(F.from_xml("xml", ATOM)["entry"]).alias("pos", "e"))
+    e = raw.select("feed_url", "show", F.posexplode(F.from_xml(with_known_prefixes(F.col("xml")), ATOM)["entry"]).alias("pos", "e"))
     if limit:
         e = e.filter(F.col("pos") < limit)
     vid = F.trim(F.col("e.`yt:videoId`"))
@@ -67,7 +85,7 @@ def parse_atom_items(raw: DataFrame, limit: int = 0) -> DataFrame:
     return j.filter(~short_form(F.col("url"), F.col("title"), F.col("description"), F.col("duration"))).drop("link")
 
 
-VTT_CUE = r"(?m)^((?:\d{2}:)?\d{2}:\d{2}\.\d{3})\s+-->\s+((?:\d{2}:)?\d{2}:\d{2}\.\d{3})"
+VTT_CUE = r"(?m)^((?:\d{2}:)?\d{2}:\d{2}\.\d{3})\s+-->\s+((?:\d{2}:)?\d{2}:\d{2}\.\d{3})[^\n]*((?:\n(?=[^\n]*\S)(?![^\n]*-->)[^\n]*)*)"
 CAPTION_JSON = "struct<events array<struct<tStartMs double, dDurationMs double, segs array<struct<utf8 string>>>>>"
 
 
@@ -78,11 +96,12 @@ def _clipped(start: Column, end: Column) -> tuple[Column, Column]:
 def parse_caption_cues(raw: DataFrame) -> DataFrame:
     """Timed intervals of caption files (VTT or JSON), clipped to the duration. raw: item_id, format, body, duration."""
     vtt = raw.filter("format = 'vtt'").select("item_id", "duration", F.posexplode(F.arrays_zip(
-        F.regexp_extract_all("body", F.lit(VTT_CUE), F.lit(1)).alias("a"), F.regexp_extract_all("body", F.lit(VTT_CUE), F.lit(2)).alias("b"))).alias("pos", "z"))
+        F.regexp_extract_all("body", F.lit(VTT_CUE), F.lit(1)).alias("a"), F.regexp_extract_all("body", F.lit(VTT_CUE), F.lit(2)).alias("b"),
+        F.regexp_extract_all("body", F.lit(VTT_CUE), F.lit(3)).alias("t"))).alias("pos", "z"))
     s, e = _clipped(keys.duration_seconds("z.a"), keys.duration_seconds("z.b"))
-    first = vtt.select("item_id", "pos", F.coalesce(s, F.lit(0.0)).alias("start"), F.coalesce(e, F.lit(0.0)).alias("end"), F.lit(None).cast("string").alias("text"))
+    first = vtt.select("item_id", "pos", F.coalesce(s, F.lit(0.0)).alias("start"), F.coalesce(e, F.lit(0.0)).alias("end"), collapse(unescaped(F.regexp_replace("z.t", "<[^>]+>", ""))).alias("text"))
     js = raw.filter("format = 'json'").select("item_id", "duration", F.posexplode(F.from_json("body", CAPTION_JSON)["events"]).alias("pos", "v"))
-    text = F.trim(F.replace(unescape(F.array_join(F.transform("v.segs", lambda g: F.coalesce(g["utf8"], F.lit(""))), "")), F.lit("\n"), F.lit(" ")))
+    text = stripped(F.replace(unescaped(F.array_join(F.transform("v.segs", lambda g: F.coalesce(g["utf8"], F.lit(""))), "")), F.lit("\n"), F.lit(" ")))
     s, e = _clipped(F.col("v.tStartMs") / 1000, F.greatest(F.col("v.tStartMs") / 1000, F.lit(0.0)) + F.coalesce("v.dDurationMs", F.lit(0.0)) / 1000)
     return first.unionByName(js.filter(F.col("v.tStartMs").isNotNull()).select("item_id", "pos", s.alias("start"), e.alias("end"), text.alias("text")).filter("text <> ''"))
 
@@ -90,7 +109,8 @@ def parse_caption_cues(raw: DataFrame) -> DataFrame:
 def caption_text(raw: DataFrame) -> DataFrame:
     """Running text of VTT files without headers, timings, tags and repeated words. raw: item_id, body."""
     keep = lambda x: (F.trim(x) != "") & ~F.contains(x, F.lit("-->")) & ~x.rlike(r"\A(?:WEBVTT|Kind:|Language:)")
-    lines = F.filter(F.transform(F.filter(F.split("body", "\n"), keep), lambda x: F.trim(unescape(F.regexp_replace(x, "<[^>]+>", "")))), lambda x: x != "")
+    shown = unescaped(F.regexp_replace(F.array_join(F.filter(F.split("body", "\n"), keep), "\n"), "<[^>\n]+>", ""))
+    lines = F.filter(F.transform(F.split(shown, "\n"), stripped), lambda x: x != "")
     return raw.select("item_id", merged_captions(lines).alias("text"))
 
 
@@ -123,25 +143,30 @@ def load_sources(spark: SparkSession, path: str, text_sources: bool = False) ->
     return normalise_sources(spark.read.schema(f"sources {SOURCE}").json(path, multiLine=True).select(F.inline("sources")), text_sources)
 
 
-DISCOVERY = """seq string, linkType string, publishTime string, title string, podcastName string, link string, duration double, podcastSeq bigint"""
+DISCOVERY = """seq variant, podcastId string, catalogName string, catalogFeedUrls array<string>, rssUrl string, rssFeedUrl string, feedUrl string, rss string, linkType string, publishTime string, title string, podcastName string, link string, duration double, podcastSeq bigint"""
 
 
 def discovery_rows_to_items(rows: DataFrame, now: Column, hours: int) -> DataFrame:
-    """Validated discovery rows with a verdict: ok, invalid or outside the window. rows: row_id, body (JSON). The times are epoch seconds."""
+    """Validated discovery rows with a verdict: ok, invalid or outside the window. rows: row_id, body (JSON). The times are epoch seconds; ``seq`` must be a
+    JSON integer, numbers in quotes are invalid."""
     r = rows.select("row_id", F.from_json("body", DISCOVERY).alias("r")).select("row_id", "r.*")
-    seq = F.when(F.rlike("seq", F.lit(r"\A\d+\z")), F.col("seq").cast("long"))
+    seq = F.when(F.schema_of_variant("seq") == "BIGINT", F.try_variant_get("seq", "$", "bigint"))
     when = F.timestamp_seconds(F.when(F.rlike("publishTime", F.lit(r"\A-?\d+(\.\d+)?\z")), F.col("publishTime").cast("double")))
     private = F.rlike(F.lower(F.coalesce("linkType", F.lit(""))), F.lit("upload|private"))
-    blank = lambda c: F.coalesce(F.trim(c), F.lit("")) == ""
+    blank = lambda c: F.coalesce(stripped(F.col(c)), F.lit("")) == ""
+    feeds = F.array("rssUrl", "rssFeedUrl", "feedUrl", "rss")
     verdict = (F.when(seq.isNull() | (seq <= 0) | private | when.isNull(), "invalid").when(~when.between(now - F.make_dt_interval(F.lit(0), F.lit(hours)), now), "outside")
                .when(blank("title") | blank("podcastName") | blank("link") | keys.safe_public_url("link").isNull(), "invalid").otherwise("ok"))
-    return r.select("row_id", seq.alias("seq"), F.substring("title", 1, 1000).alias("title"), F.substring("podcastName", 1, 300).alias("show"), "link", when.alias("published_at"),
+    return r.select("row_id", seq.alias("seq"), F.concat(F.lit("podwise:"), seq).alias("item_id"), "podcastId", "podcastSeq", F.col("catalogName").alias("catalog_name"),
+                    F.concat(F.coalesce("catalogFeedUrls", F.array().cast("array<string>")), F.array_compact(feeds)).alias("feed_urls"),
+                    F.coalesce(F.get(F.filter(feeds, lambda x: x != ""), F.lit(0)), F.lit("")).alias("feed_url"), F.substring("title", 1, 1000).alias("title"), F.substring("podcastName", 1, 300).alias("show"), "link", when.alias("published_at"),
                     F.when(F.col("duration") > 0, F.col("duration")).alias("duration"), verdict.alias("verdict"))
 
 
 MESSAGE = """struct<message_id string, deleted boolean, msg_type string, create_time string, update_time string, thread_id string, parent_id string, root_id string,
- sender struct<sender_type string, id_type string, id string>, mentions array<struct<key string, id string>>, body struct<content string>>"""
-POST = "title string, text string, content array<array<struct<tag string, text string, href string>>>"
+ sender struct<sender_type string, id_type string, id string>, mentions array<struct<key string, id variant>>, body struct<content string>>"""
+_POST = "title string, text string, content array<array<struct<tag string, text string, href string>>>"
+POST = f"{_POST}, zh_cn struct<{_POST.replace('title string', 'title: string')}>, en_us struct<{_POST.replace('title string', 'title: string')}>"
 
 
 def mentions_from_history(messages: DataFrame, bot: str, start: Column, end: Column) -> DataFrame:
@@ -149,13 +174,14 @@ def mentions_from_history(messages: DataFrame, bot: str, start: Column, end: Col
     m = messages.select("chat", "seq", F.from_json("raw", MESSAGE).alias("m")).select("chat", "seq", "m.*")
     at = lambda c: F.timestamp_millis(F.col(c).try_cast("long"))
     inside = F.coalesce(at("create_time").between(start, end), F.lit(False)) | F.coalesce(at("update_time").between(start, end), F.lit(False))
-    ours = F.filter("mentions", lambda x: x["id"] == bot)
+    ours = F.filter("mentions", lambda x: F.coalesce(F.try_variant_get(x["id"], "$.open_id", "string"), F.try_variant_get(x["id"], "$", "string")) == bot)
     m = m.filter(~F.coalesce("deleted", F.lit(False)) & (F.col("sender.sender_type") == "user") & (F.col("sender.id_type") == "open_id") & inside & (F.size(ours) > 0)).withColumn("ours", ours)
     c = F.from_json("body.content", POST)
-    rows = F.transform(c["content"], lambda row: F.array_join(F.transform(F.filter(row, lambda e: e["tag"].isin("text", "a")), lambda e: F.coalesce(F.nullif(e["text"], F.lit("")), e["href"], F.lit(""))), ""))
-    text = F.when(F.col("msg_type") == "text", c["text"]).when(F.col("msg_type") == "post", F.concat_ws("\n", F.coalesce(c["title"], F.lit("")), rows))
-    stripped = F.aggregate("ours", text, lambda t, x: F.replace(t, F.coalesce(x["key"], F.lit("\u0000")), F.lit("")))
-    m = m.select("chat", "seq", "message_id", F.col("sender.id").alias("sender"), "create_time", F.substring(F.trim(F.regexp_replace(stripped, r"\A\s+|\s+\z", "")), 1, 10000).alias("text"),
+    local = F.coalesce(c["zh_cn"], c["en_us"])
+    rows = F.transform(F.when(local.isNotNull(), local["content"]).otherwise(c["content"]), lambda row: F.array_join(F.transform(F.filter(row, lambda e: e["tag"].isin("text", "a")), lambda e: F.coalesce(F.nullif(e["text"], F.lit("")), e["href"], F.lit(""))), ""))
+    text = F.when(F.col("msg_type") == "text", c["text"]).when(F.col("msg_type") == "post", F.concat_ws("\n", F.coalesce(F.when(local.isNotNull(), local["title"]).otherwise(c["title"]), F.lit("")), rows))
+    without = F.aggregate("ours", text, lambda t, x: F.replace(t, F.coalesce(x["key"], F.lit("\u0000")), F.lit("")))
+    m = m.select("chat", "seq", "message_id", F.col("sender.id").alias("sender"), "create_time", F.substring(stripped(without), 1, 10000).alias("text"),
                  F.coalesce(F.nullif("parent_id", F.lit("")), "root_id", F.lit("")).alias("parent"))
     m = m.filter((F.col("text") != "") & F.col("message_id").startswith("om_") & (F.coalesce("sender", F.lit("")) != ""))
     order = F.struct(F.coalesce(F.col("create_time").try_cast("long"), F.lit(0)).alias("t"), "seq")
