@@ -33,7 +33,7 @@ def quantised(vectors: DataFrame) -> DataFrame:
 
 
 def best_of_block(q: np.ndarray, c: np.ndarray, ids: np.ndarray, own: np.ndarray, k: int) -> list[tuple[int, int, int]]:
-    """(query row, vec_id, score): for each query the k best candidates of the block, ties to smaller ids. ``c`` holds one row a dimension.
+    """(query row, vec_id, score): scores must fit a long. For each query the k best candidates of the block, ties to smaller ids. ``c`` holds one row a dimension.
 
     Values are exact: floating point where all partial sums stay below 2**53, Python integers elsewhere.
     """
