@@ -55,14 +55,15 @@ CUE = r"(?:^|\n|\()(\d{1,2}:\d{2}(?::\d{2})?)\)?\s+"
 def chapter_markers(items: DataFrame) -> DataFrame:
     """Chapters from the cues of a description; all or nothing. items: item_id, description, duration. One array per row."""
     stamps = F.regexp_extract_all("description", F.lit(CUE), F.lit(1))
-    texts = F.slice(F.split("description", CUE), 2, 100000)
+    parts = F.split("description", CUE)
+    texts = F.slice(parts, F.lit(2), F.size(parts))
     secs = lambda s: F.aggregate(F.split(s, ":"), F.lit(0), lambda a, p: a * 60 + p.cast("int"))
     low = lambda s: F.forall(F.slice(F.split(s, ":"), 2, 2), lambda p: p.cast("int") < 60)
     marks = F.transform(F.arrays_zip(stamps.alias("stamp"), texts.alias("text")), lambda z: F.struct(
         z["stamp"].alias("stamp"), secs(z["stamp"]).alias("seconds"), F.substring(F.trim(F.substring_index(z["text"], "\n", 1)), 1, 180).alias("title"), low(z["stamp"]).alias("fits")))
     d = items.select("item_id", "duration", marks.alias("m"))
     second = lambda a: F.transform(a, lambda x: x["seconds"])
-    rising = F.forall(F.zip_with(second(F.col("m")), F.slice(second(F.col("m")), 2, 100000), lambda a, n: n.isNull() | (n > a)), lambda x: x)
+    rising = F.forall(F.zip_with(second(F.col("m")), F.slice(second(F.col("m")), F.lit(2), F.size("m")), lambda a, n: n.isNull() | (n > a)), lambda x: x)
     good = (F.forall("m", lambda x: x["fits"] & (x["title"] != "") & (F.col("duration").isNull() | (F.col("duration") == 0) | (x["seconds"] < F.col("duration"))))
             & rising & (F.size("m") >= 2) & (F.get("m", F.lit(0))["seconds"] <= 60))
     return d.filter(good).select("item_id", F.posexplode("m").alias("pos", "c")).select("item_id", "pos", "c.stamp", "c.seconds", "c.title")

@@ -42,7 +42,7 @@ def quote_sources(t):
 
 
 @job("citation_integrity", r"""WITH c AS (SELECT conv_id AS item_id, turn, text, max(turn) OVER (PARTITION BY conv_id) AS top FROM conversations),
-f AS (SELECT conv_id*100+turn AS answer_id, conv_id AS item_id, turn, length(text) % 7 AS f, trim(substr(regexp_replace(text,'\s+',' ','g'), 1, 40)) AS quote FROM conversations WHERE turn > 0),
+f AS (SELECT conv_id*100+turn AS answer_id, conv_id AS item_id, turn, length(text) % 7 AS f, trim(substr(regexp_replace(text,'\s+',' ','g'), 1, 40)) AS quote FROM conversations),
 p AS (SELECT f.*, CASE WHEN f=6 THEN turn + 50 ELSE turn END AS cited, CASE WHEN f=4 THEN quote || ' zz' WHEN f=5 THEN '' ELSE quote END AS qq FROM f),
 u AS (SELECT *, CAST(len(regexp_extract_all(qq, '[\x{3400}-\x{9fff}]|[\p{L}\p{N}]+(?:[''’-][\p{L}\p{N}]+)*')) AS BIGINT) AS un FROM p)
 SELECT answer_id, CASE WHEN f=3 THEN 7::BIGINT WHEN f=2 THEN 4::BIGINT ELSE 1::BIGINT END AS points, CASE WHEN f=3 THEN 7*un WHEN f=2 THEN 4*un ELSE un END AS units,
@@ -54,7 +54,7 @@ def citation_integrity(t):
     quote = F.trim(F.substring(F.regexp_replace("text", r"\s+", " "), 1, 40))
     qq = F.when(k == 4, F.concat(quote, F.lit(" zz"))).when(k == 5, "").otherwise(quote)
     point = F.struct(F.when(k == 1, "two\nlines").otherwise("a claim").alias("text"), F.array(cid(F.when(k == 6, turn + 50).otherwise(turn))).alias("citations"), qq.alias("quote"))
-    answers = t.conversations.filter("turn > 0").select((F.col("conv_id") * 100 + turn).alias("answer_id"), F.col("conv_id").alias("item_id"), F.array_repeat(point, F.when(k == 3, 7).when(k == 2, 4).otherwise(1)).alias("points"))
+    answers = t.conversations.select((F.col("conv_id") * 100 + turn).alias("answer_id"), F.col("conv_id").alias("item_id"), F.array_repeat(point, F.when(k == 3, 7).when(k == 2, 4).otherwise(1)).alias("points"))
     chunks = t.conversations.select(F.col("conv_id").alias("item_id"), cid(turn).alias("chunk_id"), "text")
     return ops.citation_integrity(answers, chunks)
 

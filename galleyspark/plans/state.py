@@ -171,10 +171,9 @@ def retry_schedule(t):
     return ops.retry_schedule(a).select("job", "status", F.date_format("available_at", "yyyy-MM-dd HH:mm:ss").alias("available"))
 
 
-@job("attempt_budget", """SELECT user_id AS item_id, 'r' || (event_id%5) AS revision, count(*) AS tries, CASE WHEN bool_or(value>150) THEN 'completed' WHEN min(CAST(ts AS DATE))<>DATE '2024-01-30' OR count(*)>=3 THEN 'failed' ELSE 'pending' END AS status FROM events WHERE ts >= TIMESTAMP '2024-01-28' GROUP BY 1,2""")
+@job("attempt_budget", """SELECT user_id AS item_id, 'r' || (event_id%5) AS revision, count(*) AS tries, CASE WHEN bool_or(value>150) THEN 'completed' WHEN min(CAST(ts AS DATE))<>DATE '2024-01-30' OR count(*)>=3 THEN 'failed' ELSE 'pending' END AS status FROM events GROUP BY 1,2""")
 def attempt_budget(t):
-    e = b.events(t).filter(F.col("ts") >= b.ts("2024-01-28 00:00:00"))
-    a = e.select(F.col("user_id").alias("item_id"), F.concat(F.lit("r"), F.col("event_id") % 5).alias("revision"), F.to_date("ts").alias("day"), (F.col("value") > 150).alias("completed"))
+    a = b.events(t).select(F.col("user_id").alias("item_id"), F.concat(F.lit("r"), F.col("event_id") % 5).alias("revision"), F.to_date("ts").alias("day"), (F.col("value") > 150).alias("completed"))
     return ops.attempt_budget(a, F.lit("2024-01-30").cast("date"))
 
 
@@ -198,7 +197,7 @@ def daily_archive(t):
 
 @job("resolve_catalog_refs", f"""WITH {CATALOG}, al AS (SELECT ref, 'title' AS kind, alias FROM ({_aliases('title')}) UNION ALL SELECT ref, 'show', alias FROM ({_aliases('show_name')})), fr AS (SELECT alias, count(*) AS n FROM al GROUP BY 1),
 cp AS (SELECT ref, regexp_replace(lower(title),'[^a-z0-9\\x{{3400}}-\\x{{9fff}}]+','','g') AS ct, regexp_replace(lower(show_name),'[^a-z0-9\\x{{3400}}-\\x{{9fff}}]+','','g') AS cs FROM cat),
-q AS (SELECT ref AS query_id, ref%3 AS k, title, show_name FROM cat WHERE ref%40=7), qq AS (SELECT query_id, regexp_replace(lower('please ' || CASE k WHEN 0 THEN title WHEN 1 THEN '不是 ' || title ELSE title || ' of ' || show_name END || ' now'),'[^a-z0-9\\x{{3400}}-\\x{{9fff}}]+','','g') AS q FROM q),
+q AS (SELECT ref AS query_id, ref%3 AS k, title, show_name FROM cat), qq AS (SELECT query_id, regexp_replace(lower('please ' || CASE k WHEN 0 THEN title WHEN 1 THEN '不是 ' || title ELSE title || ' of ' || show_name END || ' now'),'[^a-z0-9\\x{{3400}}-\\x{{9fff}}]+','','g') AS q FROM q),
 nm AS (SELECT ref, kind, alias, FALSE AS whole FROM al UNION ALL SELECT ref, 'title', ct, TRUE FROM cp WHERE length(ct)>=3 UNION ALL SELECT ref, 'show', cs, TRUE FROM cp WHERE length(cs)>=3),
 h AS (SELECT query_id, ref, kind, whole OR coalesce(n,0)=1 AS good, contains(q,'不是'||nm.alias) OR contains(q,'不要'||nm.alias) OR contains(q,'排除'||nm.alias) AS neg FROM qq JOIN nm ON contains(q, nm.alias) LEFT JOIN fr ON fr.alias=nm.alias),
 p AS (SELECT query_id, ref, bool_or(neg) AS neg, bool_or(good AND kind='title') AS t, bool_or(good AND kind='show') AS s FROM h GROUP BY 1,2), f AS (SELECT * FROM p WHERE NOT neg AND (t OR s)), bo AS (SELECT query_id, bool_or(t AND s) AS two FROM f GROUP BY 1)
@@ -207,5 +206,5 @@ def resolve_catalog_refs(t):
     c = catalog(t)
     k = F.col("ref") % 3
     text = F.when(k == 0, F.col("title")).when(k == 1, F.concat(F.lit("不是 "), "title")).otherwise(F.concat("title", F.lit(" of "), "show"))
-    q = c.filter("ref % 40 = 7").select(F.col("ref").alias("query_id"), F.concat(F.lit("please "), text, F.lit(" now")).alias("query"))
+    q = c.select(F.col("ref").alias("query_id"), F.concat(F.lit("please "), text, F.lit(" now")).alias("query"))
     return ops.resolve_catalog_refs(q, c)
