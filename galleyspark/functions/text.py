@@ -15,6 +15,11 @@ def col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def stripped(c: Column | str) -> Column:
+    """Without white space of any kind at the ends."""
+    return F.regexp_replace(col(c), EDGE_BLANKS, "")
+
+
 def casefold(c: Column | str) -> Column:
     """Lower case plus the folds that plain lower case leaves out for letters in use here."""
     return F.translate(F.replace(F.lower(col(c)), F.lit("ß"), F.lit("ss")), "ς", "σ")

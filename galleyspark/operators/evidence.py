@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from galleyspark.functions.arrow import nfkc
-from galleyspark.functions.text import BLANKS, casefold, collapse, normalised
+from galleyspark.functions.text import BLANKS, casefold, collapse, normalised, stripped
 from galleyspark.operators.columns import quote_units
 from galleyspark.operators.ordered import Running, first_n, prefix_scan
 
@@ -55,11 +55,11 @@ def citation_integrity(answers: DataFrame, chunks: DataFrame, max_points: int =
     A citation must exist in the answer's document and one cited chunk must contain the quote.
     """
     p = answers.select("answer_id", "item_id", F.posexplode("points").alias("pos", "p")).select(
-        "answer_id", "item_id", "pos", "p.text", F.transform("p.citations", lambda x: F.trim(x)).alias("ids"), collapse("p.quote").alias("quote"), F.col("p.quote").alias("raw"))
+        "answer_id", "item_id", "pos", "p.text", F.transform("p.citations", stripped).alias("ids"), collapse("p.quote").alias("quote"), F.col("p.quote").alias("raw"))
     one_line = lambda c: ~c.rlike(r"[\r\n]")
-    local = p.select("*", ((F.trim("text") == "") | (F.length(F.trim("text")) > max_chars) | ~one_line(F.col("text"))).alias("bad_text"),
+    local = p.select("*", ((stripped("text") == "") | (F.length(stripped("text")) > max_chars) | ~one_line(F.col("text"))).alias("bad_text"),
                      (~F.size("ids").between(1, max_ids) | (F.size(F.array_distinct("ids")) < F.size("ids")) | ~F.forall("ids", lambda i: i.rlike(r"\AC\d{4}\z"))).alias("bad_ids"),
-                     ((F.trim("raw") == "") | (F.length(F.trim("raw")) > max_quote) | ~one_line(F.col("raw")) | (quote_units("quote") == 0)).alias("bad_quote"), quote_units("quote").alias("units"))
+                     ((stripped("raw") == "") | (F.length(stripped("raw")) > max_quote) | ~one_line(F.col("raw")) | (quote_units("quote") == 0)).alias("bad_quote"), quote_units("quote").alias("units"))
     cited = local.select("answer_id", "pos", "item_id", "quote", F.explode("ids").alias("chunk_id")).join(
         chunks.select("item_id", "chunk_id", F.col("text").alias("chunk")), ["item_id", "chunk_id"], "left")
     seen = cited.groupBy("answer_id", "pos").agg(F.bool_or(F.col("chunk").isNull()).alias("unknown"),

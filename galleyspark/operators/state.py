@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from galleyspark.functions.text import stripped
 from galleyspark.operators.ordered import Running, prefix_scan
 from galleyspark.session import cut_lineage
 
@@ -123,7 +124,7 @@ def digest_versions(writes: DataFrame, current: DataFrame) -> DataFrame:
     """
     j = writes.join(current, "item_id").filter(F.col("seq_from") <= F.col("seq"))
     at = j.groupBy("item_id", "seq").agg(F.max_by(F.struct("content_sha256", "revision"), "seq_from").alias("c"), F.first("expected_sha").alias("expected_sha"), F.first("expected_revision").alias("expected_revision"), F.first("digest").alias("digest"))
-    ok = at.filter((F.col("c.content_sha256") == F.col("expected_sha")) & (F.col("c.revision") == F.col("expected_revision")) & (F.trim("digest") != ""))
+    ok = at.filter((F.col("c.content_sha256") == F.col("expected_sha")) & (F.col("c.revision") == F.col("expected_revision")) & (stripped("digest") != ""))
     per = ok.groupBy("item_id", "expected_sha", "expected_revision").agg(F.min_by("digest", "seq").alias("digest"), F.min("seq").alias("stored_seq"))
     best = per.groupBy("item_id").agg(F.max_by(F.struct("expected_sha", "expected_revision", "digest", "stored_seq"), "stored_seq").alias("b"))
     return best.select("item_id", F.col("b.expected_revision").alias("revision"), F.trim("b.digest").alias("digest"), "b.stored_seq")

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from galleyspark.functions import arrow, cutting
-from galleyspark.functions.text import BLANKS, EDGE_BLANKS, casefold
+from galleyspark.functions.text import BLANKS, EDGE_BLANKS, casefold, stripped
 from galleyspark.operators.ordered import Running, dense_position, prefix_scan
 from galleyspark.session import cut_lineage
 
@@ -461,7 +461,7 @@ def _digit_tokens(text: Column) -> Column:
 
 def translation_checks(source: DataFrame, target: DataFrame) -> DataFrame:
     """First rule each translated segment breaks. Both: item_id, seg, text. Segments missing on either side are errors too."""
-    j = source.select("item_id", "seg", F.col("text").alias("s")).join(target.select("item_id", "seg", F.trim("text").alias("d")), ["item_id", "seg"], "full")
+    j = source.select("item_id", "seg", F.col("text").alias("s")).join(target.select("item_id", "seg", stripped("text").alias("d")), ["item_id", "seg"], "full")
     han, letters = F.regexp_count("d", F.lit(r"[\x{3400}-\x{9fff}]")), F.regexp_count("s", F.lit(r"[A-Za-z\x{3400}-\x{9fff}]"))
     idiom = F.when(F.col("d").rlike("两难|困境|悖论|第二十二条军规"), F.regexp_replace("s", r"(?i)\bcatch[- ]22\b", "")).otherwise(F.col("s"))
     problem = (F.when(F.col("s").isNull() | F.col("d").isNull(), "segment_mismatch").when((F.col("d") == "") | (without_stamps(F.col("d")) != F.col("d")), "empty_or_stamped")
@@ -546,7 +546,7 @@ def timing_checks(segments: DataFrame, items: DataFrame) -> DataFrame:
     rows = segments.join(f.filter("scale is not null"), "item_id").select(
         "item_id", "pos", F.floor(F.col("pos") / BLOCK).alias("blk"), F.when(F.col("start").isNull(), F.col("stamp")).otherwise(F.col("start") * F.col("scale")).alias("at"), (F.col("end") * F.col("scale")).alias("to"), "text", "limit", "tol", "timed")
     seen = prefix_scan(rows, ["item_id"], ["blk"], ["pos"], prev=Running("last", "at", before=True))
-    bad = ((F.trim("text") == "") | F.col("at").isNull() | (F.col("at") < 0) | (F.col("at") > F.col("limit") + F.col("tol")) | (F.col("at") < F.coalesce("prev", "at"))
+    bad = ((stripped("text") == "") | F.col("at").isNull() | (F.col("at") < 0) | (F.col("at") > F.col("limit") + F.col("tol")) | (F.col("at") < F.coalesce("prev", "at"))
            | (F.col("to").isNotNull() & ((F.col("to") <= F.col("at")) | (F.col("to") > F.col("limit") + F.col("tol")))))
     gap = F.col("at") - F.col("prev")
     r = seen.groupBy("item_id").agg(F.count_if(bad).alias("bad_rows"), F.min_by("at", "pos").alias("first_at"), F.max_by("at", "pos").alias("last_at"), F.bool_and(F.coalesce((gap > 0) & (gap <= 60), F.lit(True))).alias("dense"))

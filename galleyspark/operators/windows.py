@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from galleyspark.functions.text import collapse, stripped
 from galleyspark.operators.ordered import Running, dense_position, first_n, prefix_scan
 from galleyspark.session import cut_lineage
 
@@ -141,8 +142,8 @@ def recent_turns(turns: DataFrame, now: Column, keep: int = 4, hours: int = 168,
     """
     t = turns.withColumn("blk", F.floor(F.col("turn") / 256))
     ran = prefix_scan(t, ["session"], ["blk"], ["turn"], prev=Running("last", F.struct("role", "text"), before=True))
-    user = F.substring(F.trim(F.regexp_replace(F.col("prev.text"), r"\s+", " ")), 1, user_chars)
-    reply = F.substring(F.trim("text"), 1, assistant_chars)
+    user = F.substring(collapse(F.col("prev.text")), 1, user_chars)
+    reply = F.substring(stripped("text"), 1, assistant_chars)
     pairs = ran.filter((F.col("role") == "assistant") & (F.col("prev.role") == "user")).select(
         "session", "turn", "at", user.alias("user"), reply.alias("assistant")).filter((F.col("user") != "") & (F.col("assistant") != ""))
     alive = pairs.groupBy("session").agg(F.max("at").alias("updated_at")).filter(

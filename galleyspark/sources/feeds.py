@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from galleyspark.functions import keys
 from galleyspark.functions.arrow import unescaped
 from galleyspark.functions.cutting import merged_captions
-from galleyspark.functions.text import EDGE_BLANKS
+from galleyspark.functions.text import stripped
 from galleyspark.operators.columns import short_form
 from galleyspark.operators.evidence import collapse
 
@@ -32,11 +32,6 @@ def with_known_prefixes(xml: Column) -> Column:
     return xml
 
 
-def stripped(c: Column) -> Column:
-    """Without white space of any kind at the ends."""
-    return F.regexp_replace(c, EDGE_BLANKS, "")
-
-
 def plain_text(markup: Column) -> Column:
     """Texts between tags, trimmed and joined by blanks."""
     parts = F.split(unescaped(F.array_join(F.split(unescaped(markup), "<[^>]*>"), "\u0001")), "\u0001")
