@@ -8,26 +8,29 @@ and the long lists are skipped; the full signatures count their collisions. Ever
 A list may hold a third of all texts, so its pairs are never listed:
 
 * Pivots. Each text of a list is paired with the list's smallest id, its pivot. That links most of a group of copies in linear work.
-* Differences. For texts x, y of one pivot p, D(x) = x xor p. x and y are similar if and only if D(x) and D(y) share at least
-  (|D(x)| + |D(y)| - (1 - s)/(1 + s) (|x| + |y|)) / 2 shingles, which is positive unless both are linked to p already. So a prefix join on the
-  rarest differences, with that bound, finds all links that the pivot doesn't show. What sets copies apart is rare, so it is short.
+* Differences. The texts met under the pivots of one component form a family with the component's root r; D(x) = x xor r. x and y
+  are similar if and only if D(x) and D(y) share at least (|D(x)| + |D(y)| - (1 - s)/(1 + s) (|x| + |y|)) / 2 shingles, which is positive
+  unless both are similar to r already. So a prefix join on the rarest differences, with that bound by bands of its
+  terms, finds all links that the pivots don't show. What sets copies apart is rare, so prefixes are short.
 * Others. Pairs in which one text is far from the pivot of the list are joined directly; those with a text linked to the pivot
   are out by the triangle inequality.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from galleyspark.llm.base import WordHash, bounded_batches, portions, query, settle, table
 
 COORDINATES, MATCHES, FAMILY = 40, 16, 10
-BANDS = 4
+BANDS, FAR_BANDS, FAR_STEP = 8, 24, 1.1
+SLOTS = 1 << 23
 MIX, ODD = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -85,23 +88,39 @@ def features(docs: DataFrame, size: int, coordinates: int = COORDINATES) -> Data
     return texts.mapInArrow(run, "doc_id long, n long, key binary, sig array<int>")
 
 
+def id_bits(ids: DataFrame) -> np.ndarray:
+    """A bitmap of fixed size (1 MB) of the hashed ids: what it lacks is not among them."""
+    slot = F.pmod(F.xxhash64("x"), F.lit(SLOTS))
+    rows = ids.groupBy(F.shiftright(slot, 6).alias("w")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(pmod(xxhash64(x), {SLOTS}) % 64 as int))")).alias("b")).collect()  # at most SLOTS / 64 rows
+    bits = np.zeros(SLOTS // 64, np.int64)
+    bits[[r.w for r in rows]] = [r.b for r in rows]
+    return bits.view(np.uint64)
+
+
 def full_sets(docs: DataFrame, ids: DataFrame, reps: DataFrame, size: int) -> DataFrame:
-    """x, s: the shingle sets of the representatives in ``ids(x)``, from their texts."""
+    """x, s: the shingle sets of the representatives in ``ids(x)``, from their texts. The bitmap keeps most other texts out, the join all of them,
+    so that sets are shuffled and texts are not."""
     import xxhash
 
     bounded_batches(docs.sparkSession)
+    wanted = ids.select("x").distinct()
+    bits = id_bits(wanted)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = WordHash()
-        for batch in portions(batches, "text"):
-            sets = shingle_sets(batch.column("text").to_pylist(), words, size)
-            yield pa.RecordBatch.from_arrays([batch.column("x"), pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()),
-                                              pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], ["x", "key", "s"])
-
-    wanted = ids.select("x").distinct()
-    texts = docs.select(F.col("doc_id").cast("long").alias("x"), F.col("text").cast("string").cast("binary").alias("text")).join(wanted, "x", "left_semi")
+        for batch in batches:
+            slot = batch.column("slot").to_numpy().astype(np.uint64)
+            held = (bits[slot >> np.uint64(6)] >> (slot & np.uint64(63))) & np.uint64(1)
+            for part in portions([batch.filter(pa.array(held.astype(bool)))], "text"):
+                sets = shingle_sets(part.column("text").to_pylist(), words, size)
+                yield pa.RecordBatch.from_arrays([part.column("x"), pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()),
+                                                  pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], ["x", "key", "s"])
+
+    x = F.col("doc_id").cast("long")
+    texts = docs.filter(x.isNotNull()).select(x.alias("x"), F.pmod(F.xxhash64(x), F.lit(SLOTS)).alias("slot"), F.col("text").cast("string").cast("binary").alias("text"))
     sets = texts.mapInArrow(run, "x long, key binary, s array<long>")
-    return settle(sets.join(reps.select("x", "key"), ["x", "key"], "left_semi").groupBy("x").agg(F.first("s").alias("s")))
+    keys = reps.select("x", "key").join(wanted, "x", "left_semi")
+    return settle(sets.join(keys, ["x", "key"], "left_semi").groupBy("x").agg(F.first("s").alias("s")))
 
 
 def collisions(a: str, b: str) -> Column:
@@ -150,38 +169,69 @@ def near_links(docs: DataFrame, reps: DataFrame, size: int, similar: int, coordi
     kin = settle(pivots.filter(collisions("sig", "sig_p") >= family).select("x", "p", "n", "n_p"))
 
     sets = full_sets(docs, kin.select("x").union(kin.select("p")), reps, size)
-    sets_p = sets.select(F.col("x").alias("p"), F.col("s").alias("s_p"))
-    d = F.concat(F.array_except("s", "s_p"), F.array_except("s_p", "s"))
-    kin = kin.join(sets, "x").join(sets_p, "p").select("x", "p", "n", "n_p", d.alias("d"))
-    kin = settle(kin.withColumn("near", linked((F.col("n") + F.col("n_p") - F.size("d")) / 2, F.col("n"), F.col("n_p"))))
-    first = kin.filter("near").select(F.col("x").alias("a"), F.col("p").alias("b"))
-    comp = settle(components(first))
-
-    named = kin.join(comp.withColumnRenamed("node", "x").withColumnRenamed("component", "c"), "x", "left").withColumn("c", F.coalesce("c", "x"))
-    named = named.join(kin.filter("not near").select("p").distinct(), "p", "left_semi")  # else all are linked to the pivot
+
+    def apart(pairs: DataFrame, p: str, n_p: str) -> DataFrame:
+        """Pairs (x, p) with their differences ``d``, and ``near`` where they are similar."""
+        both = pairs.join(sets, "x").join(sets.select(F.col("x").alias(p), F.col("s").alias("s_p")), p)
+        both = both.withColumn("d", F.concat(F.array_except("s", "s_p"), F.array_except("s_p", "s"))).drop("s", "s_p")
+        return both.withColumn("near", linked((F.col("n") + F.col(n_p) - F.size("d")) / 2, F.col("n"), F.col(n_p)))
+
+    kin = settle(apart(kin, "p", "n_p").drop("d"))
+    comp = settle(components(kin.filter("near").select(F.col("x").alias("a"), F.col("p").alias("b"))))
+    of = lambda x, c: comp.select(F.col("node").alias(x), F.col("component").alias(c))
+
+    # Families: the texts met under pivots of one component, with their differences to its root r. Roots that only see their own are done.
+    met = kin.join(of("p", "r"), "p", "left").select("x", "n", F.coalesce("r", "p").alias("r"), F.when(F.col("r").isNull(), F.col("n_p")).alias("n_r"))
+    met = met.filter("x <> r").groupBy("x", "n", "r").agg(F.max("n_r").alias("n_r")).join(of("x", "c"), "x", "left").withColumn("c", F.coalesce("c", "x"))
+    met = met.join(met.filter("c <> r").select("r").distinct(), "r", "left_semi").drop("n_r").join(reps.select(F.col("x").alias("r"), F.col("n").alias("n_r")), "r")
+    named = settle(apart(met, "r", "n_r"))
+    first = named.filter("near and c <> r").select(F.col("x").alias("a"), F.col("r").alias("b"))
+    named = named.withColumn("kind", F.when(F.col("near"), "near").when(F.col("c") == F.col("r"), "chain").otherwise("new"))
+
+    # own, of_r: the terms of the bound of a text and of the root; reach: the least term of a text that can be similar, as two similar texts are
+    # about as far from r. Near texts lie in BANDS equal bands below of_r, far ones in FAR_BANDS bands above it, each FAR_STEP times as far.
     share = rest / (100 + s100)
-    own, of_p = F.size("d") - share * F.col("n"), share * F.col("n_p")
-    step = 2 * of_p / BANDS
-    band = F.greatest(F.lit(0), F.least(F.lit(BANDS - 1), F.floor((own + of_p) / step))).cast("int")
-    at_least = lambda other: F.greatest(F.lit(1), F.ceil((own + other) / 2 - 1e-9))
-    kind = "array<struct<band:int,need:long>>"
-    as_near = F.array(F.struct(band, at_least(of_p))).cast(kind)
-    as_far = F.array(*[F.struct(F.lit(b), at_least(b * step - of_p)) for b in range(BANDS)], F.struct(F.lit(BANDS), at_least(of_p))).cast(kind)
-    parts = F.when(F.col("near"), as_near).otherwise(as_far)
-    rows = named.select("p", "x", "c", "n", "near", parts.alias("parts"), F.explode("d").alias("e"))
-    often = rows.groupBy("p", "e").agg(F.count("*").alias("f")).filter("f > 1")
-    ranked = rows.join(often, ["p", "e"]).groupBy("p", "x").agg(F.first("c").alias("c"), F.first("n").alias("n"), F.first("near").alias("near"), F.first("parts").alias("parts"), F.array_sort(F.collect_list(F.struct("f", "e"))).alias("list"))
-    sized = ranked.join(named.select("p", "x", F.size("d").alias("all")), ["p", "x"]).select("*", F.explode("parts").alias("part"))
-    room = F.greatest(F.lit(0), (F.col("part.need") * -1 + 1 + F.size("list")).cast("int"))  # differences of one text alone come first
-    keyed = settle(sized.select("p", "x", "c", "n", "near", F.col("part.band").alias("band"), F.explode(F.slice("list", F.lit(1), room)).alias("t")).select("p", "x", "c", "n", "near", "band", "t.e"))
-    far = keyed.filter("not near")
-    other = keyed.filter(f"near or band = {BANDS}").select("p", "band", "e", F.col("x").alias("y"), F.col("c").alias("c_y"), F.col("n").alias("n_y"), F.col("near").alias("near_y"))
-    met = far.join(other, ["p", "band", "e"]).filter((F.col("c") != F.col("c_y")) & (F.col("near_y") | (F.col("x") < F.col("y"))) & near_size("n", "n_y"))
-    pairs = met.select("p", "x", "y").distinct()
-    diffs = kin.select("p", "x", "n", "d")
-    held = pairs.join(diffs, ["p", "x"]).join(diffs.select("p", F.col("x").alias("y"), F.col("n").alias("n_y"), F.col("d").alias("d_y")), ["p", "y"])
-    apart = F.size("d") + F.size("d_y") - 2 * F.size(F.array_intersect("d", "d_y"))
-    second = held.filter(linked((F.col("n") + F.col("n_y") - apart) / 2, F.col("n"), F.col("n_y"))).select(F.col("x").alias("a"), F.col("y").alias("b"))
+    named = named.withColumns({"own": F.size("d") - share * F.col("n"), "of_r": share * F.col("n_r")})
+    near_band = F.greatest(F.lit(0), F.least(F.lit(BANDS - 1), F.floor((F.col("own") + F.col("of_r")) * BANDS / (2 * F.col("of_r"))))).cast("int")
+    far_band = F.greatest(F.lit(0), F.least(F.lit(FAR_BANDS - 1), F.floor(F.log(F.greatest(F.col("own") / F.col("of_r"), F.lit(1.0))) / math.log(FAR_STEP)))).cast("int")
+    named = settle(named.withColumns({"reach": F.col("own") - 2 * share * (F.col("n") * 100 / s100), "own_band": F.when(F.col("kind") == "near", near_band).otherwise(far_band + BANDS)}))
+    edge = lambda b: F.when(b <= BANDS, (b * 2 / BANDS - 1) * F.col("of_r")).otherwise(F.col("of_r") * F.pow(F.lit(FAR_STEP), b - BANDS))
+    need = lambda b: F.greatest(F.lit(1), F.ceil((F.col("own") + edge(b)) / 2 - 1e-6))
+    every = F.sequence(F.when(F.col("kind") == "chain", F.lit(BANDS)).otherwise(F.lit(0)), F.col("own_band"))
+    able = F.filter(every, lambda b: (b == F.col("own_band")) | (edge(b + 1) + 1e-6 >= F.col("reach")))
+    # A near text meets far ones only, in its own band; a far one meets others in the band of the nearer of the two, whose lower edge bounds that one.
+    at_band = lambda b: F.struct(b.alias("band"), need(b).cast("long").alias("need"))
+    as_near = F.array(F.struct(F.col("own_band").alias("band"), F.greatest(F.lit(1), F.ceil((F.col("own") + F.col("of_r")) / 2 - 1e-6)).cast("long").alias("need")))
+    shape = "array<struct<band:int,need:long>>"
+    parts = F.when(F.col("kind") == "near", as_near.cast(shape)).otherwise(F.transform(able, at_band).cast(shape))
+    rows = named.select("r", "x", "c", "n", "kind", "own_band", parts.alias("parts"), F.explode("d").alias("e"))
+    # Differences can show a link only where a new text has them and a near one (far = 0), or a far one of another component (far = 1).
+    is_far = F.col("kind") != "near"
+    often = rows.groupBy("r", "e").agg(F.count(F.when(F.col("kind") == "new", 1)).alias("new"), F.count("*").alias("f"), F.count(F.when(is_far, 1)).alias("f_far"),
+                                       F.min(F.when(is_far, F.col("c"))).alias("c0"), F.max(F.when(is_far, F.col("c"))).alias("c1")).filter("new > 0")
+    often = often.select("r", "e", "f", "f_far", (F.col("f") > F.col("f_far")).alias("in_near"), (F.col("c0") < F.col("c1")).alias("in_far")).filter("in_near or in_far")
+    listed_by = lambda f, used: F.array_sort(F.collect_list(F.when(F.col(used), F.struct(f, "e"))))
+    ranked = rows.join(often, ["r", "e"]).groupBy("r", "x", "c", "n", "kind", "own_band", "parts").agg(listed_by("f", "in_near").alias("near_list"), listed_by("f_far", "in_far").alias("far_list"))
+    # Differences that show no link come before those of the list.
+    sized = ranked.select("r", "x", "c", "n", "kind", "own_band", "near_list", "far_list", F.explode("parts").alias("part")).filter("part.need is not null")
+    room = lambda of: F.greatest(F.lit(0), (F.size(of) - F.col("part.need") + 1).cast("int"))
+    in_use = F.when(F.col("part.band") < BANDS, F.transform(F.slice("near_list", F.lit(1), room("near_list")), lambda t: t["e"])).otherwise(
+        F.transform(F.slice("far_list", F.lit(1), room("far_list")), lambda t: t["e"]))
+    keyed = settle(sized.select("r", "x", "c", "n", "kind", (F.col("own_band") == F.col("part.band")).alias("own"), "part.band", F.explode(in_use).alias("e")))
+    mates = keyed.select("r", "band", "e", F.col("x").alias("y"), F.col("c").alias("c_y"), F.col("n").alias("n_y"), F.col("kind").alias("kind_y"), F.col("own").alias("own_y"))
+    sizes_fit = (F.col("c") != F.col("c_y")) & near_size("n", "n_y")
+    by_near = keyed.filter(f"kind = 'new' and band < {BANDS}").join(mates.filter("kind_y = 'near'"), ["r", "band", "e"]).filter(sizes_fit)
+    # Texts of a family's largest far component meet those of other components only.
+    most = named.filter("kind <> 'near'").groupBy("r", "c").agg(F.count("*").alias("m")).groupBy("r").agg(F.max(F.struct("m", "c"))["c"].alias("c_most"))
+    away = keyed.filter(f"band >= {BANDS}").join(most, "r").withColumn("minor", F.col("c") != F.col("c_most")).drop("c_most")
+    others = away.select("r", "band", "e", F.col("x").alias("y"), F.col("c").alias("c_y"), F.col("n").alias("n_y"), F.col("kind").alias("kind_y"), F.col("own").alias("own_y"), F.col("minor").alias("minor_y"))
+    once = sizes_fit & ((F.col("kind") == "new") | (F.col("kind_y") == "new")) & (~F.col("own_y") | ~F.col("minor_y") | (F.col("x") < F.col("y")))
+    by_far = away.filter("own and minor").join(others, ["r", "band", "e"]).filter(once).union(away.filter("own and not minor").join(others.filter("minor_y and not own_y"), ["r", "band", "e"]).filter(once))
+    pairs = by_near.select("r", "x", "y").union(by_far.select("r", "x", "y"))
+    diffs = named.select("r", "x", "n", "d")
+    held = pairs.select("r", "x", "y").distinct().join(diffs, ["r", "x"]).join(diffs.select("r", F.col("x").alias("y"), F.col("n").alias("n_y"), F.col("d").alias("d_y")), ["r", "y"])
+    between = F.size("d") + F.size("d_y") - 2 * F.size(F.array_intersect("d", "d_y"))
+    second = first.union(held.filter(linked((F.col("n") + F.col("n_y") - between) / 2, F.col("n"), F.col("n_y"))).select(F.col("x").alias("a"), F.col("y").alias("b")))
 
     #: Texts far from the pivot of a list, with each other and with those of the pivot's family that are not linked to it.
     away = listed.filter("x > p").join(kin.select("x", "p", "near"), ["x", "p"], "left").filter("near is null or not near")
