@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from galleyspark.llm.base import fresh, settle, table
-from galleyspark.llm.importance import resample
+from galleyspark.llm.importance import sampled
 from galleyspark.llm.near_dups import near_duplicates
 from galleyspark.llm.pfair import in_order, mix
 from galleyspark.llm.tiling import find_items
@@ -19,8 +19,7 @@ from galleyspark.llm.token_planes import read_planes, write_planes
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents that the importance sample leaves out."""
-    kept = fresh([*docs.columns, "log_weight", "key"], "kept")
-    return resample(docs, table(spark, sf_dir, "labels")).filter(kept).select(*docs.columns)
+    return sampled(docs, table(spark, sf_dir, "labels"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,10 +27,10 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Documents with an empty set and rows with a null doc_id are kept.
     """
-    dropped = near_duplicates(docs.select("doc_id", "text")).filter("not kept").select("doc_id").distinct()
-    left = docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
-    named = left.filter("doc_id is not null").dropDuplicates(["doc_id"])
-    return named.unionByName(left.filter("doc_id is null"))
+    found = settle(near_duplicates(docs.select("doc_id", "text")).filter("doc_id is not null").groupBy("doc_id").agg(F.every("kept").alias("kept"), F.count("*").alias("n")))
+    once = docs.join(found.filter("not kept or n > 1").select("doc_id"), "doc_id", "left_anti")
+    repeated = docs.join(found.filter("kept and n > 1").select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return once.select(*docs.columns).unionByName(repeated.select(*docs.columns))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

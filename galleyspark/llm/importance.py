@@ -94,7 +94,7 @@ def weigh(docs: DataFrame, ratio: np.ndarray, grams_held: int = 64, name: str =
 
 def gumbel(key: str):
     """Standard Gumbel noise of a key, the same in every run: -ln(-ln u) with u in (0, 1) from its hash."""
-    return -F.log(-F.log((F.pmod(F.xxhash64(F.lit("gumbel"), key), F.lit(1 << 40)) + 0.5) / float(1 << 40)))
+    return -F.log(-F.log((F.pmod(F.xxhash64(F.lit("gumbel"), F.col(key).cast("long")), F.lit(1 << 40)) + 0.5) / float(1 << 40)))
 
 
 def best_threshold(rows: list[tuple[float, int]]) -> float:
@@ -135,25 +135,38 @@ def kth_largest(df: DataFrame, key: str, k: int) -> float:
     return low
 
 
-def resample(docs: DataFrame, labels: DataFrame, grams_held: int = 64, most: int = 20_000, carry: list[str] | None = None) -> DataFrame:
-    """``docs`` (or its columns ``carry``) with ``log_weight``, ``key`` and ``kept``; names get ``_`` where taken. Kept rows are the sample.
+def resample(docs: DataFrame, labels: DataFrame, grams_held: int = 64, most: int = 20_000) -> DataFrame:
+    """doc_id, ``log_weight``, ``key`` and ``kept`` for each row of ``docs(doc_id, text)``. Kept rows are the sample.
 
     All rows stay, rejected ones with kept false; rows of equal key (repeated rows) share one decision. Rows with a null doc_id share one
-    noise; texts that are null or hold no word have log weight 0. Without labels of both kinds everything is kept. Weights are written
-    to the shared folder once, together with the carried columns.
+    noise; texts that are null or hold no word have log weight 0. Without labels of both kinds everything is kept. Other columns are
+    not read. Weights are written to the shared folder once.
     """
+    scored, cut, _ = _fitted(docs, labels, grams_held, most)
+    return scored.withColumn("kept", F.col("key") >= cut)
+
+
+def sampled(docs: DataFrame, labels: DataFrame, grams_held: int = 64, most: int = 20_000) -> DataFrame:
+    """The kept rows of ``docs`` with all their columns: the decisions of ``resample``, from one more pass in place of a copy or a join of texts."""
+    _, cut, ratio = _fitted(docs, labels, grams_held, most)
+    weight = fresh(docs.columns, "log_weight")
+    return weigh(docs, ratio, grams_held, weight).filter(F.col(weight) + gumbel("doc_id") >= cut).select(*docs.columns)
+
+
+def _fitted(docs: DataFrame, labels: DataFrame, grams_held: int, most: int) -> tuple[DataFrame, float, np.ndarray]:
+    """Weights and keys of all rows, the k-th largest key, and the model."""
     sample = settle(labelled_sample(labels, most))
-    weight, key, kept = (fresh(docs.columns, n) for n in ("log_weight", "key", "kept"))
-    scored = weigh(docs, fit_ratio(docs, sample), grams_held, weight).withColumn(key, F.col(weight) + gumbel("doc_id"))
-    scored = settle(scored.select(*(carry or docs.columns), weight, key))
-    known = scored.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(weight).alias("w")).join(F.broadcast(sample), "doc_id")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    ratio = fit_ratio(texts, sample)
+    scored = settle(weigh(texts, ratio, grams_held).select("doc_id", "log_weight", (F.col("log_weight") + gumbel("doc_id")).alias("key")))
+    known = scored.select("doc_id", F.col("log_weight").alias("w")).join(F.broadcast(sample), "doc_id")
     at = best_threshold([(r.w, r.quality) for r in known.groupBy("doc_id", "quality").agg(F.min("w").alias("w")).collect()])  # at most ``most`` rows
-    k = scored.filter(F.col(weight) >= at).count()
-    return scored.withColumn(kept, F.col(key) >= kth_largest(scored.select(key), key, k))
+    k = scored.filter(F.col("log_weight") >= at).count()
+    return scored, kth_largest(scored.select("key"), "key", k), ratio
 
 
 @query("op5_importance_sample")
 def op5_importance_sample(spark, folder) -> DataFrame:
     """The sampled documents with log weight and key."""
-    out = resample(table(spark, folder, "documents").select("doc_id", "text"), table(spark, folder, "labels"), carry=["doc_id"])
+    out = resample(table(spark, folder, "documents"), table(spark, folder, "labels"))
     return out.filter("kept").select("doc_id", "log_weight", "key")
