@@ -1,7 +1,7 @@
 """License scan by ordered signature rules, with DataFrame functions only.
 
 A text becomes its words with single blanks between and around them. Rules are regular expressions over that form, one for each license
-family and wording; a rule is tried only where its keyword occurs, and only texts with one of the gate words are looked at. A detection
+family and wording; a rule is tried only where its wording's cue and one of its name's keywords occur, and only texts with one of the gate words are looked at. A detection
 that lies within one of the same or a higher priority is suppressed, so "gnu lesser general public license" is not also the general one.
 """
 
@@ -17,63 +17,63 @@ from galleyspark.llm.base import fresh, query, table
 #: Base phrases and their labels.
 BASE = [("under the mit license", "mit"), ("apache license version 2", "apache-2"), ("cc by nc", "cc-by-nc")]
 
-#: Label, wording of the name, keyword that each wording holds, short identifier.
+#: Label, wording of the name, keywords of which each wording holds one, short identifier.
 FAMILIES = [
-    ("mit", "(?:mit|expat)(?: x11)?", "it", "mit"),
-    ("mit-0", "mit (?:no attribution|0)", "mit", "mit 0"),
-    ("apache-2", "apache(?: software)?(?: license)?(?: version| v)? ?2(?: 0)?", "apache", "apache 2 0"),
-    ("apache-1.1", "apache(?: software)?(?: license)?(?: version| v)? ?1 1", "apache", "apache 1 1"),
-    ("gpl", "gnu (?:general public license|gpl)", "gnu", "gpl"),
-    ("gpl-2", "(?:gnu general public license|gnu gpl|gpl)(?: version| v)? ?2(?: 0)?", "2", "gpl 2 0(?: only| or later)?"),
-    ("gpl-3", "(?:gnu general public license|gnu gpl|gpl)(?: version| v)? ?3(?: 0)?", "3", "gpl 3 0(?: only| or later)?"),
-    ("lgpl", "(?:gnu (?:lesser|library) general public license|(?:gnu )?lgpl)", "l", "lgpl"),
-    ("lgpl-2.1", "(?:gnu (?:lesser|library) general public license|(?:gnu )?lgpl)(?: version| v)? ?2 1", "2 1", "lgpl 2 1(?: only| or later)?"),
-    ("lgpl-3", "(?:gnu (?:lesser|library) general public license|(?:gnu )?lgpl)(?: version| v)? ?3(?: 0)?", "3", "lgpl 3 0(?: only| or later)?"),
-    ("agpl-3", "(?:gnu affero general public license|(?:gnu )?agpl)(?:(?: version| v)? ?3(?: 0)?)?", "a", "agpl 3 0(?: only| or later)?"),
-    ("gfdl", "gnu free documentation license", "gnu", "gfdl 1 3"),
-    ("bsd-2", "(?:2 clause|two clause|simplified|freebsd) bsd", "bsd", "bsd 2 clause"),
-    ("bsd-3", "(?:3 clause|three clause|new|revised|modified) bsd", "bsd", "bsd 3 clause"),
-    ("bsd-4", "(?:4 clause|four clause|original) bsd", "bsd", "bsd 4 clause"),
-    ("bsd", "bsd(?: style)?", "bsd", "0bsd"),
-    ("isc", "isc", "isc", "isc"),
-    ("mpl-1.1", "(?:mozilla public license|mpl)(?: version| v)? ?1 1", "1 1", "mpl 1 1"),
-    ("mpl-2", "(?:mozilla public license|mpl)(?: version| v)? ?2(?: 0)?", "2", "mpl 2 0"),
-    ("epl-1", "(?:eclipse public license|epl)(?: version| v)? ?1(?: 0)?", "1", "epl 1 0"),
-    ("epl-2", "(?:eclipse public license|epl)(?: version| v)? ?2(?: 0)?", "2", "epl 2 0"),
-    ("cddl", "(?:common development and distribution license|cddl)(?: version)?(?: 1 [01])?", "d", "cddl 1 [01]"),
-    ("eupl", "(?:european union public licen[cs]e|eupl)(?: version| v)?(?: ?1 [12])?", "eu", "eupl 1 2"),
-    ("artistic-2", "(?:perl )?artistic license(?: 2(?: 0)?)?", "artistic", "artistic 2 0"),
-    ("zlib", "zlib(?: libpng)?", "zlib", "zlib"),
-    ("boost", "boost software license(?: version)?(?: 1 0)?", "boost", "bsl 1 0"),
-    ("unlicense", "unlicense", "unlicense", "unlicense"),
-    ("wtfpl", "(?:do what the fuck you want to public license|wtfpl)", "w", "wtfpl"),
-    ("python", "python software foundation(?: license)?", "python", "psf 2 0"),
-    ("postgresql", "postgresql", "postgresql", "postgresql"),
-    ("openssl", "openssl", "openssl", "openssl"),
-    ("ofl", "(?:sil open font license|ofl)(?: version)?(?: 1 1)?", "f", "ofl 1 1"),
-    ("cc0", "(?:cc0(?: 1 0)?|creative commons zero)(?: universal)?", "c", "cc0 1 0"),
-    ("cc-by", "(?:cc by|creative commons attribution)(?: [1-4] 0)?", "c", "cc by [1-4] 0"),
-    ("cc-by-sa", "(?:cc by sa|creative commons attribution share ?alike)(?: [1-4] 0)?", "c", "cc by sa [1-4] 0"),
-    ("cc-by-nd", "(?:cc by nd|creative commons attribution no ?deriv(?:ative)?s?(?: works)?)(?: [1-4] 0)?", "c", "cc by nd [1-4] 0"),
-    ("cc-by-nc", "(?:cc by nc|creative commons attribution non ?commercial)(?: [1-4] 0)?", "c", "cc by nc [1-4] 0"),
-    ("cc-by-nc-sa", "(?:cc by nc sa|creative commons attribution non ?commercial share ?alike)(?: [1-4] 0)?", "c", "cc by nc sa [1-4] 0"),
-    ("cc-by-nc-nd", "(?:cc by nc nd|creative commons attribution non ?commercial no ?deriv(?:ative)?s?)(?: [1-4] 0)?", "c", "cc by nc nd [1-4] 0"),
+    ("mit", "(?:mit|expat)(?: x11)?", (" mit ", " expat ",), "mit"),
+    ("mit-0", "mit (?:no attribution|0)", (" mit ",), "mit 0"),
+    ("apache-2", "apache(?: software)?(?: license)?(?: version| v)? ?2(?: 0)?", (" apache ",), "apache 2 0"),
+    ("apache-1.1", "apache(?: software)?(?: license)?(?: version| v)? ?1 1", (" apache ",), "apache 1 1"),
+    ("gpl", "gnu (?:general public license|gpl)", (" gnu ",), "gpl"),
+    ("gpl-2", "(?:gnu general public license|gnu gpl|gpl)(?: version| v)? ?2(?: 0)?", (" general public license", " gpl ",), "gpl 2 0(?: only| or later)?"),
+    ("gpl-3", "(?:gnu general public license|gnu gpl|gpl)(?: version| v)? ?3(?: 0)?", (" general public license", " gpl ",), "gpl 3 0(?: only| or later)?"),
+    ("lgpl", "(?:gnu (?:lesser|library) general public license|(?:gnu )?lgpl)", (" lesser general ", " library general ", " lgpl ",), "lgpl"),
+    ("lgpl-2.1", "(?:gnu (?:lesser|library) general public license|(?:gnu )?lgpl)(?: version| v)? ?2 1", (" lesser general ", " library general ", " lgpl ",), "lgpl 2 1(?: only| or later)?"),
+    ("lgpl-3", "(?:gnu (?:lesser|library) general public license|(?:gnu )?lgpl)(?: version| v)? ?3(?: 0)?", (" lesser general ", " library general ", " lgpl ",), "lgpl 3 0(?: only| or later)?"),
+    ("agpl-3", "(?:gnu affero general public license|(?:gnu )?agpl)(?:(?: version| v)? ?3(?: 0)?)?", (" affero ", " agpl ",), "agpl 3 0(?: only| or later)?"),
+    ("gfdl", "gnu free documentation license", (" gnu ", " gfdl ",), "gfdl 1 3"),
+    ("bsd-2", "(?:2 clause|two clause|simplified|freebsd) bsd", (" bsd ",), "bsd 2 clause"),
+    ("bsd-3", "(?:3 clause|three clause|new|revised|modified) bsd", (" bsd ",), "bsd 3 clause"),
+    ("bsd-4", "(?:4 clause|four clause|original) bsd", (" bsd ",), "bsd 4 clause"),
+    ("bsd", "bsd(?: style)?", (" bsd ", " 0bsd ",), "0bsd"),
+    ("isc", "isc", (" isc ",), "isc"),
+    ("mpl-1.1", "(?:mozilla public license|mpl)(?: version| v)? ?1 1", (" mozilla ", " mpl ",), "mpl 1 1"),
+    ("mpl-2", "(?:mozilla public license|mpl)(?: version| v)? ?2(?: 0)?", (" mozilla ", " mpl ",), "mpl 2 0"),
+    ("epl-1", "(?:eclipse public license|epl)(?: version| v)? ?1(?: 0)?", (" eclipse ", " epl ",), "epl 1 0"),
+    ("epl-2", "(?:eclipse public license|epl)(?: version| v)? ?2(?: 0)?", (" eclipse ", " epl ",), "epl 2 0"),
+    ("cddl", "(?:common development and distribution license|cddl)(?: version)?(?: 1 [01])?", (" common development ", " cddl ",), "cddl 1 [01]"),
+    ("eupl", "(?:european union public licen[cs]e|eupl)(?: version| v)?(?: ?1 [12])?", (" european union ", " eupl ",), "eupl 1 2"),
+    ("artistic-2", "(?:perl )?artistic license(?: 2(?: 0)?)?", (" artistic ",), "artistic 2 0"),
+    ("zlib", "zlib(?: libpng)?", (" zlib ",), "zlib"),
+    ("boost", "boost software license(?: version)?(?: 1 0)?", (" boost ", " bsl ",), "bsl 1 0"),
+    ("unlicense", "unlicense", (" unlicense ",), "unlicense"),
+    ("wtfpl", "(?:do what the fuck you want to public license|wtfpl)", (" do what ", " wtfpl ",), "wtfpl"),
+    ("python", "python software foundation(?: license)?", (" python ", " psf ",), "psf 2 0"),
+    ("postgresql", "postgresql", (" postgresql ",), "postgresql"),
+    ("openssl", "openssl", (" openssl ",), "openssl"),
+    ("ofl", "(?:sil open font license|ofl)(?: version)?(?: 1 1)?", (" open font ", " ofl ",), "ofl 1 1"),
+    ("cc0", "(?:cc0(?: 1 0)?|creative commons zero)(?: universal)?", (" cc0 ", " creative commons zero ",), "cc0 1 0"),
+    ("cc-by", "(?:cc by|creative commons attribution)(?: [1-4] 0)?", (" cc by ", " creative commons ",), "cc by [1-4] 0"),
+    ("cc-by-sa", "(?:cc by sa|creative commons attribution share ?alike)(?: [1-4] 0)?", (" cc by sa ", " creative commons ",), "cc by sa [1-4] 0"),
+    ("cc-by-nd", "(?:cc by nd|creative commons attribution no ?deriv(?:ative)?s?(?: works)?)(?: [1-4] 0)?", (" cc by nd ", " creative commons ",), "cc by nd [1-4] 0"),
+    ("cc-by-nc", "(?:cc by nc|creative commons attribution non ?commercial)(?: [1-4] 0)?", (" cc by nc ", " creative commons ",), "cc by nc [1-4] 0"),
+    ("cc-by-nc-sa", "(?:cc by nc sa|creative commons attribution non ?commercial share ?alike)(?: [1-4] 0)?", (" cc by nc sa ", " creative commons ",), "cc by nc sa [1-4] 0"),
+    ("cc-by-nc-nd", "(?:cc by nc nd|creative commons attribution non ?commercial no ?deriv(?:ative)?s?)(?: [1-4] 0)?", (" cc by nc nd ", " creative commons ",), "cc by nc nd [1-4] 0"),
 ]
 
-#: Priority, trust, wording around a name. The first column orders suppression; a longer detection of one priority wins.
+#: Priority, trust, a part that each form of the wording holds, wording around a name. The first column orders suppression; a longer detection of one priority wins.
 WORDINGS = [
-    (3, 0.98, "spdx license identifier {id}"),
-    (3, 0.95, "(?:is |are )?(?:dual )?licensed (?:to you )?under (?:the )?(?:terms of (?:the )?)?{name}(?: licen[cs]e)?(?: version [0-9](?: [0-9])?)?"),
-    (3, 0.95, "(?:released|distributed|published|redistributed|provided|offered) under (?:the )?(?:terms of (?:the )?|conditions of (?:the )?)?{name}(?: licen[cs]e)?"),
-    (3, 0.9, "(?:made )?available under (?:the )?(?:terms of (?:the )?)?{name}(?: licen[cs]e)?"),
-    (3, 0.9, "(?:governed|covered) by (?:the )?(?:terms of (?:the )?)?{name}(?: licen[cs]e)?"),
-    (3, 0.9, "subject to (?:the )?(?:terms of (?:the )?)?{name}(?: licen[cs]e)?"),
-    (2, 0.8, "under (?:the )?(?:terms of (?:the )?)?{name}(?: licen[cs]e)"),
-    (2, 0.8, "licen[cs]e (?:is )?{name}"),
-    (1, 0.6, "{name} licen[cs]e(?:d)?"),
+    (3, 0.98, "spdx license identifier", "spdx license identifier {id}"),
+    (3, 0.95, "licensed ", "(?:is |are )?(?:dual )?licensed (?:to you )?under (?:the )?(?:terms of (?:the )?)?{name}(?: licen[cs]e)?(?: version [0-9](?: [0-9])?)?"),
+    (3, 0.95, " under ", "(?:released|distributed|published|redistributed|provided|offered) under (?:the )?(?:terms of (?:the )?|conditions of (?:the )?)?{name}(?: licen[cs]e)?"),
+    (3, 0.9, " available under ", "(?:made )?available under (?:the )?(?:terms of (?:the )?)?{name}(?: licen[cs]e)?"),
+    (3, 0.9, " by ", "(?:governed|covered) by (?:the )?(?:terms of (?:the )?)?{name}(?: licen[cs]e)?"),
+    (3, 0.9, " subject to ", "subject to (?:the )?(?:terms of (?:the )?)?{name}(?: licen[cs]e)?"),
+    (2, 0.8, " under ", "under (?:the )?(?:terms of (?:the )?)?{name}(?: licen[cs]e)"),
+    (2, 0.8, "licen", "licen[cs]e (?:is )?{name}"),
+    (1, 0.6, "licen", "{name} licen[cs]e(?:d)?"),
 ]
 #: For names that speak of a license themselves.
-BARE = (2, 0.7, "{name}(?: version [0-9](?: [0-9])?)?")
+BARE = (2, 0.7, "licen", "{name}(?: version [0-9](?: [0-9])?)?")
 #: Every rule holds one of these; texts without any are not looked at.
 GATE = ["licen", " under ", " governed by ", " covered by ", " subject to "]
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -85,15 +85,16 @@ class Rule(NamedTuple):
     label: str
     priority: int
     trust: float
-    keyword: str
+    cue: str
+    keywords: tuple[str, ...]
     pattern: str
 
 
 def rules() -> list[Rule]:
     """All families in all wordings, the base phrases last, as rules that nothing suppresses."""
-    made = [Rule(f"{label}/{k}", label, priority, trust, keyword, f"(?<= )(?:{wording.replace('{id}', short).replace('{name}', name)})(?= )")
-            for label, name, keyword, short in FAMILIES for k, (priority, trust, wording) in enumerate(WORDINGS + [BARE] * ("licen" in name))]
-    return made + [Rule(f"base/{label}", label, 3, 0.95, phrase, f"(?<= ){phrase}(?= )") for phrase, label in BASE]
+    made = [Rule(f"{label}/{k}", label, priority, trust, cue, keywords, f"(?<= )(?:{wording.replace('{id}', short).replace('{name}', name)})(?= )")
+            for label, name, keywords, short in FAMILIES for k, (priority, trust, cue, wording) in enumerate(WORDINGS + [BARE] * ("licen" in name))]
+    return made + [Rule(f"base/{label}", label, 3, 0.95, phrase, (phrase,), f"(?<= ){phrase}(?= )") for phrase, label in BASE]
 
 
 def blanked(text: str) -> Column:
@@ -109,8 +110,8 @@ def blanks(text: Column) -> Column:
 
 
 def detections(words: Column, found: list[Rule]) -> Column:
-    """All matches of all rules whose keyword occurs: array of (first, last, priority, rule, label, trust), words counted from 0."""
-    table_ = F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in r._asdict().items()]) for r in found])
+    """All matches of all rules whose cue and one of whose keywords occur: array of (first, last, priority, rule, label, trust), words counted from 0."""
+    table_ = F.array(*[F.struct(*[(F.array(*map(F.lit, v)) if isinstance(v, tuple) else F.lit(v)).alias(n) for n, v in r._asdict().items()]) for r in found])
 
     def places(r: Column) -> Column:
         hits, gaps = F.regexp_extract_all(words, r["pattern"], F.lit(0)), F.split(words, r["pattern"], -1)
@@ -124,7 +125,7 @@ def detections(words: Column, found: list[Rule]) -> Column:
         spans = F.aggregate(pairs, start, step)["out"]
         return F.transform(spans, lambda s: F.struct(s["first"].alias("first"), (-s["last"]).alias("back"), (-r["priority"]).alias("low"), r["rule"].alias("rule"), r["label"].alias("label"), r["trust"].alias("trust")))
 
-    return F.array_sort(F.flatten(F.transform(F.filter(table_, lambda r: words.contains(r["keyword"])), places)))
+    return F.array_sort(F.flatten(F.transform(F.filter(table_, lambda r: words.contains(r["cue"]) & F.exists(r["keywords"], lambda k: words.contains(k))), places)))
 
 
 def outermost(sorted_spans: Column) -> Column:
