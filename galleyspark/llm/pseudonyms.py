@@ -16,11 +16,13 @@ ROUNDS = 8
 #: Kind, pattern. The order is the order of preference at one place.
 KINDS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]*+@[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
-    "phone": r"(?<![\w+])(?:\+?\d{1,3}[ .-]?)?(?:\([2-9]\d{2}\) ?|[2-9]\d{2}[ .-])[2-9]\d{2}[ .-]\d{4}(?![\w-])",
+    "phone": r"(?<![\w+])(?:(?:\+?\d{1,3}[ .-]?)?(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}|\+(?:\(?\d\)?[ .-]?){7,14}\d|0\d(?:[ .-]\d\d){4})(?![\w-]|\.\d)",
     "address": r"(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?![\w]|\.\d)",
-    "date": r"(?<![\w/-])(?:19|20)\d{2}(?:-\d{2}-|/\d{2}/)\d{2}(?![\w/-])",
+    "date": r"(?<![\w/-])(?:19|20)\d{2}(?:-\d{2}-|/\d{2}/)\d{2}(?![\w/-])|(?<![\w./-])(?:\d{1,2}\.\d{1,2}\.|\d{1,2}/\d{1,2}/|\d{1,2}-\d{1,2}-)(?:19|20)\d{2}(?![\w/-]|\.\d)",
     "card": r"(?<![\w.-])(?:\d{13,19}|\d{4}([ -])\d{4}\1\d{4}\1\d{4}|\d{4}([ -])\d{6}\2\d{5})(?![\w-])",
 }
+#: Area code, exchange, number, after a country code or none; all other phones are "+" with 8 to 15 digits, or pairs after a leading 0.
+TEN = r"^(?:\+?\d{1,3}[ .-]?)?(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}$"
 DAYS = (17, 4297)  # their product is the number of days from 1900-01-01 to 2099-12-31
 FIRST_DAY = "1900-01-01"
 
@@ -90,16 +92,21 @@ def luhn_rest(body: Column) -> Column:
     return F.pmod(-total, F.lit(10)).cast("string")
 
 
+def day_of(value: Column) -> Column:
+    """The day that a date names, year first or last; the other order of day and month is tried where day first is none."""
+    v = F.regexp_replace(value, "[./]", "-")
+    return F.coalesce(F.when(v.rlike(r"^\d{4}-"), F.try_to_date(v, "yyyy-MM-dd")), F.when(v.rlike(r"-\d{4}$"), F.coalesce(F.try_to_date(v, "d-M-yyyy"), F.try_to_date(v, "M-d-yyyy"))))
+
+
 def kind_of(value: Column) -> Column:
     """The kind of a match whose value is valid, else null."""
     number = digits(value)
     is_card = ~value.contains(".") & ~value.contains("/") & ~value.contains("(") & ~value.startswith("+") & F.length(number).between(13, 19)
     octets = F.split(value, "[.]")
-    day = F.try_to_date(F.replace(value, F.lit("/"), F.lit("-")), "yyyy-MM-dd")
     return (F.when(value.contains("@"), F.lit("email"))
             .when(is_card, F.when(luhn_rest(F.substring(number, F.lit(1), F.length(number) - 1)) == F.right(number, F.lit(1)), F.lit("card")))
             .when((F.size(octets) == 4) & value.rlike(r"^[0-9.]+$") & value.contains("."), F.when(F.forall(octets, lambda o: (o.cast("int") <= 255) & ((o == "0") | ~o.startswith("0"))), F.lit("address")))
-            .when(value.rlike(r"^(?:19|20)\d{2}([-/])\d{2}\1\d{2}$"), F.when(day.isNotNull(), F.lit("date")))
+            .when(value.rlike(r"^(?:(?:19|20)\d{2}([-/])\d{2}\1\d{2}|\d{1,2}([-/.])\d{1,2}\2(?:19|20)\d{2})$"), F.when(day_of(value).isNotNull(), F.lit("date")))
             .otherwise(F.lit("phone")))
 
 
@@ -108,23 +115,30 @@ def pseudonym(value: Column, kind: Column, key: str) -> Column:
     number = digits(value)
     body = permuted(F.substring(number, F.lit(1), F.length(number) - 1), key, "card")
     card = F.transform(F.array(body), lambda b: poured(value, F.concat(b, luhn_rest(b))))[0]
-    # A phone number keeps its country code. The first digits of area and exchange, 2 to 9, keep their range: they are permuted as octal pair.
+    # A phone number keeps its country code. The first digits of area and exchange keep their range, 2 to 9 or 0 to 1, and are moved within it.
     ten = F.right(number, F.lit(10))
     heads = F.concat(F.substring(ten, 1, 1), F.substring(ten, 4, 1))
     tails = F.concat(F.substring(ten, 2, 2), F.substring(ten, 5, 6))
     moved = permuted(tails, key, "phone")
     by = keyed(key, F.lit("heads"), tails)
-    head = lambda i: (F.pmod(F.substring(heads, i + 1, 1).cast("int") - 2 + byte_of(by, F.lit(i)), F.lit(8)) + 2).cast("string")
-    phone = F.transform(F.array(moved), lambda t: poured(value, F.concat(F.substring(number, F.lit(1), F.length(number) - 10), head(0), F.substring(t, 1, 2), head(1), F.substring(t, 3, 6))))[0]
+    first = lambda i: F.substring(heads, i + 1, 1).cast("int")
+    head = lambda i: F.when(first(i) < 2, F.pmod(first(i) + byte_of(by, F.lit(i)), F.lit(2))).otherwise(F.pmod(first(i) - 2 + byte_of(by, F.lit(i)), F.lit(8)) + 2).cast("string")
+    ten_digits = F.transform(F.array(moved), lambda t: poured(value, F.concat(F.substring(number, F.lit(1), F.length(number) - 10), head(0), F.substring(t, 1, 2), head(1), F.substring(t, 3, 6))))[0]
+    # Others keep the digits before the first separator, or one where more than three stand there.
+    lead = F.length(F.regexp_extract(value, r"^\+?(\d*)", 1))
+    kept = F.when(lead.between(1, 3), lead).otherwise(F.lit(1))
+    free = permuted(F.substring(number, kept + 1, F.length(number)), key, "phone")
+    phone = F.when(value.rlike(TEN), ten_digits).otherwise(F.transform(F.array(free), lambda t: poured(value, F.concat(F.substring(number, F.lit(1), kept), t)))[0])
     octets = F.transform(F.split(value, "[.]"), lambda o: o.cast("int"))
     pair = lambda s, i: byte_of(keyed(key, F.lit("address"), i.cast("string"), s["r"][0].cast("string"), s["r"][1].cast("string")), F.lit(0))
     other = lambda s, i: byte_of(keyed(key, F.lit("address"), i.cast("string"), s["r"][0].cast("string"), s["r"][1].cast("string")), F.lit(1))
     start = F.struct(F.slice(octets, 1, 2).alias("l"), F.slice(octets, 3, 2).alias("r"))
     step = lambda s, i: F.struct(s["r"].alias("l"), F.array((s["l"][0] + pair(s, i)) % 256, (s["l"][1] + other(s, i)) % 256).alias("r"))
     address = F.transform(F.array(F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), start, step)), lambda e: F.array_join(F.transform(F.concat(e["l"], e["r"]), lambda o: o.cast("string")), "."))[0]
-    apart = F.datediff(F.try_to_date(F.replace(value, F.lit("/"), F.lit("-")), "yyyy-MM-dd"), F.lit(FIRST_DAY).cast("date"))
-    date = F.date_format(F.date_add(F.lit(FIRST_DAY).cast("date"), permuted_day(apart, key)), "yyyy-MM-dd")
-    date = F.when(value.contains("/"), F.replace(date, F.lit("-"), F.lit("/"))).otherwise(date)
+    apart = F.datediff(day_of(value), F.lit(FIRST_DAY).cast("date"))
+    # Year-last dates are written day first, so that two days never share a text.
+    dates = F.transform(F.array(F.date_add(F.lit(FIRST_DAY).cast("date"), permuted_day(apart, key))), lambda d: F.when(value.rlike(r"^\d{4}"), F.date_format(d, "yyyy-MM-dd")).otherwise(F.date_format(d, "dd-MM-yyyy")))[0]
+    date = F.when(value.contains("/"), F.replace(dates, F.lit("-"), F.lit("/"))).when(value.contains("."), F.replace(dates, F.lit("-"), F.lit("."))).otherwise(dates)
     at = F.instr(value, F.lit("@"))
     email = F.concat(permuted(F.substring(value, F.lit(1), at - 1), key, "email"), F.substring(value, at, F.length(value)))
     return F.when(kind == "card", card).when(kind == "phone", phone).when(kind == "address", address).when(kind == "date", date).when(kind == "email", email)

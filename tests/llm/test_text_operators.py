@@ -101,6 +101,22 @@ def test_pseudonyms_keep_format_and_links(spark):
     assert pseudonyms.pseudonymise(docs(spark, []), "key").count() == 0
 
 
+def test_pseudonyms_of_all_shapes_of_phones_and_dates(spark):
+    values = ["+1 (017) 555-7713", "+1 (132) 555-1352", "+1 (663) 155-7713", "(012) 055-7713", "017-155-7713", "+49 30 12345678", "+33 6 12 34 56 78", "+44 (0)20 7946 0958", "+4930123456", "06 12 34 56 78",
+              "28.02.1987", "02/28/1987", "28-02-1987"]
+    got = {r.doc_id: r for r in pseudonyms.pseudonymise(docs(spark, [(i, f"call {v}, or {v} 190.137.223.204") for i, v in enumerate(values)]), "key").collect()}
+    for i, v in enumerate(values):
+        one, two, address = (f.pseudonym for f in got[i].found_)
+        assert one == two and v not in got[i].text and "190.137.223.204" not in got[i].text and re.sub("[0-9]", "9", one) == re.sub("[0-9]", "9", v), v
+    assert not {"date"} ^ {f.kind for i in (10, 11, 12) for f in got[i].found_[:2]} and not {"phone"} ^ {f.kind for i in range(10) for f in got[i].found_[:2]}
+    days = [got[i].found_[0].pseudonym.replace("/", "-").replace(".", "-") for i in (10, 11, 12)]
+    assert len(set(days)) == 1
+    area = F.concat(F.lit("+1 ("), F.lpad((F.col("id") % 1000).cast("string"), 3, "0"), F.lit(") "), F.lit("0"), F.lpad(F.floor(F.col("id") / 1000).cast("string"), 2, "0"), F.lit("-5555"))
+    both = spark.range(100_000).select(area.alias("v")).select("v", pseudonyms.pseudonym(F.col("v"), F.lit("phone"), "k").alias("p"))
+    row = both.agg(F.countDistinct("p").alias("n"), F.sum((F.substring("v", 5, 1).isin("0", "1") != F.substring("p", 5, 1).isin("0", "1")).cast("int")).alias("moved")).head()
+    assert tuple(row) == (100_000, 0)
+
+
 def test_pseudonyms_are_permutations(spark):
     days = spark.range(73_049).select(pseudonyms.permuted_day(F.col("id"), "k").alias("d")).agg(F.countDistinct("d"), F.min("d"), F.max("d")).head()
     assert tuple(days) == (73_049, 0, 73_048)
