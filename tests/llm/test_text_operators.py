@@ -81,6 +81,44 @@ def test_containment_by_brute_force(spark):
     assert [row.a[i] for i in left] == row.b and 0 < len(left) < len(every)
 
 
+def drawn(pattern, rng):
+    """A random string that the pattern matches."""
+    def walk(parts):
+        out = ""
+        for op, v in parts:
+            name = str(op)
+            if name == "LITERAL":
+                out += chr(v)
+            elif name == "IN":
+                kind, x = rng.choice(v)
+                out += chr(x if str(kind) == "LITERAL" else rng.randint(*x))
+            elif name == "BRANCH":
+                out += walk(rng.choice(v[1]))
+            elif name == "SUBPATTERN":
+                out += walk(v[3])
+            elif name == "MAX_REPEAT":
+                out += "".join(walk(v[2]) for _ in range(rng.randint(v[0], v[1])))
+            else:
+                assert name == "ASSERT"
+        return out
+    return f" {walk(re._parser.parse(pattern))} "
+
+
+def test_every_form_of_every_license_rule_passes_the_filters(spark):
+    import random
+
+    rng = random.Random(7)
+    for r in licenses.rules():
+        for _ in range(200):
+            text = drawn(r.pattern, rng)
+            assert re.search(r.pattern, text), (r.rule, text)
+            assert r.cue in text and any(k in text for k in r.keywords) and any(g in text for g in licenses.GATE), (r.rule, text)
+    want = {"licensed under GPL2": "gpl-2", "licensed under LGPL3": "lgpl-3", "under the AGPL3 license": "agpl-3", "licensed under MPL2": "mpl-2", "licensed under EPL1": "epl-1",
+            "released under Apache2": "apache-2", "SPDX-License-Identifier: GPL": "gpl", "see EUPL1.2 there": "eupl"}
+    got = licenses.scan_licenses(docs(spark, list(enumerate(want)))).collect()
+    assert all(want[r.text] in [x.label for x in r.licenses_] for r in got), [(r.text, r.licenses_) for r in got]
+
+
 def luhn(number):
     d = [int(c) for c in number][::-1]
     return sum(d[0::2]) % 10 == -sum(sum(divmod(2 * x, 10)) for x in d[1::2]) % 10
