@@ -91,7 +91,7 @@ class Rule(NamedTuple):
 
 
 def rules() -> list[Rule]:
-    """All families in all wordings, the base phrases last, as rules that nothing suppresses."""
+    """All families in all wordings; the base phrases last, whose places ``scan_licenses`` gives unsuppressed in ``base``."""
     made = [Rule(f"{label}/{k}", label, priority, trust, cue, keywords, f"(?<= )(?:{wording.replace('{id}', short).replace('{name}', name)})(?= )")
             for label, name, keywords, short in FAMILIES for k, (priority, trust, cue, wording) in enumerate(WORDINGS + [BARE] * ("licen" in name))]
     return made + [Rule(f"base/{label}", label, 3, 0.95, phrase, (phrase,), f"(?<= ){phrase}(?= )") for phrase, label in BASE]
@@ -143,23 +143,26 @@ def outermost(sorted_spans: Column) -> Column:
 
 
 def scan_licenses(docs: DataFrame, found: list[Rule] | None = None) -> DataFrame:
-    """``docs`` with ``n_words`` and ``licenses``: the detections left, array of (first, back, low, rule, label, trust), where ``back`` and ``low`` are
-    last word and priority with a minus sign. ``words`` holds the blanked text. Names get ``_`` where taken.
+    """``docs`` with ``n_words``, ``licenses``: the detections left, array of (first, back, low, rule, label, trust), where ``back`` and ``low`` are
+    last word and priority with a minus sign, and ``base``: all detections of base rules, those within a longer one too. ``words`` holds the
+    blanked text. Names get ``_`` where taken.
 
     Null and empty texts have no words and no detection. Rows are looked at alone: repeated rows give equal results, all columns stay.
     """
-    words, n, out = (fresh(docs.columns, c) for c in ("words", "n_words", "licenses"))
+    words, n, out, base = (fresh(docs.columns, c) for c in ("words", "n_words", "licenses", "base"))
     w = F.col(words)
     gate = F.lit(False)
     for g in GATE:
         gate = gate | w.contains(g)
-    spans = F.when(gate, outermost(detections(w, found or rules()))).otherwise(F.array().cast("array<struct<first:int,back:int,low:int,rule:string,label:string,trust:double>>"))
-    named = docs.withColumn(words, blanked("text"))
-    return named.withColumns({n: F.when(w == "  ", F.lit(0)).otherwise(blanks(w) - 1).cast("long"), out: spans})
+    shape = "array<struct<first:int,back:int,low:int,rule:string,label:string,trust:double>>"
+    both = F.transform(F.array(detections(w, found or rules())), lambda d: F.struct(outermost(d).cast(shape).alias("left"), F.filter(d, lambda x: x["rule"].startswith("base/")).cast(shape).alias("base")))[0]
+    named = docs.withColumn(words, blanked("text")).withColumn(out, F.when(gate, both))
+    none = F.array().cast(shape)
+    return named.withColumns({n: F.when(w == "  ", F.lit(0)).otherwise(blanks(w) - 1).cast("long"), base: F.coalesce(F.col(out)["base"], none), out: F.coalesce(F.col(out)["left"], none)}).select(*docs.columns, words, n, out, base)
 
 
 def base_places(words: Column) -> list[tuple[str, Column, Column, Column]]:
-    """For each base phrase: label, number of places, first and last place (null without any)."""
+    """For each base phrase: label, number of places, first and last place (null without any). A plain count for tests to hold ``base`` against."""
     out = []
     for phrase, label in BASE:
         there = words.contains(f" {phrase} ")
@@ -174,16 +177,15 @@ def base_places(words: Column) -> list[tuple[str, Column, Column, Column]]:
 
 @query("op4_license_rules")
 def op4_license_rules(spark, folder) -> DataFrame:
-    """Base places and all labels of every document."""
+    """Base places and all labels of every document; a base place within a longer detection counts as a detection of its own."""
     found = scan_licenses(table(spark, folder, "documents").select("doc_id", "text")).drop("text")
-    base = base_places(F.col("words"))
     join = lambda labels: F.array_join(F.array_sort(F.array_distinct(labels)), ",")
-    ours = F.array_compact(F.array(*[F.when(n > 0, F.lit(label)) for label, n, _, _ in base]))
+    ours = F.col("base.label")
     trust = F.transform(F.array_distinct("licenses.label"), lambda x: F.array_max(F.transform(F.filter("licenses", lambda d: d["label"] == x), lambda d: d["trust"])))
     kept = F.aggregate(trust, F.lit(1.0), lambda p, t: p * (1 - t))
     based = F.size(ours) > 0
     return found.select(
-        "doc_id", "n_words", sum((n for _, n, _, _ in base), F.lit(0).cast("long")).alias("n_base"),
-        F.least(*[f for _, _, f, _ in base]).alias("first_word"), F.greatest(*[x for _, _, _, x in base]).alias("last_word"),
+        "doc_id", "n_words", F.size("base").cast("long").alias("n_base"),
+        F.array_min("base.first").cast("long").alias("first_word"), F.array_max("base.first").cast("long").alias("last_word"),
         join(ours).alias("base_labels"), join(F.concat(ours, F.col("licenses.label"))).alias("labels"),
-        F.round(F.when(based, F.greatest(1 - kept, F.lit(0.95))).otherwise(1 - kept), 6).alias("score"), F.size("licenses").cast("long").alias("n_detections"))
+        F.round(F.when(based, F.greatest(1 - kept, F.lit(0.95))).otherwise(1 - kept), 6).alias("score"), F.size(F.array_union("licenses", "base")).cast("long").alias("n_detections"))

@@ -71,6 +71,18 @@ def test_license_places_match_brute_force(spark):
     assert licenses.scan_licenses(docs(spark, [])).count() == 0
 
 
+def test_base_places_come_through_the_rules(spark):
+    texts = ["cc by nc", "this text is cc by nc and no more", "licensed under the mit license", "Licensed under the Apache License, Version 2.0. under the mit license", "cc by nc sa 4.0 cc-by-nc", "no license here"]
+    df = licenses.scan_licenses(docs(spark, EDGES + [(10 + i, t) for i, t in enumerate(texts)]))
+    plain = licenses.base_places(F.col("words_"))
+    for r in df.select("doc_id", "base", "licenses_", *[c.alias(f"{x}{k}") for k, (_, n, f, z) in enumerate(plain) for x, c in (("n", n), ("f", f), ("z", z))]).collect():
+        for k, (_, label) in enumerate(licenses.BASE):
+            at = [x.first for x in r.base if x.rule == f"base/{label}"]
+            assert (len(at), min(at, default=None), max(at, default=None)) == (r[f"n{k}"], r[f"f{k}"], r[f"z{k}"]), r.doc_id
+        assert r.doc_id != 10 or r.licenses_
+        assert r.doc_id != 12 or len(r.base) == 1 and r.licenses_[0].rule == "mit/1"
+
+
 def test_containment_by_brute_force(spark):
     text = "spdx license identifier mit licensed under the mit license and the gnu general public license version 3 license under apache 2 0 license"
     df = docs(spark, [(1, text)]).select("doc_id", licenses.blanked("text").alias("w"))
