@@ -10,6 +10,7 @@ from __future__ import annotations
 import re
 from collections import defaultdict
 from collections.abc import Iterator
+from heapq import heapify, heappop, heappush
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -54,6 +55,8 @@ def tile(item: list[str], text: list[str], least: int) -> int:
         longest = 0
         for h, j in windows(b, free_b, size) if places else ():
             for i in places.get(h, ()):
+                if i and j and a[i - 1] == b[j - 1] and free_a[i - 1] and free_b[j - 1]:
+                    continue  # part of the match that starts a word earlier
                 n = 0
                 while i + n < len(a) and j + n < len(b) and a[i + n] == b[j + n] and free_a[i + n] and free_b[j + n]:
                     n += 1
@@ -63,11 +66,23 @@ def tile(item: list[str], text: list[str], least: int) -> int:
         if longest > 2 * size:  # look again with long windows first
             size = longest
             continue
-        for n, i, j in sorted(found):
-            if all(free_a[i : i - n]) and all(free_b[j : j - n]):
+        heapify(found)
+        while found:  # longest first; of a match partly under an earlier tile, the free runs go back in the queue
+            n, i, j = heappop(found)
+            free = [x and y for x, y in zip(free_a[i : i - n], free_b[j : j - n])]
+            if all(free):
                 free_a[i : i - n] = [False] * -n
                 free_b[j : j - n] = [False] * -n
                 covered -= n
+                continue
+            at = 0
+            while at < -n:
+                end = at
+                while end < -n and free[end]:
+                    end += 1
+                if end - at >= size:
+                    heappush(found, (at - end, i + at, j + at))
+                at = end + 1
         size = least if size > least and size // 2 < least else size // 2
     return covered
 

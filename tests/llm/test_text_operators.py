@@ -226,6 +226,28 @@ def test_tiles_match_brute_force():
         assert got >= sum(n for n in (cut, len(item) - cut) if n >= 3) - 3
 
 
+def test_tiles_equal_brute_force():
+    import random
+
+    item = [f"w{i}" for i in range(18)]
+    assert tiling.tile(item, [*item[5:13], "x", *item[0:7], *(f"z{i}" for i in range(20))], 5) == 13  # the head of a match under an earlier tile counts
+    rng = random.Random(11)
+    for k in range(600):
+        letters = "ab" if k % 3 == 0 else "abcdefgh"
+        item = [rng.choice(letters) for _ in range(rng.randint(1, 25))]
+        cuts = sorted(rng.randint(0, len(item)) for _ in range(2))
+        text = [rng.choice(letters) for _ in range(rng.randint(0, 10))] + item[cuts[0] :] + ["x"] * rng.randint(0, 1) + item[: cuts[1]] + [rng.choice(letters) for _ in range(rng.randint(0, 10))]
+        for least in (2, 3, 5):
+            assert tiling.tile(item, text, least) == brute_tiles(item, text, least), (item, text, least)
+    for _ in range(100):  # passages that share words at their borders, out of order, in a longer text
+        item = [f"w{i}" for i in range(rng.randint(15, 30))]
+        text = [f"z{i}" for i in range(30)]
+        for _ in range(3):
+            at = rng.randint(0, len(item) - 5)
+            text += [*item[at : at + rng.randint(5, 9)], "x"]
+        assert tiling.tile(item, text, 5) == brute_tiles(item, text, 5), (item, text)
+
+
 def test_benchmark_items_are_found_in_any_order(spark):
     bench = spark.createDataFrame([(1, "the quick brown fox jumps over the lazy dog while seven wizards boil a quart of milk"), (2, "alpha beta gamma delta epsilon zeta eta theta"), (2, "alpha beta gamma delta epsilon zeta eta theta"),
                                    (3, None), (None, "lonely words without an id here now"), (4, "tiny item"), (5, "")], "item_id long, text string")
