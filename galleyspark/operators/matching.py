@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from galleyspark.functions import keys
-from galleyspark.functions.arrow import sequence_ratio
+from galleyspark.operators.ordered import fold_in_order, independent_runs
 from galleyspark.session import cut_lineage
 
 WINDOW = 48 * 3600
@@ -78,28 +78,30 @@ def syndication_pairs(rss: DataFrame, video: DataFrame) -> DataFrame:
     return c.filter(title_ok & date_ok & dur_ok & evidence).select("source", "r_item_id", "v_item_id", score.alias("score"))
 
 
-def attach_unique_best(pairs: DataFrame, margin: float = 0.08, checkpoint_every: int = 1) -> DataFrame:
-    """In feed order each item takes its best unused video if no other comes within ``margin``.
+def attach_unique_best(pairs: DataFrame, margin: float = 0.08) -> DataFrame:
+    """In feed order each item takes its best unused video if no other comes within ``margin``. Returns the taken pairs: source, r_item_id, v_item_id.
 
-    pairs: source, r_item_id, r_ord, v_item_id, v_ord, score. Orders count within a source. An item can be decided as soon
-    as no undecided earlier item competes for any of its videos, so all such items of all sources are decided in one round.
-    Rounds are as many as the longest chain of competing items, and the table shrinks with each. Returns the taken pairs.
+    pairs: source, r_item_id, r_ord, v_item_id, v_ord, score. Orders are integers that count within a source. A source falls into runs of
+    items that compete for videos; no video is an option on both sides of a cut. Each run is folded once, and of the used
+    videos a task holds only those that a later item may still ask for.
     """
-    taken = None
-    left = cut_lineage(pairs)
-    while not left.isEmpty():
-        first = left.groupBy("source", "v_item_id").agg(F.min("r_ord").alias("first_ord"))
-        ready = left.join(first, ["source", "v_item_id"]).groupBy("source", "r_item_id").agg(
-            F.bool_and(F.col("r_ord") == F.col("first_ord")).alias("ready"),
-            F.max(F.struct("score", "v_ord", "v_item_id")).alias("best"), F.count("*").alias("n"),
-            F.slice(F.sort_array(F.collect_list("score"), asc=False), 1, 2).alias("top"))
-        decided = cut_lineage(ready.filter("ready").select(
-            "source", "r_item_id", F.when((F.col("n") == 1) | (F.col("top")[0] - F.get("top", F.lit(1)) >= margin), F.col("best.v_item_id")).alias("v_item_id")))
-        won = decided.filter(F.col("v_item_id").isNotNull())
-        taken = won if taken is None else taken.unionByName(won)
-        left = cut_lineage(left.join(decided.select("source", "r_item_id"), ["source", "r_item_id"], "left_anti")
-                           .join(won.select("source", "v_item_id"), ["source", "v_item_id"], "left_anti"))
-    return taken if taken is not None else pairs.select("source", "r_item_id", "v_item_id")
+    last = pairs.groupBy("source", "v_item_id").agg(F.max("r_ord").alias("last"))
+    option = F.struct("score", "v_ord", "v_item_id", "last")
+    items = pairs.join(last, ["source", "v_item_id"]).groupBy("source", "r_item_id", "r_ord").agg(F.max("last").alias("reach"), F.collect_list(option).alias("options"))
+    runs = independent_runs(cut_lineage(items.withColumn("blk", F.floor(F.col("r_ord") / 4096))), ["source"], ["blk"], "r_ord", "reach")
+
+    def step(used: dict, row):
+        if len(used) > 10_000:
+            for v in [v for v, end in used.items() if end < row.r_ord]:
+                del used[v]
+        free = sorted((o["score"], o["v_ord"], o["v_item_id"], o["last"]) for o in row.options if o["v_item_id"] not in used)
+        if free and (len(free) == 1 or free[-1][0] - free[-2][0] >= margin):
+            used[free[-1][2]] = free[-1][3]
+            yield row.source, row.r_item_id, free[-1][2]
+
+    types = dict(pairs.dtypes)
+    schema = f"source {types['source']}, r_item_id {types['r_item_id']}, v_item_id {types['v_item_id']}"
+    return fold_in_order(runs.drop("blk", "reach"), ["source", "run"], ["r_ord"], dict, step, schema)
 
 
 def attach_videos(rss: DataFrame, video: DataFrame, taken: DataFrame) -> DataFrame:
@@ -261,50 +263,3 @@ def drop_reviewed(items: DataFrame, states: DataFrame) -> DataFrame:
     f = lambda c: F.coalesce(F.col(c), F.lit(False))
     return j.groupBy("item_id").agg(F.bool_or(f("blocked")).alias("blocked"), F.bool_or(f("retry")).alias("retry")).filter(~F.col("blocked")).select(
         "item_id", F.when(F.col("retry"), "retry").otherwise("new").alias("state"))
-
-
-# Fixed values per publisher family: weight of the sequence ratio, floor, sure score and margin over the runner-up.
-PAGE_RULES = {
-    "sitemap_min": {"ratio": 0.65, "by": "min", "floor": 0.64, "sure": 0.92, "margin": 0.04},
-    "description_links": {"ratio": 0.65, "by": "min", "floor": 0.45, "sure": 0.90, "margin": 0.04},
-    "sitemap_slug": {"ratio": 0.65, "by": "slug", "floor": 0.62, "sure": 0.90, "margin": 0.03},
-    "feed_titles": {"ratio": 1.0, "by": "slug", "floor": 0.55, "sure": 0.0, "margin": 0.0},
-    "video_pages": {"ratio": 0.6, "by": "slug", "floor": 0.0, "sure": 0.0, "margin": 0.0},
-}
-
-
-def page_scores(items: DataFrame, urls: DataFrame, rule: str) -> DataFrame:
-    """Scores of the pages that share a word of the title with an item. Both keyed by publisher; urls: publisher, url, slug.
-
-    Pages without a common word score at most the ratio's weight, which is below every floor unless the strings are nearly
-    equal; words of eight or more letters are therefore also keyed by their first and last four letters.
-    """
-    r = PAGE_RULES[rule]
-    i = items.select("publisher", "item_id", keys.noise_free_title("title").alias("t")).filter("t <> ''")
-    u = urls.select("publisher", "url", keys.noise_free_title("slug").alias("s")).filter("s <> ''")
-    parts = lambda c: F.array_distinct(F.flatten(F.transform(F.split(c, " "), lambda w: F.when(
-        F.length(w) >= 8, F.array(w, F.concat(F.lit("<"), F.left(w, F.lit(4))), F.concat(F.lit(">"), F.right(w, F.lit(4))))).otherwise(F.array(w)))))
-    c = i.withColumn("word", F.explode(parts(F.col("t")))).join(u.withColumn("word", F.explode(parts(F.col("s")))), ["publisher", "word"]).dropDuplicates(["publisher", "item_id", "url"])
-    tw, sw = F.array_distinct(F.split("t", " ")), F.array_distinct(F.split("s", " "))
-    base = F.least(F.size(tw), F.size(sw)) if r["by"] == "min" else F.size(sw)
-    score = sequence_ratio("t", "s") * r["ratio"] + F.size(F.array_intersect(tw, sw)) / base * (1 - r["ratio"])
-    return c.select("publisher", "item_id", "url", score.alias("score"))
-
-
-def match_page_titles(scores: DataFrame, rule: str) -> DataFrame:
-    """The page that is good enough and clearly ahead of the runner-up. Two best rows per item come from one aggregate."""
-    r = PAGE_RULES[rule]
-    best = scores.groupBy("publisher", "item_id").agg(F.max(F.struct("score", "url")).alias("b"))
-    second = scores.join(best, ["publisher", "item_id"]).filter(F.col("url") != F.col("b.url")).groupBy("publisher", "item_id").agg(F.max("score").alias("runner_up"))
-    j = best.join(second, ["publisher", "item_id"], "left")
-    clear = F.col("runner_up").isNull() | (F.col("b.score") >= r["sure"]) | (F.col("b.score") - F.col("runner_up") >= r["margin"])
-    return j.filter((F.col("b.score") >= r["floor"]) & clear).select("publisher", "item_id", F.col("b.url").alias("url"), F.round("b.score", 6).alias("score"))
-
-
-def match_page_video(scores: DataFrame, items: DataFrame, pages: DataFrame, top: int = 12) -> DataFrame:
-    """Title scores only order the first ``top`` pages to read; the page must carry the item's video id. pages: url, video_id."""
-    from galleyspark.operators.ordered import first_n
-
-    head = first_n(scores, ["publisher", "item_id"], [F.desc("score"), F.desc("url")], top)
-    hit = head.join(items.select("item_id", "video_id"), "item_id").join(pages.select("url", F.col("video_id").alias("page_video")), "url").filter(F.col("video_id") == F.col("page_video"))
-    return hit.groupBy("publisher", "item_id").agg(F.min_by("url", "rn").alias("url"))

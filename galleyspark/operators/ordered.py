@@ -9,8 +9,11 @@ across the blocks of the key. The summaries are smaller than the data by the blo
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
+from itertools import groupby
+from operator import attrgetter
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -93,3 +96,41 @@ def first_n(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int,
     """First ``n`` rows per key. Spark limits each map task to ``n`` rows per key before the shuffle."""
     w = Window.partitionBy(*keys).orderBy(*order)
     return df.withColumn(name, F.row_number().over(w)).filter(F.col(name) <= n)
+
+
+def independent_runs(df: DataFrame, keys: Sequence[str], block: Sequence[str], at: str, reach: str, name: str = "run") -> DataFrame:
+    """Cut each key's rows, in the order of ``at``, wherever nothing before reaches on: adds the ``at`` at which the row's run begins.
+
+    ``reach`` is the last place that a row has to do with. Rows of different runs do not depend on each other.
+    """
+    far = prefix_scan(df, keys, block, [at], __far=Running("max", reach, before=True))
+    opens = F.col("__far").isNull() | (F.col("__far") < F.col(at))
+    return prefix_scan(far.withColumn("__open", F.when(opens, F.col(at))), keys, block, [at], **{name: Running("max", "__open")}).drop("__far", "__open")
+
+
+def fold_in_order(df: DataFrame, group: Sequence[str], order: Sequence[str], start: Callable, step: Callable[..., Iterable[tuple]], schema: str,
+                  finish: Callable[..., Iterable[tuple]] | None = None) -> DataFrame:
+    """Run the rows of each group, in order, through ``step(state, row)``, which yields output rows; ``finish(state)`` may yield more at the end.
+
+    For rules in which every row depends on what the rows before it did. Rows stream through: a task holds one Arrow batch and the
+    state of one group, never a group. Make groups small first, by ``independent_runs`` or by solving in columns what needs no order.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    names = [f.split(" ")[0] for f in schema.split(", ")]
+    which = attrgetter(*group)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        current = state = None
+        for batch in batches:
+            out = []
+            for key, rows in groupby(batch.itertuples(index=False), which):
+                if state is None or key != current:
+                    out += finish(state) if finish and state is not None else []
+                    current, state = key, start()
+                for row in rows:
+                    out += step(state, row)
+            yield pd.DataFrame(out, columns=names)
+        if finish and state is not None:
+            yield pd.DataFrame(finish(state), columns=names)
+
+    return df.repartition(n, *group).sortWithinPartitions(*group, *order).mapInPandas(run, schema)

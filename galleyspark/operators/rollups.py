@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from galleyspark.functions.text import BLANKS
-from galleyspark.operators.ordered import Running, dense_position, first_n, prefix_scan
+from galleyspark.operators.ordered import Running, dense_position, first_n, fold_in_order, independent_runs, prefix_scan
+from galleyspark.session import cut_lineage
 
 # Result statuses, those that wait for work, and those the health view may name.
 PENDING_STATUSES = ["no_transcript", "unverified_date", "summary_format_error"]
@@ -88,29 +88,30 @@ def delivery_rollup(parts: DataFrame) -> DataFrame:
 def daily_quota(requests: DataFrame, n: int) -> DataFrame:
     """The first ``n`` assets per day get a slot, each asset once ever; a refused asset may ask again another day.
 
-    requests: stream, day, at, seq, asset. Whether a day's asset is refused depends on earlier days, so the days of a
-    stream are folded in order. At most n*(d-1) assets can hold a slot before day d, hence only the first n*d distinct
-    assets of that day can matter: the fold sees at most n*d rows per day, whatever the request volume.
+    requests: stream, day, at, seq, asset. An asset that was never asked for before holds no slot, so after the n-th such asset of a day nobody
+    gets one: only the rows up to there matter, whatever the request volume. Days of a stream that share none of these assets do
+    not depend on each other and are folded apart; a hot stream is cut by days and hours first, and then into such runs.
     """
     first = requests.groupBy("stream", "day", "asset").agg(F.min(F.struct("at", "seq")).alias("f")).select(
         "stream", "day", "asset", "f.at", "f.seq", F.date_trunc("hour", "f.at").alias("blk"))
-    opening = requests.groupBy("stream").agg(F.min("day").alias("d0"))
-    placed = dense_position(first, ["stream", "day"], ["blk"], ["at", "seq"], "pos").join(opening, "stream")
-    able = placed.filter(F.col("pos") <= n * (F.datediff("day", "d0") + 1)).select("stream", "day", "asset", "at", "seq", "pos")
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        held, out = set(), []
-        for day, rows in pdf.sort_values(["day", "pos"]).groupby("day", sort=True):
-            given = 0
-            for r in rows.itertuples(index=False):
-                if given < n and r.asset not in held:
-                    held.add(r.asset)
-                    given += 1
-                    out.append((r.stream, day, r.asset, given))
-        return pd.DataFrame(out, columns=["stream", "day", "asset", "slot"])
-
-    schema = "stream string, day date, asset long, slot int"
-    return able.groupBy("stream").applyInPandas(fold, schema)
+    born = requests.groupBy("stream", "asset").agg(F.min("day").alias("born"))
+    marked = cut_lineage(first.join(born, ["stream", "asset"]).withColumn("fresh", (F.col("day") == F.col("born")).cast("long")))
+    placed = prefix_scan(marked, ["stream", "day"], ["blk"], ["at", "seq"], ahead=Running("sum", "fresh", before=True))
+    able = cut_lineage(placed.filter(F.coalesce("ahead", F.lit(0)) < n).select("stream", "day", "asset", "at", "seq"))
+    last = able.groupBy("stream", "asset").agg(F.max("day").alias("last"))
+    days = able.join(last, ["stream", "asset"]).groupBy("stream", "day").agg(F.max("last").alias("reach")).withColumn("blk", F.date_trunc("year", "day"))
+    runs = independent_runs(days, ["stream"], ["blk"], "day", "reach").select("stream", "day", "run")
+
+    def step(state: dict, row):
+        if state.get("day") != row.day:
+            state.update(day=row.day, given=0)
+        held = state.setdefault("held", set())
+        if state["given"] < n and row.asset not in held:
+            held.add(row.asset)
+            state["given"] += 1
+            yield row.stream, row.day, row.asset, state["given"]
+
+    return fold_in_order(able.join(runs, ["stream", "day"]), ["stream", "run"], ["day", "at", "seq"], dict, step, "stream string, day date, asset long, slot int")
 
 
 def scan_outcome(fetch: DataFrame, candidates: DataFrame) -> DataFrame:

@@ -6,54 +6,97 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from galleyspark.functions.text import stripped
-from galleyspark.operators.ordered import Running, prefix_scan
+from galleyspark.operators.ordered import Running, fold_in_order, prefix_scan
 from galleyspark.session import cut_lineage
 
 
-def link_aliases(observations: DataFrame) -> DataFrame:
-    """One identity per set of item keys that were ever seen together. observations: feed, keys (array of 1 or 2 strings).
+def _births(observations: DataFrame, lookback_hours: int, burst_limit: int) -> DataFrame:
+    """feed, key, scan_no, ordinal, scan_at, initial, burst: the observation that showed a key first.
 
-    Smallest-label propagation over the distinct key pairs; rounds are as many as the longest chain of aliases.
+    initial: it belongs to the first scan of the feed with any key. burst: all keys of the observation were new, it is dated before the window, and
+    more than ``burst_limit`` of its scan are. Both follow from first sightings alone, so no order of scans is walked through.
     """
-    pairs = observations.filter(F.size("keys") > 0).select("feed", F.array_min("keys").alias("a"), F.array_max("keys").alias("b")).distinct()
-    both = pairs.select("feed", F.col("a").alias("key"), F.col("b").alias("peer")).union(pairs.select("feed", F.col("b"), F.col("a"))).distinct()
-    edges = cut_lineage(both)
-    labels = edges.groupBy("feed", "key").agg(F.min("peer").alias("ident")).select("feed", "key", F.least("key", "ident").alias("ident"))
-    while True:
-        peers = labels.select("feed", F.col("key").alias("peer"), F.col("ident").alias("peer_ident"))
-        better = edges.join(peers, ["feed", "peer"]).groupBy("feed", "key").agg(F.min("peer_ident").alias("seen"))
-        new = cut_lineage(labels.join(better, ["feed", "key"]).select("feed", "key", F.least("ident", "seen").alias("next"), (F.col("seen") < F.col("ident")).alias("moved")))
-        labels = new.select("feed", "key", F.col("next").alias("ident"))
-        if new.filter("moved").isEmpty():
-            return labels
-
-
-def first_seen(scans: DataFrame, lookback_hours: int, burst_limit: int = 3) -> DataFrame:
-    """When each identity of a feed was first seen, and whether it is seeded (never promoted).
-
-    scans: feed, scan_no, scan_at, ordinal, ident, published_at; one scan is a whole feed document. Everything of a feed's first
-    scan is seeded. More than ``burst_limit`` new but old-dated identities in one scan are seeded for good.
+    seen = F.struct("scan_no", "ordinal", "scan_at", "published_at", F.size("keys").alias("width"))
+    first = observations.select("feed", F.explode("keys").alias("key"), seen.alias("o")).groupBy("feed", "key").agg(F.min("o").alias("o")).select("feed", "key", "o.*")
+    start = first.groupBy("feed").agg(F.min("scan_no").alias("start"))
+    old = (F.col("scan_no") > F.col("start")) & F.coalesce(F.col("published_at") < F.col("scan_at") - F.make_dt_interval(F.lit(0), F.lit(lookback_hours)), F.lit(False))
+    late = first.join(start, "feed").withColumn("old", old).filter("old").groupBy("feed", "scan_no", "ordinal").agg(F.count("*").alias("n"), F.max("width").alias("width")).filter("n = width")
+    bursts = late.groupBy("feed", "scan_no").agg(F.count("*").alias("n")).filter(F.col("n") > burst_limit)
+    marked = late.join(bursts, ["feed", "scan_no"], "left_semi").select("feed", "scan_no", "ordinal", F.lit(True).alias("burst"))
+    return first.join(start, "feed").join(marked, ["feed", "scan_no", "ordinal"], "left").select(
+        "feed", "key", "scan_no", "ordinal", "scan_at", (F.col("scan_no") == F.col("start")).alias("initial"), F.coalesce("burst", F.lit(False)).alias("burst"))
+
+
+def first_seen(observations: DataFrame, lookback_hours: int, burst_limit: int = 3) -> DataFrame:
+    """Ledger of a feed's item keys: feed, key, first_seen_at, seeded (never promoted).
+
+    observations: feed, scan_no, scan_at, ordinal, keys (array of the item's guid and enclosure keys, one or both), published_at; one scan is a
+    whole feed document, and (scan_no, ordinal) orders a feed. An item takes the earliest time and any seeding that its keys have **by then** and
+    gives both to all its keys: a link holds only from the scan that shows it and changes nothing that was read before.
+    Everything of a feed's first scan is seeded. More than ``burst_limit`` new but old-dated items in one scan are seeded for good, when
+    the scan is through. Items without keys leave no trace.
+
+    Keys that never met another partner, nearly all, are solved by aggregates. Those that did are folded in the feed's order,
+    without the observations that repeat what their keys showed last; a task holds one ledger entry for each such key.
     """
-    seen = scans.filter(F.col("ident").isNotNull()).groupBy("feed", "ident").agg(F.min(F.struct("scan_no", "ordinal", "scan_at", "published_at")).alias("o"))
-    return seed_rules(seen.select("feed", "ident", "o.scan_no", "o.scan_at", "o.published_at"), lookback_hours, burst_limit)
-
-
-def seed_rules(seen: DataFrame, lookback_hours: int, burst_limit: int = 3) -> DataFrame:
-    """First-seen times and seeding from the first observation of each identity: feed, ident, scan_no, scan_at, published_at."""
-    start = seen.groupBy("feed").agg(F.min("scan_no").alias("first_scan"))
-    j = seen.join(start, "feed")
-    old = (F.col("scan_no") > F.col("first_scan")) & F.col("published_at").isNotNull() & (F.col("published_at") < F.col("scan_at") - F.make_dt_interval(F.lit(0), F.lit(lookback_hours)))
-    j = j.withColumn("old", old)
-    burst = j.filter("old").groupBy("feed", "scan_no").agg((F.count("*") > burst_limit).alias("burst"))
-    r = j.join(burst, ["feed", "scan_no"], "left")
-    return r.select("feed", "ident", F.col("scan_at").alias("first_seen_at"), ((F.col("scan_no") == F.col("first_scan")) | (F.col("old") & F.coalesce("burst", F.lit(False)))).alias("seeded"))
+    keyed = observations.select("feed", "scan_no", "scan_at", "ordinal", F.array_distinct(F.array_compact("keys")).alias("keys"), "published_at").filter(F.size("keys") > 0)
+    births = cut_lineage(_births(keyed, lookback_hours, burst_limit))
+    partners = keyed.select("feed", F.array_sort("keys").alias("tuple")).distinct().select("feed", F.explode("tuple").alias("key"), "tuple").groupBy("feed", "key").agg(F.count("*").alias("tuples"), F.max("tuple").alias("tuple"))
+    tangled = cut_lineage(partners.filter("tuples > 1").select("feed", "key"))
+    # A key with one partner is tangled all the same if the partner is.
+    touched = keyed.select("feed", F.array_sort("keys").alias("tuple")).distinct().select("feed", F.explode("tuple").alias("key"), "tuple").join(tangled, ["feed", "key"], "left_semi").select("feed", "tuple").distinct()
+    touched = cut_lineage(touched)
+    apart = touched.select("feed", F.explode("tuple").alias("key")).distinct()
+    alone = births.join(apart, ["feed", "key"], "left_anti").select("feed", "key", F.col("scan_at").alias("first_seen_at"), (F.col("initial") | F.col("burst")).alias("seeded"))
+
+    events = keyed.withColumn("tuple", F.array_sort("keys")).join(touched, ["feed", "tuple"], "left_semi").select("feed", "scan_no", "scan_at", "ordinal", "tuple")
+    shown = events.withColumn("key", F.explode("tuple")).join(births.select("feed", "key", "initial", "burst", F.col("scan_no").alias("born_scan"), F.col("ordinal").alias("born_ordinal")), ["feed", "key"])
+    shown = cut_lineage(shown.withColumn("mark", F.xxhash64("tuple")).withColumn("blk", F.floor(F.col("scan_no") / 64)))
+    order = ["scan_no", "ordinal"]
+    ran = prefix_scan(shown, ["feed", "key"], ["blk"], order, before=Running("last", "mark", before=True))
+    news = F.col("before").isNull() | (F.col("before") != F.col("mark")) | F.col("burst")
+    born = (F.col("born_scan") == F.col("scan_no")) & (F.col("born_ordinal") == F.col("ordinal"))
+    kept = ran.groupBy("feed", "scan_no", "ordinal").agg(F.first("scan_at").alias("scan_at"), F.first("tuple").alias("tuple"), F.bool_or(news).alias("news"),
+                                                         F.bool_or(F.col("initial") & born).alias("initial"), F.bool_and(F.col("burst") & born).alias("burst")).filter("news")
+    tied = fold_in_order(kept.drop("news"), ["feed"], order, dict, _see, f"feed {dict(keyed.dtypes)['feed']}, key string, first_seen_at timestamp, seeded boolean", _ledger)
+    return alone.unionByName(tied)
+
+
+def _see(state: dict, row):
+    """One observation of a feed whose entries are (first, seeded); a burst takes effect when its scan is through."""
+    state["feed"] = row.feed
+    ledger, late = state.setdefault("ledger", {}), state.setdefault("late", [])
+    if state.get("scan") != row.scan_no:
+        _close(ledger, late)
+        state["scan"] = row.scan_no
+    known = [ledger[k] for k in row.tuple if k in ledger]
+    entry = (min((first for first, _ in known), default=row.scan_at), bool(row.initial) or any(seeded for _, seeded in known))
+    ledger.update((k, entry) for k in row.tuple)
+    if row.burst:
+        late += list(row.tuple)
+    return ()
+
+
+def _close(ledger: dict, late: list) -> None:
+    ledger.update((k, (ledger[k][0], True)) for k in late)
+    late.clear()
+
+
+def _ledger(state: dict):
+    _close(state["ledger"], state["late"])
+    return [(state["feed"], k, first, seeded) for k, (first, seeded) in state["ledger"].items()]
 
 
 def promote_late(items: DataFrame, ledger: DataFrame, now: Column, lookback_hours: int, max_age_days: int = 45) -> DataFrame:
-    """Old-dated items that only now appeared: not seeded, first seen in the window, not too old. items: feed, ident, item_id, published_at."""
+    """Old-dated items that only now appeared: not seeded, first seen in the window, not too old.
+
+    items: feed, item_id, keys (array), published_at; one row per item of the scan. ledger: as of ``first_seen``; an item has the earliest time and any
+    seeding of its keys.
+    """
     cutoff = now - F.make_dt_interval(F.lit(0), F.lit(lookback_hours))
-    j = items.join(ledger, ["feed", "ident"])
-    return j.filter(~F.col("seeded") & F.col("first_seen_at").between(cutoff, now) & (F.col("published_at") < cutoff) & (F.col("published_at") >= now - F.make_dt_interval(F.lit(max_age_days)))).select("item_id", "feed", "first_seen_at")
+    late = items.filter((F.col("published_at") < cutoff) & (F.col("published_at") >= now - F.make_dt_interval(F.lit(max_age_days))))
+    entry = late.select("feed", "item_id", F.explode("keys").alias("key")).join(ledger, ["feed", "key"]).groupBy("feed", "item_id").agg(F.min("first_seen_at").alias("first_seen_at"), F.bool_or("seeded").alias("seeded"))
+    return entry.filter(~F.col("seeded") & F.col("first_seen_at").between(cutoff, now)).select("item_id", "feed", "first_seen_at")
 
 
 def first_seen_articles(urls: DataFrame, now: Column, zone: str = "Asia/Shanghai") -> DataFrame:

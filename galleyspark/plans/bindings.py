@@ -116,3 +116,18 @@ def conversation_lines(t) -> DataFrame:
 CONV_LINES = """conv_lines AS (SELECT item_id, turn, role, CAST(i - 1 AS INTEGER) AS line_no, parts[i] AS line FROM (
   SELECT conv_id AS item_id, turn, role, string_split(text, chr(10)) AS parts, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i
   FROM conversations))"""
+
+
+def arriving(rows: DataFrame, order: str, by: str, parts: int = 4) -> DataFrame:
+    """A stream of ``rows`` that land in ``parts`` steps along ``order``, the rows of one ``by`` in one file of each step."""
+    import uuid
+
+    from galleyspark.session import ensure_checkpoint_dir
+
+    spark = rows.sparkSession
+    folder = f"{ensure_checkpoint_dir(spark)}/landed-{uuid.uuid4().hex}"
+    low, high = rows.agg(F.min(order), F.max(order)).first()
+    for step in range(parts if low is not None else 0):
+        place = F.least(F.floor((F.col(order) - low) * parts / (high - low + 1)), F.lit(parts - 1))
+        rows.filter(place == step).repartition(by).write.mode("append").parquet(folder)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 4).parquet(folder)

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from galleyspark.functions import keys
 from galleyspark.operators import matching as ops
+from galleyspark.operators import page_titles
 from galleyspark.plans import bindings as b
 from galleyspark.plans.columns import _F, _FEEDQ, _NOISE, _SPLIT, URL_KEY
 from galleyspark.plans.editorial import scored_copies
@@ -56,7 +60,13 @@ def syndication_pairs(t):
     return ops.syndication_pairs(*syndicated(t)).withColumn("score", F.round("score", 6))
 
 
-@job("attach_unique_best")
+@job("attach_unique_best", f"""WITH RECURSIVE {SYND}, opts AS (SELECT source, rid, row_number() OVER (PARTITION BY source ORDER BY rid) AS n, list(struct_pack(score := score, vid := vid)) AS o FROM g GROUP BY source, rid),
+walk AS (SELECT source, 0 AS n, NULL::BIGINT AS rid, NULL::BIGINT AS vid, []::BIGINT[] AS used FROM (SELECT DISTINCT source FROM g)
+ UNION ALL SELECT source, n, rid, vid, CASE WHEN vid IS NULL THEN used ELSE list_append(used, vid) END FROM (SELECT *, CASE WHEN len(f)=1 OR f[1].score - f[2].score >= 0.08::DOUBLE THEN f[1].vid END AS vid
+  FROM (SELECT w.source, p.n, p.rid, w.used, list_sort(list_filter(p.o, lambda x: NOT list_contains(w.used, x.vid)), 'DESC') AS f FROM walk w JOIN opts p ON p.source=w.source AND p.n=w.n+1))),
+taken AS (SELECT rid, vid FROM walk WHERE vid IS NOT NULL)
+SELECT rss.source, coalesce(taken.vid, rss.id) AS item_id, round(coalesce(rss.duration, vid.duration),6) AS duration, CASE WHEN taken.vid IS NULL THEN 'feed' ELSE 'merged' END AS origin FROM rss LEFT JOIN taken ON rid=rss.id LEFT JOIN vid ON vid.id=taken.vid
+UNION ALL SELECT source, id, round(duration,6), 'video' FROM vid WHERE id NOT IN (SELECT vid FROM taken)""")
 def attach_unique_best(t):
     rss, video = syndicated(t)
     pairs = ops.syndication_pairs(rss, video).select("source", "r_item_id", F.col("r_item_id").alias("r_ord"), "v_item_id", F.col("v_item_id").alias("v_ord"), "score")
@@ -217,12 +227,58 @@ def publisher_pages(t):
     return p.select("publisher", "item_id", "title"), p.select("publisher", "url", "item_id", F.replace(slug, F.lit("-"), F.lit(" ")).alias("slug"))
 
 
-@job("match_page_titles")
+def _pieces(a: str, b: str) -> str:
+    """For each place of a the longest piece from there that b holds too."""
+    return f"list_transform(range(1, length({a})+1), lambda i: list_max(list_prepend(0, list_filter(range(1, length({a})-i+2), lambda k: contains({b}, substr({a},CAST(i AS BIGINT),CAST(k AS BIGINT)))))))"
+
+
+def _noise_free(c: str) -> str:
+    return rf"coalesce(array_to_string(list_filter(regexp_extract_all(lower(strip_accents({c})),'[a-z0-9]+'), lambda w: NOT list_contains([{_NOISE}],w) AND NOT regexp_full_match(w,'\d+')),' '),'')"
+
+
+def _page_score(rule: str) -> str:
+    r = page_titles.PAGE_RULES[rule]
+    base = "least(len(tw), len(sw))" if r["by"] == "min" else "len(sw)"
+    return f"CAST(2*m AS DOUBLE)/(length(t)+length(s))*{r['ratio']}::DOUBLE + CAST(len(list_intersect(tw,sw)) AS DOUBLE)/{base}*(1-{r['ratio']}::DOUBLE)"
+
+
+def _matched(rule: str) -> str:
+    r = page_titles.PAGE_RULES[rule]
+    return f"""SELECT publisher, item_id, url, round(score,6) AS score, '{rule}' AS rule FROM (SELECT *, lead(score) OVER w AS runner_up, row_number() OVER w AS rn FROM scored WHERE rule='{rule}' WINDOW w AS (PARTITION BY publisher, item_id ORDER BY score DESC, url DESC))
+ WHERE rn=1 AND score >= {r['floor']}::DOUBLE AND (runner_up IS NULL OR score >= {r['sure']}::DOUBLE OR score - runner_up >= {r['margin']}::DOUBLE)"""
+
+
+_BY_TITLE = ("sitemap_min", "sitemap_slug", "feed_titles")
+#: All pairs of titles of a publisher, matched by the longest common piece, then again left and right of it.
+PAGE_SQL = rf"""WITH RECURSIVE p AS (SELECT page_id, replace(regexp_extract(html,'<title>([^<]*)</title>',1),'%','') AS title, regexp_extract(url,'https?://(?:[^/]*\.)?([a-z]+)\.example',1) AS publisher FROM pages),
+q AS (SELECT *, replace(array_to_string(string_split(title,' ')[1:greatest(len(string_split(title,' '))-page_id%3,1)],'-'),'-',' ') AS slug FROM p),
+n AS (SELECT *, {_noise_free('title')} AS t, {_noise_free('slug')} AS s, coalesce(array_to_string(regexp_extract_all(lower(slug),'[a-z0-9]+'),'-'),'') AS name, 'https://example.org/'||page_id AS url FROM q),
+linked AS (SELECT a.publisher, a.page_id AS item_id, 'https://example.org/p/'||b.name AS url, a.t, {_noise_free("replace(b.name,'-',' ')")} AS s FROM n a JOIN n b ON b.page_id IN (a.page_id, a.page_id+1) WHERE b.name<>''),
+pairs AS (SELECT i.publisher, i.page_id AS item_id, u.page_id AS page, u.url, i.t, u.s, FALSE AS linked FROM n i JOIN n u USING (publisher) WHERE i.t<>'' AND u.s<>''
+ UNION ALL SELECT publisher, item_id, NULL, url, t, s, TRUE FROM linked WHERE t<>'' AND s<>''),
+seg AS (SELECT t, s, t AS a, s AS b, {_pieces('t','s')} AS l FROM (SELECT DISTINCT t, s FROM pairs)
+ UNION ALL SELECT t, s, c.a, c.b, {_pieces('c.a','c.b')} FROM (SELECT t, s, unnest([{{'a': substr(a,1,i-1), 'b': substr(b,1,j-1)}}, {{'a': substr(a,i+k), 'b': substr(b,j+k)}}]) AS c
+  FROM (SELECT *, CAST(instr(b, substr(a,i,k)) AS BIGINT) AS j FROM (SELECT t, s, a, b, CAST(list_max(l) AS BIGINT) AS k, CAST(list_position(l, list_max(l)) AS BIGINT) AS i FROM seg WHERE list_max(l)>0))) WHERE c.a<>'' AND c.b<>''),
+common AS (SELECT t, s, sum(list_max(l)) AS m FROM seg GROUP BY 1,2),
+rated AS (SELECT *, list_distinct(string_split(t,' ')) AS tw, list_distinct(string_split(s,' ')) AS sw FROM pairs JOIN common USING (t,s)),
+scored AS ({" UNION ALL ".join(f"SELECT publisher, item_id, page, url, {_page_score(r)} AS score, '{r}' AS rule FROM rated WHERE NOT linked" for r in (*_BY_TITLE, "video_pages"))}
+ UNION ALL SELECT publisher, item_id, page, url, {_page_score("description_links")}, 'description_links' FROM rated WHERE linked
+ UNION ALL SELECT publisher, item_id, NULL, url, 0, 'description_links' FROM linked WHERE t='' OR s='')
+{" UNION ALL ".join(_matched(r) for r in (*_BY_TITLE, "description_links"))}
+UNION ALL SELECT publisher, item_id, arg_min(url, rn), NULL, 'video_pages' FROM (SELECT *, row_number() OVER (PARTITION BY publisher, item_id ORDER BY score DESC, url DESC) AS rn FROM scored WHERE rule='video_pages') WHERE rn<=12 AND item_id%50 = page%50 GROUP BY 1,2"""
+
+
+@job("match_page_titles", PAGE_SQL)
 def match_page_titles(t):
     items, urls = publisher_pages(t)
-    out = None
-    for rule in ("sitemap_min", "sitemap_slug", "feed_titles"):
-        got = ops.match_page_titles(ops.page_scores(items, urls, rule), rule).withColumn("rule", F.lit(rule))
-        out = got if out is None else out.unionByName(got)
-    by_video = ops.match_page_video(ops.page_scores(items, urls, "video_pages"), items.withColumn("video_id", F.col("item_id") % 50), urls.select("url", (F.col("item_id") % 50).alias("video_id")))
-    return out.unionByName(by_video.select("publisher", "item_id", "url", F.lit(None).cast("double").alias("score"), F.lit("video_pages").alias("rule")))
+    found = [page_titles.match_page_titles(page_titles.best_pages(items, urls, r), r).withColumn("rule", F.lit(r)) for r in _BY_TITLE]
+    name = F.array_join(F.regexp_extract_all(F.lower("slug"), F.lit("([a-z0-9]+)"), F.lit(1)), "-")
+    links = urls.select("item_id", F.when(name != "", F.concat(F.lit("https://example.org/p/"), name)).otherwise("no page").alias("link"))
+    after = links.select((F.col("item_id") - 1).alias("item_id"), F.col("link").alias("next"))
+    told = items.join(links, "item_id").join(after, "item_id", "left").withColumn("description", F.concat_ws(" ", F.lit("Read"), "link", F.lit("or"), "next"))
+    linked = page_titles.match_page_titles(page_titles.description_links(told, r"^https://example\.org/p/([^/?#]+)$"), "description_links")
+    found.append(linked.withColumn("rule", F.lit("description_links")))
+    videos = items.withColumn("video_id", F.col("item_id") % 50)
+    seen = page_titles.match_page_video(page_titles.best_pages(items, urls, "video_pages", top=12), videos, urls.select("url", (F.col("item_id") % 50).alias("video_id")))
+    found.append(seen.select("publisher", "item_id", "url", F.lit(None).cast("double").alias("score"), F.lit("video_pages").alias("rule")))
+    return reduce(DataFrame.unionByName, found)

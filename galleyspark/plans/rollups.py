@@ -90,7 +90,11 @@ def delivery_rollup(t):
     return ops.delivery_rollup(parts.select("run_key", F.when(F.col("ls") == "F", "sent").otherwise("pending").alias("status")))
 
 
-@job("daily_quota")
+@job("daily_quota", """WITH RECURSIVE d AS (SELECT event_type AS stream, CAST(ts AS DATE) AS day, user_id AS asset, min((ts, event_id)) AS f FROM events GROUP BY 1,2,3),
+l AS (SELECT stream, day, row_number() OVER (PARTITION BY stream ORDER BY day) AS n, list(asset ORDER BY f) AS assets FROM d GROUP BY 1,2),
+walk AS (SELECT stream, 0 AS n, NULL::DATE AS day, []::BIGINT[] AS got, []::BIGINT[] AS held FROM (SELECT DISTINCT stream FROM l)
+ UNION ALL SELECT stream, n, day, got, list_concat(held, got) FROM (SELECT w.stream, l.n, l.day, w.held, list_filter(l.assets, lambda a: NOT list_contains(w.held, a))[1:3] AS got FROM walk w JOIN l ON l.stream=w.stream AND l.n=w.n+1))
+SELECT stream, day, unnest(got) AS asset, CAST(unnest(range(1, len(got)+1)) AS INTEGER) AS slot FROM walk""")
 def daily_quota(t):
     req = b.events(t).select(F.col("event_type").alias("stream"), F.to_date("ts").alias("day"), F.col("ts").alias("at"), F.col("event_id").alias("seq"), F.col("user_id").alias("asset"))
     return ops.daily_quota(req, 3)

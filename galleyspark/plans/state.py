@@ -14,43 +14,57 @@ from galleyspark.plans.rollups import CATALOG, _aliases, catalog
 from galleyspark.plans.windows import DAILY, FETCH, TURNS, daily_items, fetch
 from galleyspark.streaming import jobs as streams
 
-SCANS = """scans AS (SELECT user_id%10 AS feed, epoch_us(ts)//21600000000 AS scan_no, make_timestamp((epoch_us(ts)//21600000000)*21600000000) AS scan_at, event_id AS ordinal, CASE WHEN event_id%23<>0 THEN 'g' || (event_id%977) END AS ident, event_id%977 AS item,
- CASE WHEN (event_id%977)%5=0 THEN TIMESTAMP '2023-12-20' WHEN (event_id%977)%7=0 THEN NULL ELSE TIMESTAMP '2024-01-31' END AS published_at FROM events)"""
-LEDGER = """st AS (SELECT feed, min(scan_no) AS first_scan FROM scans WHERE ident IS NOT NULL GROUP BY 1), seen AS (SELECT *, row_number() OVER (PARTITION BY feed, ident ORDER BY scan_no, ordinal) AS rn FROM scans WHERE ident IS NOT NULL),
-o AS (SELECT s.feed, ident, scan_no, scan_at, published_at, first_scan, scan_no > first_scan AND published_at IS NOT NULL AND published_at < scan_at - to_hours(24) AS old FROM seen s JOIN st USING (feed) WHERE rn=1),
-bu AS (SELECT feed, scan_no, count(*) > 3 AS burst FROM o WHERE old GROUP BY 1,2), ledger AS (SELECT o.feed, o.ident, o.scan_at AS first_seen_at, o.scan_no=first_scan OR (old AND coalesce(burst,FALSE)) AS seeded FROM o LEFT JOIN bu USING (feed, scan_no))"""
+SCANS = """slots AS (SELECT user_id%10 AS feed, epoch_us(ts)//21600000000 AS scan_no, make_timestamp((epoch_us(ts)//21600000000)*21600000000) AS scan_at, event_id AS ordinal, event_id%977 AS item,
+ CASE WHEN event_id%23<>0 THEN 'g' || (event_id%977) END AS guid, CASE WHEN event_id%41=0 THEN 'x' || ((event_id+1)%977) WHEN event_id%29<>0 THEN 'x' || (event_id%977) END AS enclosure,
+ CASE WHEN (event_id%977)%5=0 THEN TIMESTAMP '2023-12-20' WHEN (event_id%977)%7=0 THEN NULL ELSE TIMESTAMP '2024-01-31' END AS published_at FROM events),
+scans AS (SELECT *, list_filter([guid, enclosure], lambda k: k IS NOT NULL) AS keys FROM slots WHERE guid IS NOT NULL OR enclosure IS NOT NULL)"""
+#: The ledger walked through one observation of each feed at a time; a burst counts as one more observation behind its scan.
+LEDGER = """st AS (SELECT feed, min(scan_no) AS first_scan FROM scans GROUP BY 1), born AS (SELECT feed, key, min((scan_no, ordinal)) AS place FROM (SELECT feed, scan_no, ordinal, unnest(keys) AS key FROM scans) GROUP BY 1,2),
+fresh AS (SELECT feed, scan_no, ordinal FROM (SELECT feed, scan_no, ordinal, unnest(keys) AS key FROM scans) s JOIN born USING (feed, key) GROUP BY 1,2,3 HAVING bool_and(place = (scan_no, ordinal))),
+late AS (SELECT s.* FROM scans s JOIN fresh USING (feed, scan_no, ordinal) JOIN st USING (feed) WHERE scan_no > first_scan AND published_at < scan_at - to_hours(24)),
+burst AS (SELECT feed, scan_no FROM late GROUP BY 1,2 HAVING count(*) > 3),
+ev AS (SELECT *, dense_rank() OVER (PARTITION BY feed ORDER BY scan_no, behind, ordinal) AS n FROM (SELECT feed, scan_no, 0 AS behind, ordinal, keys, scan_at AS seen_at, scan_no = first_scan AS seed FROM scans JOIN st USING (feed)
+ UNION ALL SELECT feed, scan_no, 1, 0, [unnest(keys)], NULL, TRUE FROM late JOIN burst USING (feed, scan_no))),
+walk(feed, key, first_seen_at, seeded, n) USING KEY (feed, key) AS (SELECT feed, unnest(keys), seen_at, seed, n FROM ev WHERE n=1
+ UNION SELECT feed, unnest(keys), first_seen_at, seeded, n FROM (SELECT e.feed, e.n, e.keys, least(min(l.first_seen_at), any_value(e.seen_at)) AS first_seen_at, any_value(e.seed) OR coalesce(bool_or(l.seeded), FALSE) AS seeded
+  FROM ev e JOIN (SELECT max(n)+1 AS n FROM walk) x USING (n) LEFT JOIN recurring.walk l ON l.feed = e.feed AND list_contains(e.keys, l.key) GROUP BY 1,2,3)),
+ledger AS (SELECT feed, key, first_seen_at, seeded FROM walk)"""
 
 
 def scans(t):
     slot = F.floor(F.unix_micros("ts") / 21600000000)
     e, item = F.col("event_id"), F.col("event_id") % 977
-    return b.events(t).select((F.col("user_id") % 10).alias("feed"), slot.alias("scan_no"), F.timestamp_micros(slot * 21600000000).alias("scan_at"), e.alias("ordinal"), F.when(e % 23 != 0, F.concat(F.lit("g"), item)).alias("ident"), item.alias("item"),
+    guid = F.when(e % 23 != 0, F.concat(F.lit("g"), item))
+    enclosure = F.when(e % 41 == 0, F.concat(F.lit("x"), (e + 1) % 977)).when(e % 29 != 0, F.concat(F.lit("x"), item))
+    return b.events(t).select((F.col("user_id") % 10).alias("feed"), slot.alias("scan_no"), F.timestamp_micros(slot * 21600000000).alias("scan_at"), e.alias("ordinal"), F.array_compact(F.array(guid, enclosure)).alias("keys"), item.alias("item"),
                               F.when(item % 5 == 0, b.ts("2023-12-20 00:00:00")).when(item % 7 != 0, b.ts("2024-01-31 00:00:00")).alias("published_at"))
 
 
-@job("first_seen", f"WITH {SCANS}, {LEDGER} SELECT feed, ident, strftime(first_seen_at,'%Y-%m-%d %H') AS first_seen, seeded FROM ledger")
+FIRST_SEEN = f"WITH RECURSIVE {SCANS}, {LEDGER} SELECT feed, key, strftime(first_seen_at,'%Y-%m-%d %H') AS first_seen, seeded FROM ledger"
+
+
+@job("first_seen", FIRST_SEEN)
 def first_seen(t):
-    """Item keys of a feed are linked where they were seen together; here guid and enclosure always agree, so links are trivial but computed."""
-    s = scans(t)
-    labels = ops.link_aliases(s.select("feed", F.when(F.col("ident").isNotNull(), F.array("ident", F.concat(F.lit("x"), "ident"))).otherwise(F.array().cast("array<string>")).alias("keys")))
-    linked = s.withColumnRenamed("ident", "key").join(labels, ["feed", "key"], "left")
-    return ops.first_seen(linked, 24).select("feed", "ident", F.date_format("first_seen_at", "yyyy-MM-dd HH").alias("first_seen"), "seeded")
+    """Some enclosures move on to the next item of the catalogue, which links items from then on."""
+    return ops.first_seen(scans(t), 24).select("feed", "key", F.date_format("first_seen_at", "yyyy-MM-dd HH").alias("first_seen"), "seeded")
 
 
-@job("promote_late", f"WITH {SCANS}, {LEDGER}, i AS (SELECT DISTINCT feed, ident, item, published_at FROM scans WHERE ident IS NOT NULL) SELECT item AS item_id, feed, strftime(first_seen_at,'%Y-%m-%d %H') AS first_seen FROM i JOIN ledger USING (feed, ident) WHERE NOT seeded AND first_seen_at BETWEEN TIMESTAMP '2024-01-31' - to_hours(600) AND TIMESTAMP '2024-01-31' AND published_at < TIMESTAMP '2024-01-31' - to_hours(600) AND published_at >= TIMESTAMP '2024-01-31' - to_days(45)")
+@job("promote_late", f"""WITH RECURSIVE {SCANS}, {LEDGER}, i AS (SELECT DISTINCT feed, item, published_at, unnest(keys) AS key FROM scans),
+e AS (SELECT feed, item, published_at, min(first_seen_at) AS f, bool_or(seeded) AS seeded FROM i JOIN ledger USING (feed, key) GROUP BY 1,2,3)
+SELECT item AS item_id, feed, strftime(f,'%Y-%m-%d %H') AS first_seen FROM e WHERE NOT seeded AND f BETWEEN TIMESTAMP '2024-01-31' - to_hours(600) AND TIMESTAMP '2024-01-31' AND published_at < TIMESTAMP '2024-01-31' - to_hours(600) AND published_at >= TIMESTAMP '2024-01-31' - to_days(45)""")
 def promote_late(t):
     s = scans(t)
-    items = s.filter("ident is not null").select("feed", "ident", F.col("item").alias("item_id"), "published_at").distinct()
+    items = s.select("feed", F.col("item").alias("item_id"), "published_at", F.explode("keys").alias("key")).groupBy("feed", "item_id", "published_at").agg(F.collect_set("key").alias("keys"))
     return ops.promote_late(items, ops.first_seen(s, 24), b.ts(b.NOW), 600).select("item_id", "feed", F.date_format("first_seen_at", "yyyy-MM-dd HH").alias("first_seen"))
 
 
-@job("first_seen_stream", f"WITH {SCANS}, {LEDGER} SELECT feed, ident, strftime(first_seen_at,'%Y-%m-%d %H') AS first_seen, seeded FROM ledger")
+@job("first_seen_stream", FIRST_SEEN)
 def first_seen_stream(t):
-    class Streamed:
-        events = t.spark.readStream.schema(t.events.schema).option("pathGlobFilter", "events.parquet").parquet(t.folder)
-
-    seen = streams.run_available(streams.first_observations_stream(scans(Streamed)), "update", ["feed", "ident"])
-    return ops.seed_rules(seen, 24).select("feed", "ident", F.date_format("first_seen_at", "yyyy-MM-dd HH").alias("first_seen"), "seeded")
+    """Documents of scans arrive in order, some to a batch."""
+    item = F.struct("ordinal", "keys", "published_at")
+    documents = scans(t).groupBy("feed", "scan_no", "scan_at").agg(F.sort_array(F.collect_list(item)).alias("items"))
+    stream = streams.first_seen_stream(b.arriving(documents, "scan_no", "feed"), 24)
+    return streams.run_available(stream, "update", ["feed", "key"]).select("feed", "key", F.date_format("first_seen_at", "yyyy-MM-dd HH").alias("first_seen"), "seeded")
 
 
 @job("first_seen_articles", """WITH f AS (SELECT 'u' || user_id || '/' || (event_id%50) AS url, min(ts) AS at, bool_or(event_type='view') AS dated FROM events GROUP BY 1) SELECT url, strftime("at",'%Y-%m-%d %H:%M:%S') AS first_seen, dated OR CAST("at" + to_hours(8) AS DATE) = DATE '2024-01-29' AS eligible FROM f""")

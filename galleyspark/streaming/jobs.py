@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import json
 import uuid
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import LongType, StructField, StructType
 
 from galleyspark.session import ensure_checkpoint_dir
@@ -27,15 +26,18 @@ def run_available(stream: DataFrame, mode: str, keys: list[str] | None = None) -
     def write(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{base}/out/batch={number}")
 
-    # Timeouts on the wall clock ask for one empty batch after another; this run ends with its data.
-    flag = "spark.sql.streaming.noDataMicroBatches.enabled"
-    before = spark.conf.get(flag)
-    spark.conf.set(flag, "false")
+    # Timeouts on the wall clock ask for one empty batch after another; this run ends with its data. State lies on disk.
+    flags = {"spark.sql.streaming.noDataMicroBatches.enabled": "false",
+             "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"}
+    before = {k: spark.conf.get(k) for k in flags}
+    for k, v in flags.items():
+        spark.conf.set(k, v)
     try:
         q = stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", f"{base}/log").trigger(availableNow=True).start()
         q.awaitTermination()
     finally:
-        spark.conf.set(flag, before)
+        for k, v in before.items():
+            spark.conf.set(k, v)
     out = spark.read.schema(StructType([*stream.schema.fields, StructField("batch", LongType())])).parquet(f"{base}/out")
     if not keys:
         return out.drop("batch")
@@ -43,12 +45,40 @@ def run_available(stream: DataFrame, mode: str, keys: list[str] | None = None) -
     return out.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("v")).select(*keys, "v.*")
 
 
-def latest_status_stream(fetch: DataFrame) -> DataFrame:
+class _Processor(StatefulProcessor):
+    """Nothing to close."""
+
+    def close(self) -> None:
+        pass
+
+
+class _LatestStatus(_Processor):
+    """The latest row of one (source, url), gone when none came for ``keep_days``."""
+
+    def __init__(self, keep_days: float):
+        self.ttl = max(1, int(keep_days * 86_400_000))
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.latest = handle.getValueState("latest", "run_at timestamp, rowid long, source_type string, status string, reason string", self.ttl)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        best = self.latest.get()
+        best = (pd.Timestamp(best[0]), *best[1:]) if best else None
+        for frame in rows:
+            r = frame.sort_values(["run_at", "rowid"]).iloc[-1]
+            new = (r.run_at, int(r.rowid), r.source_type, r.status, r.reason)
+            best = new if best is None or new[:2] > best[:2] else best
+        self.latest.update((best[0].to_pydatetime(), *best[1:]))
+        yield pd.DataFrame([(*key, *best)], columns=["source", "url", "run_at", "rowid", "source_type", "status", "reason"])
+
+
+def latest_status_stream(fetch: DataFrame, keep_days: float = 3) -> DataFrame:
     """Latest status per (source, url), in update mode. fetch: a stream of rowid, run_at, source, url, source_type, status, reason.
 
-    The aggregate buffer is one row per key and combines before the shuffle, so a busy source is no hot spot.
+    One row per key is state; a key that is silent for ``keep_days`` is forgotten.
     """
-    return fetch.groupBy("source", "url").agg(F.max(F.struct("run_at", "rowid", "source_type", "status", "reason")).alias("r")).select("source", "url", "r.*")
+    out = "source {}, url {}, run_at timestamp, rowid long, source_type string, status string, reason string".format(*(dict(fetch.dtypes)[c] for c in ("source", "url")))
+    return fetch.groupBy("source", "url").transformWithStateInPandas(_LatestStatus(keep_days), out, "Update", "ProcessingTime")
 
 
 def first_seen_articles_stream(urls: DataFrame) -> DataFrame:
@@ -61,64 +91,126 @@ def observation_stream(log: DataFrame) -> DataFrame:
     return log.groupBy("item_id").agg(F.max_by(F.struct("podcast", "status", "stars", "observed_at"), "seq").alias("o")).select("item_id", "o.*")
 
 
-def _frame(rows: Iterator[pd.DataFrame], order: list[str]) -> pd.DataFrame:
-    """The rows a key got in this batch, in log order. A batch is bounded by the trigger, not by the key's history."""
-    return pd.concat(list(rows)).sort_values(order)
+KEEP, USER_CHARS, REPLY_CHARS, IDLE_MS = 4, 500, 2000, 168 * 3600 * 1000
 
 
-KEEP, USER_CHARS, REPLY_CHARS, IDLE_MS = 4, 500, 2000, 168 * 3600 * 1000
+class _Window(_Processor):
+    """The last exchanges of a session, and the turn that may be answered next. Idle sessions are forgotten."""
 
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.kept = handle.getListState("kept", "turn long, user string, reply string", IDLE_MS)
+        self.last = handle.getValueState("last", "role string, text string", IDLE_MS)
 
-def _window(key, rows, state: GroupState):
-    """Keeps the last exchanges of a session and the turn that may be answered next."""
-    if state.hasTimedOut:
-        state.remove()
-        return
-    kept, prev = json.loads(state.get[0]) if state.exists else ([], None)
-    for r in _frame(rows, ["turn"]).itertuples(index=False):
-        if prev is not None and r.role == "assistant" and prev[0] == "user":
-            user, reply = " ".join(prev[1].split())[:USER_CHARS], r.text.strip()[:REPLY_CHARS]
-            if user and reply:
-                kept.append([int(r.turn), user, reply])
-        prev = [r.role, r.text]
-    kept = kept[-KEEP:]
-    state.update((json.dumps([kept, prev]),))
-    state.setTimeoutDuration(IDLE_MS)
-    if kept:
-        yield pd.DataFrame({"session": [key[0]], "exchanges": [len(kept)], "first_turn": [kept[0][0]], "last_turn": [kept[-1][0]], "chars": [sum(len(u) + len(a) for _, u, a in kept)]})
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        kept = [(t, u, a) for t, u, a in self.kept.get()] if self.kept.exists() else []
+        prev = tuple(self.last.get()) if self.last.exists() else None
+        told = ((int(t), r, x) for frame in rows for t, r, x in zip(frame["turn"], frame["role"], frame["text"], strict=True))
+        # Of a turn no more is held than a window may show of it.
+        turns = sorted((t, r, " ".join(x.split())[:USER_CHARS] if r == "user" else x.strip()[:REPLY_CHARS]) for t, r, x in told)
+        for turn, role, text in turns:
+            if prev is not None and role == "assistant" and prev[0] == "user" and prev[1] and text:
+                kept.append((turn, prev[1], text))
+            prev = (role, text)
+        kept = kept[-KEEP:]
+        if kept:
+            self.kept.put(kept)
+        self.last.update(prev)
+        if kept:
+            yield pd.DataFrame({"session": [key[0]], "exchanges": [len(kept)], "first_turn": [kept[0][0]], "last_turn": [kept[-1][0]], "chars": [sum(len(u) + len(a) for _, u, a in kept)]})
 
 
 def conversation_window(turns: DataFrame) -> DataFrame:
-    """Sizes of each session's window as turns arrive. turns: a stream of session, turn, role, text. Idle sessions expire."""
+    """Sizes of each session's window as turns arrive. turns: a stream of session, turn, role, text. A session's state is a list of four exchanges."""
     out = "session long, exchanges int, first_turn long, last_turn long, chars int"
-    return turns.groupBy("session").applyInPandasWithState(_window, out, "window string", "update", "ProcessingTimeTimeout")
+    return turns.groupBy("session").transformWithStateInPandas(_Window(), out, "Update", "ProcessingTime")
 
 
-def _backlog(key, rows, state: GroupState):
-    """Attempts and next check of one item; a final item stays final."""
-    minute, day = 60_000_000, 86_400_000_000
-    s = state.get if state.exists else None
-    for r in _frame(rows, ["at", "seq"]).itertuples(index=False):
-        at = int(r.at)
-        created, attempts, final = s[:3] if s else (at, 0, False)
-        late = at - created >= 3 * day and attempts >= 2
-        final = bool(final or (s and r.counted and (late or attempts >= 71)))
-        wait = 360 * minute if s and attempts >= 48 else 30 * minute
-        s = (created, attempts + int(r.counted), final, at + wait)
-    state.update(s)
-    yield pd.DataFrame({"item_id": [key[0]], "created": [s[0]], "attempts": [s[1]], "final": [s[2]], "next": [s[3]]})
+MINUTE, DAY = 60_000_000, 86_400_000_000
 
 
-def backlog_stream(failures: DataFrame) -> DataFrame:
-    """failures: a stream of item_id, seq, at (microseconds), counted."""
-    out = "item_id long, created long, attempts long, final boolean, next long"
-    return failures.groupBy("item_id").applyInPandasWithState(_backlog, out, "created long, attempts long, final boolean, next long", "update", "NoTimeout")
+class _Backlog(_Processor):
+    """Attempts and next check of one item; a final item stays final. A timer reports when the next check is due."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.state = handle.getValueState("item", "created long, attempts long, final boolean, next long")
 
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        s = tuple(self.state.get()) if self.state.exists() else None
+        if s:
+            self.handle.deleteTimer(s[3] // 1000)
+        failures = sorted((int(at), int(seq), bool(counted)) for frame in rows for at, seq, counted in zip(frame["at"], frame["seq"], frame["counted"], strict=True))
+        for at, _, counted in failures:
+            created, attempts, final = s[:3] if s else (at, 0, False)
+            late = at - created >= 3 * DAY and attempts >= 2
+            final = bool(final or (s and counted and (late or attempts >= 71)))
+            s = (created, attempts + int(counted), final, at + (360 if s and attempts >= 48 else 30) * MINUTE)
+        self.state.update(s)
+        if not s[2]:
+            self.handle.registerTimer(s[3] // 1000)
+        yield self._row(key, s, False)
 
-def first_observations_stream(scans: DataFrame) -> DataFrame:
-    """First observation per (feed, identity), in update mode: all that the first-seen rules need to remember.
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        yield self._row(key, tuple(self.state.get()), True)
 
-    State is keyed by identity, so a feed with very many items is spread out; ``operators.state.seed_rules`` reads the result.
+    def _row(self, key, s, due: bool) -> pd.DataFrame:
+        return pd.DataFrame({"item_id": [key[0]], "created": [s[0]], "attempts": [s[1]], "final": [s[2]], "next": [s[3]], "due": [due]})
+
+
+def backlog_stream(failures: DataFrame) -> DataFrame:
+    """failures: a stream of item_id, seq, at (microseconds), counted. Returns an item's state after each trigger that brings failures, and once more,
+    with ``due``, when its next check has come."""
+    out = "item_id long, created long, attempts long, final boolean, next long, due boolean"
+    return failures.groupBy("item_id").transformWithStateInPandas(_Backlog(), out, "Update", "ProcessingTime")
+
+
+class _FirstSeen(_Processor):
+    """Ledger of one feed: a map of item keys to (first seen, seeded). Each row is the document of one scan."""
+
+    def __init__(self, lookback_hours: int, burst_limit: int):
+        self.lookback, self.burst_limit = pd.Timedelta(hours=lookback_hours), burst_limit
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.ledger = handle.getMapState("ledger", "key string", "first timestamp, seeded boolean")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        changed: dict = {}
+        for scan in pd.concat(list(rows)).sort_values("scan_no").itertuples(index=False):  # the scans of one trigger
+            changed |= self._scan(scan)
+        if changed:
+            first, seeded = zip(*changed.values(), strict=True)
+            yield pd.DataFrame({"feed": [key[0]] * len(changed), "key": list(changed), "first_seen_at": pd.to_datetime(list(first)), "seeded": list(seeded)})
+
+    def _scan(self, scan) -> dict:
+        initial, late, entries = not self.ledger.exists(), [], {}
+
+        def known(k):
+            if k not in entries and self.ledger.containsKey((k,)):
+                entries[k] = tuple(self.ledger.getValue((k,)))
+            return entries.get(k)
+
+        cutoff = (scan.scan_at - self.lookback).value // 1000
+        for keys, published in zip(scan.item_keys, scan.published, strict=True):
+            own = list(dict.fromkeys(keys.split("\u0001"))) if keys else []
+            had = [e for e in map(known, own) if e]
+            if own and not had and not initial and published < cutoff:
+                late.append(own)
+            entries.update((k, (min((first for first, _ in had), default=scan.scan_at), initial or any(seeded for _, seeded in had))) for k in own)
+        if len(late) > self.burst_limit:
+            entries.update((k, (entries[k][0], True)) for own in late for k in own)
+        for k, (first, seeded) in entries.items():
+            self.ledger.updateValue((k,), (pd.Timestamp(first).to_pydatetime(), bool(seeded)))
+        return {k: (pd.Timestamp(first), bool(seeded)) for k, (first, seeded) in entries.items()}
+
+
+def first_seen_stream(scans: DataFrame, lookback_hours: int, burst_limit: int = 3) -> DataFrame:
+    """Changed ledger entries (feed, key, first_seen_at, seeded) as the documents of scans arrive, as ``operators.state.first_seen`` folds them.
+
+    scans: a stream of feed, scan_no, scan_at, items (array of ordinal, keys, published_at in document order). The scans of a feed arrive in order;
+    those of one trigger are sorted. State is a map on disk: a scan reads the entries of its own items only.
     """
-    return scans.filter(F.col("ident").isNotNull()).groupBy("feed", "ident").agg(
-        F.min(F.struct("scan_no", "ordinal", "scan_at", "published_at")).alias("o")).select("feed", "ident", "o.scan_no", "o.scan_at", "o.published_at")
+    out = f"feed {dict(scans.dtypes)['feed']}, key string, first_seen_at timestamp, seeded boolean"
+    undated = F.lit(2**62)
+    flat = scans.select("feed", "scan_no", "scan_at", F.transform("items", lambda i: F.array_join(F.filter(i["keys"], lambda k: k != ""), "\u0001")).alias("item_keys"),
+                        F.transform("items", lambda i: F.coalesce(F.unix_micros(i["published_at"]), undated)).alias("published"))
+    return flat.groupBy("feed").transformWithStateInPandas(_FirstSeen(lookback_hours, burst_limit), out, "Update", "None")

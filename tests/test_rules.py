@@ -108,19 +108,6 @@ def test_daily_quota_equals_loop(spark):
     assert values(rollups.daily_quota(df, 3), "day", "asset", "slot") == sorted(want)
 
 
-def test_first_seen_links_aliases_and_bursts(spark):
-    t0 = datetime(2024, 1, 1)
-    old, new = datetime(2023, 11, 1), datetime(2024, 1, 9)
-    obs = [(1, 0, t0, 0, ["g1", "e1"], old), (1, 1, t0 + timedelta(hours=6), 0, ["g2"], old), (1, 2, t0 + timedelta(hours=12), 0, ["g2", "e2"], old), (1, 3, t0 + timedelta(hours=18), 0, ["e2"], old)]
-    obs += [(1, 4, t0 + timedelta(hours=24), i, [f"n{i}"], old) for i in range(4)] + [(1, 4, t0 + timedelta(hours=24), 9, ["fresh"], new)]
-    df = spark.createDataFrame(obs, "feed int, scan_no int, scan_at timestamp, ordinal int, keys array<string>, published_at timestamp")
-    labels = state.link_aliases(df)
-    linked = df.withColumn("key", F.col("keys")[0]).join(labels, ["feed", "key"], "left")
-    got = {r.ident: (r.first_seen_at, r.seeded) for r in state.first_seen(linked, 24).collect()}
-    assert got["e1"] == (t0, True) and got["e2"] == (t0 + timedelta(hours=6), False)
-    assert all(got[f"n{i}"][1] for i in range(4)) and not got["fresh"][1]
-
-
 def test_links():
     cases = {"https://Example.com:443/a/?b=2&utm_source=x&a=1#f": "https://example.com/a?a=1&b=2", "http://example.com": "https://example.com", "https://example.com:8443/x/": "https://example.com:8443/x", "ftp://example.com": "", "nonsense": ""}
     from pyspark.sql import SparkSession
