@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 # White space of any script, written out: the Unicode flag makes every match slower.
 _SPACE = r"[\s\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
+NOT_BLANK = _SPACE.replace("[", "[^", 1).replace("]+", "]")  # one character that is no white space
 BLANKS, EDGE_BLANKS = _SPACE, rf"\A{_SPACE}|{_SPACE}\z"
 
 
@@ -35,12 +36,6 @@ def normalised(c: Column | str) -> Column:
     return collapse(casefold(c))
 
 
-def longest_word(c: Column | str) -> Column:
-    """Longest ASCII word of a folded text (the later one in sort order on ties); empty if there is none."""
-    words = F.transform(F.regexp_extract_all(col(c), F.lit("([a-z0-9]+)"), F.lit(1)), lambda w: F.struct(F.length(w).alias("n"), w.alias("w")))
-    return F.coalesce(F.array_max(words)["w"], F.lit(""))
-
-
 def occurrences(body: Column, word: Column) -> Column:
     """Non-overlapping occurrences of ``word``."""
     return ((F.length(body) - F.length(F.replace(body, word, F.lit("")))) / F.length(word)).cast("int")

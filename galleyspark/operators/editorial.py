@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from galleyspark.functions.text import longest_word, normalised
+from galleyspark.functions.text import normalised
+from galleyspark.operators.containment import contained
 
 # The five reading recommendations.
 ADVICE = ["值得编译", "值得看全文", "看摘要", "值得看摘要", "无关"]
@@ -84,18 +85,10 @@ def active_focus(focus: DataFrame, today: Column) -> DataFrame:
 
 
 def focus_mentions(docs: DataFrame, focus: DataFrame) -> DataFrame:
-    """Whole-word mentions of focus names. docs: item_id, text. focus: focus_id, name (at least 2 characters).
-
-    A name is looked up through its longest word, which every mention must contain as a whole word: documents emit the
-    distinct words some name is keyed by, and only documents that share a name's key are tested against it.
-    """
-    names = focus.select("focus_id", normalised("name").alias("name")).filter(F.length("name") >= 2).withColumn("word", longest_word("name"))
-    d = docs.select("item_id", normalised("text").alias("body"))
-    # A name without any plain word has the empty key, which every document also emits.
-    words = d.select("item_id", F.explode(F.array_distinct(F.concat(F.array(F.lit("")), F.regexp_extract_all("body", F.lit("([a-z0-9]+)"), F.lit(1))))).alias("word"))
-    pairs = words.join(names, "word").select("item_id", "focus_id", "name")
-    whole = F.rlike("body", F.concat(F.lit(r"(?<![a-z0-9])\Q"), "name", F.lit(r"\E(?![a-z0-9])")))
-    return pairs.join(d, "item_id").filter(F.contains(F.col("body"), F.col("name")) & whole).select("item_id", "focus_id")
+    """Whole-word mentions of focus names, in any script. docs: item_id (unique), text. focus: focus_id, name (at least 2 characters)."""
+    names = focus.select("focus_id", normalised("name").alias("pattern"))
+    found = contained(docs.select("item_id", normalised("text").alias("body")), names, whole=True)
+    return found.join(names, "pattern").select("item_id", "focus_id")
 
 
 def reviews_in_run(runs: DataFrame, reviews: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from galleyspark.functions.arrow import nfkc
 from galleyspark.functions.text import BLANKS, casefold, collapse, normalised, stripped
 from galleyspark.operators.columns import quote_units
+from galleyspark.operators.containment import contained
 from galleyspark.operators.ordered import Running, first_n, prefix_scan
 
 
@@ -34,19 +35,9 @@ def distinct_quotes(grounding: DataFrame) -> DataFrame:
 
 
 def quote_sources(quotes: DataFrame, docs: DataFrame, min_chars: int = 12) -> DataFrame:
-    """Which documents contain which quotes, when quotes name none. quotes: quote_id, text. docs: item_id, text.
-
-    Words inside a quote (not its first or last, which may be cut) are whole words of any document that contains it. A quote
-    is keyed by the longest of these; documents emit their distinct words. Quotes without an inner word meet all documents.
-    """
-    q = quotes.select("quote_id", normalised("text").alias("q")).filter(F.length("q") >= min_chars)
-    tokens = F.regexp_extract_all("q", F.lit(r"([\p{L}\p{N}]+)"), F.lit(1))
-    inner = F.transform(F.slice(tokens, 2, F.greatest(F.size(tokens) - 2, F.lit(0))), lambda w: F.struct(F.length(w).alias("n"), w.alias("w")))
-    q = q.withColumn("word", F.coalesce(F.array_max(inner)["w"], F.lit("")))
-    d = docs.select("item_id", normalised("text").alias("body"))
-    words = d.select("item_id", F.explode(F.array_distinct(F.concat(F.array(F.lit("")), F.regexp_extract_all("body", F.lit(r"([\p{L}\p{N}]+)"), F.lit(1))))).alias("word"))
-    pairs = words.join(q, "word").select("item_id", "quote_id", "q")
-    return pairs.join(d, "item_id").filter(F.contains(F.col("body"), F.col("q"))).select("quote_id", "item_id")
+    """Which documents contain which quotes, when quotes name none. quotes: quote_id, text. docs: item_id (unique), text."""
+    q = quotes.select("quote_id", normalised("text").alias("pattern")).filter(F.length("pattern") >= min_chars)
+    return contained(docs.select("item_id", normalised("text").alias("body")), q).join(q, "pattern").select("quote_id", "item_id")
 
 
 def citation_integrity(answers: DataFrame, chunks: DataFrame, max_points: int = 6, max_ids: int = 3, max_chars: int = 160, max_quote: int = 120, max_units: int = 25) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql.window import Window
 
 from galleyspark.functions.arrow import accent_free
 from galleyspark.functions.text import BLANKS, casefold, occurrences
+from galleyspark.operators.containment import contained
 from galleyspark.operators.ordered import dense_position, first_n
 from galleyspark.session import cut_lineage
 
@@ -119,26 +120,39 @@ def search_metadata(t: DataFrame, term: str, n: int) -> DataFrame:
             .orderBy("match_rank", F.desc_nulls_last("published_at"), F.desc("stored_at"), "item_id").limit(n))
 
 
-def search_chunks(chunks: DataFrame, queries: dict[str, str], top: int = 12) -> DataFrame:
-    """Lexical scores of chunks for a few queries in one pass. chunks: chunk_id, text. queries: id -> query text.
+#: Words that a search looks for: they lie within one such run of the text, so a text is searched through its runs.
+SEARCH_WORD, SEARCH_RUN = r"([a-z0-9]+|[\x{3400}-\x{9fff}]{2,})", r"([a-z0-9]+|[\x{3400}-\x{9fff}]+)"
 
-    score = sum over the query's words (a repeated word counts again) of min(occurrences, 5). Words are literals of the plan,
-    so each chunk is read once for all queries and nothing is joined. A task keeps ``top`` rows per query before the shuffle.
+
+def chunk_index(chunks: DataFrame) -> DataFrame:
+    """Postings of an inverted index: run, chunk_id, n. chunks: chunk_id, text. Built once; searches read the postings of their words only, never a text."""
+    return chunks.select("chunk_id", F.explode(F.regexp_extract_all(casefold("text"), F.lit(SEARCH_RUN), F.lit(1))).alias("run")).groupBy("run", "chunk_id").agg(F.count("*").alias("n"))
+
+
+def search_chunks(index: DataFrame, queries: DataFrame, top: int = 12, most: int = 5) -> DataFrame:
+    """query_id, chunk_id, score, place, matching: the ``top`` chunks of each query and the number of all that match it.
+
+    index: the rows of ``chunk_index``. queries: query_id, query; any number of them in one plan. score = sum over the query's words (a repeated
+    word counts again) of min(occurrences, ``most``), where a word also occurs inside a longer run. Queries without words find nothing.
     """
-    scores = []
-    for qid, query in queries.items():
-        words = re.findall(r"[a-z0-9]+|[\u3400-\u9fff]{2,}", query.casefold())
-        if not words:
-            raise ValueError(f"query without searchable words: {qid}")
-        total = F.lit(0)
-        for w in words:
-            total = total + F.least(F.lit(5), occurrences(F.col("body"), F.lit(w)))
-        scores.append(F.struct(F.lit(qid).alias("query_id"), total.alias("score")))
-    scored = (chunks.select("chunk_id", casefold("text").alias("body"))
-              .select("chunk_id", F.explode(F.array(*scores)).alias("s")).select("chunk_id", "s.*").filter("score > 0"))
+    words = queries.select("query_id", F.explode(F.regexp_extract_all(casefold("query"), F.lit(SEARCH_WORD), F.lit(1))).alias("word")).groupBy("query_id", "word").agg(F.count("*").alias("times"))
+    words = cut_lineage(words)
+    inside = inner_words(index.select("run").distinct(), words.select("word").distinct())
+    # A word weighs the same in all queries: its hits by chunk are counted once, whatever the number of queries.
+    hits = index.join(inside, "run").groupBy("word", "chunk_id").agg(F.least(F.sum(F.col("n") * F.col("inner")), F.lit(most)).alias("hits"))
+    scored = hits.join(words, "word").groupBy("query_id", "chunk_id").agg(F.sum(F.col("hits") * F.col("times")).cast("int").alias("score"))
+    scored = cut_lineage(scored)
     total = scored.groupBy("query_id").agg(F.count("*").alias("matching"))
-    head = first_n(scored, ["query_id"], [F.desc("score"), F.col("chunk_id")], top, "place")
-    return head.join(total, "query_id")
+    return first_n(scored, ["query_id"], [F.desc("score"), F.col("chunk_id")], top, "place").join(total, "query_id")
+
+
+def inner_words(runs: DataFrame, words: DataFrame) -> DataFrame:
+    """run, word, inner: the words that occur in a run, and how often without overlap."""
+    short = words.filter(F.length("word") < 2).select("word")  # single characters are found by the characters of a run
+    by_character = runs.select("run", F.explode(F.array_distinct(F.split("run", ""))).alias("word")).join(short, "word")
+    longer = contained(runs.select(F.col("run").alias("item_id"), F.col("run").alias("body")), words.select(F.col("word").alias("pattern"))).select(F.col("item_id").alias("run"), F.col("pattern").alias("word"))
+    found = longer.unionByName(by_character.select("run", "word"))
+    return found.select("run", "word", occurrences(F.col("run"), F.col("word")).alias("inner"))
 
 
 def search_items(items: DataFrame, query: str, now: Column, days: int = 90, scan: int = 100, top: int = 12) -> DataFrame:

@@ -424,6 +424,9 @@ def merge_rolling_captions(captions: DataFrame) -> DataFrame:
 
 # Sentence shape and the words that protect a sentence.
 ZH_SENTENCE = r"([^。！？]+[。！？]?(?:[”’」』])?)"
+DURATION = "(?:数|几|多|[0-9]+|[一二三四五六七八九十两]+)(?:天|周|月|年)"
+CLIPPABLE = "降低|提高|减少|增加|推动|削弱|建立|完成|保持|解决|发展|进行"
+RESULT_WORDS, MODAL = "，|则|那么|就|才", "能(?!力)"
 PROTECTED = "认为|可能|若|如果|否则|只有|除非|则|称|不认同|仅"
 HEDGES = ["认为", "可能", "若", "称", "不认同"]
 CONNECTORS = ["若", "如果", "否则", "只有", "除非"]
@@ -456,7 +459,7 @@ def extractive_compact(docs: DataFrame, ratio: float = 0.4) -> DataFrame:
 
 
 def _digit_tokens(text: Column) -> Column:
-    return F.array_distinct(F.regexp_extract_all(text, F.lit(r"(?<![A-Za-z0-9])(\d+(?:[,.]\d+)*)(?![A-Za-z0-9])"), F.lit(1)))
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(r"(?<![A-Za-z0-9])(\d++(?:[,.]\d++(?![A-Za-z0-9]))*+)(?![A-Za-z0-9])"), F.lit(1)))
 
 
 def translation_checks(source: DataFrame, target: DataFrame) -> DataFrame:
@@ -470,6 +473,40 @@ def translation_checks(source: DataFrame, target: DataFrame) -> DataFrame:
     return j.select("item_id", "seg", problem.alias("problem"))
 
 
+# What a speaker label may look like, and the label for a speaker nobody knows.
+LABEL_LINE, LABEL = r"(?m)^[ \t]*([^\n:：]{1,60})[:：]", r"^[A-Za-z\x{3400}-\x{9fff}][A-Za-z\x{3400}-\x{9fff}\d .’'-]{0,59}$"
+NO_LABELS, UNKNOWN_SPEAKER = ["http", "https", "ftp"], ("未知说话人", "Unknown Speaker")
+
+
+def speaker_labels(text: Column) -> Column:
+    """Labels at line starts, in order."""
+    found = F.transform(F.regexp_extract_all(without_stamps(text), F.lit(LABEL_LINE), F.lit(1)), stripped)
+    return F.filter(found, lambda v: v.rlike(LABEL) & ~F.lower(v).isin(NO_LABELS))
+
+
+def _collapsed(labels: Column) -> Column:
+    """Without those that repeat the one before."""
+    return F.filter(labels, lambda v, i: (i == 0) | (v != F.get(labels, i - 1)))
+
+
+def speaker_mismatches(source: DataFrame, target: DataFrame) -> DataFrame:
+    """Translated segments in which speakers do not take turns as in the source. Both: item_id, seg, text. Returns item_id, seg, expected, seen.
+
+    A translation may call a speaker by the first name if no other speaker of the item has it; other labels are no speakers.
+    """
+    s = source.select("item_id", "seg", speaker_labels(F.col("text")).alias("labels"))
+    names = s.select("item_id", F.explode("labels").alias("name")).distinct().withColumn("first", F.substring_index("name", " ", 1))
+    alone = names.groupBy("item_id", "first").agg(F.count("*").alias("n"), F.min("name").alias("name"))
+    alias = names.select("item_id", F.col("name").alias("alias"), "name").unionByName(alone.filter((F.col("n") == 1) & (F.col("first") != F.col("name"))).select("item_id", F.col("first").alias("alias"), "name"))
+    alias = alias.unionByName(names.filter(F.col("name") == UNKNOWN_SPEAKER[1]).select("item_id", F.lit(UNKNOWN_SPEAKER[0]).alias("alias"), "name"))
+    # A full name wins over a first name of the same form.
+    alias = alias.groupBy("item_id", "alias").agg(F.max_by("name", F.col("alias") == F.col("name")).alias("name"))
+    said = target.select("item_id", "seg", F.posexplode(F.transform(F.regexp_extract_all("text", F.lit(LABEL_LINE), F.lit(1)), stripped)).alias("pos", "alias"))
+    heard = said.join(alias, ["item_id", "alias"]).groupBy("item_id", "seg").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "name"))), lambda x: x["name"]).alias("heard"))
+    j = s.join(heard, ["item_id", "seg"], "left").select("item_id", "seg", _collapsed(F.col("labels")).alias("expected"), F.coalesce("heard", F.array().cast("array<string>")).alias("heard"))
+    return j.select("item_id", "seg", "expected", _collapsed(F.col("heard")).alias("seen")).filter("expected <> seen")
+
+
 def required_names(text: Column) -> Column:
     """Names that must survive: numbered names, the opening name, and names that claim something."""
     names = F.regexp_extract_all(text, F.lit(r"([A-Z][A-Za-z0-9]*(?:[ -][A-Za-z0-9]+)*+)"), F.lit(1))
@@ -479,7 +516,11 @@ def required_names(text: Column) -> Column:
 
 
 def compression_checks(pairs: DataFrame, ratio: float = 0.4) -> DataFrame:
-    """What a shortened paragraph lost or invented, as a list. pairs: item_id, source_text, short_text."""
+    """What a shortened paragraph lost or invented, as a list. pairs: item_id, source_text, short_text.
+
+    Among the losses: a phrase clipped to its ends (verb and object without their middle), the modal of a condition, taken by the order
+    of conditions in both texts, and the particle between a duration and what it qualifies in a condition.
+    """
     from galleyspark.operators.rollups import OWNER, number_tokens
 
     s, d = F.col("source_text"), F.col("short_text")
@@ -489,6 +530,10 @@ def compression_checks(pairs: DataFrame, ratio: float = 0.4) -> DataFrame:
     only = lambda t: t.rlike(r"(?<!不)仅")
     count = lambda arr, x: F.size(F.filter(arr, lambda y: y == x))
     clauses = lambda t: F.regexp_count(t, F.lit(r"(?:若|如果)[^。！？；]+"))
+    heads = lambda t: F.transform(F.regexp_extract_all(t, F.lit(r"((?:若|如果)[^。！？；]+)"), F.lit(1)), lambda c: F.split(c, RESULT_WORDS)[0])
+    lost_modal = F.exists(F.arrays_zip(F.slice(heads(s), 1, F.greatest(F.size(heads(d)), F.lit(1))).alias("a"), heads(d).alias("b")), lambda z: z["a"].rlike(MODAL) & ~z["b"].rlike(MODAL))
+    clipped = F.transform(F.regexp_extract_all(s, F.lit(rf"((?:{CLIPPABLE})[\x{{4e00}}-\x{{9fff}}]{{2}})"), F.lit(1)), lambda p: F.concat(F.left(p, F.lit(1)), F.right(p, F.lit(1))))
+    modified = F.regexp_extract_all(d, F.lit(rf"{DURATION}(?:或{DURATION})?([\x{{4e00}}-\x{{9fff}}]{{2,4}})(?=若|如果)"), F.lit(1))
     gone = F.filter(F.array_except("sn", "dn"), lambda v: v.rlike(r"\A[\x00-\x7F]*\z") | ~F.contains(F.col("compact"), v))
     rules = [
         ("length", ~size.between(ratio * 0.85, ratio * 1.15)),
@@ -496,6 +541,9 @@ def compression_checks(pairs: DataFrame, ratio: float = 0.4) -> DataFrame:
         ("connectors", F.exists(F.array(*[F.lit(c) for c in CONNECTORS]), lambda c: F.contains(s, c) & ~F.contains(d, c))),
         ("conditionals", clauses(d) < clauses(s)),
         ("conditional_result", F.exists(F.regexp_extract_all(d, F.lit(r"((?:若|如果)[^。！？；]+)"), F.lit(1)), lambda c: ~c.rlike("则|那么|才|就|，"))),
+        ("conditional_modal", F.coalesce(lost_modal, F.lit(False))),
+        ("duration_modifier", F.exists(modified, lambda m: ~m.startswith("的"))),
+        ("clipped_phrase", F.exists(clipped, lambda c: F.contains(d, c) & ~F.contains(s, c))),
         ("numbers_missing", F.size(gone) > 0),
         ("numbers_new", F.size(F.array_except("dn", "sn")) > 0),
         ("owners", F.exists(F.array_distinct("so"), lambda o: count("do", o) < count("so", o))),

@@ -9,6 +9,7 @@ from galleyspark.operators import editorial as ed
 from galleyspark.operators import ranking as rk
 from galleyspark.plans import bindings as b
 from galleyspark.plans.registry import job
+from galleyspark.session import cut_lineage
 from galleyspark.plans.rollups import CATALOG, catalog
 
 BASE = """CASE WHEN relevance = 5 AND density = 5 THEN 5 WHEN (relevance >= 4 AND density >= 4) OR (relevance >= 3 AND density = 5) THEN 4
@@ -121,16 +122,17 @@ QUERIES = {"q1": "the ation", "q2": "ing of the the", "q3": "ungen die", "q4": "
 _FOLD = "translate(replace(lower({}),'ß','ss'),'ς','σ')"
 
 
-def _score(words):
-    return " + ".join(f"least(5, (length(body) - length(replace(body,'{w}','')))//{len(w)})" for w in words.split())
-
-
 @job("search_chunks", f"""WITH d AS (SELECT doc_id AS chunk_id, {_FOLD.format('text')} AS body FROM documents),
-s AS ({" UNION ALL ".join(f"SELECT chunk_id, '{q}' AS query_id, {_score(w)} AS score FROM d" for q, w in QUERIES.items())}),
-p AS (SELECT * FROM s WHERE score > 0), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS place, count(*) OVER (PARTITION BY query_id) AS matching FROM p)
+q AS (SELECT * FROM (VALUES {", ".join(f"('{k}', '{v}')" for k, v in QUERIES.items())}) v(query_id, query) UNION ALL SELECT 'b' || item_id, array_to_string(string_split(text, ' ')[2:4], ' ') FROM benchmark),
+w AS (SELECT query_id, unnest(regexp_extract_all({_FOLD.format('query')}, '[a-z0-9]+|[\\x{{3400}}-\\x{{9fff}}]{{2,}}')) AS word FROM q),
+h AS (SELECT word, chunk_id, least(5, (length(body) - length(replace(body, word, '')))//length(word)) AS hits FROM (SELECT DISTINCT word FROM w), d WHERE contains(body, word)),
+s AS (SELECT query_id, chunk_id, sum(hits) AS score FROM w JOIN h USING (word) GROUP BY 1,2), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS place, count(*) OVER (PARTITION BY query_id) AS matching FROM s)
 SELECT query_id, chunk_id, CAST(score AS INTEGER) AS score, CAST(place AS INTEGER) AS place, matching FROM r WHERE place <= 12""")
 def search_chunks(t):
-    return rk.search_chunks(t.documents.select(F.col("doc_id").alias("chunk_id"), "text"), QUERIES)
+    """Three words of each benchmark text, and a few queries of their own."""
+    own = t.spark.createDataFrame(list(QUERIES.items()), "query_id string, query string")
+    asked = t.benchmark.select(F.concat(F.lit("b"), "item_id").alias("query_id"), F.array_join(F.slice(F.split("text", " "), 2, 3), " ").alias("query"))
+    return rk.search_chunks(cut_lineage(rk.chunk_index(t.documents.select(F.col("doc_id").alias("chunk_id"), "text"))), own.unionByName(asked))
 
 
 SEARCH_ITEMS = """si AS (SELECT doc_id AS item_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id DESC) AS pos, split_part(text, chr(10), 1) AS title, text AS description,

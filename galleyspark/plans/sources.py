@@ -206,10 +206,31 @@ def archive_upsert(t):
 @job("export_archive", f"""WITH {HASHES} SELECT h.item_id, d.source || '-' || substr(sha256(d.source),1,8) AS show_key, 'shows/' || d.source || '-' || substr(sha256(d.source),1,8) || '/undated-title-' || h.item_id || '-' || substr(sha256(CAST(h.item_id AS VARCHAR)),1,16) || '/revisions/' || revision || '/' ||
  CASE WHEN l.doc_id IS NOT NULL AND l.toxic=0 THEN sha256('digest ' || quality) ELSE 'no-summary' END AS directory, CASE WHEN h.item_id%17=0 OR d.text='' THEN 'hash_mismatch' ELSE 'exported' END AS state FROM hashes h JOIN documents d ON d.doc_id=h.item_id LEFT JOIN labels l ON l.doc_id=h.item_id""")
 def export_archive(t):
+    return archive.export_index(*exported(t))
+
+
+def exported(t):
+    """Transcripts of which some no longer fit their hash, and digests of which some are stale."""
     h = cols.content_hashes(archived(t))
     d = h.join(t.labels.withColumnRenamed("doc_id", "item_id"), "item_id").select("item_id", "content_sha256", F.when(F.col("toxic") == 0, F.col("revision")).otherwise("old").alias("revision"), F.concat(F.lit("digest "), "quality").alias("digest"))
     tr = archived(t).select("item_id", "title", "show", F.lit(None).cast("string").alias("published_day"), F.when(F.col("item_id") % 17 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text")).alias("text")).join(h.select("item_id", "content_sha256", "revision"), "item_id")
-    return archive.export_index(tr, d)
+    return tr, d
+
+
+@job("archive_files", f"""WITH {HASHES} SELECT h.item_id, sha256(d.text) AS content_sha256, CASE WHEN l.doc_id IS NOT NULL AND l.toxic=0 THEN 'digest ' || quality END AS digest, 'intact' AS state, CAST(0 AS BIGINT) AS unlisted
+FROM hashes h JOIN documents d ON d.doc_id=h.item_id LEFT JOIN labels l ON l.doc_id=h.item_id WHERE h.item_id%17<>0 AND d.text<>''""")
+def archive_files(t):
+    """The archive is written twice, the first time without every third transcript, and read back with its manifest."""
+    import uuid
+
+    from galleyspark.session import ensure_checkpoint_dir
+
+    path = f"{ensure_checkpoint_dir(t.spark)}/archive-{uuid.uuid4().hex}"
+    tr, d = exported(t)
+    archive.write_export(tr.filter("item_id % 3 <> 0"), d, path)
+    archive.write_export(tr, d, path)
+    off = archive.verify_manifest(t.spark.read.parquet(f"{path}/manifest"), archive.read_files(t.spark, f"{path}/files")).count()
+    return archive.read_export(t.spark, path).select("item_id", F.sha2("text", 256).alias("content_sha256"), "digest", "state", F.lit(off).cast("long").alias("unlisted"))
 
 
 @job("verify_manifest", """SELECT 'f/' || doc_id AS path, CASE WHEN doc_id%10=0 THEN 'missing' WHEN doc_id%10=1 THEN 'extra' ELSE 'changed' END AS state FROM documents WHERE doc_id%10 IN (0,1,2)""")

@@ -241,3 +241,14 @@ def timing_checks(t):
                      (F.floor("start") + F.when((item % 5 == 4) & (F.col("n") == 2), 30).otherwise(0)).cast("double").alias("stamp"), F.concat(F.lit("said "), "event_id").alias("text"))
     dur = seg.groupBy("item_id").agg((F.max("start") + 40.0).alias("duration"), F.lit(True).alias("completed"))
     return ops.timing_checks(raw, dur).select("item_id", "scale", "overrun")
+
+
+@job("speaker_mismatches", """SELECT conv_id AS item_id, turn AS seg, 'Ada Lovelace|Ben Ray' AS expected, CASE turn%4 WHEN 1 THEN 'Ben Ray|Ada Lovelace' ELSE 'Ada Lovelace' END AS seen FROM conversations WHERE turn%4 IN (1,2)""")
+def speaker_mismatches(t):
+    """conversations -> segments of two speakers, and translations that call them by first or full names, swap them or lose one."""
+    body, k = F.regexp_replace("text", r"[\n:：]", " "), F.col("turn") % 4
+    said = lambda *labels: F.concat(*[x for n, label in enumerate(labels) for x in (F.lit(("\n" if n else "") + label + ": "), body)])
+    short = F.when(k == 0, said("Ada", "Ben")).when(k == 1, said("Ben", "Ada")).when(k == 2, said("Ada")).otherwise(said("Ada Lovelace", "note", "Ben Ray", "Ben"))
+    key = (F.col("conv_id").alias("item_id"), F.col("turn").alias("seg"))
+    found = ops.speaker_mismatches(t.conversations.select(*key, said("Ada Lovelace", "Ben Ray", "Ben Ray").alias("text")), t.conversations.select(*key, short.alias("text")))
+    return found.select("item_id", "seg", F.array_join("expected", "|").alias("expected"), F.array_join("seen", "|").alias("seen"))

@@ -2,21 +2,25 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from galleyspark.functions.text import EDGE_BLANKS
+from galleyspark.functions.text import NOT_BLANK
+from galleyspark.session import cut_lineage
 
 
 def archive_upsert(current: DataFrame, new: DataFrame) -> DataFrame:
     """Latest version of every item with the time it was first stored. Only complete, non-empty texts enter.
 
-    Both: item_id, updated_at, verified, text and any other columns. The narrow aggregate finds the winner; text moves once.
+    Both: item_id, updated_at, verified, text and any other columns; each with one row for an item and time, of equal times the new one counts. Which
+    row is the latest is found without texts; texts are then joined to it once.
     """
-    both = current.unionByName(new).filter(F.col("verified") & (F.regexp_replace("text", EDGE_BLANKS, "") != ""))
-    cols = [c for c in both.columns if c != "item_id"]
-    latest = both.groupBy("item_id").agg(F.max_by(F.struct(*cols), "updated_at").alias("v"), F.min("updated_at").alias("stored_at"))
-    return latest.select("item_id", "v.*", "stored_at", F.sha2("v.text", 256).alias("content_sha256"), F.substring(F.sha2(F.col("item_id").cast("string"), 256), 1, 8).alias("reference"))
+    both = current.withColumn("__new", F.lit(0)).unionByName(new.withColumn("__new", F.lit(1))).filter(F.col("verified") & F.col("text").rlike(NOT_BLANK))
+    versions = both.groupBy("item_id").agg(F.max(F.struct("updated_at", "__new")).alias("v"), F.min("updated_at").alias("stored_at")).select("item_id", "v.*", "stored_at")
+    rest = [c for c in both.columns if c not in ("item_id", "text", "__new")]
+    return both.join(versions, ["item_id", "updated_at", "__new"]).select(
+        "item_id", *rest, "text", "stored_at", F.sha2("text", 256).alias("content_sha256"), F.substring(F.sha2(F.col("item_id").cast("string"), 256), 1, 8).alias("reference"))
 
 
 def slug(name):
@@ -39,10 +43,43 @@ def export_index(transcripts: DataFrame, digests: DataFrame) -> DataFrame:
                     F.when(ok, "exported").otherwise("hash_mismatch").alias("state"))
 
 
-def write_export(transcripts: DataFrame, index: DataFrame, path: str) -> None:
-    """Write the current revisions by show; earlier revisions stay where they are."""
-    rows = transcripts.select("item_id", "text", "revision").join(index.filter("state = 'exported'"), "item_id")
-    rows.write.mode("append").partitionBy("show_key", "revision").parquet(path)
+def _stored(spark, path: str, schema: str) -> DataFrame:
+    """The Parquet table at ``path``, empty where there is none yet."""
+    try:
+        return spark.read.schema(schema).parquet(path)
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        return spark.createDataFrame([], schema)
+
+
+def write_export(transcripts: DataFrame, digests: DataFrame, path: str) -> DataFrame:
+    """Bring the archive below ``path`` up to date; returns the index that it now has. Arguments as of ``export_index``.
+
+    ``files`` holds each revision once, under a directory that names its content, by show; earlier revisions stay. ``index`` lists the current
+    ones. ``manifest``, written last, has path and hash of each file, so a reader that finds a manifest finds what it lists. A run that was
+    cut short is repeated as it is: what is stored already is not written again, and two runs leave the same files.
+    """
+    spark = transcripts.sparkSession
+    index = cut_lineage(export_index(transcripts, digests))
+    held = _stored(spark, f"{path}/files", "directory string").select("directory")
+    kept = transcripts.select("item_id", "text", "content_sha256", "revision").join(digests.select("item_id", F.col("content_sha256").alias("d_sha"), F.col("revision").alias("d_rev"), "digest"), "item_id", "left")
+    fresh = (F.col("d_sha") == F.col("content_sha256")) & (F.col("d_rev") == F.col("revision"))
+    rows = kept.withColumn("digest", F.when(fresh, F.col("digest"))).join(index.filter("state = 'exported'").select("item_id", "show_key", "directory"), "item_id").join(held, "directory", "left_anti")
+    rows = cut_lineage(rows.select("directory", "item_id", "text", "content_sha256", "revision", "digest", "show_key"))
+    if not rows.isEmpty():
+        rows.write.mode("append").partitionBy("show_key").parquet(f"{path}/files")
+    index.write.mode("overwrite").parquet(f"{path}/index")
+    if not index.filter("state = 'exported'").isEmpty():
+        cut_lineage(read_files(spark, f"{path}/files")).write.mode("overwrite").parquet(f"{path}/manifest")
+    return spark.read.parquet(f"{path}/index")
+
+
+def read_export(spark, path: str) -> DataFrame:
+    """Current revisions of an exported archive: item_id, directory, text, digest, state; ``state`` tells texts that their ledger hash does not fit."""
+    current = spark.read.parquet(f"{path}/index").filter("state = 'exported'").select("directory")
+    rows = spark.read.parquet(f"{path}/files").join(current, "directory")
+    return rows.select("item_id", "directory", "text", "digest", F.when(F.sha2("text", 256) == F.col("content_sha256"), "intact").otherwise("changed").alias("state"))
 
 
 def read_files(spark, path: str) -> DataFrame:

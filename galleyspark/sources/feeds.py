@@ -80,7 +80,7 @@ def parse_atom_items(raw: DataFrame, limit: int = 0) -> DataFrame:
     return j.filter(~short_form(F.col("url"), F.col("title"), F.col("description"), F.col("duration"))).drop("link")
 
 
-VTT_CUE = r"(?m)^((?:\d{2}:)?\d{2}:\d{2}\.\d{3})\s+-->\s+((?:\d{2}:)?\d{2}:\d{2}\.\d{3})[^\n]*((?:\n(?=[^\n]*\S)(?![^\n]*-->)[^\n]*)*)"
+VTT_CUE = r"(?m)^((?:\d{2}:)?\d{2}:\d{2}\.\d{3})\s+-->\s+((?:\d{2}:)?\d{2}:\d{2}\.\d{3})[^\n]*+((?:\n(?=[^\n]*\S)(?![^\n]*-->)[^\n]*+)*+)"
 CAPTION_JSON = "struct<events array<struct<tStartMs double, dDurationMs double, segs array<struct<utf8 string>>>>>"
 
 

@@ -174,7 +174,9 @@ def extract_publisher_transcripts(pages: DataFrame) -> DataFrame:
         else:
             who = lambda b: casefold(F.trim(F.concat(F.regexp_extract(b["text"], SPEAKER, 1), F.regexp_extract(b["text"], SPEAKER, 2))))
             q = q.withColumn("names", F.filter(F.transform("blocks", who), lambda v: (v != "") & v.rlike("[a-z]") & ~v.rlike("[.!?]") & (F.size(F.split(v, " ")) <= 10)))
-        q = q.select("page_id", "layout", "blocks", "names")
+        noted = _seconds(F.transform(F.filter(n, lambda x: (x["tag"] == "#text") & F.exists(F.filter(n, _class_test("show-notes-container")), lambda c: x["i"].between(c["i"], c["end"]))), lambda x: x["text"]))
+        own = _seconds(F.transform(F.filter("blocks", lambda b: b["tag"].isin("h3", "h4")), lambda b: b["text"]))
+        q = q.select("page_id", "layout", "blocks", "names", (F.array_sort(noted) if name == "article" else own).alias("times"))
         out = q if out is None else out.unionByName(q)
     text = F.array_join(F.transform("blocks", lambda b: b["text"]), "\n")
     labelled = F.filter(F.transform("blocks", lambda b, i: F.when(b["text"].rlike(SPEAKER), i)), lambda i: i.isNotNull())
@@ -182,7 +184,58 @@ def extract_publisher_transcripts(pages: DataFrame) -> DataFrame:
     stamps = F.filter("blocks", lambda b: b["tag"].isin("h3", "h4") & b["text"].rlike(r"\d{1,2}:\d{2}"))
     return out.select("page_id", "layout", text.alias("text"), F.size("blocks").alias("n_blocks"), F.size(F.array_distinct("names")).alias("speakers"), F.size(labelled).alias("labelled"),
                       F.array_min(labelled).alias("first_label"), F.array_max(labelled).alias("last_label"), F.size(F.filter("blocks", lambda b: b["tag"] == "h2")).alias("chapters"),
-                      F.size(stamps).alias("stamps"), blocked.alias("blocked"))
+                      F.size(stamps).alias("stamps"), blocked.alias("blocked"), "names", F.get("times", F.lit(0)).alias("first_time"), F.when(F.size("times") > 1, F.element_at("times", -1)).alias("last_time"))
+
+
+STAMP = r"(?<!\d)(?:(\d{1,2}):)?(\d{1,2}):(\d{2})(?!\d)"
+
+
+def _seconds(texts: Column) -> Column:
+    """Seconds of the first stamp in each text that has one."""
+    part = lambda t, k: F.coalesce(F.nullif(F.regexp_extract(t, STAMP, k), F.lit("")), F.lit("0")).cast("int")
+    return F.transform(F.filter(texts, lambda t: t.rlike(STAMP)), lambda t: part(t, 1) * 3600 + part(t, 2) * 60 + part(t, 3))
+
+
+# Fixed values per layout: words and words a minute, characters at least and per minute, speakers, how far stamps may stay from
+# the ends (seconds, share of the duration), and, for the layout with a host, blocks, host, and words and characters where no duration is known.
+GATES = {
+    "article": {"words": 1000, "pace": (70, 230), "ends": ((360, 0.12), (1200, 0.25))},
+    "heading": {"chars": (5000, 180), "ends": ((180, 0.10), (900, 0.20))},
+    "wrapper": {"speakers": 2, "blocks": 20, "host": "david senra", "words": 1000, "pace": (70, 260), "untimed": (3000, 15000)},
+    "anchor": {"speakers": 2, "pace": (70, 220)},
+}
+TRANSCRIPT_WORD = r"[A-Za-z0-9]++(?:[’'-][A-Za-z0-9]++)*+"
+
+
+def accept_publisher_transcripts(transcripts: DataFrame, items: DataFrame) -> DataFrame:
+    """page_id, layout, text, problem: the first gate of its layout that a transcript fails, null for one that is complete.
+
+    transcripts: the rows of ``extract_publisher_transcripts``. items: page_id, duration (seconds; null or not positive where unknown).
+    """
+    j = transcripts.join(items.select("page_id", F.when(F.col("duration") > 0, F.col("duration")).alias("duration")), "page_id", "left").withColumn("words", F.regexp_count("text", F.lit(TRANSCRIPT_WORD)))
+    d, blocks, problem = F.col("duration"), F.col("n_blocks"), F.lit(None).cast("string")
+    for layout, g in GATES.items():
+        rules = [("no_transcript", blocks == 0), ("blocked", F.col("blocked"))]
+        if "blocks" in g:
+            spread = (F.col("labelled") >= F.greatest(F.lit(8), F.floor(blocks / 20))) & (F.col("first_label") <= F.greatest(F.lit(2.0), F.bround(blocks * 0.05))) & (F.col("last_label") >= F.bround(blocks * 0.80))
+            rules += [("few_blocks", blocks < g["blocks"]), ("labels_not_spread", ~F.coalesce(spread, F.lit(False))), ("no_host", ~F.array_contains("names", g["host"]))]
+        if "speakers" in g:
+            rules.append(("few_speakers", F.col("speakers") < g["speakers"]))
+        if "chars" in g:
+            least, each = g["chars"]
+            rules.append(("too_short", F.length("text") < F.greatest(F.lit(least), F.coalesce(F.bround(d / 60) * each, F.lit(0)))))
+        if "pace" in g:
+            low, high = g["pace"]
+            words, chars = g.get("untimed", (None, None))
+            rules.append(("no_duration", d.isNull()) if words is None else ("too_short", d.isNull() & ((F.col("words") < words) | (F.length("text") < chars))))
+            rules += [("too_short", d.isNotNull() & (F.col("words") < g.get("words", 0))), ("pace", d.isNotNull() & ~(F.col("words") / (d / 60.0)).between(low, high))]
+        if "ends" in g:
+            (early, early_share), (late, late_share) = g["ends"]
+            off = (F.col("first_time") > F.least(F.lit(early), d * early_share)) | (d - F.col("last_time") > F.greatest(F.lit(late), d * late_share))
+            rules.append(("stamps_off", F.coalesce(F.col("last_time").isNotNull() & d.isNotNull() & off, F.lit(False))))
+        first_rule = F.coalesce(*[F.when(broken, name) for name, broken in rules])
+        problem = F.when(F.col("layout") == layout, first_rule).otherwise(problem)
+    return j.select("page_id", "layout", "text", problem.alias("problem"))
 
 
 def _tag_test(tags):
