@@ -24,8 +24,10 @@ from pyspark.sql import functions as F
 from galleyspark.llm.base import query, settle
 from galleyspark.session import ensure_checkpoint_dir
 
-PROVIDER = "spark.sql.streaming.stateStore.providerClass"
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+STATE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",  # many small stores: no space set aside in each
+}
 FILTER_BITS, BUCKET_BITS = 1 << 23, 1 << 15  # a bitmap of 1 MB, in rows of 4 KB
 
 
@@ -44,8 +46,8 @@ def located(rows: DataFrame, text: str, identifier: str, digest) -> DataFrame:
     return read.select("text", digest(F.col("text")).alias("digest"), F.struct(F.col("id").isNull().alias("missing"), "id", "file", "row").alias("at"))
 
 
-def digest_state(spark: SparkSession, path: str, state: str, text: str, identifier: str, digest, files_per_batch: int = 10_000) -> DataFrame:
-    """Stream the files that ``state`` has not seen into it; returns digest, at (of the row that stays), n (rows)."""
+def digest_state(spark: SparkSession, path: str, state: str, text: str, identifier: str, digest, least: int = 1, files_per_batch: int = 10_000) -> DataFrame:
+    """Stream the files that ``state`` has not seen into it; returns digest, at (of the row that stays), n (rows) of the digests of ``least`` rows and more."""
     schema = spark.read.parquet(path).schema
     first = spark.read.parquet(path).limit(1)
     one_file = first.select(first.metadataColumn("_metadata")["file_path"].alias("f")).first()
@@ -56,14 +58,17 @@ def digest_state(spark: SparkSession, path: str, state: str, text: str, identifi
     else:
         rows = source.parquet(path)
     seen = located(rows, text, identifier, digest).groupBy("digest").agg(F.min("at").alias("at"), F.count("*").alias("n"))
-    before = spark.conf.get(PROVIDER)
-    spark.conf.set(PROVIDER, ROCKSDB)
+    before = {k: spark.conf.get(k, None) for k in STATE}
+    for k, v in STATE.items():
+        spark.conf.set(k, v)
     try:
         run = seen.writeStream.outputMode("update").format("noop").option("checkpointLocation", state).trigger(availableNow=True).start()
         run.awaitTermination()
+        held = spark.read.format("statestore").load(state).select("key.digest", F.col("value.min").alias("at"), F.col("value.count").alias("n"))
+        return settle(held.filter(F.col("n") >= least))
     finally:
-        spark.conf.set(PROVIDER, before)
-    return spark.read.format("statestore").load(state).select("key.digest", F.col("value.min").alias("at"), F.col("value.count").alias("n"))
+        for k, v in before.items():
+            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
 
 
 def may_repeat(rows: DataFrame, repeated: DataFrame, bits: int = FILTER_BITS) -> DataFrame:
@@ -84,8 +89,7 @@ def exact_duplicates(spark: SparkSession, path: str, text: str = "text", identif
     """
     digest = digest or (lambda t: F.sha2(t, 256))
     state = state or f"{ensure_checkpoint_dir(spark)}/exact-{uuid.uuid4().hex}"
-    counted = digest_state(spark, path, state, text, identifier, digest)
-    repeated = settle(counted.filter("n > 1"))
+    repeated = digest_state(spark, path, state, text, identifier, digest, least=2)
     rows = may_repeat(located(spark.read.parquet(path), text, identifier, digest), repeated)
     sha = F.sha2("text", 256).alias("text_sha256")
     rows = settle(rows.select("at", "digest", "hint", sha, F.when(F.col("hint"), F.col("text")).alias("text")))
