@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import itertools
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -46,7 +47,19 @@ def settle(df: DataFrame, folder: str | None = None) -> DataFrame:
     spark = df.sparkSession
     path = folder or f"{ensure_checkpoint_dir(spark)}/llm-{uuid.uuid4().hex}"
     df.write.mode("overwrite").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.settled_at = path
+    return out
+
+
+def discard(spark: SparkSession, *tables: DataFrame) -> None:
+    """Remove tables of ``settle`` that no plan reads any more, as all that was made of them is written. Shuffle files of finished jobs go too:
+    Spark drops them when the driver's garbage is collected, which a driver at rest seldom does."""
+    for t in tables:
+        path = spark._jvm.org.apache.hadoop.fs.Path(t.settled_at)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    gc.collect()
+    spark._jvm.java.lang.System.gc()
 
 
 def bounded_batches(spark: SparkSession, rows: int = 512) -> None:

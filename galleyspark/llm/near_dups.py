@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from galleyspark.llm.base import WordHash, bounded_batches, portions, query, settle, table
+from galleyspark.llm.base import WordHash, bounded_batches, discard, portions, query, settle, table
 
 COORDINATES, MATCHES, FAMILY = 40, 16, 10
 BANDS, FAR_BANDS, FAR_STEP = 8, 24, 1.1
@@ -103,8 +103,8 @@ def full_sets(docs: DataFrame, ids: DataFrame, reps: DataFrame, size: int) -> Da
     import xxhash
 
     bounded_batches(docs.sparkSession)
-    wanted = ids.select("x").distinct()
-    bits = id_bits(wanted)
+    wanted = reps.join(ids.select("x").distinct(), "x", "left_semi").select("x", "doc", "key")
+    bits = id_bits(wanted.select(F.col("doc").alias("x")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = WordHash()
@@ -113,14 +113,13 @@ def full_sets(docs: DataFrame, ids: DataFrame, reps: DataFrame, size: int) -> Da
             held = (bits[slot >> np.uint64(6)] >> (slot & np.uint64(63))) & np.uint64(1)
             for part in portions([batch.filter(pa.array(held.astype(bool)))], "text"):
                 sets = shingle_sets(part.column("text").to_pylist(), words, size)
-                yield pa.RecordBatch.from_arrays([part.column("x"), pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()),
-                                                  pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], ["x", "key", "s"])
+                yield pa.RecordBatch.from_arrays([part.column("doc"), pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()),
+                                                  pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], ["doc", "key", "s"])
 
     x = F.col("doc_id").cast("long")
-    texts = docs.filter(x.isNotNull()).select(x.alias("x"), F.pmod(F.xxhash64(x), F.lit(SLOTS)).alias("slot"), F.col("text").cast("string").cast("binary").alias("text"))
-    sets = texts.mapInArrow(run, "x long, key binary, s array<long>")
-    keys = reps.select("x", "key").join(wanted, "x", "left_semi")
-    return settle(sets.join(keys, ["x", "key"], "left_semi").groupBy("x").agg(F.first("s").alias("s")))
+    texts = docs.filter(x.isNotNull()).select(x.alias("doc"), F.pmod(F.xxhash64(x), F.lit(SLOTS)).alias("slot"), F.col("text").cast("string").cast("binary").alias("text"))
+    sets = texts.mapInArrow(run, "doc long, key binary, s array<long>")
+    return settle(sets.join(wanted, ["doc", "key"]).groupBy("x").agg(F.first("s").alias("s")))
 
 
 def collisions(a: str, b: str) -> Column:
@@ -142,20 +141,23 @@ def components(links: DataFrame) -> DataFrame:
     Each round is one table in the shared folder; rounds grow with the logarithm of the longest chain.
     """
     edges = settle(links.select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).filter("hi > lo").distinct())
-    mark, last = F.struct(F.count("*"), F.bit_xor(F.xxhash64("hi", "lo"))), None
+    spark, mark, last = edges.sparkSession, F.struct(F.count("*"), F.bit_xor(F.xxhash64("hi", "lo"))), None
     while (now := edges.agg(mark).head()[0]) != last:
         both = edges.select(F.col("hi").alias("u"), F.col("lo").alias("v")).union(edges.select(F.col("lo"), F.col("hi")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.filter("v > u").join(least, "u").select(F.col("v").alias("hi"), F.col("m").alias("lo")).distinct()
         down = large.groupBy("hi").agg(F.min("lo").alias("m"))
         small = large.join(down, "hi").select(F.col("lo").alias("hi"), F.col("m").alias("lo")).filter("hi > lo").union(down.select("hi", F.col("m").alias("lo"))).distinct()
-        edges, last = settle(small), now
-    return edges.select(F.col("hi").alias("node"), F.col("lo").alias("component")).union(edges.select("lo", "lo").distinct())
+        before, edges, last = edges, settle(small), now
+        discard(spark, before)
+    found = settle(edges.select(F.col("hi").alias("node"), F.col("lo").alias("component")).union(edges.select("lo", "lo").distinct()))
+    discard(spark, edges)
+    return found
 
 
-def near_links(docs: DataFrame, reps: DataFrame, size: int, similar: int, coordinates: int, matches: int, family: int) -> DataFrame:
-    """a, b: links between representatives, enough of them to reach all that similar pairs reach."""
-    s100, rest = similar, 100 - similar
+def near_links(docs: DataFrame, reps: DataFrame, size: int, similar: int, coordinates: int, matches: int, family: int) -> list[DataFrame]:
+    """Tables of a, b: links between representatives, enough of them to reach all that similar pairs reach."""
+    spark, s100, rest = docs.sparkSession, similar, 100 - similar
     linked = lambda both, n, m: 100 * both >= s100 * (n + m - both)
     near_size = lambda n, m: (100 * F.col(n) >= s100 * F.col(m)) & (100 * F.col(m) >= s100 * F.col(n))
     #: A set of n differs from a similar larger one only if n + 1 is within the similarity.
@@ -163,12 +165,13 @@ def near_links(docs: DataFrame, reps: DataFrame, size: int, similar: int, coordi
     posted = settle(prefixes(able, coordinates, matches))
     lists = posted.groupBy("token").agg(F.min("x").alias("p"), F.count("*").alias("m")).filter("m > 1").drop("m")
     listed = settle(posted.join(lists, "token"))
+    discard(spark, posted)
     sig = reps.select("x", "n", "sig")
     sig_p = sig.select(F.col("x").alias("p"), F.col("n").alias("n_p"), F.col("sig").alias("sig_p"))
     pivots = listed.filter("x > p").select("x", "p").distinct().join(sig, "x").join(sig_p, "p")
-    kin = settle(pivots.filter(collisions("sig", "sig_p") >= family).select("x", "p", "n", "n_p"))
+    paired = settle(pivots.filter(collisions("sig", "sig_p") >= family).select("x", "p", "n", "n_p"))
 
-    sets = full_sets(docs, kin.select("x").union(kin.select("p")), reps, size)
+    sets = full_sets(docs, paired.select("x").union(paired.select("p")), reps, size)
 
     def apart(pairs: DataFrame, p: str, n_p: str) -> DataFrame:
         """Pairs (x, p) with their differences ``d``, and ``near`` where they are similar."""
@@ -176,17 +179,18 @@ def near_links(docs: DataFrame, reps: DataFrame, size: int, similar: int, coordi
         both = both.withColumn("d", F.concat(F.array_except("s", "s_p"), F.array_except("s_p", "s"))).drop("s", "s_p")
         return both.withColumn("near", linked((F.col("n") + F.col(n_p) - F.size("d")) / 2, F.col("n"), F.col(n_p)))
 
-    kin = settle(apart(kin, "p", "n_p").drop("d"))
-    comp = settle(components(kin.filter("near").select(F.col("x").alias("a"), F.col("p").alias("b"))))
+    kin = settle(apart(paired, "p", "n_p").drop("d"))
+    discard(spark, paired)
+    comp = components(kin.filter("near").select(F.col("x").alias("a"), F.col("p").alias("b")))
     of = lambda x, c: comp.select(F.col("node").alias(x), F.col("component").alias(c))
 
     # Families: the texts met under pivots of one component, with their differences to its root r. Roots that only see their own are done.
     met = kin.join(of("p", "r"), "p", "left").select("x", "n", F.coalesce("r", "p").alias("r"), F.when(F.col("r").isNull(), F.col("n_p")).alias("n_r"))
     met = met.filter("x <> r").groupBy("x", "n", "r").agg(F.max("n_r").alias("n_r")).join(of("x", "c"), "x", "left").withColumn("c", F.coalesce("c", "x"))
     met = met.join(met.filter("c <> r").select("r").distinct(), "r", "left_semi").drop("n_r").join(reps.select(F.col("x").alias("r"), F.col("n").alias("n_r")), "r")
-    named = settle(apart(met, "r", "n_r"))
-    first = named.filter("near and c <> r").select(F.col("x").alias("a"), F.col("r").alias("b"))
-    named = named.withColumn("kind", F.when(F.col("near"), "near").when(F.col("c") == F.col("r"), "chain").otherwise("new"))
+    differing = settle(apart(met, "r", "n_r"))
+    discard(spark, sets)
+    named = differing.withColumn("kind", F.when(F.col("near"), "near").when(F.col("c") == F.col("r"), "chain").otherwise("new"))
 
     # own, of_r: the terms of the bound of a text and of the root; reach: the least term of a text that can be similar, as two similar texts are
     # about as far from r. Near texts lie in BANDS equal bands below of_r, far ones in FAR_BANDS bands above it, each FAR_STEP times as far.
@@ -195,6 +199,8 @@ def near_links(docs: DataFrame, reps: DataFrame, size: int, similar: int, coordi
     near_band = F.greatest(F.lit(0), F.least(F.lit(BANDS - 1), F.floor((F.col("own") + F.col("of_r")) * BANDS / (2 * F.col("of_r"))))).cast("int")
     far_band = F.greatest(F.lit(0), F.least(F.lit(FAR_BANDS - 1), F.floor(F.log(F.greatest(F.col("own") / F.col("of_r"), F.lit(1.0))) / math.log(FAR_STEP)))).cast("int")
     named = settle(named.withColumns({"reach": F.col("own") - 2 * share * (F.col("n") * 100 / s100), "own_band": F.when(F.col("kind") == "near", near_band).otherwise(far_band + BANDS)}))
+    discard(spark, differing)
+    first = named.filter("near and c <> r").select(F.col("x").alias("a"), F.col("r").alias("b"))
     edge = lambda b: F.when(b <= BANDS, (b * 2 / BANDS - 1) * F.col("of_r")).otherwise(F.col("of_r") * F.pow(F.lit(FAR_STEP), b - BANDS))
     need = lambda b: F.greatest(F.lit(1), F.ceil((F.col("own") + edge(b)) / 2 - 1e-6))
     every = F.sequence(F.when(F.col("kind") == "chain", F.lit(BANDS)).otherwise(F.lit(0)), F.col("own_band"))
@@ -204,14 +210,15 @@ def near_links(docs: DataFrame, reps: DataFrame, size: int, similar: int, coordi
     as_near = F.array(F.struct(F.col("own_band").alias("band"), F.greatest(F.lit(1), F.ceil((F.col("own") + F.col("of_r")) / 2 - 1e-6)).cast("long").alias("need")))
     shape = "array<struct<band:int,need:long>>"
     parts = F.when(F.col("kind") == "near", as_near.cast(shape)).otherwise(F.transform(able, at_band).cast(shape))
-    rows = named.select("r", "x", "c", "n", "kind", "own_band", parts.alias("parts"), F.explode("d").alias("e"))
+    rows = named.select("r", "x", "c", "kind", F.explode("d").alias("e"))
     # Differences can show a link only where a new text has them and a near one (far = 0), or a far one of another component (far = 1).
     is_far = F.col("kind") != "near"
     often = rows.groupBy("r", "e").agg(F.count(F.when(F.col("kind") == "new", 1)).alias("new"), F.count("*").alias("f"), F.count(F.when(is_far, 1)).alias("f_far"),
                                        F.min(F.when(is_far, F.col("c"))).alias("c0"), F.max(F.when(is_far, F.col("c"))).alias("c1")).filter("new > 0")
     often = often.select("r", "e", "f", "f_far", (F.col("f") > F.col("f_far")).alias("in_near"), (F.col("c0") < F.col("c1")).alias("in_far")).filter("in_near or in_far")
     listed_by = lambda f, used: F.array_sort(F.collect_list(F.when(F.col(used), F.struct(f, "e"))))
-    ranked = rows.join(often, ["r", "e"]).groupBy("r", "x", "c", "n", "kind", "own_band", "parts").agg(listed_by("f", "in_near").alias("near_list"), listed_by("f_far", "in_far").alias("far_list"))
+    ranked = rows.select("r", "x", "e").join(often, ["r", "e"]).groupBy("r", "x").agg(listed_by("f", "in_near").alias("near_list"), listed_by("f_far", "in_far").alias("far_list"))
+    ranked = ranked.join(named.select("r", "x", "c", "n", "kind", "own_band", parts.alias("parts")), ["r", "x"])
     # Differences that show no link come before those of the list.
     sized = ranked.select("r", "x", "c", "n", "kind", "own_band", "near_list", "far_list", F.explode("parts").alias("part")).filter("part.need is not null")
     room = lambda of: F.greatest(F.lit(0), (F.size(of) - F.col("part.need") + 1).cast("int"))
@@ -231,41 +238,57 @@ def near_links(docs: DataFrame, reps: DataFrame, size: int, similar: int, coordi
     diffs = named.select("r", "x", "n", "d")
     held = pairs.select("r", "x", "y").distinct().join(diffs, ["r", "x"]).join(diffs.select("r", F.col("x").alias("y"), F.col("n").alias("n_y"), F.col("d").alias("d_y")), ["r", "y"])
     between = F.size("d") + F.size("d_y") - 2 * F.size(F.array_intersect("d", "d_y"))
-    second = first.union(held.filter(linked((F.col("n") + F.col("n_y") - between) / 2, F.col("n"), F.col("n_y"))).select(F.col("x").alias("a"), F.col("y").alias("b")))
+    second = settle(first.union(held.filter(linked((F.col("n") + F.col("n_y") - between) / 2, F.col("n"), F.col("n_y"))).select(F.col("x").alias("a"), F.col("y").alias("b"))))
+    discard(spark, named, keyed)
 
     #: Texts far from the pivot of a list, with each other and with those of the pivot's family that are not linked to it.
     away = listed.filter("x > p").join(kin.select("x", "p", "near"), ["x", "p"], "left").filter("near is null or not near")
     away = away.join(away.filter("near is null").select("token").distinct(), "token", "left_semi")
     away = away.join(comp.withColumnRenamed("node", "x").withColumnRenamed("component", "c"), "x", "left").withColumn("c", F.coalesce("c", "x")).join(reps.select("x", "n"), "x")
     away = settle(away.select("token", "x", "c", "n", F.col("near").isNull().alias("far")))
+    discard(spark, listed, kin)
     mate = away.select("token", F.col("x").alias("y"), F.col("c").alias("c_y"), F.col("n").alias("n_y"), F.col("far").alias("far_y"))
     direct = away.filter("far").join(mate, "token").filter((F.col("c") != F.col("c_y")) & near_size("n", "n_y") & (~F.col("far_y") | (F.col("x") < F.col("y")))).select("x", "y").distinct()
     direct = direct.join(sig, "x").join(sig.select(F.col("x").alias("y"), F.col("n").alias("n_y"), F.col("sig").alias("sig_y")), "y")
     direct = settle(direct.filter(collisions("sig", "sig_y") >= matches).select("x", "y", "n", "n_y"))
+    discard(spark, away)
     more = full_sets(docs, direct.select("x").union(direct.select("y")), reps, size)
     seen = direct.join(more, "x").join(more.select(F.col("x").alias("y"), F.col("s").alias("s_y")), "y")
-    third = seen.filter(linked(F.size(F.array_intersect("s", "s_y")), F.col("n"), F.col("n_y"))).select(F.col("x").alias("a"), F.col("y").alias("b"))
-    return comp.select(F.col("node").alias("a"), F.col("component").alias("b")).union(second).union(third)
+    third = settle(seen.filter(linked(F.size(F.array_intersect("s", "s_y")), F.col("n"), F.col("n_y"))).select(F.col("x").alias("a"), F.col("y").alias("b")))
+    discard(spark, direct, more)
+    return [comp, second, third]
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, similar: int = 80, coordinates: int = COORDINATES, matches: int = MATCHES, family: int = FAMILY) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each row of ``docs(doc_id, text)``: classes of texts linked by sets of ``size``-word
     shingles with a Jaccard similarity of ``similar`` percent or more; ``kept`` marks the smallest doc_id of a class.
 
-    Texts that are null or hold no word have an empty set and are linked with nothing. Rows with a null doc_id are in no class
-    (component_id null) and kept. Rows that repeat a doc_id are all returned, in one class; where their texts
-    differ, copies of each are linked to it and near copies of one of them. An empty table gives an empty result. Other columns are not read.
+    Texts that are null or hold no word have an empty set and are linked with nothing; texts count whole, of any length. Rows with a null
+    doc_id are in no class (component_id null) and kept. Rows that repeat a doc_id are all returned, in one class; where their texts differ, copies
+    and near copies of each are linked to it. An empty table gives an empty result. Other columns are not read.
     """
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    spark, texts = docs.sparkSession, docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     found = settle(features(texts, size, coordinates))
     named = found.filter("doc_id is not null and n > 0")
-    reps = settle(named.groupBy("key").agg(F.min("doc_id").alias("x"), F.first("n").alias("n"), F.first("sig").alias("sig")))
-    copies = named.select("doc_id", "key").join(reps.select("key", "x"), "key").filter("doc_id <> x").select(F.col("doc_id").alias("a"), F.col("x").alias("b"))
-    unique = reps.groupBy("x").agg(F.min(F.struct("key", "n", "sig")).alias("r")).select("x", "r.*")
-    final = components(copies.union(near_links(texts, unique, size, similar, coordinates, matches, family)))
-    out = found.select("doc_id", "n").join(final.withColumnRenamed("node", "doc_id"), "doc_id", "left")
+    sets = named.groupBy("key").agg(F.min("doc_id").alias("doc"), F.first("n").alias("n"), F.first("sig").alias("sig"))
+    # A representative goes by its doc_id; of several sets under one doc_id all but the first go by a hash of the set.
+    several = named.groupBy("doc_id").agg(F.min("key").alias("first_key"), F.max("key").alias("last_key")).filter("first_key <> last_key").select(F.col("doc_id").alias("doc"), "first_key")
+    node = F.when(F.col("first_key").isNull() | (F.col("key") == F.col("first_key")), F.col("doc")).otherwise(F.xxhash64("key"))
+    reps = settle(sets.join(several, "doc", "left").select("key", node.alias("x"), "doc", "n", "sig"))
+    copies = settle(named.select("doc_id", "key").join(reps.select("key", "doc"), "key").filter("doc_id <> doc").select(F.col("doc_id").alias("a"), F.col("doc").alias("b")))
+    classes = settle(found.select("doc_id", "n"))
+    discard(spark, found)
+    near = near_links(texts, reps, size, similar, coordinates, matches, family)
+    links = near[0].select(F.col("node").alias("a"), F.col("component").alias("b")).union(near[1]).union(near[2])
+    docs_of = reps.filter("x <> doc").select("x", "doc")
+    for end in ("a", "b"):
+        links = links.join(docs_of.withColumnRenamed("x", end), end, "left").withColumn(end, F.coalesce("doc", end)).drop("doc").select("a", "b")
+    final = components(copies.union(links))
+    out = classes.join(final.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     component = F.coalesce("component", "doc_id")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    out = settle(out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept")))
+    discard(spark, reps, copies, classes, final, *near)
+    return out
 
 
 @query("op8_signature_join")

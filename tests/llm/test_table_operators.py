@@ -71,6 +71,17 @@ def test_near_duplicates_match_brute_force(spark, size):
     assert near_dups.near_duplicates(docs(spark, [])).count() == 0
 
 
+def test_texts_under_one_id_keep_their_links(spark):
+    """Repeated ids with different texts: near copies of each text are linked to the id, and through it."""
+    rng = random.Random(9)
+    word = lambda: f"w{rng.randrange(400)}"
+    base = {k: [word() for _ in range(60)] for k in "wvuz"}
+    near = lambda k, n: " ".join(base[k][:-1] + [f"end{n}"])
+    rows = [(5, near("w", 0), "s"), (5, near("v", 0), "s"), (7, near("w", 1), "s"), (8, near("v", 1), "s"), (9, near("u", 0), "s"), (9, near("u", 0), "s"), (10, near("u", 1), "s"), (9, near("z", 0), "s"), (4, near("z", 2), "s"), (11, " ".join(base["w"][:20]), "s")]
+    got = near_dups.near_duplicates(docs(spark, rows), size=5).collect()
+    assert sorted((r.doc_id, r.component_id, r.kept) for r in got) == [(4, 4, True), (5, 5, True), (5, 5, True), (7, 5, False), (8, 5, False), (9, 4, False), (9, 4, False), (9, 4, False), (10, 4, False), (11, 11, True)]
+
+
 def test_periods_meet_all_deadlines(spark):
     for owned in ([3, 5, 8], [1, 1, 1], [7], [100, 3, 1, 1, 45], [13, 29, 22]):
         q = sum(owned)
