@@ -25,11 +25,12 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one document of each class of five-word shingle sets, the one of smallest doc_id; repeated rows of it count once.
 
-    Documents with an empty set and rows with a null doc_id are kept.
+    Documents with an empty set and rows with a null doc_id are kept. Where the doc_id that stays repeats with different texts, each text stays once.
     """
-    found = settle(near_duplicates(docs.select("doc_id", "text")).filter("doc_id is not null").groupBy("doc_id").agg(F.every("kept").alias("kept"), F.count("*").alias("n")))
-    once = docs.join(found.filter("not kept or n > 1").select("doc_id"), "doc_id", "left_anti")
-    repeated = docs.join(found.filter("kept and n > 1").select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    found = near_duplicates(docs.select("doc_id", "text")).filter("doc_id is not null").groupBy("doc_id").agg(F.every("kept").alias("kept"), F.count("*").alias("n"))
+    touched = settle(found.filter("not kept or n > 1"))
+    once = docs.join(touched.select("doc_id"), "doc_id", "left_anti")
+    repeated = docs.join(touched.filter("kept").select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
     return once.select(*docs.columns).unionByName(repeated.select(*docs.columns))
 
 
