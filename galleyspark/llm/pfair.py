@@ -1,135 +1,92 @@
-"""Mixing sources to target weights by Pfair scheduling, with DataFrame functions only.
+"""Mixing sources to target weights by Pfair scheduling; documents are touched by DataFrame functions only.
 
-Sources are cut into blocks of ``block_docs`` documents. A period has ``units`` slots, of which source s owns c of q. Its j-th block
-of a period is released at slot floor(j*q/c) and due by slot ceil((j+1)*q/c). Earliest-deadline-first gives every slot to a released block
-and meets all deadlines, so after any slot each source is less than one block from its share. Periods repeat while all sources last.
-Where a source has fewer blocks left than a period takes, one period shortened in proportion takes all that it has; then the others
-share on. Phases of whole periods and shorter ones alternate, at most two for each source. A block's slot follows from its number by arithmetic.
+Sources are cut into blocks of ``block_docs`` documents, one block to a slot. With w the exact target share of a source, its j-th block is
+released at slot floor(j / w) and due by slot ceil((j + 1) / w). Earliest-deadline-first gives each slot to a released block; as shares add up to
+one, it meets all deadlines, so after any slot a source is less than one block from its share. When a source ends, a new phase begins at
+that slot, in which the others share on in proportion.
+
+The timetable is metadata of bounded size: at most ``most_slots`` blocks, and at least one for each source. It is made from the sources' counts alone, in integers,
+and sent to tasks as one array of slots for each source. Beyond ``most_slots * block_docs`` documents blocks become larger.
 """
 
 from __future__ import annotations
 
 import math
-from typing import NamedTuple
+from heapq import heappop, heappush
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from galleyspark.llm.base import fresh, query, table
 
-MOST_SOURCES = 256
 DOCS_TO_BUCKET = 2048
+UNITS = 1 << 40  # shares are whole numbers of this size
 
 
-class Phase(NamedTuple):
-    periods: int
-    counts: dict[int, int]  # source number -> blocks in each period
-
-
-def unit_weights(shares: list[float], units: int) -> list[int]:
-    """Whole units of a period in proportion to ``shares``: one at least for each source, the rest by largest remainder."""
-    free, total = units - len(shares), sum(shares) or 1.0
-    exact = [free * s / total for s in shares]
-    whole = [math.floor(x) for x in exact]
-    for i in sorted(range(len(shares)), key=lambda i: (whole[i] - exact[i], i))[: free - sum(whole)]:
-        whole[i] += 1
-    return [1 + w for w in whole]
-
-
-def phases(blocks: list[int], weights: list[int]) -> list[Phase]:
-    left, out = dict(enumerate(blocks)), []
-    while left := {s: n for s, n in left.items() if n}:
-        periods = min(n // weights[s] for s, n in left.items())
-        part = 1.0 if periods else min(n / weights[s] for s, n in left.items())
-        counts = {s: n if n <= weights[s] * part else min(n, max(1, round(weights[s] * part))) for s, n in left.items()} if part < 1 else {s: weights[s] for s in left}
-        out.append(Phase(max(periods, 1), counts))
-        left = {s: n - max(periods, 1) * counts[s] for s, n in left.items()}
-    return out
-
-
-def edf_slots(owned: Column, slots: Column) -> Column:
-    """Source index of each slot of a period. ``owned``: blocks of each source in the period; ``slots``: their sum.
+def edf_slots(blocks: list[int], weights: list[int]) -> list[list[int]]:
+    """The slots of each source's blocks. A source of weight 0 comes when only such are left, and shares equally with them then.
 
-    The state is the number of blocks that each source has had. Of the sources whose next block is released, the one with
-    the earliest deadline goes, the first one among equals.
+    Of the released blocks the one with the earliest deadline goes, of equals that of the smaller source number.
     """
-    none = F.transform(owned, lambda _: F.lit(0))
-
-    def due(had: Column, t: Column) -> Column:
-        ready = F.transform(owned, lambda c, i: F.when((had[i] < c) & (F.floor(had[i] * slots / c) <= t), F.struct(F.ceil((had[i] + 1) * slots / c).alias("d"), i.alias("i"))))
-        return F.array_min(F.filter(ready, lambda x: x.isNotNull()))["i"]
-
-    def step(state: Column, t: Column) -> Column:
-        given = F.struct(state["had"].alias("had"), state["out"].alias("out"), due(state["had"], t).alias("i"))
-        return F.transform(F.array(given), lambda g: F.struct(
-            F.transform(g["had"], lambda n, k: n + (k == g["i"]).cast("int")).alias("had"), F.concat(g["out"], F.array(g["i"])).alias("out")))[0]
-
-    start = F.struct(none.alias("had"), F.array().cast("array<int>").alias("out"))
-    return F.aggregate(F.sequence(F.lit(0), slots - 1), start, step)["out"]
-
-
-def timetable(spark: SparkSession, plan: list[Phase]) -> DataFrame:
-    """One row for each source: its phases in order, each with first block, first slot, blocks and slots to a period, and slot numbers.
-    At most 2 * MOST_SOURCES phases of ``units`` slots, whatever the size of the data."""
-    rows, slot, had = [], 0, {}
-    for p, (periods, counts) in enumerate(plan):
-        q = sum(counts.values())
-        rows.append((p, slot, q, list(counts), list(counts.values()), [had.get(s, 0) for s in counts]))
-        slot += periods * q
-        had |= {s: had.get(s, 0) + periods * c for s, c in counts.items()}
-    df = spark.createDataFrame(rows, "phase int, first_slot long, q int, sources array<int>, owned array<int>, first_blocks array<long>").repartition("phase")
-    dealt = df.withColumn("dealt", edf_slots(F.col("owned"), F.col("q")))
-    mine = lambda i: F.filter(F.transform(F.col("dealt"), lambda s, t: F.when(s == i, t)), lambda t: t.isNotNull())
-    each = dealt.select("phase", "first_slot", "q", "sources", "owned", "first_blocks", "dealt", F.explode(F.sequence(F.lit(0), F.size("sources") - 1)).alias("i"))
-    each = each.select(F.col("sources")[F.col("i")].alias("source_no"), F.struct(
-        "phase", F.col("first_blocks")[F.col("i")].alias("first_block"), "first_slot", F.col("owned")[F.col("i")].alias("c"), "q", mine(F.col("i")).alias("slots")).alias("p"))
-    return each.groupBy("source_no").agg(F.array_sort(F.collect_list("p")).alias("phases"))
-
-
-def mix(docs: DataFrame, weights: dict[str, float] | None = None, units: int = 1024, block_docs: int = 16, temper: float = 0.5) -> DataFrame:
+    slots: list[list[int]] = [[] for _ in blocks]
+    live, t = [s for s, n in enumerate(blocks) if n], 0
+    while live:
+        share = {s: weights[s] for s in live if weights[s]} or dict.fromkeys(live, 1)
+        total, start, had = sum(share.values()), t, dict.fromkeys(share, 0)
+        waiting, ready = [], []  # (release, source), (deadline, source)
+        for s in share:
+            heappush(waiting, (0, s))
+        while True:
+            while waiting and waiting[0][0] <= t - start:
+                s = heappop(waiting)[1]
+                heappush(ready, (-(-(had[s] + 1) * total // share[s]), s))
+            s = heappop(ready)[1]  # blocks released so far are more than slots given so far
+            slots[s].append(t)
+            had[s], t = had[s] + 1, t + 1
+            if len(slots[s]) == blocks[s]:
+                live.remove(s)
+                break
+            heappush(waiting, (had[s] * total // share[s], s))
+    return slots
+
+
+def mix(docs: DataFrame, weights: dict[str, float] | None = None, block_docs: int = 16, temper: float = 0.5, most_slots: int = 1 << 20) -> DataFrame:
     """``docs`` with ``source_no``, ``block``, ``slot`` and ``position`` (names get ``_`` where taken); ascending ``position`` is the mix.
 
-    ``weights``: target share by source; sources without one, and null, are mixed as one further source with the share that is left or,
-    where none is, one unit. Without ``weights``, the MOST_SOURCES largest sources count by document number to the power ``temper``.
-    Within a source, documents go in the order of a hash of doc_id; repeated rows follow one another. All rows are kept: no
-    source is cut or repeated. An empty table stays empty. A source is ranked in hash ranges of about DOCS_TO_BUCKET rows, not as one group.
+    ``weights``: target share by source; sources without one, and null, divide what is left of 1 in proportion to their documents, and come last
+    where nothing is left. Without ``weights`` a source counts by its document number to the power ``temper``, the null source too.
+    Within a source, documents go in the order of a hash of doc_id; repeated rows follow one another. All rows are kept: no source is cut or
+    repeated. Texts are not read, of whatever length. An empty table stays empty. A source is ranked in hash ranges of about DOCS_TO_BUCKET rows, not as one group.
     """
     spark = docs.sparkSession
     number, block, slot, position = (fresh(docs.columns, n) for n in ("source_no", "block", "slot", "position"))
-    bucket, rank, before = (fresh([*docs.columns, number, block, slot, position], n) for n in ("bucket", "rank", "before"))
-    by_size = docs.groupBy(F.col("source").cast("string").alias("source")).count()
+    bucket, rank, before, of = (fresh([*docs.columns, number, block, slot, position], n) for n in ("bucket", "rank", "before", "of_source"))
+    sizes = sorted((tuple(r) for r in docs.groupBy(F.col("source").cast("string").alias("source")).count().collect()), key=lambda r: (r[0] is None, r[0] or ""))  # a row to a source
+    total = sum(n for _, n in sizes)
+    block_docs = max(block_docs, -(-total // most_slots))
     if weights is None:
-        largest = by_size.filter("source is not null").orderBy(F.desc("count"), "source").head(MOST_SOURCES - 1)
-        weights = {r["source"]: float(r["count"]) ** temper for r in largest}
-        rest = None
+        shares = [float(n) ** temper for _, n in sizes]
     else:
-        if len(weights) >= MOST_SOURCES:
-            raise ValueError(f"at most {MOST_SOURCES - 1} weights")
-        rest = max(0.0, 1.0 - sum(weights.values()))
-    names = sorted(weights)
-    lookup = F.create_map(*[F.lit(x) for i, n in enumerate(names) for x in (n, i)]) if names else F.create_map().cast("map<string,int>")
-    no = F.coalesce(F.try_element_at(lookup, F.col("source").cast("string")), F.lit(len(names)))
-    sizes = {r[0]: r[1] for r in by_size.groupBy(no.alias("no")).agg(F.sum("count")).collect()}  # at most MOST_SOURCES rows
-    blocks = [-(-sizes.get(i, 0) // block_docs) for i in range(len(names) + 1)]
-    tail = float(sizes.get(len(names), 0)) ** temper if rest is None else rest
-    plan = phases(blocks, unit_weights([*(weights[n] for n in names), tail], max(units, len(names) + 1)))
-    bits = min(30, max(8, math.ceil(math.log2(max(sum(sizes.values()), 1) / DOCS_TO_BUCKET + 1))))
+        rest, others = max(0.0, 1.0 - sum(weights.values())), sum(n for s, n in sizes if s not in weights)
+        shares = [weights[s] if s in weights else rest * n / others for s, n in sizes]
+    whole = sum(shares) or 1.0
+    units = [max(1, round(w / whole * UNITS)) if w > 0 else 0 for w in shares]
+    slots = edf_slots([-(-n // block_docs) for _, n in sizes], units)
+    times = spark.createDataFrame([(s, i, x) for i, ((s, _), x) in enumerate(zip(sizes, slots, strict=True))], f"`{of}` string, `{number}` int, `{slot}` array<int>")
+    bits = min(30, max(8, math.ceil(math.log2(max(total, 1) / DOCS_TO_BUCKET + 1))))
 
     hashed = F.xxhash64(F.col("doc_id").cast("long"))
-    placed = docs.withColumns({number: no, bucket: F.shiftrightunsigned(hashed, 64 - bits).cast("int")})
-    counts = docs.select(no.alias(number), F.shiftrightunsigned(hashed, 64 - bits).cast("int").alias(bucket)).groupBy(number, bucket).agg(F.count("*").alias("n"))
+    numbers = F.broadcast(times.select(of, number))
+    own = F.col("source").cast("string").eqNullSafe(F.col(of))
+    placed = docs.join(numbers, own).drop(of).withColumn(bucket, F.shiftrightunsigned(hashed, 64 - bits).cast("int"))
+    counts = docs.select("source", F.shiftrightunsigned(hashed, 64 - bits).cast("int").alias(bucket)).join(numbers, own).groupBy(number, bucket).agg(F.count("*").alias("n"))
     earlier = Window.partitionBy(number).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select(number, bucket, F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias(before))
     inside = Window.partitionBy(number, bucket).orderBy(hashed, "doc_id")
     ranked = placed.withColumn(rank, F.row_number().over(inside)).join(starts, [number, bucket])
     at = F.col(before) + F.col(rank) - 1
-    times = timetable(spark, plan).withColumnRenamed("source_no", number).withColumnRenamed("phases", rank)
-    dealt = ranked.withColumns({block: F.floor(at / block_docs), before: at % block_docs}).drop(rank).join(F.broadcast(times), number)
-    phase = F.element_at(F.filter(rank, lambda p: p["first_block"] <= F.col(block)), -1)
-    dealt = dealt.withColumn(rank, phase)
-    nth = F.col(block) - F.col(rank)["first_block"]
-    of_period = (nth % F.col(rank)["c"]).cast("int")
-    dealt = dealt.withColumn(slot, F.col(rank)["first_slot"] + F.floor(nth / F.col(rank)["c"]) * F.col(rank)["q"] + F.get(F.col(rank)["slots"], of_period))
+    dealt = ranked.withColumns({block: F.floor(at / block_docs), before: at % block_docs}).join(F.broadcast(times.select(number, slot)), number)
+    dealt = dealt.withColumn(slot, F.get(slot, F.col(block).cast("int")).cast("long"))
     return dealt.withColumn(position, F.col(slot) * block_docs + F.col(before)).select(*docs.columns, number, block, slot, position)
 
 
