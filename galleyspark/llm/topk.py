@@ -18,22 +18,25 @@ from pyspark.sql import functions as F
 from galleyspark.llm.base import bounded_batches, query, settle, table
 
 GROUP_QUERIES, BLOCK_QUERIES, BLOCK_VECTORS, BLOCK_DIMENSIONS = 4096, 256, 4096, 16
+LIMIT = float(1 << 62)  # of the squares of a vector's components, summed at their largest: no score leaves a long
 EXACT = float(1 << 53)
 
 
 def quantised(vectors: DataFrame) -> DataFrame:
-    """vec_id, dims, v (array of long): floor(256 * x). Rows without id, without vector, with null or non-finite components are left out, and of
-    rows that repeat a vec_id the one of the smallest vector stays."""
+    """vec_id, dims, v (array of long): floor(256 * x). Rows without id, without vector, with null or non-finite components, or so long that
+    a score might not fit a long, are left out, and of rows that repeat a vec_id the one of the smallest vector stays."""
     v = F.transform("embedding", lambda x: x.cast("double"))
     whole = F.size("embedding") > 0
-    sound = ~F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
+    finite = ~F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
+    peak = F.array_max(F.transform(v, lambda x: F.abs(x * 256) + 1))
+    sound = finite & (F.size("embedding") * peak * peak < LIMIT)
     rows = vectors.filter(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & whole & sound)
     rows = rows.select(F.col("vec_id").cast("long").alias("vec_id"), F.transform(v, lambda x: F.floor(x * 256)).alias("v"))
     return rows.groupBy("vec_id").agg(F.min("v").alias("v")).withColumn("dims", F.size("v"))
 
 
 def best_of_block(q: np.ndarray, c: np.ndarray, ids: np.ndarray, own: np.ndarray, k: int) -> list[tuple[int, int, int]]:
-    """(query row, vec_id, score): scores must fit a long. For each query the k best candidates of the block, ties to smaller ids. ``c`` holds one row a dimension.
+    """(query row, vec_id, score): for each query the k best candidates of the block, ties to smaller ids. ``c`` holds one row a dimension.
 
     Values are exact: floating point where all partial sums stay below 2**53, Python integers elsewhere.
     """
@@ -94,7 +97,9 @@ def top_k(vectors: DataFrame, queries, k: int = 5) -> DataFrame:
             rows += [(int(q_ids[b + i]), x, s) for i, x, s in best_of_block(values[asks][b : b + BLOCK_QUERIES], c, c_ids, own[b : b + BLOCK_QUERIES], k)] if len(c_ids) else []
         return pa.table({n: pa.array([r[j] for r in rows], pa.int64()) for j, n in enumerate(("query_id", "vec_id", "score"))})
 
-    best = candidates.unionByName(asking).groupBy("dims", "cb", "qb").applyInArrow(meet, "query_id long, vec_id long, score long")
+    # One task to a pair of blocks, as far as there are partitions: packed by bytes, all pairs of a small table would meet in one.
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    best = candidates.unionByName(asking).repartition(n, "dims", "cb", "qb").groupBy("dims", "cb", "qb").applyInArrow(meet, "query_id long, vec_id long, score long")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return best.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
