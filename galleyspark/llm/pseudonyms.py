@@ -15,7 +15,7 @@ from galleyspark.llm.base import fresh, query, table
 ROUNDS = 8
 #: Kind, pattern. The order is the order of preference at one place.
 KINDS = {
-    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]*+@[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
+    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]*+@[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?(?:\.[A-Za-z0-9-]+){0,126}\.[A-Za-z]{2,}",  # a host has 127 labels at most
     "phone": r"(?<![\w+])(?:(?:\+?\d{1,3}[ .-]?)?(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}|\+(?:\(?\d\)?[ .-]?){7,14}\d|0\d(?:[ .-]\d\d){4})(?![\w-]|\.\d)",
     "address": r"(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?![\w]|\.\d)",
     "date": r"(?<![\w/-])(?:19|20)\d{2}(?:-\d{2}-|/\d{2}/)\d{2}(?![\w/-])|(?<![\w./-])(?:\d{1,2}\.\d{1,2}\.|\d{1,2}/\d{1,2}/|\d{1,2}-\d{1,2}-)(?:19|20)\d{2}(?![\w/-]|\.\d)",
