@@ -82,14 +82,58 @@ def test_texts_under_one_id_keep_their_links(spark):
     assert sorted((r.doc_id, r.component_id, r.kept) for r in got) == [(4, 4, True), (5, 5, True), (5, 5, True), (7, 5, False), (8, 5, False), (9, 4, False), (9, 4, False), (9, 4, False), (10, 4, False), (11, 11, True)]
 
 
-def test_periods_meet_all_deadlines(spark):
-    for owned in ([3, 5, 8], [1, 1, 1], [7], [100, 3, 1, 1, 45], [13, 29, 22]):
-        q = sum(owned)
-        got = spark.range(1).select(pfair.edf_slots(F.lit(np.array(owned, dtype="int32").tolist()).cast("array<int>"), F.lit(q))).head()[0]
-        had = [0] * len(owned)
-        for t, s in enumerate(got, 1):
-            had[s] += 1
-            assert all(abs(had[i] - c * t / q) < 1 for i, c in enumerate(owned))
+def off_target(slots, blocks, weights):
+    """Largest distance of any source from its share, over all slots of all phases, in exact integers; a phase ends with a source."""
+    order = np.empty(sum(blocks), np.int64)
+    for s, own in enumerate(slots):
+        order[own] = s
+    worst, begin, left = 0.0, 0, dict(enumerate(blocks))
+    while left := {s: n for s, n in left.items() if n}:
+        share = {s: weights[s] for s in left if weights[s]} or dict.fromkeys(left, 1)
+        end = min(slots[s][-1] for s in share) + 1
+        total, t = sum(share.values()), np.arange(1, end - begin + 1, dtype=object)
+        for s in left:
+            had = np.cumsum(order[begin:end] == s).astype(object)
+            gap = had * total - t * share.get(s, 0)
+            worst = max(worst, max(gap) / total, -min(gap) / total)
+            left[s] -= int(had[-1])
+        begin = end
+    assert begin == len(order)
+    return worst
+
+
+def test_no_source_is_a_block_from_its_share():
+    rng = random.Random(2)
+    for _ in range(150):
+        n = rng.randint(1, 7)
+        blocks, weights = [rng.randint(0, 60) for _ in range(n)], [rng.choice((0, 1, 1, 2, rng.randrange(1, 1 << 40))) for _ in range(n)]
+        slots = pfair.edf_slots(blocks, weights)
+        assert [len(x) for x in slots] == blocks and sorted(t for x in slots for t in x) == list(range(sum(blocks)))
+        assert off_target(slots, blocks, weights) < 1
+    assert off_target(pfair.edf_slots([90_000, 10_000], [9, 1]), [90_000, 10_000], [9, 1]) < 1
+
+
+def test_a_million_slots_of_three_hundred_sources():
+    """One third among many sources, in a phase of a million slots and in those that follow."""
+    rng = random.Random(3)
+    weights = [rng.randrange(1 << 20, 1 << 30) for _ in range(299)]
+    weights.append(sum(weights) // 2)
+    total = sum(weights)
+    blocks = [int(w / total * 1_000_000) + rng.choice((2, 40)) for w in weights]
+    slots = pfair.edf_slots(blocks, weights)
+    first = min(x[-1] for x in slots) + 1
+    assert first > 990_000
+    order = np.empty(sum(blocks), np.int64)
+    for s, own in enumerate(slots):
+        order[own] = s
+    for s in (0, 17, 298, 299):
+        had, t = np.cumsum(order[:first] == s).astype(object), np.arange(1, first + 1, dtype=object)
+        gap = had * total - t * weights[s]
+        assert -total < min(gap) and max(gap) < total
+    for s, own in enumerate(slots):  # the windows of all blocks of the phase
+        j = np.arange(sum(t < first for t in own), dtype=object)
+        at = np.array(own[: len(j)], dtype=object)
+        assert all(at >= j * total // weights[s]) and all(at < -(-(j + 1) * total // weights[s]))
 
 
 def test_mix_keeps_all_rows_and_shares(spark):
@@ -98,28 +142,35 @@ def test_mix_keeps_all_rows_and_shares(spark):
     rows = [(i, f"t{i}", s) for i, s in enumerate(s for s, n in sizes.items() for _ in range(n))] + [(0, "t0", "a"), (None, None, "b")]
     rng.shuffle(rows)
     weights = {"a": 0.2, "b": 0.5, "c": 0.2}
-    out = pfair.mix(docs(spark, rows, SCHEMA.replace("n_chars", "slot")), weights, units=64, block_docs=8)
+    out = pfair.mix(docs(spark, rows, SCHEMA.replace("n_chars", "slot")), weights, block_docs=8)
     got = sorted(out.collect(), key=lambda r: r.position)
     assert sorted((r.doc_id or -1, r.source or "") for r in got) == sorted((i or -1, s or "") for i, _, s in rows)
     assert len({r.position for r in got}) == len(rows) and out.columns[-4:] == ["source_no", "block", "slot_", "position"]
-    order = [r.source if r.source in weights else "rest" for r in sorted({r.slot_: r for r in got}.values(), key=lambda r: r.slot_)]
-    share, had = {"a": 0.2, "b": 0.5, "c": 0.2, "rest": 0.1}, {"a": 0, "b": 0, "c": 0, "rest": 0}
-    for t, s in enumerate(order[:64], 1):  # the first phase: all sources last
+    order = [r.source for r in sorted({r.slot_: r for r in got}.values(), key=lambda r: r.slot_)]
+    assert len(order) == sum(-(-n // 8) for n in (3001, 1001, 700, 50, 20))
+    share = weights | {None: 0.1 * 50 / 70, "": 0.1 * 20 / 70}
+    first = min(max(t for t, s in enumerate(order) if s == name) for name in share)
+    had = dict.fromkeys(share, 0)
+    for t, s in enumerate(order[:first], 1):  # the first phase: all sources last
         had[s] += 1
-        assert all(abs(had[x] - share[x] * t) < 1.6 for x in share)  # shares are whole units of 64
+        assert all(abs(had[x] - share[x] * t) < 1 + 1e-6 for x in share)
     assert pfair.mix(docs(spark, [])).count() == 0
     files = pfair.in_order(out, ["doc_id", "source", "position"])
     assert [r.position for r in files.collect()] == [r.position for r in got]
+    # Each document by a plain version: its place in the hash order of its source, and that block's slot.
+    hashes = {r.doc_id: r.h for r in spark.createDataFrame([(r.doc_id,) for r in got], "doc_id long").selectExpr("doc_id", "xxhash64(doc_id) AS h").collect()}
+    for name in share:
+        own = sorted((r for r in got if r.source == name), key=lambda r: (hashes[r.doc_id] % (1 << 64), -1 if r.doc_id is None else r.doc_id))
+        assert [r.block for r in own] == [k // 8 for k in range(len(own))] and all(r.position == r.slot_ * 8 + k % 8 for k, r in enumerate(own))
+    larger = pfair.mix(docs(spark, rows), block_docs=8, most_slots=100).agg(F.max("slot"), F.count("*")).first()
+    assert larger[0] < 105 and larger[1] == len(rows)
 
 
-def test_phases_use_up_all_blocks():
-    rng = random.Random(2)
-    for _ in range(200):
-        n = [rng.randint(0, 300) for _ in range(rng.randint(1, 6))]
-        w = pfair.unit_weights([rng.random() for _ in n], 32)
-        plan = pfair.phases(n, w)
-        assert sum(w) == 32 and min(w) >= 1 and len(plan) <= 2 * len(n)
-        assert [sum(p.periods * p.counts.get(s, 0) for p in plan) for s in range(len(n))] == n
+def test_more_sources_than_a_few_hundred(spark):
+    rows = [(i, "t", f"s{i % 700}") for i in range(2800)]
+    got = pfair.mix(docs(spark, rows), block_docs=1).collect()
+    assert sorted(r.position for r in got) == list(range(2800))
+    assert all(len({r.source for r in got if r.slot // 700 == k}) == 700 for k in range(4))  # equal shares go round
 
 
 def test_importance_sample_keeps_clean_texts(spark):
@@ -167,6 +218,15 @@ def test_top_k_matches_brute_force(spark):
     assert topk.top_k(df.limit(0), F.col("vec_id") % 50 == 0).count() == 0
 
 
+def test_scores_that_would_not_fit_are_left_out(spark):
+    """Components beyond a long leave the search as non-finite ones do."""
+    rows = [(0, [1.0, 2.0]), (1, [1e10, 1e10]), (2, [1e300, 0.0]), (3, [3.0, -1.0]), (4, [1e6, 1e6])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted(tuple(r) for r in topk.top_k(df, F.lit(True), 2).select("query_id", "rank", "vec_id", "score").collect())
+    assert {r[0] for r in got} == {0, 3, 4} == {r[2] for r in got}
+    assert (4, 1, 0, 256 * 256 * 3_000_000) in got
+
+
 def test_pipeline_stages_take_effect(spark, tmp_path):
     import corpus_pipeline
 
