@@ -142,18 +142,25 @@ def _near_in_time(items: DataFrame, assets: DataFrame, on: list[str], seconds: i
     return i.join(a, [*on, "slot"]).filter(near)
 
 
+def _hashed(key: Column) -> Column:
+    """128 bits for a long text key: keys are compared by equality only."""
+    return F.struct(F.xxhash64(key).alias("h"), F.xxhash64(F.lit("key"), key).alias("g"))
+
+
 def match_assets(items: DataFrame, assets: DataFrame) -> DataFrame:
     """Same media link, or same title and show within a day and a similar duration. Video items match by id only.
 
     items: item_id, url, audio_url, title, show, published_at, duration. assets: asset_id, link, asset_title, asset_show, asset_at, asset_duration.
     """
-    vid = keys.is_video_url("url")
-    a = assets.select("*", keys.media_key("link").alias("key"), keys.video_id("link").alias("vid"))
-    by_video = items.filter(vid).select("item_id", keys.video_id("url").alias("vid")).join(a.select("asset_id", "vid"), "vid").select("item_id", "asset_id")
-    links = items.filter(~vid).select("item_id", F.explode(F.array_distinct(F.array(keys.media_key("url"), keys.media_key(F.coalesce("audio_url", F.lit("")))))).alias("key")).filter("key <> ''")
-    by_link = links.join(a.select("asset_id", "key"), "key").select("item_id", "asset_id")
-    named = items.filter(~vid & (F.col("show") != "") & (F.col("duration") > 0)).select("item_id", "published_at", "duration", keys.word_title("title").alias("t"), keys.word_title("show").alias("s"))
-    cand = _near_in_time(named, a.select("asset_id", "asset_at", "asset_duration", keys.word_title("asset_title").alias("t"), keys.word_title("asset_show").alias("s")), ["t", "s"], 86400)
+    # Links and titles are parsed once for each row; the joins see short keys.
+    name = lambda title, show: _hashed(F.concat_ws("\n", keys.word_title(title), keys.word_title(show)))
+    audio = F.when(F.coalesce("audio_url", F.lit("")) != "", keys.media_key("audio_url")).otherwise("")
+    i = cut_lineage(items.select("item_id", "published_at", "duration", "show", keys.is_video_url("url").alias("is_video"), keys.video_id("url").alias("vid"), F.array_distinct(F.array(keys.media_key("url"), audio)).alias("keys"), name("title", "show").alias("name")))
+    a = cut_lineage(assets.select("asset_id", "asset_at", "asset_duration", keys.media_key("link").alias("key"), keys.video_id("link").alias("vid"), name("asset_title", "asset_show").alias("name")))
+    by_video = i.filter("is_video").select("item_id", "vid").join(a.select("asset_id", "vid"), "vid").select("item_id", "asset_id")
+    by_link = i.filter("not is_video").select("item_id", F.explode("keys").alias("key")).filter("key <> ''").join(a.select("asset_id", "key"), "key").select("item_id", "asset_id")
+    named = i.filter(~F.col("is_video") & (F.col("show") != "") & (F.col("duration") > 0)).select("item_id", "published_at", "duration", "name")
+    cand = _near_in_time(named, a.select("asset_id", "asset_at", "asset_duration", "name"), ["name"], 86400)
     by_name = cand.filter(F.abs(F.col("asset_duration") - F.col("duration")) <= F.greatest(F.lit(30.0), F.col("duration") * 0.05)).select("item_id", "asset_id")
     return by_video.union(by_link).union(by_name).distinct()
 
@@ -241,15 +248,17 @@ def identity_keys(items: DataFrame) -> DataFrame:
 
 
 def identity_representative(items: DataFrame) -> DataFrame:
-    """Items preferred for every identity they have. items: item_id, ordinal, score, ids (array of identity keys).
+    """Items preferred for every identity they have. items: item_id, ordinal (unique), score (both whole numbers), ids (array of identity keys).
 
-    The preferred member of a key has the highest score, then the lowest ordinal: an aggregate with map-side combine, so a
-    key shared by a large share of all items never lands in one task.
+    The preferred member of a key has the highest score, then the lowest ordinal; both are one number, so the best of a key is a plain maximum that
+    combines before the shuffle. An item stays if it is the best of as many keys as it has: the exploded keys are shuffled once, and joined to nothing.
     """
-    k = items.select("item_id", "ordinal", "score", F.explode("ids").alias("key"))
-    best = k.groupBy("key").agg(F.max(F.struct("score", (-F.col("ordinal")).alias("early"))).alias("b")).select("key", F.col("b.score").alias("bs"), F.col("b.early").alias("be"))
-    judged = k.join(best, "key").groupBy("item_id").agg(F.bool_and((F.col("score") == F.col("bs")) & (-F.col("ordinal") == F.col("be"))).alias("keep"))
-    return judged.filter("keep").select("item_id")
+    whole = lambda c: F.col(c).cast("decimal(18,0)")
+    rank = (whole("score") * F.lit(10**18).cast("decimal(19,0)") - whole("ordinal")).cast("decimal(38,0)")
+    ranked = cut_lineage(items.select("item_id", rank.alias("rank"), F.array_distinct(F.transform("ids", _hashed)).alias("ids")))
+    best = ranked.select("rank", F.explode("ids").alias("k")).groupBy("k.h", "k.g").agg(F.max("rank").alias("rank"))
+    won = best.groupBy("rank").agg(F.count("*").alias("won"))
+    return ranked.join(won, "rank").filter(F.col("won") == F.size("ids")).select("item_id")
 
 
 def drop_reviewed(items: DataFrame, states: DataFrame) -> DataFrame:
@@ -258,8 +267,9 @@ def drop_reviewed(items: DataFrame, states: DataFrame) -> DataFrame:
     items: item_id, ids (identity keys; history keys may be among them). states: key, known, state ('new', 'retry' or null), one row
     per member and key. Members of a key are folded before they meet the items, so no pairs of members are formed.
     """
-    per_key = states.groupBy("key").agg(F.bool_or(F.col("known") & F.col("state").isNull()).alias("blocked"), F.bool_or(F.coalesce(F.col("state") == "retry", F.lit(False))).alias("retry"))
-    j = items.select("item_id", F.explode("ids").alias("key")).join(per_key, "key", "left")
+    told = states.select(_hashed(F.col("key")).alias("k"), (F.col("known") & F.col("state").isNull()).alias("blocked"), F.coalesce(F.col("state") == "retry", F.lit(False)).alias("retry"))
+    per_key = told.groupBy(F.col("k.h").alias("h"), F.col("k.g").alias("g")).agg(F.bool_or("blocked").alias("blocked"), F.bool_or("retry").alias("retry")).filter("blocked or retry")
+    j = items.select("item_id", F.explode(F.transform("ids", _hashed)).alias("k")).select("item_id", "k.h", "k.g").join(per_key, ["h", "g"], "left")
     f = lambda c: F.coalesce(F.col(c), F.lit(False))
     return j.groupBy("item_id").agg(F.bool_or(f("blocked")).alias("blocked"), F.bool_or(f("retry")).alias("retry")).filter(~F.col("blocked")).select(
         "item_id", F.when(F.col("retry"), "retry").otherwise("new").alias("state"))

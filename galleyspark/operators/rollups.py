@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from galleyspark.functions.text import BLANKS
 from galleyspark.operators.ordered import Running, dense_position, first_n, fold_in_order, independent_runs, prefix_scan
@@ -52,9 +53,9 @@ def assign_status(items: DataFrame, transcripts: DataFrame, reviews: DataFrame,
 
 
 def run_health(days: DataFrame, now: Column, start_minutes: int = 510, grace_minutes: int = 45) -> DataFrame:
-    """State of each local day's run from its pre-aggregated facts.
+    """State of each local day's run from its pre-aggregated facts, with the time of the last complete send up to then.
 
-    days: day, subscribed, has_run, analysis_complete, sends, sent. ``now`` is local wall time.
+    days: day, subscribed, has_run, analysis_complete, sends, sent, last_sent_at; one row per day. ``now`` is local wall time.
     """
     scheduled = F.col("day").cast("timestamp") + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(start_minutes))
     delivered = (F.col("sends") > 0) & (F.col("sends") == F.col("sent"))
@@ -62,7 +63,29 @@ def run_health(days: DataFrame, now: Column, start_minutes: int = 510, grace_min
     overdue = F.col("subscribed") & ~complete & (now >= scheduled + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(grace_minutes)))
     state = (F.when(~F.col("subscribed"), "not_subscribed").when(complete, "sent").when(overdue, "overdue").when(delivered, "partial")
              .when(F.col("has_run"), "processing").when(now < scheduled, "not_due").otherwise("pending"))
-    return days.withColumn("state", state).withColumn("overdue", overdue)
+    so_far = Window.partitionBy(F.year("day") * 0).orderBy("day").rowsBetween(Window.unboundedPreceding, Window.currentRow)  # a row a day
+    return days.withColumn("state", state).withColumn("overdue", overdue).withColumn("last_send", F.max("last_sent_at").over(so_far))
+
+
+def reported_counts(daily_items: DataFrame) -> DataFrame:
+    """Per day the number of items by status as ``status=n`` in order of names; statuses that may not be named count as ``other``. daily_items: day, status."""
+    named = F.when(F.col("status").isin(REPORTED_STATUSES), F.col("status")).otherwise("other")
+    counts = daily_items.groupBy("day", named.alias("status")).agg(F.count("*").alias("n"))
+    return counts.groupBy("day").agg(F.array_join(F.array_sort(F.collect_list(F.concat_ws("=", "status", "n"))), " ").alias("counts"))
+
+
+def health_warnings(operational: DataFrame, attempts: DataFrame, missing: DataFrame) -> DataFrame:
+    """Per day the warnings that a health view may show, distinct and sorted: no source text and no address is in them.
+
+    operational: day, code, target (nullable), used, limit (nullable). attempts: day, status of document attempts. missing: day, item_id of missing document links.
+    """
+    detail = F.concat_ws(":", "code", F.concat(F.lit("day="), "day"), F.concat(F.lit("target="), "target"), F.concat(F.lit("used="), "used", F.lit("/"), "limit"))
+    stopped = attempts.filter(F.col("status") == "failed").groupBy("day").agg(F.count("*").alias("n"))
+    mark = F.substring(F.sha2(F.col("item_id").cast("string"), 256), 1, 12)
+    safe_day = F.coalesce(F.when(F.to_date(F.col("day").try_cast("date")).isNotNull(), F.col("day")), F.lit("unknown"))
+    lines = operational.select("day", detail.alias("line")).unionByName(stopped.select("day", F.concat(F.lit("episode_document_retry_stopped:"), "n").alias("line")))
+    lines = lines.unionByName(missing.select("day", F.concat(F.lit("document link missing:episode="), mark, F.lit(":day="), safe_day).alias("line")))
+    return lines.groupBy("day").agg(F.array_join(F.array_sort(F.collect_set("line")), " | ").alias("warnings"))
 
 
 def missing_document_links(attempts: DataFrame, runs: DataFrame) -> DataFrame:

@@ -15,7 +15,7 @@ from galleyspark.plans.columns import _F, _FEEDQ, _NOISE, _SPLIT, URL_KEY
 from galleyspark.plans.editorial import scored_copies
 from galleyspark.operators.editorial import representation_score
 from galleyspark.plans.registry import job
-from galleyspark.session import dealt
+from galleyspark.session import cut_lineage, dealt
 
 _STOPW = ",".join(f"'{w}'" for w in keys.TITLE_STOPWORDS)
 
@@ -211,7 +211,7 @@ def identity_pages(t):
 k AS (SELECT key, bool_or(known AND state IS NULL) AS blocked, bool_or(coalesce(state='retry',FALSE)) AS retry FROM ik JOIN st USING (item_id) GROUP BY 1),
 i AS (SELECT item_id, bool_or(blocked) AS blocked, bool_or(retry) AS retry FROM ik JOIN k USING (key) GROUP BY 1) SELECT item_id, CASE WHEN retry THEN 'retry' ELSE 'new' END AS state FROM i WHERE NOT blocked""")
 def drop_reviewed(t):
-    i = identified(t)
+    i = cut_lineage(identified(t).select("item_id", "ids"))  # items and history are one table here
     known = F.col("item_id") % 3 == 0
     states = i.select(F.explode("ids").alias("key"), known.alias("known"), F.when(~known, "new").when(F.col("item_id") % 12 == 0, "retry").alias("state"))
     return ops.drop_reviewed(i, states)

@@ -39,31 +39,52 @@ def assign_status(t):
     return ops.assign_status(items, texts, scored, scored.select("item_id", (F.col("quotes") >= 3).alias("usable")), b.ts(b.ITEM_NOW), 17520, 60000.0)
 
 
-@job("run_health", """WITH d AS (SELECT CAST(ts + to_hours(8) AS DATE) AS day, ts, user_id, event_type, value FROM events)
+_NAMED = ",".join(f"'{x}'" for x in ops.REPORTED_STATUSES)
+_STATUSES = [*ops.REPORTED_STATUSES, "queued", "sent"]
+
+
+@job("run_health", f"""WITH d AS (SELECT CAST(ts + to_hours(8) AS DATE) AS day, ts, user_id, event_id, event_type, value FROM events)
 , g AS (SELECT day, bool_or(event_type='signup' AND user_id % 3 > 0) AS subscribed, bool_or(event_type='view' AND user_id < 10) AS has_run,
   coalesce(bool_and(value < 150) FILTER (WHERE event_type='view' AND user_id < 10), FALSE) AS analysis_complete,
   count(*) FILTER (WHERE event_type='purchase' AND user_id % 25 = 1) AS sends, count(*) FILTER (WHERE event_type='purchase' AND user_id % 25 = 1 AND value < 100) AS sent,
+  max(ts) FILTER (WHERE event_type='purchase' AND user_id % 25 = 1 AND value < 100) AS last_sent_at,
   count(*) FILTER (WHERE event_type='error' AND value >= 20) AS backlog, count(*) FILTER (WHERE event_type='error' AND value >= 20 AND ts < TIMESTAMP '2024-01-31' - to_hours(72)) AS backlog_old,
   count(*) FILTER (WHERE event_type='click' AND value > 150) AS failed_runs FROM d GROUP BY 1),
-s AS (SELECT *, CAST(day AS TIMESTAMP) + to_minutes(510) AS sched, sends > 0 AND sends = sent AS delivered FROM g),
+s AS (SELECT *, CAST(day AS TIMESTAMP) + to_minutes(510) AS sched, sends > 0 AND sends = sent AS delivered, max(last_sent_at) OVER (ORDER BY day) AS last_send FROM g),
 c AS (SELECT *, delivered AND has_run AND analysis_complete AS complete FROM s),
-o AS (SELECT *, subscribed AND NOT complete AND TIMESTAMP '2024-01-29 08:40:00' >= sched + to_minutes(45) AS overdue FROM c)
-SELECT CAST(day AS VARCHAR) AS day, sends, sent, backlog, backlog_old, failed_runs, overdue,
+o AS (SELECT *, subscribed AND NOT complete AND TIMESTAMP '2024-01-29 08:40:00' >= sched + to_minutes(45) AS overdue FROM c),
+st AS (SELECT day, ([{",".join(f"'{x}'" for x in _STATUSES)}])[event_id % {len(_STATUSES)} + 1] AS status FROM d WHERE event_type='view'),
+n AS (SELECT day, status || '=' || count(*) AS x FROM (SELECT day, CASE WHEN status IN ({_NAMED}) THEN status ELSE 'other' END AS status FROM st) GROUP BY day, status),
+cn AS (SELECT day, string_agg(x, ' ' ORDER BY x) AS counts FROM n GROUP BY 1),
+wl AS (SELECT day, 'quota:day=' || day || ':target=' || user_id || CASE WHEN event_id%2=0 THEN ':used=' || (user_id%9) || '/9' ELSE '' END AS x FROM d WHERE event_type='signup' AND value > 150
+ UNION SELECT day, 'episode_document_retry_stopped:' || count(*) FROM d WHERE event_type='error' AND value > 50 GROUP BY day
+ UNION SELECT day, 'document link missing:episode=' || substr(sha256(CAST(user_id AS VARCHAR)),1,12) || ':day=' || day FROM d WHERE (event_type='error' AND value > 50) OR (event_type='click' AND value > 100)),
+w AS (SELECT day, string_agg(x, ' | ' ORDER BY x) AS warnings FROM wl GROUP BY 1)
+SELECT CAST(day AS VARCHAR) AS day, sends, sent, backlog, backlog_old, failed_runs, overdue, strftime(last_send,'%Y-%m-%d %H:%M:%S') AS last_send, counts, warnings,
  CASE WHEN NOT subscribed THEN 'not_subscribed' WHEN complete THEN 'sent' WHEN overdue THEN 'overdue' WHEN delivered THEN 'partial' WHEN has_run THEN 'processing'
-  WHEN TIMESTAMP '2024-01-29 08:40:00' < sched THEN 'not_due' ELSE 'pending' END AS state FROM o""")
+  WHEN TIMESTAMP '2024-01-29 08:40:00' < sched THEN 'not_due' ELSE 'pending' END AS state FROM o LEFT JOIN cn USING (day) LEFT JOIN w USING (day)""")
 def run_health(t):
     e = b.events(t).withColumn("day", F.to_date(F.from_utc_timestamp("ts", "Asia/Shanghai")))
-    run = (F.col("event_type") == "view") & (F.col("user_id") < 10)
-    bundle = (F.col("event_type") == "purchase") & (F.col("user_id") % 25 == 1)
-    waits = (F.col("event_type") == "error") & (F.col("value") >= 20)
+    kind, value, user = F.col("event_type"), F.col("value"), F.col("user_id")
+    run = (kind == "view") & (user < 10)
+    bundle = (kind == "purchase") & (user % 25 == 1)
+    waits = (kind == "error") & (value >= 20)
     days = e.groupBy("day").agg(
-        F.bool_or((F.col("event_type") == "signup") & (F.col("user_id") % 3 > 0)).alias("subscribed"), F.bool_or(run).alias("has_run"),
-        F.coalesce(F.bool_and(F.when(run, F.col("value") < 150)), F.lit(False)).alias("analysis_complete"),
-        F.count_if(bundle).alias("sends"), F.count_if(bundle & (F.col("value") < 100)).alias("sent"),
+        F.bool_or((kind == "signup") & (user % 3 > 0)).alias("subscribed"), F.bool_or(run).alias("has_run"),
+        F.coalesce(F.bool_and(F.when(run, value < 150)), F.lit(False)).alias("analysis_complete"),
+        F.count_if(bundle).alias("sends"), F.count_if(bundle & (value < 100)).alias("sent"), F.max(F.when(bundle & (value < 100), F.col("ts"))).alias("last_sent_at"),
         F.count_if(waits).alias("backlog"), F.count_if(waits & (F.col("ts") < b.ts(b.NOW) - F.make_dt_interval(F.lit(0), F.lit(72)))).alias("backlog_old"),
-        F.count_if((F.col("event_type") == "click") & (F.col("value") > 150)).alias("failed_runs"))
-    return ops.run_health(days, b.ts("2024-01-29 08:40:00")).select(
-        F.col("day").cast("string").alias("day"), "sends", "sent", "backlog", "backlog_old", "failed_runs", "overdue", "state")
+        F.count_if((kind == "click") & (value > 150)).alias("failed_runs"))
+    named = e.withColumn("day", F.col("day").cast("string"))
+    status = F.element_at(F.array(*[F.lit(x) for x in _STATUSES]), (F.col("event_id") % len(_STATUSES) + 1).cast("int"))
+    counts = ops.reported_counts(named.filter(kind == "view").select("day", status.alias("status")))
+    limited = F.col("event_id") % 2 == 0
+    operational = named.filter((kind == "signup") & (value > 150)).select("day", F.lit("quota").alias("code"), user.cast("string").alias("target"), F.when(limited, user % 9).alias("used"), F.when(limited, F.lit(9)).alias("limit"))
+    attempts = named.filter(kind == "error").select("day", F.when(value > 50, "failed").otherwise("ok").alias("status"))
+    missing = named.filter(((kind == "error") & (value > 50)) | ((kind == "click") & (value > 100))).select("day", user.alias("item_id")).distinct()
+    health = ops.run_health(days, b.ts("2024-01-29 08:40:00")).withColumn("day", F.col("day").cast("string"))
+    return health.join(counts, "day", "left").join(ops.health_warnings(operational, attempts, missing), "day", "left").select(
+        "day", "sends", "sent", "backlog", "backlog_old", "failed_runs", "overdue", F.date_format("last_send", "yyyy-MM-dd HH:mm:ss").alias("last_send"), "counts", "warnings", "state")
 
 
 @job("missing_document_links", """SELECT user_id AS item_id, CAST(CAST(ts AS DATE) AS VARCHAR) AS day FROM events WHERE event_type='error' AND value > 50

@@ -56,9 +56,11 @@ def parse_feed_items(t):
     return feeds.parse_feed_items(raw_feeds(t)).select("item_id", "title", "url", F.date_format("published_at", "yyyy-MM-dd HH:mm:ss").alias("published"), "duration", "guid", "audio_url", "description", F.when(F.col("transcripts").isNotNull(), F.size("transcripts")).alias("transcripts"), "error")
 
 
-@job("parse_atom_items", """WITH i AS (SELECT *, substr(sha256(CAST(o_orderkey AS VARCHAR)),1,11) AS v FROM orders) SELECT CASE WHEN o_orderkey%7=0 THEN 'x' ELSE v END AS item_id, 'Video ' || o_orderkey AS title, 'https://www.youtube.com/watch?v=' || v AS url,
- strftime(o_orderdate,'%Y-%m-%d') AS published, CASE WHEN o_orderkey%3=0 THEN floor(o_totalprice/50)::DOUBLE END AS duration FROM i WHERE o_orderkey%7<>0 AND o_orderkey%11<>0 AND NOT (o_orderkey%3=0 AND floor(o_totalprice/50)<900)""")
+@job("parse_atom_items", """WITH i AS (SELECT *, substr(sha256(CAST(o_orderkey AS VARCHAR)),1,11) AS v, o_orderkey//20 AS doc FROM orders) SELECT CASE WHEN o_orderkey%7=0 THEN 'x' ELSE v END AS item_id, 'Video ' || o_orderkey AS title, 'https://www.youtube.com/watch?v=' || v AS url,
+ strftime(o_orderdate,'%Y-%m-%d') AS published, CASE WHEN o_orderkey%3=0 THEN floor(o_totalprice/50)::DOUBLE END AS duration, NULL::VARCHAR AS error FROM i WHERE doc%13<>5 AND o_orderkey%7<>0 AND o_orderkey%11<>0 AND NOT (o_orderkey%3=0 AND floor(o_totalprice/50)<900)
+UNION ALL SELECT NULL, NULL, 'https://feeds.example.org/v/' || doc, NULL, NULL, 'unreadable' FROM i WHERE doc%13=5 GROUP BY doc""")
 def parse_atom_items(t):
+    """Channels of twenty videos; some documents are cut short, some name the Atom elements by a prefix."""
     k = F.col("o_orderkey")
     v = F.substring(F.sha2(k.cast("string"), 256), 1, 11)
     entry = F.concat(F.lit("<entry><yt:videoId>"), F.when(k % 7 == 0, "x").otherwise(v), F.lit("</yt:videoId><title>"), F.when(k % 11 == 0, "").otherwise(F.concat(F.lit("Video "), k)), F.lit('</title><link rel="alternate" href="https://www.youtube.com/watch?v='),
@@ -66,8 +68,11 @@ def parse_atom_items(t):
                      F.when(k % 3 == 0, F.concat(F.lit('<media:content url="u" duration="'), F.floor(F.col("o_totalprice") / 50), F.lit('"/>'))).otherwise(""), F.lit("</media:group></entry>"))
     docs = t.orders.select(F.floor(k / 20).alias("doc"), k.alias("k"), entry.alias("e")).groupBy("doc").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "e"))), lambda x: x["e"]), "").alias("es"))
     head = '<feed xmlns:yt="http://www.youtube.com/xml/schemas/2015" xmlns:media="http://search.yahoo.com/mrss/" xmlns="http://www.w3.org/2005/Atom"><title>Channel</title>'
-    raw = docs.select(F.concat(F.lit("https://feeds.example.org/v/"), "doc").alias("feed_url"), F.lit("Channel").alias("show"), F.concat(F.lit(head), "es", F.lit("</feed>")).alias("xml"))
-    return feeds.parse_atom_items(raw).select("item_id", "title", "url", F.date_format("published_at", "yyyy-MM-dd").alias("published"), "duration")
+    whole = F.concat(F.lit(head), "es", F.lit("</feed>"))
+    prefixed = F.replace(F.regexp_replace(whole, "<(/?)(feed|entry|title|link|published)", "<$1a:$2"), F.lit("xmlns="), F.lit("xmlns:a="))
+    xml = F.when(F.col("doc") % 13 == 5, F.concat(F.lit(head), "es")).when(F.col("doc") % 3 == 1, prefixed).otherwise(whole)
+    raw = docs.select(F.concat(F.lit("https://feeds.example.org/v/"), "doc").alias("feed_url"), F.lit("Channel").alias("show"), xml.alias("xml"))
+    return feeds.parse_atom_items(raw).select("item_id", "title", "url", F.date_format("published_at", "yyyy-MM-dd").alias("published"), "duration", "error")
 
 
 @job("extract_articles", r"""WITH a AS (SELECT page_id, regexp_extract(html,'(?s)<article>(.*)</article>',1) AS b FROM pages), f AS (SELECT page_id, regexp_replace(regexp_replace(b,'</?(p|h1|br|li|div|h2|h3|h4|section|blockquote|pre)[^>]*>',chr(10),'g'),'<[^>]+>','','g') AS f, regexp_extract(b,'(?s)<h1>(.*?)</h1>',1) AS h FROM a),

@@ -16,7 +16,7 @@ _ITEM = """struct<title string, link string, guid struct<_VALUE string, _isPerma
  `itunes:duration` string, enclosure array<struct<_url string, _type string, _length string>>, `podcast:transcript` array<struct<_url string, _type string, _language string>>>"""
 RSS = f"channel struct<title string, item array<{_ITEM}>>"
 ATOM = """title string, entry array<struct<`yt:videoId` string, title string, published string, link array<struct<_href string, _rel string>>,
- `media:group` struct<`media:description` string, `media:content` struct<_duration string, _url string>>>>"""
+ `media:group` struct<`media:description` string, `media:content` struct<_duration string, _url string>>>>, _corrupt_record string"""
 
 
 #: The prefix of each namespace here, and what its address holds.
@@ -66,18 +66,32 @@ def parse_feed_items(raw: DataFrame, limit: int = 0) -> DataFrame:
         sound(F.col("audio_url")).alias("audio_url"), sound(plain_text(F.col("markup"))).alias("description"), sound(F.col("transcripts")).alias("transcripts"), "error")
 
 
+def unprefixed_atom(xml: Column) -> Column:
+    """Atom names of a document whose root has a prefix, without it."""
+    own = F.regexp_extract(xml, r"<([\w.-]+):feed[\s>]", 1)
+    bound = (own != "") & F.contains(xml, F.concat(F.lit("xmlns:"), own, F.lit("=")))
+    return F.when(bound, F.regexp_replace(xml, F.concat(F.lit("(</?)"), own, F.lit(":")), F.lit("$1"))).otherwise(xml)
+
+
 def parse_atom_items(raw: DataFrame, limit: int = 0) -> DataFrame:
-    """Video entries of Atom documents, clips left out. raw: feed_url, show, xml."""
-    e = raw.select("feed_url", "show", F.posexplode(F.from_xml(with_known_prefixes(F.col("xml")), ATOM)["entry"]).alias("pos", "e"))
+    """Video entries of Atom documents, clips left out. raw: feed_url, show, xml.
+
+    A document that does not parse, or is no Atom feed, is one row with ``error`` and nulls."""
+    xml = unprefixed_atom(with_known_prefixes(F.col("xml")))
+    feed = raw.select("feed_url", "show", xml.alias("xml")).select("feed_url", "show", F.coalesce(F.rlike("xml", F.lit(r"<feed[\s>]")), F.lit(False)).alias("is_feed"), F.from_xml("xml", ATOM).alias("x"))
+    bad = ~F.col("is_feed") | F.col("x").isNull() | F.col("x._corrupt_record").isNotNull()
+    e = feed.select("feed_url", "show", F.when(bad, "unreadable").alias("error"), F.posexplode_outer(F.when(~bad, F.col("x.entry"))).alias("pos", "e")).filter("error is not null or e is not null")
     if limit:
-        e = e.filter(F.col("pos") < limit)
+        e = e.filter((F.col("pos") < limit) | F.col("error").isNotNull())
     vid = F.trim(F.col("e.`yt:videoId`"))
     alternates = F.filter("e.link", lambda n: F.coalesce(n["_rel"], F.lit("alternate")) == "alternate")
-    j = e.select("feed_url", "show", "pos", vid.alias("item_id"), F.trim("e.title").alias("title"), keys.safe_public_url(F.get(alternates, F.lit(0))["_href"]).alias("link"),
+    j = e.select("feed_url", "show", "error", "pos", vid.alias("item_id"), F.trim("e.title").alias("title"), keys.safe_public_url(F.get(alternates, F.lit(0))["_href"]).alias("link"),
                  keys.published_utc("e.published").alias("published_at"), keys.duration_seconds(F.col("e.`media:group`.`media:content`._duration")).alias("duration"), F.col("e.`media:group`.`media:description`").alias("description"))
-    j = j.filter(F.rlike("item_id", F.lit(keys.VIDEO_ID)) & (F.col("title") != ""))
-    j = j.withColumn("url", F.when(keys.video_id("link") == F.col("item_id"), F.col("link")).otherwise(F.concat(F.lit("https://www.youtube.com/watch?v="), "item_id")))
-    return j.filter(~short_form(F.col("url"), F.col("title"), F.col("description"), F.col("duration"))).drop("link")
+    j = j.filter(F.col("error").isNotNull() | (F.rlike("item_id", F.lit(keys.VIDEO_ID)) & (F.col("title") != "")))
+    own = F.concat(F.lit("https://www.youtube.com/watch?v="), "item_id")
+    j = j.withColumn("url", F.when(F.col("error").isNotNull(), F.coalesce(keys.safe_public_url("feed_url"), "feed_url")).when(keys.video_id("link") == F.col("item_id"), F.col("link")).otherwise(own))
+    clip = short_form(F.col("url"), F.col("title"), F.col("description"), F.col("duration"))
+    return j.filter(F.col("error").isNotNull() | ~clip).drop("link")
 
 
 VTT_CUE = r"(?m)^((?:\d{2}:)?\d{2}:\d{2}\.\d{3})\s+-->\s+((?:\d{2}:)?\d{2}:\d{2}\.\d{3})[^\n]*+((?:\n(?=[^\n]*\S)(?![^\n]*-->)[^\n]*+)*+)"
