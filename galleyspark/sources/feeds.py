@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,11 +27,16 @@ NAMESPACES = {"itunes": r"[^\"']*itunes\.com/dtds/podcast-1\.0\.dtd", "podcast":
 
 
 def with_known_prefixes(xml: Column) -> Column:
-    """Feeds choose their prefixes; names are rewritten to the ones read here where a namespace is declared under another."""
-    for known, address in NAMESPACES.items():
-        own = F.regexp_extract(xml, rf"xmlns:([\w.-]+)\s*=\s*[\"']{address}[\"']", 1)
-        xml = F.when((own == "") | (own == known), xml).otherwise(F.regexp_replace(xml, F.concat(F.lit("(</?)"), own, F.lit(":")), F.lit(f"$1{known}:")))
-    return xml
+    """Feeds choose their prefixes; names are rewritten to the ones read here where a namespace is declared under another.
+
+    Declarations are read from the document as it came, so that only documents that need it are rewritten.
+    """
+    declared = {known: F.regexp_extract(xml, rf"xmlns:([\w.-]+)\s*=\s*[\"']{address}[\"']", 1) for known, address in NAMESPACES.items()}
+    other = {known: (own != "") & (own != known) for known, own in declared.items()}
+    rewritten = xml
+    for known, own in declared.items():
+        rewritten = F.regexp_replace(rewritten, F.when(other[known], F.concat(F.lit("(</?)\\Q"), own, F.lit("\\E:"))).otherwise("(?!)"), F.lit(f"$1{known}:"))
+    return F.when(reduce(lambda x, y: x | y, other.values()), rewritten).otherwise(xml)
 
 
 def plain_text(markup: Column) -> Column:
@@ -77,8 +84,8 @@ def parse_atom_items(raw: DataFrame, limit: int = 0) -> DataFrame:
     """Video entries of Atom documents, clips left out. raw: feed_url, show, xml.
 
     A document that does not parse, or is no Atom feed, is one row with ``error`` and nulls."""
-    xml = unprefixed_atom(with_known_prefixes(F.col("xml")))
-    feed = raw.select("feed_url", "show", xml.alias("xml")).select("feed_url", "show", F.coalesce(F.rlike("xml", F.lit(r"<feed[\s>]")), F.lit(False)).alias("is_feed"), F.from_xml("xml", ATOM).alias("x"))
+    plain = raw.select("feed_url", "show", unprefixed_atom(F.col("xml")).alias("xml")).select("feed_url", "show", with_known_prefixes(F.col("xml")).alias("xml"))
+    feed = plain.select("feed_url", "show", F.coalesce(F.rlike("xml", F.lit(r"<feed[\s>]")), F.lit(False)).alias("is_feed"), F.from_xml("xml", ATOM).alias("x"))
     bad = ~F.col("is_feed") | F.col("x").isNull() | F.col("x._corrupt_record").isNotNull()
     e = feed.select("feed_url", "show", F.when(bad, "unreadable").alias("error"), F.posexplode_outer(F.when(~bad, F.col("x.entry"))).alias("pos", "e")).filter("error is not null or e is not null")
     if limit:
