@@ -26,6 +26,14 @@ class Tables:
         table = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
         return dealt(table) if name in TEXT_TABLES else table
 
+    def stream(self, name: str) -> DataFrame:
+        """A table as a stream. Streams read folders only, so a table that is one file is picked from its folder by name."""
+        table = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        source = self.spark.readStream.schema(table.schema)
+        if all(f.endswith(f"/{name}.parquet") for f in table.inputFiles()):
+            return source.option("pathGlobFilter", f"{name}.parquet").parquet(self.folder)
+        return source.parquet(f"{self.folder}/{name}.parquet")
+
 
 def job(name: str, sql: str | None = None):
     """Register ``fn(tables) -> DataFrame`` under ``name``."""

@@ -105,7 +105,7 @@ def backlog_state(t):
 @job("backlog_stream", "WITH " + BACKLOG.format(retry="NULL") + """ SELECT item_id, strftime(min("at"),'%Y-%m-%d %H:%M:%S') AS created, CAST(sum(counted::INT) AS BIGINT) AS attempts, bool_or(final) AS final, strftime(arg_max(nx,("at",seq)),'%Y-%m-%d %H:%M:%S') AS next_check FROM fi GROUP BY 1""")
 def backlog_stream(t):
     class Streamed:
-        events = t.spark.readStream.schema(t.events.schema).option("pathGlobFilter", "events.parquet").parquet(t.folder)
+        events = t.stream("events")
 
     f = failures(Streamed).select("item_id", "seq", F.unix_micros("at").alias("at"), "counted")
     got = streams.run_available(streams.backlog_stream(f), "update", ["item_id"])
@@ -135,7 +135,7 @@ def subscription_changes(t):
 @job("latest_status_stream", f"""WITH {FETCH}, r AS (SELECT *, row_number() OVER (PARTITION BY source, url ORDER BY run_at DESC, rowid DESC) AS rn FROM fetches) SELECT source, url, rowid, source_type, status, reason FROM r WHERE rn=1""")
 def latest_status_stream(t):
     class Streamed:
-        events = t.spark.readStream.schema(t.events.schema).option("pathGlobFilter", "events.parquet").parquet(t.folder)
+        events = t.stream("events")
 
     return streams.run_available(streams.latest_status_stream(fetch(Streamed)), "update", ["source", "url"]).select("source", "url", "rowid", "source_type", "status", "reason")
 
@@ -149,8 +149,7 @@ def observation_upsert(t):
 q AS (SELECT session, turn, substr(trim(regexp_replace(ptext,'\\s+',' ','g')),1,500) AS u, substr(trim(text),1,2000) AS a FROM p WHERE role='assistant' AND prole='user'), v AS (SELECT *, row_number() OVER (PARTITION BY session ORDER BY turn DESC) AS rn FROM q WHERE u<>'' AND a<>'')
 SELECT session, CAST(count(*) AS INTEGER) AS exchanges, min(turn) AS first_turn, max(turn) AS last_turn, CAST(sum(length(u)+length(a)) AS INTEGER) AS chars FROM v WHERE rn<=4 GROUP BY 1""")
 def conversation_window(t):
-    src = t.spark.readStream.schema(t.conversations.schema).option("pathGlobFilter", "conversations.parquet").parquet(t.folder)
-    turns = src.select(F.col("conv_id").alias("session"), "turn", "role", "text")
+    turns = t.stream("conversations").select(F.col("conv_id").alias("session"), "turn", "role", "text")
     return streams.run_available(streams.conversation_window(turns), "update", ["session"]).filter("exchanges > 0").select("session", "exchanges", "first_turn", "last_turn", "chars")
 
 
