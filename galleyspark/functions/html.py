@@ -65,6 +65,11 @@ def html_nodes(pages: pd.Series) -> pd.Series:
     return pages.map(lambda v: [dict(zip(names, r, strict=True)) for r in _flatten(v)] if isinstance(v, str) else None)
 
 
+def terminated(page: Column) -> Column:
+    """A page in which references without their semicolon (``&amp<``, often from cut texts) are text; browsers and ``html_nodes`` guess what they mean."""
+    return F.regexp_replace(page, r"&(?!(?:#\d++|#[xX][0-9A-Fa-f]++|[A-Za-z][A-Za-z0-9]*+);)", "&amp;")
+
+
 def has_class(n: Column, name: str) -> Column:
     return F.coalesce(F.contains(F.concat(F.lit(" "), n["cls"], F.lit(" ")), F.lit(f" {name} ")), F.lit(False))
 

@@ -38,3 +38,9 @@ def test_conversation_window_reads_a_folder_of_files(spark, same):
 def test_conversation_window_of_no_turns(spark, tmp_path):
     turns(spark, []).write.parquet(f"{tmp_path}/conversations.parquet")
     assert JOBS["conversation_window"](spark, str(tmp_path)).collect() == []
+
+
+def test_articles_keep_references_without_a_semicolon(spark, same):
+    html = [f"<html><body><article><h1>R&amp;D {x}</h1><p>{x} and &quot;more&quot; &amp;quot; a & b</p></article></body></html>" for x in ("&amp", "&am", "&quot", "&", "plain")]
+    pages = spark.createDataFrame([(i, f"https://example.org/{i}", h) for i, h in enumerate(html)], "page_id long, url string, html string")
+    assert same("extract_articles", pages=pages) == 5
