@@ -210,14 +210,15 @@ def compression_checks(t):
 
 @job("translation_checks", """SELECT conv_id*100 + turn AS item_id, CAST(0 AS INTEGER) AS seg, CASE WHEN turn%5=1 THEN 'segment_mismatch' WHEN turn%5=2 THEN 'empty_or_stamped' WHEN turn%5=3 AND len(regexp_extract_all(text,'[A-Za-z]'))>40 THEN 'untranslated_or_shortened' WHEN turn%5=4 THEN 'numbers_missing' END AS problem FROM conversations""")
 def translation_checks(t):
+    """Turns with numbers as sources, which the translations keep, lose or spell out; those that stay untranslated get no letters beside their own."""
     k = F.col("turn") % 5
-    key = (F.col("conv_id") * 100 + F.col("turn")).alias("item_id")
-    letters = F.regexp_replace("text", r"[0-9]", "")
-    src = t.conversations.select(key, F.lit(0).alias("seg"), F.concat(letters, F.lit(" 17 or 3,5 Catch-22")).alias("text"))
+    key = F.struct("conv_id", "turn").alias("item_id")
+    letters = F.regexp_replace("text", r"[0-9\x{3400}-\x{9fff}]", "")
+    src = t.conversations.select(key, F.lit(0).alias("seg"), F.concat(letters, F.when(k == 3, " 17, 3,5").otherwise(" 17 or 3,5 Catch-22")).alias("text"))
     good = F.concat(F.repeat(F.lit("译文内容"), F.length("text")), F.lit(" 17 和 3,5，两难"))
     out = F.when(k == 2, F.concat(F.lit("[01:02] "), good)).when(k == 3, "译文 17 3,5 两难").when(k == 4, F.replace(good, F.lit("17"), F.lit("十七"))).otherwise(good)
     dst = t.conversations.filter(k != 1).select(key, F.lit(0).alias("seg"), out.alias("text"))
-    return ops.translation_checks(src, dst)
+    return ops.translation_checks(src, dst).select((F.col("item_id.conv_id") * 100 + F.col("item_id.turn")).alias("item_id"), "seg", "problem")
 
 
 @job("document_structure_checks", """SELECT doc_id AS item_id, CAST(4 + floor(least(24000, greatest(0, n_chars-6000))*6/24000) AS INTEGER) AS min_core, CAST(2 + floor(least(24000, greatest(0, n_chars-6000))*3/24000) AS INTEGER) AS min_chapters,

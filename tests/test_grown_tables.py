@@ -44,3 +44,8 @@ def test_articles_keep_references_without_a_semicolon(spark, same):
     html = [f"<html><body><article><h1>R&amp;D {x}</h1><p>{x} and &quot;more&quot; &amp;quot; a & b</p></article></body></html>" for x in ("&amp", "&am", "&quot", "&", "plain")]
     pages = spark.createDataFrame([(i, f"https://example.org/{i}", h) for i, h in enumerate(html)], "page_id long, url string, html string")
     assert same("extract_articles", pages=pages) == 5
+
+
+def test_translation_checks_of_long_conversations_and_short_turns(spark, same):
+    rows = [(c, t, "user", "ab " * (t % 25) + "9") for c in range(3) for t in list(range(45)) + [103, 203, 204]]
+    assert same("translation_checks", conversations=turns(spark, rows)) == len(rows)
