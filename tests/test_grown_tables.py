@@ -1,9 +1,13 @@
 """Jobs on tables shaped as larger copies are: folders of files, long conversations, cut texts. Each must equal its check SQL."""
 
+import random
+from datetime import datetime, timedelta
+
 import duckdb
 import pytest
 
 import check
+from galleyspark.operators.editorial import last_in_run
 from galleyspark.plans.catalogue import JOBS
 
 TURNS = "conv_id long, turn long, role string, text string"
@@ -49,3 +53,14 @@ def test_articles_keep_references_without_a_semicolon(spark, same):
 def test_translation_checks_of_long_conversations_and_short_turns(spark, same):
     rows = [(c, t, "user", "ab " * (t % 25) + "9") for c in range(3) for t in list(range(45)) + [103, 203, 204]]
     assert same("translation_checks", conversations=turns(spark, rows)) == len(rows)
+
+
+def test_last_review_of_each_item_in_each_run_equals_loop(spark):
+    rng = random.Random(4)
+    at = lambda: datetime(2024, 1, 1) + timedelta(minutes=rng.randrange(3000))
+    reviews = sorted({(i, at()) for i in range(6) for _ in range(60)})
+    runs = [(k, t, t + timedelta(minutes=rng.randrange(300))) for k, t in ((k, at()) for k in range(40))]
+    want = {(k, i, max(t for j, t in reviews if j == i and a <= t <= z)) for k, a, z in runs for i in range(6) if any(j == i and a <= t <= z for j, t in reviews)}
+    marks = spark.createDataFrame([(i, t, t) for i, t in reviews], "item_id int, created_at timestamp, review timestamp")
+    got = last_in_run(spark.createDataFrame(runs + runs[:3], "run_id int, created_at timestamp, updated_at timestamp"), marks).select("run_id", "item_id", "review").collect()
+    assert len(got) == len(want) and set(map(tuple, got)) == want

@@ -38,3 +38,11 @@ def test_ordered_scans_shuffle_their_rows_once(spark, name):
         assert re.search(r"SortMergeJoin \[__at", text) and len(re.findall(r"Exchange hashpartitioning\(__at", text)) == 2
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
+@pytest.mark.parametrize("name", ["reviews_in_run", "review_as_of", "backtest"])
+def test_runs_and_their_items_are_not_shuffled(spark, name):
+    """Their rows grow with the product of runs and reviews at a time: nothing is exchanged above the join that makes them."""
+    text = plan(spark, name).split("== Initial Plan ==")[0]
+    at = next(i for i, line in enumerate(text.splitlines()) if "Join [" in line)
+    assert "hour" in text.splitlines()[at] and not any("Exchange" in line for line in text.splitlines()[:at])
