@@ -10,7 +10,7 @@ from pyspark.sql.window import Window
 
 from galleyspark.functions.text import BLANKS
 from galleyspark.operators.ordered import Running, dense_position, first_n, fold_in_order, independent_runs, prefix_scan
-from galleyspark.session import cut_lineage
+from galleyspark.session import cut_lineage, dealt_rows
 
 # Result statuses, those that wait for work, and those the health view may name.
 PENDING_STATUSES = ["no_transcript", "unverified_date", "summary_format_error"]
@@ -284,16 +284,18 @@ def selector_aliases(text: Column) -> Column:
     whole = F.when(usable(compact), F.array(compact)).otherwise(F.array().cast("array<string>"))
     none = F.array().cast("array<string>")
 
-    def grams(k: int) -> Column:
+    def grams(tokens: Column, k: int) -> Column:
         return F.when(F.size(tokens) >= k, F.transform(
             F.sequence(F.lit(1), F.size(tokens) - (k - 1)), lambda i: F.array_join(F.slice(tokens, i, k), ""))).otherwise(none)
 
-    return F.array_distinct(F.concat(whole, tokens, grams(2), grams(3), grams(4)))
+    # Tokens are the one element of an array, so that they are found once and not again for each use.
+    joined = F.get(F.transform(F.array(tokens), lambda x: F.concat(x, grams(x, 2), grams(x, 3), grams(x, 4))), F.lit(0))
+    return F.array_distinct(F.concat(whole, joined))
 
 
 def alias_frequency(catalog: DataFrame) -> DataFrame:
     """How often each alias occurs over titles and shows; an alias is a selector only if it is unique. catalog: ref, title, show."""
-    both = catalog.select(F.explode(F.concat(selector_aliases(F.col("title")), selector_aliases(F.col("show")))).alias("alias"))
+    both = dealt_rows(catalog).select(F.explode(F.concat(selector_aliases(F.col("title")), selector_aliases(F.col("show")))).alias("alias"))
     return both.groupBy("alias").agg(F.count("*").alias("n")).withColumn("is_selector", F.col("n") == 1)
 
 

@@ -54,3 +54,8 @@ def dealt(df: DataFrame) -> DataFrame:
     """
     n = df.sparkSession.conf.get("galleyspark.text.partitions", None)
     return df.repartition(int(n)) if n else df
+
+
+def dealt_rows(df: DataFrame) -> DataFrame:
+    """``df`` dealt over the session's shuffle partitions, for narrow rows with much work each: a table of few bytes is one partition, however many rows it has."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
