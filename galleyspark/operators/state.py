@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from galleyspark.functions.text import stripped
 from galleyspark.operators.ordered import Running, fold_in_order, prefix_scan
-from galleyspark.session import cut_lineage
+from galleyspark.session import cut_lineage, dealt_rows
 
 
 def _births(observations: DataFrame, lookback_hours: int, burst_limit: int) -> DataFrame:
@@ -229,27 +229,54 @@ def daily_archive(daily_items: DataFrame, runs: DataFrame, transcripts: DataFram
 def resolve_catalog_refs(queries: DataFrame, catalog: DataFrame) -> DataFrame:
     """Catalogue items a query names: unique aliases or whole titles and shows, without negated ones; both kinds beat one.
 
-    queries: query_id, query. catalog: ref, title, show. An alias may start anywhere in the compact query, so it is looked up by its
-    first eight characters: the query emits its pieces of three to eight characters, aliases join on their head and longer ones are
-    then tested in full.
+    queries: query_id, query. catalog: ref, title, show. An alias may start anywhere in the compact query, so it is looked up by its first or last
+    characters, whichever fewer aliases share: the query emits its pieces of three, four and eight characters, and aliases that met are tested in full.
+    Queries meet distinct aliases; items come in only where an alias selects them, and where both kinds do, by pairs of aliases, so that a show or a
+    word of many items is not multiplied with the queries that hold it.
     """
     from galleyspark.operators.rollups import selector_aliases, selector_compact
 
     def named(col, kind):
         c = selector_compact(F.col(col))
-        one = catalog.select("ref", F.explode(F.array_distinct(F.concat(selector_aliases(F.col(col)), F.when(F.length(c) >= 3, F.array(c)).otherwise(F.array().cast("array<string>"))))).alias("alias"), c.alias("whole"))
-        return one.select("ref", F.lit(kind).alias("kind"), "alias", (F.col("alias") == F.col("whole")).alias("is_whole"))
-
-    names = named("title", "title").unionByName(named("show", "show"))
-    usual = catalog.select(F.explode(F.concat(selector_aliases(F.col("title")), selector_aliases(F.col("show")))).alias("alias")).groupBy("alias").agg(F.count("*").alias("uses"))
-    names = names.join(usual, "alias", "left").withColumn("head", F.left("alias", F.lit(8)))
-    q = queries.select("query_id", selector_compact(F.col("query")).alias("q"))
-    pieces = F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(3), F.lit(8)), lambda k: F.when(F.length("q") >= k, F.transform(F.sequence(F.lit(1), F.length("q") - k + 1), lambda i: F.substring(F.col("q"), i, k))).otherwise(F.array().cast("array<string>")))))
-    hits = q.withColumn("head", F.explode(pieces)).join(names, "head").filter(F.contains(F.col("q"), F.col("alias")))
+        whole = F.when(F.length(c) >= 3, F.array(c)).otherwise(F.array().cast("array<string>"))
+        one = spread.select("ref", selector_aliases(F.col(col)).alias("aliases"), c.alias("whole"), whole.alias("more"))
+        one = one.select("ref", "whole", "aliases", F.explode(F.array_distinct(F.concat("aliases", "more"))).alias("alias"))
+        return one.select("ref", F.lit(kind).alias("kind"), "alias", (F.col("alias") == F.col("whole")).alias("is_whole"), F.array_contains("aliases", F.col("alias")).alias("counted"))
+
+    spread = dealt_rows(catalog)
+    names = cut_lineage(named("title", "title").unionByName(named("show", "show")))
+    aliases = names.groupBy("alias").agg(F.count_if("counted").alias("uses"))
+    good = names.join(aliases.filter("uses = 1").select("alias", F.lit(True).alias("alone")), "alias", "left").filter(F.col("is_whole") | F.col("alone")).select("ref", "kind", "alias").distinct()
+    good = cut_lineage(good)
+    said = cut_lineage(_aliases_said(dealt_rows(queries).select("query_id", selector_compact(F.col("query")).alias("q")), aliases.select("alias")))
+    live, negated = said.filter("not negated").select("query_id", "alias"), said.filter("negated").select("query_id", "alias")
+
+    def spared(pairs):
+        out = pairs.join(negated, "query_id").join(names.select("ref", "alias"), ["ref", "alias"], "left_semi").select("query_id", "ref").distinct()
+        return pairs.join(out, ["query_id", "ref"], "left_anti")
+
+    titles, shows = (good.filter(F.col("kind") == k).select("ref", F.col("alias").alias(k)) for k in ("title", "show"))
+    heard = [live.withColumnRenamed("alias", k).join(g.select(k).distinct(), k, "left_semi") for k, g in (("title", titles), ("show", shows))]
+    both = cut_lineage(spared(heard[0].join(heard[1], "query_id").join(titles.join(shows, "ref"), ["title", "show"]).select("query_id", "ref").distinct()))
+    either = live.join(both.select("query_id").distinct(), "query_id", "left_anti").join(good.select("ref", "alias"), "alias").select("query_id", "ref").distinct()
+    return both.unionByName(spared(either))
+
+
+SIZES = (3, 4, 8)  # an alias is looked up by pieces of the largest of these that it holds
+
+
+def _aliases_said(queries: DataFrame, aliases: DataFrame) -> DataFrame:
+    """query_id, alias, negated: the aliases that stand in each query. queries: query_id, q. aliases: alias, of three characters or more, distinct."""
+    n = F.length("alias")
+    size = F.when(n >= SIZES[2], SIZES[2]).when(n >= SIZES[1], SIZES[1]).otherwise(SIZES[0])
+    ends = aliases.select("alias", F.explode(F.array_distinct(F.array(F.left("alias", size), F.right("alias", size)))).alias("piece"))
+    shared = ends.groupBy("piece").agg(F.count("*").alias("n"))
+    keyed = ends.join(shared, "piece").groupBy("alias").agg(F.min(F.struct("n", "piece")).alias("k")).select("alias", F.col("k.piece").alias("piece"))
+    cut = lambda k: F.when(F.length("q") >= k, F.transform(F.sequence(F.lit(1), F.length("q") - k + 1), lambda i: F.substring(F.col("q"), i, k))).otherwise(F.array().cast("array<string>"))
+    pieces = queries.select("query_id", "q", F.explode(F.array_distinct(F.concat(*[cut(k) for k in SIZES]))).alias("piece"))
+    hits = pieces.join(keyed, "piece").filter(F.contains(F.col("q"), F.col("alias")))
     negated = F.exists(F.array(*[F.lit(m) for m in NEGATIONS]), lambda m: F.contains(F.col("q"), F.concat(m, F.col("alias"))))
-    per = hits.groupBy("query_id", "ref").agg(F.bool_or(negated).alias("out"), *[F.bool_or((F.col("kind") == k) & (F.col("is_whole") | (F.col("uses") == 1))).alias(k) for k in ("title", "show")]).filter(~F.col("out") & (F.col("title") | F.col("show")))
-    both = per.groupBy("query_id").agg(F.bool_or(F.col("title") & F.col("show")).alias("both"))
-    return per.join(both, "query_id").filter(~F.col("both") | (F.col("title") & F.col("show"))).select("query_id", "ref")
+    return hits.select("query_id", "alias", negated.alias("negated")).groupBy("query_id", "alias").agg(F.bool_or("negated").alias("negated"))
 
 
 # Words that exclude what follows them.

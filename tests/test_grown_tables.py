@@ -1,10 +1,12 @@
 """Jobs on tables shaped as larger copies are: folders of files, long conversations, cut texts. Each must equal its check SQL."""
 
 import random
+from collections import Counter
 from datetime import datetime, timedelta
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import check
 from galleyspark.operators.editorial import last_in_run
@@ -64,3 +66,42 @@ def test_last_review_of_each_item_in_each_run_equals_loop(spark):
     marks = spark.createDataFrame([(i, t, t) for i, t in reviews], "item_id int, created_at timestamp, review timestamp")
     got = last_in_run(spark.createDataFrame(runs + runs[:3], "run_id int, created_at timestamp, updated_at timestamp"), marks).select("run_id", "item_id", "review").collect()
     assert len(got) == len(want) and set(map(tuple, got)) == want
+
+
+def test_catalogue_references_equal_loop(spark):
+    from galleyspark.operators import rollups, state
+
+    rng = random.Random(6)
+    words = ["红色机器", "blue", "ring", "ringer", "bolt", "no1", "no12", "no123", "abc", "the"]
+    some = lambda n: " ".join(rng.choice(words) for _ in range(rng.randrange(1, n)))
+    items = [(i, some(5), some(3)) for i in range(60)]
+    asks = [(k, rng.choice(("", "不是 ", "please ", "不要")) + " ".join(x for x in rng.sample(items, 2)[0][1:]) + rng.choice(("", " 排除") ) + some(3)) for k in range(80)]
+    c = spark.createDataFrame(items, "ref int, title string, show string")
+    both = [rollups.selector_aliases(F.col(x)).alias(x + "_a") for x in ("title", "show")] + [rollups.selector_compact(F.col(x)).alias(x + "_c") for x in ("title", "show")]
+    rows = c.select("ref", *both).collect()
+    uses = Counter(a for r in rows for a in [*r.title_a, *r.show_a])
+    want = set()
+    for k, q in spark.createDataFrame(asks, "k int, q string").select("k", rollups.selector_compact(F.col("q"))).collect():
+        found = {}
+        for r in rows:
+            kinds, out = set(), False
+            for kind, own, whole in (("title", r.title_a, r.title_c), ("show", r.show_a, r.show_c)):
+                for a in {*own, *([whole] if len(whole) >= 3 else [])}:
+                    if a in q:
+                        kinds |= {kind} if a == whole or uses[a] == 1 else set()
+                        out = out or any(m + a in q for m in state.NEGATIONS)
+            if kinds and not out:
+                found[r.ref] = kinds
+        two = any(len(v) == 2 for v in found.values())
+        want |= {(k, ref) for ref, v in found.items() if not two or len(v) == 2}
+    got = state.resolve_catalog_refs(spark.createDataFrame(asks, "query_id int, query string"), c).collect()
+    assert len(got) == len(want) and set(map(tuple, got)) == want and len(want) > 50
+
+
+def test_queries_meet_aliases_not_items(spark):
+    """Items that share their words and show do not multiply the queries that hold them."""
+    from galleyspark.operators import state
+
+    aliases = spark.createDataFrame([(f"largeringno{i}",) for i in range(1000, 1400)] + [("largering",)], "alias string")
+    said = state._aliases_said(spark.createDataFrame([(i, f"pleaselargeringno{i}now") for i in range(1000, 1400)], "query_id int, q string"), aliases)
+    assert said.count() == 800
