@@ -447,7 +447,11 @@ def extractive_compact(docs: DataFrame, ratio: float = 0.4) -> DataFrame:
     size = lambda rs: F.aggregate(rs, F.lit(0), lambda a, r: a + r["n"])
     c = docs.select("item_id", F.transform("paragraphs", lambda p: F.struct(F.transform(sents(p), row).alias("rows"), (F.length(p) * ratio).alias("goal"))).alias("ps"))
     c = c.withColumn("ps", F.transform("ps", lambda p: F.struct(p["rows"].alias("rows"), p["goal"].alias("goal"), size(F.filter(p["rows"], lambda r: r["keep"])).alias("fixed"))))
-    take = lambda p: lambda r: r["keep"] | (p["fixed"] + size(F.filter(F.slice(p["rows"], 1, r["i"]), lambda q: ~q["keep"])) < p["goal"])
+    # Unprotected text before a sentence only grows, so one pass finds the last one that is taken.
+    begin = F.struct(F.lit(0).alias("before"), F.lit(-1).alias("last"))
+    step = lambda p: lambda a, r: F.when(r["keep"], a).otherwise(F.struct((a["before"] + r["n"]).alias("before"), F.when(p["fixed"] + a["before"] < p["goal"], r["i"]).otherwise(a["last"]).alias("last")))
+    c = c.withColumn("ps", F.transform("ps", lambda p: F.struct(p["rows"].alias("rows"), F.aggregate(p["rows"], begin, step(p), lambda a: a["last"]).alias("last"))))
+    take = lambda p: lambda r: r["keep"] | (r["i"] <= p["last"])
     c = c.select("item_id", F.transform("ps", lambda p: F.array_join(F.transform(F.filter(p["rows"], take(p)), lambda r: r["s"]), "")).alias("ps"))
     glue = lambda a, b: F.concat(a, F.when(a.rlike(r"[A-Za-z0-9]\z") & b.rlike(r"\A[A-Za-z0-9]"), " ").otherwise(""), b)
     rest = F.aggregate(F.slice("ps", 3, F.greatest(F.size("ps"), F.lit(1))), F.trim(F.get("ps", F.lit(1))), lambda a, p: glue(a, F.trim(p)))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 import check
 from galleyspark.operators.editorial import last_in_run
+from galleyspark.operators.transcripts import extractive_compact
 from galleyspark.plans.catalogue import JOBS
 
 TURNS = "conv_id long, turn long, role string, text string"
@@ -105,3 +106,19 @@ def test_queries_meet_aliases_not_items(spark):
     aliases = spark.createDataFrame([(f"largeringno{i}",) for i in range(1000, 1400)] + [("largering",)], "alias string")
     said = state._aliases_said(spark.createDataFrame([(i, f"pleaselargeringno{i}now") for i in range(1000, 1400)], "query_id int, q string"), aliases)
     assert said.count() == 800
+
+
+def test_compaction_of_a_long_paragraph_equals_loop(spark):
+    """Twenty thousand sentences in one paragraph: each is decided from one running sum, not from all before it."""
+    rng = random.Random(8)
+    one = [rng.choice(("短句。", "这句话比较长而已。", "他有3个人。", "可能吧！")) for _ in range(20000)]
+    keep = lambda i, s: i == 0 or s in ("他有3个人。", "可能吧！")
+    goal, fixed, before, want = len("".join(one)) * 0.8, sum(len(s) for i, s in enumerate(one) if keep(i, s)), 0, []
+    for i, s in enumerate(one):
+        if keep(i, s):
+            want.append(s)
+        else:
+            want += [s] if fixed + before < goal else []
+            before += len(s)
+    got = extractive_compact(spark.createDataFrame([(1, ["".join(one), "尾。"])], "item_id int, paragraphs array<string>"), 0.8).first().paragraphs
+    assert got == ["".join(want), "尾。"] and len(want) < len(one)
