@@ -232,7 +232,8 @@ def resolve_catalog_refs(queries: DataFrame, catalog: DataFrame) -> DataFrame:
     queries: query_id, query. catalog: ref, title, show. An alias may start anywhere in the compact query, so it is looked up by its first or last
     characters, whichever fewer aliases share: the query emits its pieces of three, four and eight characters, and aliases that met are tested in full.
     Queries meet distinct aliases; items come in only where an alias selects them, and where both kinds do, by pairs of aliases, so that a show or a
-    word of many items is not multiplied with the queries that hold it.
+    word of many items is not multiplied with the queries that hold it. Sizes of exploded rows are estimated from the few bytes of the catalogue, so
+    joins are told to merge: a broadcast would fill the driver.
     """
     from galleyspark.operators.rollups import selector_aliases, selector_compact
 
@@ -246,19 +247,19 @@ def resolve_catalog_refs(queries: DataFrame, catalog: DataFrame) -> DataFrame:
     spread = dealt_rows(catalog)
     names = cut_lineage(named("title", "title").unionByName(named("show", "show")))
     aliases = names.groupBy("alias").agg(F.count_if("counted").alias("uses"))
-    good = names.join(aliases.filter("uses = 1").select("alias", F.lit(True).alias("alone")), "alias", "left").filter(F.col("is_whole") | F.col("alone")).select("ref", "kind", "alias").distinct()
+    good = names.join(aliases.filter("uses = 1").select("alias", F.lit(True).alias("alone")).hint("merge"), "alias", "left").filter(F.col("is_whole") | F.col("alone")).select("ref", "kind", "alias").distinct()
     good = cut_lineage(good)
     said = cut_lineage(_aliases_said(dealt_rows(queries).select("query_id", selector_compact(F.col("query")).alias("q")), aliases.select("alias")))
     live, negated = said.filter("not negated").select("query_id", "alias"), said.filter("negated").select("query_id", "alias")
 
     def spared(pairs):
-        out = pairs.join(negated, "query_id").join(names.select("ref", "alias"), ["ref", "alias"], "left_semi").select("query_id", "ref").distinct()
-        return pairs.join(out, ["query_id", "ref"], "left_anti")
+        out = pairs.join(negated.hint("merge"), "query_id").join(names.select("ref", "alias").hint("merge"), ["ref", "alias"], "left_semi").select("query_id", "ref").distinct()
+        return pairs.join(out.hint("merge"), ["query_id", "ref"], "left_anti")
 
     titles, shows = (good.filter(F.col("kind") == k).select("ref", F.col("alias").alias(k)) for k in ("title", "show"))
-    heard = [live.withColumnRenamed("alias", k).join(g.select(k).distinct(), k, "left_semi") for k, g in (("title", titles), ("show", shows))]
-    both = cut_lineage(spared(heard[0].join(heard[1], "query_id").join(titles.join(shows, "ref"), ["title", "show"]).select("query_id", "ref").distinct()))
-    either = live.join(both.select("query_id").distinct(), "query_id", "left_anti").join(good.select("ref", "alias"), "alias").select("query_id", "ref").distinct()
+    heard = [live.withColumnRenamed("alias", k).join(g.select(k).distinct().hint("merge"), k, "left_semi") for k, g in (("title", titles), ("show", shows))]
+    both = cut_lineage(spared(heard[0].join(heard[1].hint("merge"), "query_id").join(titles.join(shows.hint("merge"), "ref").hint("merge"), ["title", "show"]).select("query_id", "ref").distinct()))
+    either = live.join(both.select("query_id").distinct().hint("merge"), "query_id", "left_anti").join(good.select("ref", "alias").hint("merge"), "alias").select("query_id", "ref").distinct()
     return both.unionByName(spared(either))
 
 
@@ -271,10 +272,10 @@ def _aliases_said(queries: DataFrame, aliases: DataFrame) -> DataFrame:
     size = F.when(n >= SIZES[2], SIZES[2]).when(n >= SIZES[1], SIZES[1]).otherwise(SIZES[0])
     ends = aliases.select("alias", F.explode(F.array_distinct(F.array(F.left("alias", size), F.right("alias", size)))).alias("piece"))
     shared = ends.groupBy("piece").agg(F.count("*").alias("n"))
-    keyed = ends.join(shared, "piece").groupBy("alias").agg(F.min(F.struct("n", "piece")).alias("k")).select("alias", F.col("k.piece").alias("piece"))
+    keyed = ends.join(shared.hint("merge"), "piece").groupBy("alias").agg(F.min(F.struct("n", "piece")).alias("k")).select("alias", F.col("k.piece").alias("piece"))
     cut = lambda k: F.when(F.length("q") >= k, F.transform(F.sequence(F.lit(1), F.length("q") - k + 1), lambda i: F.substring(F.col("q"), i, k))).otherwise(F.array().cast("array<string>"))
     pieces = queries.select("query_id", "q", F.explode(F.array_distinct(F.concat(*[cut(k) for k in SIZES]))).alias("piece"))
-    hits = pieces.join(keyed, "piece").filter(F.contains(F.col("q"), F.col("alias")))
+    hits = pieces.join(keyed.hint("merge"), "piece").filter(F.contains(F.col("q"), F.col("alias")))
     negated = F.exists(F.array(*[F.lit(m) for m in NEGATIONS]), lambda m: F.contains(F.col("q"), F.concat(m, F.col("alias"))))
     return hits.select("query_id", "alias", negated.alias("negated")).groupBy("query_id", "alias").agg(F.bool_or("negated").alias("negated"))
 
