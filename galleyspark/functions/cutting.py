@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from galleyspark.functions.arrow import caption_joiner
 from galleyspark.functions.text import BLANKS, EDGE_BLANKS, col
 
 
@@ -39,15 +40,4 @@ def sentence_chunks(text: Column | str, high: int = 1200) -> Column:
 
 def merged_captions(chunks: Column | str, reach: int = 30) -> Column:
     """One text of caption chunks. The state is the last ``reach`` words; a chunk adds what follows its longest overlap with them."""
-
-    def add(state: Column, chunk: Column) -> Column:
-        words = F.filter(F.split(F.regexp_replace(chunk, BLANKS, " "), " "), lambda w: w != "")
-        both = F.struct(state["tail"].alias("tail"), state["out"].alias("out"), words.alias("new"))
-        most = lambda b: F.least(F.size(b["tail"]), F.size(b["new"]))
-        fits = lambda b: F.filter(F.slice(F.sequence(F.lit(0), F.lit(reach)), F.lit(1), most(b) + 1), lambda n: F.slice(b["tail"], F.size(b["tail"]) - n + 1, n) == F.slice(b["new"], F.lit(1), n))
-        kept = F.transform(F.array(both), lambda b: F.struct(b["tail"].alias("tail"), b["out"].alias("out"), F.slice(b["new"], F.array_max(fits(b)) + 1, F.greatest(F.size(b["new"]), F.lit(1))).alias("more")))[0]
-        joined = F.transform(F.array(kept), lambda k: F.struct(F.concat(k["tail"], k["more"]).alias("tail"), F.when(F.size(k["more"]) == 0, k["out"]).otherwise(F.concat(k["out"], F.array(F.array_join(k["more"], " ")))).alias("out")))[0]
-        return F.transform(F.array(joined), lambda j: F.struct(F.slice(j["tail"], F.greatest(F.size(j["tail"]) - reach + 1, F.lit(1)), F.lit(reach)).alias("tail"), j["out"].alias("out")))[0]
-
-    none = F.array().cast("array<string>")
-    return F.array_join(F.aggregate(col(chunks), F.struct(none.alias("tail"), none.alias("out")), add)["out"], " ")
+    return caption_joiner(reach)(F.transform(col(chunks), lambda c: F.regexp_replace(c, BLANKS, " ")))

@@ -46,3 +46,8 @@ def test_runs_and_their_items_are_not_shuffled(spark, name):
     text = plan(spark, name).split("== Initial Plan ==")[0]
     at = next(i for i, line in enumerate(text.splitlines()) if "Join [" in line)
     assert "hour" in text.splitlines()[at] and not any("Exchange" in line for line in text.splitlines()[:at])
+
+
+def test_captions_are_joined_by_plain_lists(spark):
+    text = plan(spark, "merge_rolling_captions")
+    assert "ArrowEvalPython" in text and "aggregate(" not in text
