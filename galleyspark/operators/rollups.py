@@ -228,16 +228,17 @@ def claim_owners(source: DataFrame, derived: DataFrame) -> DataFrame:
 
 
 # Number tokens, written quantities with their units, and numeral ranges.
-DIGITS = r"\d+(?:[.,]\d+)*+"
+DIGITS = r"\p{Nd}+(?:[.,]\p{Nd}+)*+"
 NUMERALS = "[零〇一二三四五六七八九十百千万亿两]+"
 
 
 def number_tokens(text: Column) -> Column:
     """Distinct number expressions of a text; white space inside is ignored."""
     compact = F.regexp_replace(text, BLANKS, "")
-    plain = F.regexp_extract_all(compact, F.lit(f"(?U)({DIGITS}|{NUMERALS}(?=[个年月周日天人项倍亿万岁秒分]))"), F.lit(1))
+    plain = F.regexp_extract_all(compact, F.lit(f"({DIGITS}|{NUMERALS}(?=[个年月周日天人项倍亿万岁秒分]))"), F.lit(1))
     spans = F.lit(f"({NUMERALS})[到至]({NUMERALS})")
-    return F.array_distinct(F.concat(plain, F.regexp_extract_all(compact, spans, F.lit(1)), F.regexp_extract_all(compact, spans, F.lit(2))))
+    ranged = F.contains(compact, F.lit("到")) | F.contains(compact, F.lit("至"))  # few texts are searched for ranges
+    return F.array_distinct(F.when(ranged, F.concat(plain, F.regexp_extract_all(compact, spans, F.lit(1)), F.regexp_extract_all(compact, spans, F.lit(2)))).otherwise(plain))
 
 
 def number_preservation(pairs: DataFrame) -> DataFrame:

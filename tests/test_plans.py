@@ -51,3 +51,12 @@ def test_runs_and_their_items_are_not_shuffled(spark, name):
 def test_captions_are_joined_by_plain_lists(spark):
     text = plan(spark, "merge_rolling_captions")
     assert "ArrowEvalPython" in text and "aggregate(" not in text
+
+
+def test_numbers_are_found_without_the_slow_unicode_flag(spark):
+    from galleyspark.operators import rollups
+
+    rows = [(1, "\u0662\u0660a3,5", "\u0662\u0660b4"), (2, "三到五年", "x"), (3, "一至二", "二")]
+    df = rollups.number_preservation(spark.createDataFrame(rows, "item_id int, source_text string, derived_text string"))
+    assert "(?U)" not in df._jdf.queryExecution().executedPlan().toString()
+    assert {r.item_id: (r.numbers, r.missing, r.introduced) for r in df.collect()} == {1: (2, "3,5", "4"), 2: (2, "三 五", ""), 3: (2, "一", "")}
