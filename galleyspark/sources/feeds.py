@@ -111,11 +111,12 @@ def _clipped(start: Column, end: Column) -> tuple[Column, Column]:
 
 def parse_caption_cues(raw: DataFrame) -> DataFrame:
     """Timed intervals of caption files (VTT or JSON), clipped to the duration. raw: item_id, format, body, duration."""
-    vtt = raw.filter("format = 'vtt'").select("item_id", "duration", F.posexplode(F.arrays_zip(
-        F.regexp_extract_all("body", F.lit(VTT_CUE), F.lit(1)).alias("a"), F.regexp_extract_all("body", F.lit(VTT_CUE), F.lit(2)).alias("b"),
-        F.regexp_extract_all("body", F.lit(VTT_CUE), F.lit(3)).alias("t"))).alias("pos", "z"))
-    s, e = _clipped(keys.duration_seconds("z.a"), keys.duration_seconds("z.b"))
-    first = vtt.select("item_id", "pos", F.coalesce(s, F.lit(0.0)).alias("start"), F.coalesce(e, F.lit(0.0)).alias("end"), collapse(unescaped(F.regexp_replace("z.t", "<[^>]+>", ""))).alias("text"))
+    # A file is searched once; the parts of a cue are then cut from the cue alone.
+    cues = raw.filter("format = 'vtt'").select("item_id", "duration", F.posexplode(F.regexp_extract_all("body", F.lit(VTT_CUE), F.lit(0))).alias("pos", "cue"))
+    vtt = cues.select("item_id", "duration", "pos", F.regexp_extract("cue", r"\A[\d:.]+", 0).alias("a"), F.regexp_extract("cue", r"\A\S+\s+-->\s+([\d:]+\.\d{3})", 1).alias("b"),
+                      F.regexp_replace("cue", r"\A\S+\s+-->\s+[^\n]*+", "").alias("t"))
+    s, e = _clipped(keys.duration_seconds("a"), keys.duration_seconds("b"))
+    first = vtt.select("item_id", "pos", F.coalesce(s, F.lit(0.0)).alias("start"), F.coalesce(e, F.lit(0.0)).alias("end"), collapse(unescaped(F.regexp_replace("t", "<[^>]+>", ""))).alias("text"))
     js = raw.filter("format = 'json'").select("item_id", "duration", F.posexplode(F.from_json("body", CAPTION_JSON)["events"]).alias("pos", "v"))
     text = stripped(F.replace(unescaped(F.array_join(F.transform("v.segs", lambda g: F.coalesce(g["utf8"], F.lit(""))), "")), F.lit("\n"), F.lit(" ")))
     s, e = _clipped(F.col("v.tStartMs") / 1000, F.greatest(F.col("v.tStartMs") / 1000, F.lit(0.0)) + F.coalesce("v.dDurationMs", F.lit(0.0)) / 1000)

@@ -60,3 +60,12 @@ def test_numbers_are_found_without_the_slow_unicode_flag(spark):
     df = rollups.number_preservation(spark.createDataFrame(rows, "item_id int, source_text string, derived_text string"))
     assert "(?U)" not in df._jdf.queryExecution().executedPlan().toString()
     assert {r.item_id: (r.numbers, r.missing, r.introduced) for r in df.collect()} == {1: (2, "3,5", "4"), 2: (2, "三 五", ""), 3: (2, "一", "")}
+
+
+def test_caption_files_are_searched_once(spark):
+    from galleyspark.sources import feeds
+
+    raw = spark.createDataFrame([(1, "vtt", "WEBVTT\n\n00:01.000\n-->\t00:02.000 align:start\n<b>a --</b>\nb\n", 9.0)], "item_id int, format string, body string, duration double")
+    cues = feeds.parse_caption_cues(raw)
+    assert cues._jdf.queryExecution().optimizedPlan().toString().count(feeds.VTT_CUE) == 1
+    assert [tuple(r) for r in cues.collect()] == [(1, 0, 1.0, 2.0, "a -- b")]
