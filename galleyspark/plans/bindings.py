@@ -122,9 +122,9 @@ def arriving(rows: DataFrame, order: str, by: str, parts: int = 4) -> DataFrame:
     """A stream of ``rows`` that land in ``parts`` steps along ``order``, the rows of one ``by`` in one file of each step."""
     import uuid
 
-    from galleyspark.session import ensure_checkpoint_dir
+    from galleyspark.session import cut_lineage, ensure_checkpoint_dir
 
-    spark = rows.sparkSession
+    spark, rows = rows.sparkSession, cut_lineage(rows)  # every step reads what was made once
     folder = f"{ensure_checkpoint_dir(spark)}/landed-{uuid.uuid4().hex}"
     low, high = rows.agg(F.min(order), F.max(order)).first()
     for step in range(parts if low is not None else 0):

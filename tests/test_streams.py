@@ -56,3 +56,17 @@ def test_backlog_reports_when_a_check_is_due(spark, tmp_path):
     assert {(1, 2, False, False), (1, 3, True, False), (2, 0, False, False), (2, 0, False, True), (3, 1, False, False)} <= rows
     assert not any(due and item == 1 and final for item, _, final, due in rows)  # a final item is never due
     assert got.filter("item_id = 1").agg(F.max("attempts")).first()[0] == 3
+
+
+def test_rows_that_arrive_in_steps_are_made_once(spark):
+    from galleyspark.plans.bindings import arriving
+
+    made = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for batch in batches:
+            made.add(len(batch))
+            yield batch
+
+    arriving(spark.range(40).mapInPandas(seen, "id long"), "id", "id")
+    assert made.value == 40
