@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from galleyspark.session import cut_lineage
 
 LIMIT = 4_000_000  # characters of all patterns that one automaton may hold
+BATCH = 512  # texts that a Python worker holds at a time, set for the session
 GRAMS = (2, 4, 8)  # a pattern is keyed by n-grams of the largest of these that it holds
 _WORD = frozenset("abcdefghijklmnopqrstuvwxyz0123456789")
 
@@ -36,6 +37,7 @@ def contained(texts: DataFrame, patterns: DataFrame, whole: bool = False, limit:
 def _by_automaton(texts: DataFrame, patterns: list[str], whole: bool) -> DataFrame:
     kind = dict(texts.dtypes)["item_id"]
     held = texts.sparkSession.sparkContext.broadcast(patterns)
+    texts.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH))
 
     def search(batches):
         import ahocorasick

@@ -114,3 +114,11 @@ def test_show_notes_give_the_stamps_of_an_article(spark):
     html = '<div class="show-notes-container"><p>[00:59:30] end</p><ul><li>(1:10) start</li></ul></div><div class="transcript__content"><h2>Part 9:99</h2><p>Ada 3:33 hi</p></div>'
     got = pages.extract_publisher_transcripts(spark.createDataFrame([(1, "article", html)], "page_id int, layout string, html string")).first()
     assert (got.first_time, got.last_time, got.text) == (70, 3570, "Part 9:99\nAda 3:33 hi")
+
+
+def test_whole_texts_reach_python_in_small_batches(spark):
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
+    texts = spark.range(2000).select(F.col("id").alias("item_id"), F.lit("some words of a text").alias("body"))
+    patterns = spark.createDataFrame([("words of",)], "pattern string")
+    assert containment.contained(texts, patterns).count() == 2000
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= containment.BATCH
