@@ -26,16 +26,23 @@ NAMESPACES = {"itunes": r"[^\"']*itunes\.com/dtds/podcast-1\.0\.dtd", "podcast":
               "yt": r"[^\"']*youtube\.com/xml/schemas/2015", "media": r"[^\"']*search\.yahoo\.com/mrss/?"}
 
 
+def made_once(df: DataFrame) -> DataFrame:
+    """``df``, with its columns made before what follows. A filter behind it is not pushed down, where it would repeat their expressions, and no source column goes along."""
+    return df.select(F.inline(F.array(F.struct("*"))))
+
+
 def with_known_prefixes(xml: Column) -> Column:
     """Feeds choose their prefixes; names are rewritten to the ones read here where a namespace is declared under another.
 
     Declarations are read from the document as it came, so that only documents that need it are rewritten.
     """
-    declared = {known: F.regexp_extract(xml, rf"xmlns:([\w.-]+)\s*=\s*[\"']{address}[\"']", 1) for known, address in NAMESPACES.items()}
+    told = F.array_join(F.regexp_extract_all(xml, F.lit(r"xmlns:[\w.-]+\s*=\s*[\"'][^\"']*[\"']"), F.lit(0)), " ")  # a document is searched once
+    declared = {known: F.regexp_extract(told, rf"xmlns:([\w.-]+)\s*=\s*[\"']{address}[\"']", 1) for known, address in NAMESPACES.items()}
     other = {known: (own != "") & (own != known) for known, own in declared.items()}
     rewritten = xml
     for known, own in declared.items():
-        rewritten = F.regexp_replace(rewritten, F.when(other[known], F.concat(F.lit("(</?)\\Q"), own, F.lit("\\E:"))).otherwise("(?!)"), F.lit(f"$1{known}:"))
+        pattern = F.when(other[known], F.concat(F.lit("<(/?)\\Q"), own, F.lit("\\E:"))).otherwise(r"\A(?!)")  # the latter fails at the first character
+        rewritten = F.regexp_replace(rewritten, pattern, F.lit(f"<$1{known}:"))
     return F.when(reduce(lambda x, y: x | y, other.values()), rewritten).otherwise(xml)
 
 
@@ -50,8 +57,8 @@ def parse_feed_items(raw: DataFrame, limit: int = 0) -> DataFrame:
 
     A document that does not parse, or is no feed, is one row with ``error`` and nulls."""
     feed = raw.select("feed_url", "show", F.from_xml(with_known_prefixes(F.col("xml")), RSS).alias("x"))
-    bad = F.col("x.channel").isNull()
-    items = feed.select("feed_url", "show", F.when(bad, "unreadable").alias("error"), F.posexplode_outer("x.channel.item").alias("pos", "i")).filter("error is not null or i is not null")
+    entries = made_once(feed.select("feed_url", "show", F.when(F.col("x.channel").isNull(), "unreadable").alias("error"), F.col("x.channel.item").alias("entries")))
+    items = entries.select("feed_url", "show", "error", F.posexplode_outer("entries").alias("pos", "i")).filter("error is not null or i is not null")
     if limit:
         items = items.filter((F.col("pos") < limit) | F.col("error").isNotNull())
     trim = lambda c: F.coalesce(F.trim(c), F.lit(""))
@@ -87,7 +94,8 @@ def parse_atom_items(raw: DataFrame, limit: int = 0) -> DataFrame:
     plain = raw.select("feed_url", "show", unprefixed_atom(F.col("xml")).alias("xml")).select("feed_url", "show", with_known_prefixes(F.col("xml")).alias("xml"))
     feed = plain.select("feed_url", "show", F.coalesce(F.rlike("xml", F.lit(r"<feed[\s>]")), F.lit(False)).alias("is_feed"), F.from_xml("xml", ATOM).alias("x"))
     bad = ~F.col("is_feed") | F.col("x").isNull() | F.col("x._corrupt_record").isNotNull()
-    e = feed.select("feed_url", "show", F.when(bad, "unreadable").alias("error"), F.posexplode_outer(F.when(~bad, F.col("x.entry"))).alias("pos", "e")).filter("error is not null or e is not null")
+    entries = made_once(feed.select("feed_url", "show", F.when(bad, "unreadable").alias("error"), F.when(~bad, F.col("x.entry")).alias("entries")))
+    e = entries.select("feed_url", "show", "error", F.posexplode_outer("entries").alias("pos", "e")).filter("error is not null or e is not null")
     if limit:
         e = e.filter((F.col("pos") < limit) | F.col("error").isNotNull())
     vid = F.trim(F.col("e.`yt:videoId`"))
@@ -97,6 +105,7 @@ def parse_atom_items(raw: DataFrame, limit: int = 0) -> DataFrame:
     j = j.filter(F.col("error").isNotNull() | (F.rlike("item_id", F.lit(keys.VIDEO_ID)) & (F.col("title") != "")))
     own = F.concat(F.lit("https://www.youtube.com/watch?v="), "item_id")
     j = j.withColumn("url", F.when(F.col("error").isNotNull(), F.coalesce(keys.safe_public_url("feed_url"), "feed_url")).when(keys.video_id("link") == F.col("item_id"), F.col("link")).otherwise(own))
+    j = made_once(j)
     clip = short_form(F.col("url"), F.col("title"), F.col("description"), F.col("duration"))
     return j.filter(F.col("error").isNotNull() | ~clip).drop("link")
 

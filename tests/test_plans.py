@@ -69,3 +69,14 @@ def test_caption_files_are_searched_once(spark):
     cues = feeds.parse_caption_cues(raw)
     assert cues._jdf.queryExecution().optimizedPlan().toString().count(feeds.VTT_CUE) == 1
     assert [tuple(r) for r in cues.collect()] == [(1, 0, 1.0, 2.0, "a -- b")]
+
+
+@pytest.mark.parametrize("name", ["parse_atom_items", "parse_feed_items"])
+def test_items_of_a_feed_are_made_once(spark, name):
+    """No filter repeats the expressions of links, and no item carries its whole document along."""
+    import re
+
+    text = plan(spark, name)
+    carried = re.findall(r"Generate posexplode\(.*\), \[(.*?)\], true", text)
+    assert carried and not any("x#" in c for c in carried)
+    assert all(line.count("regexp_extract(") < 10 for line in text.split("\n") if re.match(r"[\s+:-]*Filter ", line))

@@ -196,3 +196,21 @@ def test_targets_and_quotes(spark):
     assert values(columns.valid_targets(df), "seq") == [(1,), (2,)]
     assert columns.valid_targets(df, None, require=True).count() == 0
     assert spark.createDataFrame([("don't stop 中文 a-b",)], "t string").select(columns.quote_units("t")).first()[0] == 5
+
+
+def test_safe_public_url_is_one_search(spark):
+    good = ["https://a.org", "HTTPS://a.org:443/x", "https://a.org:0443?q", "https://a.org:#f", "https://[::1]:443/", "https://a.org\n", "https://a.org:443\n", "https://a.org/u@b:1", "https://é.fr/"]
+    bad = ["http://a.org", "https://", "https://:443", "https://a.org:80", "https://a.org:000443", "https://a.org:443:443", "https://u@a.org", "https://[::1]:80", "https://[a]:443:443", "https://[ab]:443x", "x https://a.org", "", None]
+    df = spark.createDataFrame([(u,) for u in good + bad], "u string").withColumn("safe", keys.safe_public_url("u"))
+    assert "regexp_extract" not in df._jdf.queryExecution().optimizedPlan().toString()
+    assert {r.u: r.safe for r in df.collect()} == {u: u for u in good} | dict.fromkeys(bad)
+
+
+def test_prefixes_of_a_feed_are_known_by_their_declaration(spark):
+    from galleyspark.sources.feeds import with_known_prefixes
+
+    itunes, other = "http://www.itunes.com/dtds/podcast-1.0.dtd", "http://example.org/"
+    docs = {f'<rss xmlns:z="{other}" xmlns:it = \'{itunes}\'><it:d>1</it:d><z:d/><it.x:d/></rss>': f'<rss xmlns:z="{other}" xmlns:it = \'{itunes}\'><itunes:d>1</itunes:d><z:d/><it.x:d/></rss>',
+            f'<rss xmlns:itunes="{itunes}"><itunes:d/></rss>': None, "<rss><it:d/></rss>": None}
+    df = spark.createDataFrame([(d,) for d in docs], "x string")
+    assert {r.x: r.y for r in df.withColumn("y", with_known_prefixes(F.col("x"))).collect()} == {k: v or k for k, v in docs.items()}
