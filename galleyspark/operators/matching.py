@@ -35,10 +35,11 @@ def syndication_pairs(rss: DataFrame, video: DataFrame) -> DataFrame:
     only those rare words are used as join keys, together with a slot of time (both dated) or a marker (one undated).
     """
     both = _title_features(rss).withColumn("side", F.lit("r")).unionByName(_title_features(video).withColumn("side", F.lit("v")))
+    both = cut_lineage(both)  # narrow, and read by each step below: the texts are read once
     freq = both.select("source", F.explode("w").alias("word")).groupBy("source", "word").agg(F.count("*").alias("n"))
-    rows = _rare_first(both, freq)
+    rows = cut_lineage(_rare_first(both, freq))
     k = F.size("w")
-    prefix = F.slice("rare", 1, (k - F.ceil(k * 0.8) + 1).cast("int"))
+    prefix = F.when(k >= 4, F.slice("rare", 1, (k - F.ceil(k * 0.8) + 1).cast("int")))  # fewer words match by the whole title only
     slot = F.floor(F.unix_seconds("published_at") / WINDOW)
     dated = F.col("published_at").isNotNull()
     r_slots = F.when(dated, F.array(slot, F.lit(-1).cast("long"))).otherwise(F.array(F.lit(-2).cast("long")))
@@ -55,7 +56,7 @@ def syndication_pairs(rss: DataFrame, video: DataFrame) -> DataFrame:
         s = rows.filter(F.col("side") == mark).select("source", *[F.col(c).alias(p + c) for c in cols], ks.alias("ks"), slots.alias("slots"))
         return s.withColumn("key", F.explode("ks")).withColumn("slot", F.explode("slots")).drop("ks", "slots")
 
-    c = side("r", rk, r_slots, "r_").join(side("v", vk, v_slots, "v_"), ["source", "key", "slot"]).dropDuplicates(["source", "r_item_id", "v_item_id"])
+    c = side("r", rk, r_slots, "r_").join(side("v", vk, v_slots, "v_"), ["source", "key", "slot"])
     overlap = F.size(F.array_intersect("r_w", "v_w"))
     nr, nv = F.size("r_w"), F.size("v_w")
     small = F.least(nr, nv)
@@ -75,7 +76,8 @@ def syndication_pairs(rss: DataFrame, video: DataFrame) -> DataFrame:
     dur_ok = F.when(has_dur, ratio >= 0.82).otherwise(ex | (has_date & (o >= 4)) | (wi & (o >= 5)))
     evidence = (has_date | has_dur) & ((F.col("small") > 3) | (has_date & has_dur))
     score = (F.col("c") * 0.65 + F.col("j") * 0.35 + F.when(has_date, 0.08).otherwise(0.0) + F.when(has_dur, 0.08).otherwise(0.0) + F.when(ex, 0.10).otherwise(0.0))
-    return c.filter(title_ok & date_ok & dur_ok & evidence).select("source", "r_item_id", "v_item_id", score.alias("score"))
+    # Candidates grow with the square of a word's titles: the rule decides in the join, cheap parts first, and only matches are shuffled.
+    return c.filter(evidence & dur_ok & date_ok & title_ok).select("source", "r_item_id", "v_item_id", score.alias("score")).dropDuplicates(["source", "r_item_id", "v_item_id"])
 
 
 def attach_unique_best(pairs: DataFrame, margin: float = 0.08) -> DataFrame:

@@ -80,3 +80,9 @@ def test_items_of_a_feed_are_made_once(spark, name):
     carried = re.findall(r"Generate posexplode\(.*\), \[(.*?)\], true", text)
     assert carried and not any("x#" in c for c in carried)
     assert all(line.count("regexp_extract(") < 10 for line in text.split("\n") if re.match(r"[\s+:-]*Filter ", line))
+
+
+def test_candidates_of_titles_are_judged_before_they_are_shuffled(spark):
+    """They grow with the square of the titles that share a word: words and dates of a pair do not enter an exchange."""
+    text = plan(spark, "syndication_pairs")
+    assert "first(r_w" not in text and "first(v_t" not in text
