@@ -87,6 +87,7 @@ def attach_unique_best(pairs: DataFrame, margin: float = 0.08) -> DataFrame:
     items that compete for videos; no video is an option on both sides of a cut. Each run is folded once, and of the used
     videos a task holds only those that a later item may still ask for.
     """
+    pairs = cut_lineage(pairs)  # read twice
     last = pairs.groupBy("source", "v_item_id").agg(F.max("r_ord").alias("last"))
     option = F.struct("score", "v_ord", "v_item_id", "last")
     items = pairs.join(last, ["source", "v_item_id"]).groupBy("source", "r_item_id", "r_ord").agg(F.max("last").alias("reach"), F.collect_list(option).alias("options"))
@@ -108,6 +109,7 @@ def attach_unique_best(pairs: DataFrame, margin: float = 0.08) -> DataFrame:
 
 def attach_videos(rss: DataFrame, video: DataFrame, taken: DataFrame) -> DataFrame:
     """Feed items with the id and duration of their video; videos nobody took are appended."""
+    taken = cut_lineage(taken)  # read twice
     j = rss.join(taken.select(F.col("r_item_id").alias("item_id"), "v_item_id"), "item_id", "left").join(
         video.select(F.col("item_id").alias("v_item_id"), F.col("duration").alias("v_duration")), "v_item_id", "left")
     merged = j.select("source", F.coalesce("v_item_id", "item_id").alias("item_id"), "title", "published_at", F.coalesce("duration", "v_duration").alias("duration"),

@@ -1,6 +1,7 @@
 """Plans that must hold at scale: no pairs of everything, no row-at-a-time Python, filters and columns pushed to the scan."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from galleyspark.plans.catalogue import JOBS
 
@@ -86,3 +87,14 @@ def test_candidates_of_titles_are_judged_before_they_are_shuffled(spark):
     """They grow with the square of the titles that share a word: words and dates of a pair do not enter an exchange."""
     text = plan(spark, "syndication_pairs")
     assert "first(r_w" not in text and "first(v_t" not in text
+
+
+def test_matches_of_titles_are_made_once(spark):
+    """The fold reads its pairs twice; candidates of titles are joined in an earlier job."""
+    from galleyspark.operators import matching
+
+    pairs = spark.range(8).selectExpr("'s' as source", "id as r_item_id", "id as r_ord", "id + 100 as v_item_id", "id + 100 as v_ord", "uuid() as salt", "1.0d as score")
+    taken = matching.attach_unique_best(pairs)
+    assert taken.count() == 8 and "uuid" not in taken._jdf.queryExecution().toString()
+    items = spark.range(8).selectExpr("'s' as source", "id as item_id", "'t' as title", "timestamp'2024-01-01' as published_at", "1d as duration")
+    assert "MapInPandas" not in matching.attach_videos(items, items.withColumn("item_id", F.col("item_id") + 100), taken)._jdf.queryExecution().executedPlan().toString()
