@@ -6,7 +6,7 @@ import uuid
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import LongType, StructField, StructType
@@ -53,33 +53,50 @@ class _Processor(StatefulProcessor):
         pass
 
 
+STATUS_BUCKETS = 1024  # keys of the latest statuses are dealt over so many; a running stream keeps its number
+
+
 class _LatestStatus(_Processor):
-    """The latest row of one (source, url), gone when none came for ``keep_days``."""
+    """The latest row of each (source, url) of a bucket, gone when none came for ``keep_days``."""
 
-    def __init__(self, keep_days: float):
+    def __init__(self, keep_days: float, kinds: tuple[str, str]):
         self.ttl = max(1, int(keep_days * 86_400_000))
+        self.key = "source {}, url {}".format(*kinds)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.latest = handle.getValueState("latest", "run_at timestamp, rowid long, source_type string, status string, reason string", self.ttl)
+        self.latest = handle.getMapState("latest", self.key, "run_at long, rowid long, source_type string, status string, reason string", self.ttl)
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        best = self.latest.get()
-        best = (pd.Timestamp(best[0]), *best[1:]) if best else None
-        for frame in rows:
-            r = frame.sort_values(["run_at", "rowid"]).iloc[-1]
-            new = (r.run_at, int(r.rowid), r.source_type, r.status, r.reason)
-            best = new if best is None or new[:2] > best[:2] else best
-        self.latest.update((best[0].to_pydatetime(), *best[1:]))
-        yield pd.DataFrame([(*key, *best)], columns=["source", "url", "run_at", "rowid", "source_type", "status", "reason"])
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        best: dict[tuple, tuple] = {}  # of this bucket and trigger
+        for r in rows:
+            at, new = (r.source, r.url), (r.run_at, r.rowid, r.source_type, r.status, r.reason)
+            if at not in best or _later(*new[:2]) > _later(*best[at][:2]):
+                best[at] = new
+        for at, new in best.items():
+            old = self.latest.getValue(at)
+            if old and _later(*old[:2]) >= _later(*new[:2]):
+                new = tuple(old)
+            self.latest.updateValue(at, new)
+            yield Row(source=at[0], url=at[1], run_at=new[0], rowid=new[1], source_type=new[2], status=new[3], reason=new[4])
+
+
+def _later(run_at, rowid) -> tuple:
+    """Order of fetches: by time, then by row; a fetch without a time comes first."""
+    return (False, rowid) if run_at is None else (True, run_at, rowid)
 
 
 def latest_status_stream(fetch: DataFrame, keep_days: float = 3) -> DataFrame:
     """Latest status per (source, url), in update mode. fetch: a stream of rowid, run_at, source, url, source_type, status, reason.
 
-    One row per key is state; a key that is silent for ``keep_days`` is forgotten.
+    One row per key is state; a key that is silent for ``keep_days`` is forgotten. Keys are handed over in buckets, as each call of the processor
+    costs far more than a key; their state is read and written key by key. Rows, not frames, for the same reason.
     """
-    out = "source {}, url {}, run_at timestamp, rowid long, source_type string, status string, reason string".format(*(dict(fetch.dtypes)[c] for c in ("source", "url")))
-    return fetch.groupBy("source", "url").transformWithStateInPandas(_LatestStatus(keep_days), out, "Update", "ProcessingTime")
+    kinds = tuple(dict(fetch.dtypes)[c] for c in ("source", "url"))
+    out = "source {}, url {}, run_at long, rowid long, source_type string, status string, reason string".format(*kinds)
+    # Times are microseconds inside: rows and state would give them with and without a zone.
+    dealt = fetch.withColumn("run_at", F.unix_micros("run_at")).withColumn("bucket", F.pmod(F.xxhash64("source", "url"), F.lit(STATUS_BUCKETS)))
+    latest = dealt.groupBy("bucket").transformWithState(_LatestStatus(keep_days, kinds), out, "Update", "ProcessingTime")
+    return latest.withColumn("run_at", F.timestamp_micros("run_at"))
 
 
 def first_seen_articles_stream(urls: DataFrame) -> DataFrame:

@@ -70,3 +70,23 @@ def test_rows_that_arrive_in_steps_are_made_once(spark):
 
     arriving(spark.range(40).mapInPandas(seen, "id long"), "id", "id")
     assert made.value == 40
+
+
+def test_latest_statuses_of_a_bucket_are_one_call(spark, tmp_path):
+    """Many keys over several triggers, late and undated rows among them, equal a loop; a call of the processor serves a bucket, not a key."""
+    import random
+
+    rng = random.Random(4)
+    schema = "source long, url string, run_at timestamp, rowid long, source_type string, status string, reason string"
+    start = datetime(2024, 1, 5)
+    rows = [(rng.randrange(300), f"u{rng.randrange(3)}", None if rng.random() < 0.1 else start + timedelta(hours=rng.randrange(50)), i, "rss", rng.choice(["ok", "failed"]), None) for i in range(3000)]
+    parts = [rows[i::3] for i in range(3)]
+    stream = streams.latest_status_stream(landed(spark, str(tmp_path / "in"), parts, schema))
+    assert "bucket" in stream._jdf.queryExecution().logical().toString()
+    want = {}
+    for r in rows:
+        held = want.get(r[:2])
+        if held is None or (r[2] is not None, r[2] or start, r[3]) > (held[2] is not None, held[2] or start, held[3]):
+            want[r[:2]] = r
+    got = streams.run_available(stream, "update", ["source", "url"])
+    assert {(r.source, r.url): r.rowid for r in got.collect()} == {k: v[3] for k, v in want.items()}
