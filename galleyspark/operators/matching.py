@@ -156,17 +156,24 @@ def match_assets(items: DataFrame, assets: DataFrame) -> DataFrame:
 
     items: item_id, url, audio_url, title, show, published_at, duration. assets: asset_id, link, asset_title, asset_show, asset_at, asset_duration.
     """
+    return asset_pairs(items, assets).select("item_id", "asset_id").distinct()
+
+
+def asset_pairs(items: DataFrame, assets: DataFrame) -> DataFrame:
+    """item_id, asset_id, is_enclosure (the asset has the link of the item): the pairs of ``match_assets``, twice where two rules find one."""
     # Links and titles are parsed once for each row; the joins see short keys.
     name = lambda title, show: _hashed(F.concat_ws("\n", keys.word_title(title), keys.word_title(show)))
     audio = F.when(F.coalesce("audio_url", F.lit("")) != "", keys.media_key("audio_url")).otherwise("")
-    i = cut_lineage(items.select("item_id", "published_at", "duration", "show", keys.is_video_url("url").alias("is_video"), keys.video_id("url").alias("vid"), F.array_distinct(F.array(keys.media_key("url"), audio)).alias("keys"), name("title", "show").alias("name")))
+    i = cut_lineage(items.select("item_id", "published_at", "duration", "show", keys.is_video_url("url").alias("is_video"), keys.video_id("url").alias("vid"), F.array_distinct(F.array(keys.media_key("url"), audio)).alias("keys"), name("title", "show").alias("name")).withColumn("own", F.nullif(F.get("keys", F.lit(0)), F.lit(""))))
     a = cut_lineage(assets.select("asset_id", "asset_at", "asset_duration", keys.media_key("link").alias("key"), keys.video_id("link").alias("vid"), name("asset_title", "asset_show").alias("name")))
-    by_video = i.filter("is_video").select("item_id", "vid").join(a.select("asset_id", "vid"), "vid").select("item_id", "asset_id")
-    by_link = i.filter("not is_video").select("item_id", F.explode("keys").alias("key")).filter("key <> ''").join(a.select("asset_id", "key"), "key").select("item_id", "asset_id")
+    pair = ["item_id", "asset_id", F.coalesce(F.col("own") == F.col("key"), F.lit(False)).alias("is_enclosure")]
+    by_video = i.filter("is_video").select("item_id", "own", "vid").join(a.select("asset_id", "key", "vid"), "vid").select(*pair)
+    by_link = i.filter("not is_video").select("item_id", "own", F.explode("keys").alias("key")).filter("key <> ''").join(a.select("asset_id", "key"), "key").select(*pair)
+    # Candidates by name carry no link: a pair that shares the item's own link is also among those by link.
     named = i.filter(~F.col("is_video") & (F.col("show") != "") & (F.col("duration") > 0)).select("item_id", "published_at", "duration", "name")
     cand = _near_in_time(named, a.select("asset_id", "asset_at", "asset_duration", "name"), ["name"], 86400)
-    by_name = cand.filter(F.abs(F.col("asset_duration") - F.col("duration")) <= F.greatest(F.lit(30.0), F.col("duration") * 0.05)).select("item_id", "asset_id")
-    return by_video.union(by_link).union(by_name).distinct()
+    by_name = cand.filter(F.abs(F.col("asset_duration") - F.col("duration")) <= F.greatest(F.lit(30.0), F.col("duration") * 0.05)).select("item_id", "asset_id", F.lit(False).alias("is_enclosure"))
+    return by_video.union(by_link).union(by_name)
 
 
 def match_cross_version(items: DataFrame, assets: DataFrame, min_words: int = 8) -> DataFrame:
@@ -183,11 +190,12 @@ def resolve_unique_asset(matches: DataFrame) -> DataFrame:
 
     If any match is the item's own enclosure only those count; exactly one is needed.
     """
-    live = matches.filter("transcribed").groupBy("item_id").agg(
-        F.count_if("is_enclosure").alias("own"), F.count("*").alias("n"), F.min(F.when(F.col("is_enclosure"), F.col("asset_id"))).alias("own_id"), F.min("asset_id").alias("any_id"))
-    one = F.when(F.col("own") > 0, F.col("own") == 1).otherwise(F.col("n") == 1)
-    found = live.select("item_id", F.when(one, F.coalesce("own_id", "any_id")).alias("asset_id"), F.when(one, "resolved").otherwise("ambiguous").alias("state"))
-    return matches.select("item_id").distinct().join(found, "item_id", "left").select("item_id", "asset_id", F.coalesce("state", F.lit("none")).alias("state"))
+    # One asset is there when the least id is the greatest: pairs combine before the shuffle, and repeated ones count once.
+    own = lambda c: F.when(F.col("transcribed") & F.col("is_enclosure"), F.col(c))
+    any_ = lambda c: F.when(F.col("transcribed"), F.col(c))
+    per = matches.groupBy("item_id").agg(*[f(v("asset_id")).alias(f"{n}_{m}") for v, n in ((own, "own"), (any_, "any")) for f, m in ((F.min, "least"), (F.max, "most"))])
+    least, most = F.coalesce("own_least", "any_least"), F.coalesce("own_most", "any_most")
+    return per.select("item_id", F.when(least == most, least).alias("asset_id"), F.when(least.isNull(), "none").when(least == most, "resolved").otherwise("ambiguous").alias("state"))
 
 
 HOSTED_ENCLOSURE = r"^https://api\.substack\.com/feed/podcast/([0-9]+)/[^/?]+$"

@@ -125,8 +125,8 @@ o AS (SELECT *, CASE WHEN own>0 THEN own=1 ELSE n=1 END AS one FROM g)
 SELECT item_id, CASE WHEN one THEN coalesce(oid,aid) END AS asset_id, CASE WHEN n=0 THEN 'none' WHEN one THEN 'resolved' ELSE 'ambiguous' END AS state FROM o""")
 def resolve_unique_asset(t):
     items, other = assets(t)
-    m = ops.match_assets(items, other).join(items.select("item_id", keys.media_key("url").alias("k1")), "item_id").join(other.select("asset_id", keys.media_key("link").alias("k2")), "asset_id")
-    return ops.resolve_unique_asset(m.select("item_id", "asset_id", (F.col("asset_id") % 4 != 3).alias("transcribed"), (F.col("k1") == F.col("k2")).alias("is_enclosure")))
+    m = ops.asset_pairs(items, other).withColumn("transcribed", F.col("asset_id") % 4 != 3)
+    return ops.resolve_unique_asset(m)
 
 
 RESOLVE = """src AS (SELECT n_nationkey AS source, 'pod' || (n_nationkey//2) AS id, n_nationkey AS f, n_name AS name FROM nation),

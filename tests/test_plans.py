@@ -98,3 +98,10 @@ def test_matches_of_titles_are_made_once(spark):
     assert taken.count() == 8 and "uuid" not in taken._jdf.queryExecution().toString()
     items = spark.range(8).selectExpr("'s' as source", "id as item_id", "'t' as title", "timestamp'2024-01-01' as published_at", "1d as duration")
     assert "MapInPandas" not in matching.attach_videos(items, items.withColumn("item_id", F.col("item_id") + 100), taken)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_matches_of_an_item_are_combined_before_the_shuffle(spark):
+    """Pairs of items and assets are neither made distinct nor joined again: what is shuffled behind the joins is one row an item and task."""
+    text = plan(spark, "resolve_unique_asset").split("== Initial Plan ==")[0]
+    assert "keys=[item_id" in text and not any(f"hashpartitioning({k}" in text for k in ("asset_id", "item_id#0L, asset_id")) and text.count("partial_min") >= 1
+    assert "Join [asset_id" not in text and "Join [item_id" not in text

@@ -214,3 +214,11 @@ def test_prefixes_of_a_feed_are_known_by_their_declaration(spark):
             f'<rss xmlns:itunes="{itunes}"><itunes:d/></rss>': None, "<rss><it:d/></rss>": None}
     df = spark.createDataFrame([(d,) for d in docs], "x string")
     assert {r.x: r.y for r in df.withColumn("y", with_known_prefixes(F.col("x"))).collect()} == {k: v or k for k, v in docs.items()}
+
+
+def test_resolve_unique_asset_takes_one_asset_however_often_it_is_found(spark):
+    rows = [(1, 10, True, False), (1, 10, True, False), (2, 10, True, True), (2, 11, True, False), (2, 10, True, False), (3, 10, True, True), (3, 11, True, True), (3, 12, True, False),
+            (4, 10, False, True), (4, 11, True, False), (5, 10, False, True), (6, 10, True, False), (6, 11, True, False)]
+    df = spark.createDataFrame(rows, "item_id int, asset_id int, transcribed boolean, is_enclosure boolean")
+    assert values(matching.resolve_unique_asset(df), "item_id", "asset_id", "state") == [
+        (1, 10, "resolved"), (2, 10, "resolved"), (3, None, "ambiguous"), (4, 11, "resolved"), (5, None, "none"), (6, None, "ambiguous")]
