@@ -23,7 +23,7 @@ def stripped(c: Column | str) -> Column:
 
 def casefold(c: Column | str) -> Column:
     """Lower case plus the folds that plain lower case leaves out for letters in use here."""
-    return F.translate(F.replace(F.lower(col(c)), F.lit("ß"), F.lit("ss")), "ς", "σ")
+    return F.replace(F.replace(F.lower(col(c)), F.lit("ß"), F.lit("ss")), F.lit("ς"), F.lit("σ"))  # translate looks up every character
 
 
 def collapse(c: Column | str) -> Column:

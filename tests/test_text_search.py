@@ -122,3 +122,26 @@ def test_whole_texts_reach_python_in_small_batches(spark):
     patterns = spark.createDataFrame([("words of",)], "pattern string")
     assert containment.contained(texts, patterns).count() == 2000
     assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= containment.BATCH
+
+
+def test_search_ranks_in_the_tasks_and_moves_only_the_best(spark):
+    """Every chunk matches: pairs of a query and a chunk are neither shuffled nor written, and equal scores stay in the order of chunk_id over batches and parts."""
+    texts = spark.range(3000).select(F.concat(F.lit("C"), F.lpad(F.pmod(F.col("id") * 7, F.lit(3000)).cast("string"), 4, "0")).alias("chunk_id"), F.lit("the anana 9").alias("text"))
+    asked = spark.createDataFrame([(f"q{i}", f"ana the {i}") for i in range(40)], "query_id string, query string")
+    rows = ranking.batch_best(ranking.chunk_index(texts.repartition(3)), asked.select("query_id", F.lit("ana").alias("word"), F.lit(1).cast("long").alias("times")), 5, 5)
+    assert rows.count() <= 40 * 5 * 9 and rows.agg(F.sum("matching")).first()[0] == 40 * 3000
+    for part in (ranking.PART, 100):
+        with pytest.MonkeyPatch.context() as m:
+            m.setattr(ranking, "PART", part)
+            got = {tuple(r) for r in ranking.search_chunks(ranking.chunk_index(texts), asked, top=2).select("query_id", "chunk_id", "score", "place", "matching").collect()}
+        assert got == {(f"q{i}", f"C{k:04}", 2 + (i == 9), k + 1, 3000) for i in range(40) for k in range(2)}
+
+
+def test_search_adds_up_texts_of_a_repeated_chunk(spark):
+    """As the check SQL does: each text counts a word five times at most."""
+    rows = [(1, "a " * 9), (1, "a a b"), (2, "b"), (3, None), (None, "a")]
+    found = ranking.search_chunks(ranking.chunk_index(spark.createDataFrame(rows, "chunk_id long, text string")), spark.createDataFrame([("q", "a b"), ("none", "?")], "query_id string, query string"))
+    assert {(r.chunk_id, r.score, r.matching) for r in found.collect()} == {(1, 8, 3), (2, 1, 3), (None, 1, 3)}
+    for query in ("?", "zzz"):
+        nothing = spark.createDataFrame([(1, query)], "query_id int, query string")
+        assert ranking.search_chunks(ranking.chunk_index(spark.createDataFrame(rows[1:], "chunk_id long, text string")), nothing).count() == 0
