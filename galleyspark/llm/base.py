@@ -62,6 +62,12 @@ def discard(spark: SparkSession, *tables: DataFrame) -> None:
     spark._jvm.java.lang.System.gc()
 
 
+def merged(df: DataFrame) -> DataFrame:
+    """A side of a join that is never broadcast. Spark sizes an array as one element, an explode as its input and a file as it is compressed,
+    so that it takes sides of many times its limit for small, and builds them on the driver."""
+    return df.hint("merge")
+
+
 def bounded_batches(spark: SparkSession, rows: int = 512) -> None:
     """Few rows to an Arrow batch, as one text may be very long."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))

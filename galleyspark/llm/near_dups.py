@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from galleyspark.llm.base import WordHash, bounded_batches, discard, portions, query, settle, table
+from galleyspark.llm.base import WordHash, bounded_batches, discard, merged, portions, query, settle, table
 
 COORDINATES, MATCHES, FAMILY = 40, 16, 10
 BANDS, FAR_BANDS, FAR_STEP = 8, 24, 1.1
@@ -103,7 +103,7 @@ def full_sets(docs: DataFrame, ids: DataFrame, reps: DataFrame, size: int) -> Da
     import xxhash
 
     bounded_batches(docs.sparkSession)
-    wanted = reps.join(ids.select("x").distinct(), "x", "left_semi").select("x", "doc", "key")
+    wanted = merged(reps).join(ids.select("x").distinct(), "x", "left_semi").select("x", "doc", "key")
     bits = id_bits(wanted.select(F.col("doc").alias("x")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -119,7 +119,7 @@ def full_sets(docs: DataFrame, ids: DataFrame, reps: DataFrame, size: int) -> Da
     x = F.col("doc_id").cast("long")
     texts = docs.filter(x.isNotNull()).select(x.alias("doc"), F.pmod(F.xxhash64(x), F.lit(SLOTS)).alias("slot"), F.col("text").cast("string").cast("binary").alias("text"))
     sets = texts.mapInArrow(run, "doc long, key binary, s array<long>")
-    return settle(sets.join(wanted, ["doc", "key"]).groupBy("x").agg(F.first("s").alias("s")))
+    return settle(merged(sets).join(wanted, ["doc", "key"]).groupBy("x").agg(F.first("s").alias("s")))
 
 
 def collisions(a: str, b: str) -> Column:
@@ -130,7 +130,7 @@ def prefixes(reps: DataFrame, coordinates: int, matches: int) -> DataFrame:
     """token, x: each representative under its rarest tokens. Tokens of one text are the rarest of all; they need no list."""
     tokens = reps.select("x", F.posexplode("sig").alias("j", "v")).select("x", (F.col("j").cast("long") * (1 << 32) + F.col("v").cast("long").bitwiseAND(0xFFFFFFFF)).alias("token"))
     shared = tokens.groupBy("token").agg(F.count("*").alias("f")).filter("f > 1")
-    multi = tokens.join(shared, "token").groupBy("x").agg(F.array_sort(F.collect_list(F.struct("f", "token"))).alias("list"))
+    multi = merged(tokens).join(shared, "token").groupBy("x").agg(F.array_sort(F.collect_list(F.struct("f", "token"))).alias("list"))
     room = F.greatest(F.lit(coordinates - matches + 1 - coordinates) + F.size("list"), F.lit(0))
     return multi.select("x", F.explode(F.slice("list", F.lit(1), room)).alias("t")).select("t.token", "x")
 
@@ -164,9 +164,9 @@ def near_links(docs: DataFrame, reps: DataFrame, size: int, similar: int, coordi
     able = reps.filter(f"n > 0 and 100 * n >= {s100} * (n + 1)")
     posted = settle(prefixes(able, coordinates, matches))
     lists = posted.groupBy("token").agg(F.min("x").alias("p"), F.count("*").alias("m")).filter("m > 1").drop("m")
-    listed = settle(posted.join(lists, "token"))
+    listed = settle(merged(posted).join(lists, "token"))
     discard(spark, posted)
-    sig = reps.select("x", "n", "sig")
+    sig = merged(reps.select("x", "n", "sig"))
     sig_p = sig.select(F.col("x").alias("p"), F.col("n").alias("n_p"), F.col("sig").alias("sig_p"))
     pivots = listed.filter("x > p").select("x", "p").distinct().join(sig, "x").join(sig_p, "p")
     paired = settle(pivots.filter(collisions("sig", "sig_p") >= family).select("x", "p", "n", "n_p"))
@@ -175,14 +175,14 @@ def near_links(docs: DataFrame, reps: DataFrame, size: int, similar: int, coordi
 
     def apart(pairs: DataFrame, p: str, n_p: str) -> DataFrame:
         """Pairs (x, p) with their differences ``d``, and ``near`` where they are similar."""
-        both = pairs.join(sets, "x").join(sets.select(F.col("x").alias(p), F.col("s").alias("s_p")), p)
+        both = pairs.join(merged(sets), "x").join(merged(sets.select(F.col("x").alias(p), F.col("s").alias("s_p"))), p)
         both = both.withColumn("d", F.concat(F.array_except("s", "s_p"), F.array_except("s_p", "s"))).drop("s", "s_p")
         return both.withColumn("near", linked((F.col("n") + F.col(n_p) - F.size("d")) / 2, F.col("n"), F.col(n_p)))
 
     kin = settle(apart(paired, "p", "n_p").drop("d"))
     discard(spark, paired)
     comp = components(kin.filter("near").select(F.col("x").alias("a"), F.col("p").alias("b")))
-    of = lambda x, c: comp.select(F.col("node").alias(x), F.col("component").alias(c))
+    of = lambda x, c: merged(comp.select(F.col("node").alias(x), F.col("component").alias(c)))
 
     # Families: the texts met under pivots of one component, with their differences to its root r. Roots that only see their own are done.
     met = kin.join(of("p", "r"), "p", "left").select("x", "n", F.coalesce("r", "p").alias("r"), F.when(F.col("r").isNull(), F.col("n_p")).alias("n_r"))
@@ -217,8 +217,8 @@ def near_links(docs: DataFrame, reps: DataFrame, size: int, similar: int, coordi
                                        F.min(F.when(is_far, F.col("c"))).alias("c0"), F.max(F.when(is_far, F.col("c"))).alias("c1")).filter("new > 0")
     often = often.select("r", "e", "f", "f_far", (F.col("f") > F.col("f_far")).alias("in_near"), (F.col("c0") < F.col("c1")).alias("in_far")).filter("in_near or in_far")
     listed_by = lambda f, used: F.array_sort(F.collect_list(F.when(F.col(used), F.struct(f, "e"))))
-    ranked = rows.select("r", "x", "e").join(often, ["r", "e"]).groupBy("r", "x").agg(listed_by("f", "in_near").alias("near_list"), listed_by("f_far", "in_far").alias("far_list"))
-    ranked = ranked.join(named.select("r", "x", "c", "n", "kind", "own_band", parts.alias("parts")), ["r", "x"])
+    ranked = merged(rows.select("r", "x", "e")).join(often, ["r", "e"]).groupBy("r", "x").agg(listed_by("f", "in_near").alias("near_list"), listed_by("f_far", "in_far").alias("far_list"))
+    ranked = ranked.join(merged(named.select("r", "x", "c", "n", "kind", "own_band", parts.alias("parts"))), ["r", "x"])
     # Differences that show no link come before those of the list.
     sized = ranked.select("r", "x", "c", "n", "kind", "own_band", "near_list", "far_list", F.explode("parts").alias("part")).filter("part.need is not null")
     room = lambda of: F.greatest(F.lit(0), (F.size(of) - F.col("part.need") + 1).cast("int"))
@@ -227,33 +227,34 @@ def near_links(docs: DataFrame, reps: DataFrame, size: int, similar: int, coordi
     keyed = settle(sized.select("r", "x", "c", "n", "kind", (F.col("own_band") == F.col("part.band")).alias("own"), "part.band", F.explode(in_use).alias("e")))
     mates = keyed.select("r", "band", "e", F.col("x").alias("y"), F.col("c").alias("c_y"), F.col("n").alias("n_y"), F.col("kind").alias("kind_y"), F.col("own").alias("own_y"))
     sizes_fit = (F.col("c") != F.col("c_y")) & near_size("n", "n_y")
-    by_near = keyed.filter(f"kind = 'new' and band < {BANDS}").join(mates.filter("kind_y = 'near'"), ["r", "band", "e"]).filter(sizes_fit)
+    by_near = merged(keyed.filter(f"kind = 'new' and band < {BANDS}")).join(mates.filter("kind_y = 'near'"), ["r", "band", "e"]).filter(sizes_fit)
     # Texts of a family's largest far component meet those of other components only.
     most = named.filter("kind <> 'near'").groupBy("r", "c").agg(F.count("*").alias("m")).groupBy("r").agg(F.max(F.struct("m", "c"))["c"].alias("c_most"))
-    away = keyed.filter(f"band >= {BANDS}").join(most, "r").withColumn("minor", F.col("c") != F.col("c_most")).drop("c_most")
+    # A left join without null-rejecting terms, as only that keeps the many rows of ``keyed`` from being the side that is broadcast; every family has a row in ``most``.
+    away = merged(keyed.filter(f"band >= {BANDS}").join(most, "r", "left").withColumn("minor", ~F.col("c").eqNullSafe(F.col("c_most"))).drop("c_most"))
     others = away.select("r", "band", "e", F.col("x").alias("y"), F.col("c").alias("c_y"), F.col("n").alias("n_y"), F.col("kind").alias("kind_y"), F.col("own").alias("own_y"), F.col("minor").alias("minor_y"))
     once = sizes_fit & ((F.col("kind") == "new") | (F.col("kind_y") == "new")) & (~F.col("own_y") | ~F.col("minor_y") | (F.col("x") < F.col("y")))
     by_far = away.filter("own and minor").join(others, ["r", "band", "e"]).filter(once).union(away.filter("own and not minor").join(others.filter("minor_y and not own_y"), ["r", "band", "e"]).filter(once))
     pairs = by_near.select("r", "x", "y").union(by_far.select("r", "x", "y"))
-    diffs = named.select("r", "x", "n", "d")
+    diffs = merged(named.select("r", "x", "n", "d"))
     held = pairs.select("r", "x", "y").distinct().join(diffs, ["r", "x"]).join(diffs.select("r", F.col("x").alias("y"), F.col("n").alias("n_y"), F.col("d").alias("d_y")), ["r", "y"])
     between = F.size("d") + F.size("d_y") - 2 * F.size(F.array_intersect("d", "d_y"))
     second = settle(first.union(held.filter(linked((F.col("n") + F.col("n_y") - between) / 2, F.col("n"), F.col("n_y"))).select(F.col("x").alias("a"), F.col("y").alias("b"))))
     discard(spark, named, keyed)
 
     #: Texts far from the pivot of a list, with each other and with those of the pivot's family that are not linked to it.
-    away = listed.filter("x > p").join(kin.select("x", "p", "near"), ["x", "p"], "left").filter("near is null or not near")
-    away = away.join(away.filter("near is null").select("token").distinct(), "token", "left_semi")
-    away = away.join(comp.withColumnRenamed("node", "x").withColumnRenamed("component", "c"), "x", "left").withColumn("c", F.coalesce("c", "x")).join(reps.select("x", "n"), "x")
+    away = merged(listed.filter("x > p")).join(kin.select("x", "p", "near"), ["x", "p"], "left").filter("near is null or not near")
+    away = away.join(merged(away.filter("near is null").select("token").distinct()), "token", "left_semi")
+    away = away.join(of("x", "c"), "x", "left").withColumn("c", F.coalesce("c", "x")).join(merged(reps.select("x", "n")), "x")
     away = settle(away.select("token", "x", "c", "n", F.col("near").isNull().alias("far")))
     discard(spark, listed, kin)
     mate = away.select("token", F.col("x").alias("y"), F.col("c").alias("c_y"), F.col("n").alias("n_y"), F.col("far").alias("far_y"))
-    direct = away.filter("far").join(mate, "token").filter((F.col("c") != F.col("c_y")) & near_size("n", "n_y") & (~F.col("far_y") | (F.col("x") < F.col("y")))).select("x", "y").distinct()
+    direct = merged(away.filter("far")).join(mate, "token").filter((F.col("c") != F.col("c_y")) & near_size("n", "n_y") & (~F.col("far_y") | (F.col("x") < F.col("y")))).select("x", "y").distinct()
     direct = direct.join(sig, "x").join(sig.select(F.col("x").alias("y"), F.col("n").alias("n_y"), F.col("sig").alias("sig_y")), "y")
     direct = settle(direct.filter(collisions("sig", "sig_y") >= matches).select("x", "y", "n", "n_y"))
     discard(spark, away)
     more = full_sets(docs, direct.select("x").union(direct.select("y")), reps, size)
-    seen = direct.join(more, "x").join(more.select(F.col("x").alias("y"), F.col("s").alias("s_y")), "y")
+    seen = direct.join(merged(more), "x").join(merged(more).select(F.col("x").alias("y"), F.col("s").alias("s_y")), "y")
     third = settle(seen.filter(linked(F.size(F.array_intersect("s", "s_y")), F.col("n"), F.col("n_y"))).select(F.col("x").alias("a"), F.col("y").alias("b")))
     discard(spark, direct, more)
     return [comp, second, third]
@@ -275,7 +276,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, similar: int = 80, coordinat
     several = named.groupBy("doc_id").agg(F.min("key").alias("first_key"), F.max("key").alias("last_key")).filter("first_key <> last_key").select(F.col("doc_id").alias("doc"), "first_key")
     node = F.when(F.col("first_key").isNull() | (F.col("key") == F.col("first_key")), F.col("doc")).otherwise(F.xxhash64("key"))
     reps = settle(sets.join(several, "doc", "left").select("key", node.alias("x"), "doc", "n", "sig"))
-    copies = settle(named.select("doc_id", "key").join(reps.select("key", "doc"), "key").filter("doc_id <> doc").select(F.col("doc_id").alias("a"), F.col("doc").alias("b")))
+    copies = settle(merged(named.select("doc_id", "key")).join(reps.select("key", "doc"), "key").filter("doc_id <> doc").select(F.col("doc_id").alias("a"), F.col("doc").alias("b")))
     classes = settle(found.select("doc_id", "n"))
     discard(spark, found)
     near = near_links(texts, reps, size, similar, coordinates, matches, family)
@@ -284,7 +285,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, similar: int = 80, coordinat
     for end in ("a", "b"):
         links = links.join(docs_of.withColumnRenamed("x", end), end, "left").withColumn(end, F.coalesce("doc", end)).drop("doc").select("a", "b")
     final = components(copies.union(links))
-    out = classes.join(final.withColumnRenamed("node", "doc_id"), "doc_id", "left")
+    out = merged(classes).join(final.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     component = F.coalesce("component", "doc_id")
     out = settle(out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept")))
     discard(spark, reps, copies, classes, final, *near)
