@@ -165,11 +165,15 @@ def discovery_summary(rows: DataFrame, cap: int) -> DataFrame:
 
 
 def speech_density(transcripts: DataFrame) -> DataFrame:
-    """Words per minute of a transcript against the gates of each kind of source. transcripts: item_id, text, minutes."""
+    """Words per minute of a transcript against the gates of each kind of source. transcripts: item_id, text, minutes.
+
+    Words in no minutes are infinitely many a minute, no words in none are NaN; neither is in a range.
+    """
     flat = F.trim(F.regexp_replace("text", BLANKS, " "))
     words = F.when(flat == "", 0).otherwise(F.size(F.split(flat, " "))).cast("long")
     m = transcripts.select("item_id", "minutes", F.length(flat).cast("long").alias("chars"), words.alias("words"))
-    wpm = F.col("words") / F.col("minutes")
+    by_none = F.when(F.col("words") > 0, float("inf")).when(F.col("words") == 0, float("nan"))
+    wpm = F.when(F.col("minutes") == 0, by_none).otherwise(F.col("words") / F.nullif("minutes", F.lit(0.0)))
     # Words-per-minute ranges and floors per kind of source.
     return m.select(
         "item_id", "chars", "words", F.round(wpm, 6).alias("wpm"),

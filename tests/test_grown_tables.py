@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 import check
 from galleyspark.operators.editorial import last_in_run
+from galleyspark.operators.rollups import speech_density
 from galleyspark.operators.transcripts import extractive_compact
 from galleyspark.plans.catalogue import JOBS
 
@@ -122,3 +123,12 @@ def test_compaction_of_a_long_paragraph_equals_loop(spark):
             before += len(s)
     got = extractive_compact(spark.createDataFrame([(1, ["".join(one), "尾。"])], "item_id int, paragraphs array<string>"), 0.8).first().paragraphs
     assert got == ["".join(want), "尾。"] and len(want) < len(one)
+
+
+def test_density_of_texts_without_characters(spark, same):
+    """No words in no minutes are no number, and words in none are infinitely many."""
+    rows = [(1, "", 0), (2, "word " * 1200, 6000), (3, " \n", 2), (5, "a b", None), (6, None, 0)]
+    assert same("speech_density", documents=spark.createDataFrame(rows, "doc_id long, text string, n_chars long")) == 5
+    many = speech_density(spark.createDataFrame([(4, "words " * 1100, 0.0)], "item_id long, text string, minutes double")).first()
+    want = duckdb.sql("select 1100 / 0.0::double as wpm, 1100 / 0.0::double between 80 and 280 as ok").fetchall()[0]
+    assert (many.words, many.wpm, many.plain_ok) == (1100, *want) and not (many.publisher_a_ok or many.publisher_c_ok or many.captions_ok) and many.official_ok
