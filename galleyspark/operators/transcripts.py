@@ -524,13 +524,14 @@ def compression_checks(pairs: DataFrame, ratio: float = 0.4) -> DataFrame:
 
     Among the losses: a phrase clipped to its ends (verb and object without their middle), the modal of a condition, taken by the order
     of conditions in both texts, and the particle between a duration and what it qualifies in a condition.
+    Nothing has the right length for an empty source.
     """
     from galleyspark.operators.rollups import OWNER, number_tokens
 
     s, d = F.col("source_text"), F.col("short_text")
     owners = lambda t: F.regexp_extract_all(t, F.lit(OWNER), F.lit(1))
     pairs = pairs.select("item_id", s, d, number_tokens(s).alias("sn"), number_tokens(d).alias("dn"), owners(s).alias("so"), owners(d).alias("do"), F.regexp_replace(d, BLANKS, "").alias("compact"))
-    size = F.length(d) / F.length(s)
+    size = F.length(d) / F.nullif(F.length(s), F.lit(0))
     only = lambda t: t.rlike(r"(?<!不)仅")
     count = lambda arr, x: F.size(F.filter(arr, lambda y: y == x))
     clauses = lambda t: F.regexp_count(t, F.lit(r"(?:若|如果)[^。！？；]+"))
@@ -540,7 +541,7 @@ def compression_checks(pairs: DataFrame, ratio: float = 0.4) -> DataFrame:
     modified = F.regexp_extract_all(d, F.lit(rf"{DURATION}(?:或{DURATION})?([\x{{4e00}}-\x{{9fff}}]{{2,4}})(?=若|如果)"), F.lit(1))
     gone = F.filter(F.array_except("sn", "dn"), lambda v: v.rlike(r"\A[\x00-\x7F]*\z") | ~F.contains(F.col("compact"), v))
     rules = [
-        ("length", ~size.between(ratio * 0.85, ratio * 1.15)),
+        ("length", F.coalesce(~size.between(ratio * 0.85, ratio * 1.15), F.length(s) == 0)),
         ("layout", (F.trim(d) == "") | F.contains(d, F.lit("\n")) | d.rlike(r"\A\s*(?:[-•#*]|\d+[.、)])")),
         ("connectors", F.exists(F.array(*[F.lit(c) for c in CONNECTORS]), lambda c: F.contains(s, c) & ~F.contains(d, c))),
         ("conditionals", clauses(d) < clauses(s)),

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 import check
 from galleyspark.operators.editorial import last_in_run
 from galleyspark.operators.rollups import speech_density
-from galleyspark.operators.transcripts import extractive_compact
+from galleyspark.operators.transcripts import compression_checks, extractive_compact
 from galleyspark.plans.catalogue import JOBS
 
 TURNS = "conv_id long, turn long, role string, text string"
@@ -132,3 +132,12 @@ def test_density_of_texts_without_characters(spark, same):
     many = speech_density(spark.createDataFrame([(4, "words " * 1100, 0.0)], "item_id long, text string, minutes double")).first()
     want = duckdb.sql("select 1100 / 0.0::double as wpm, 1100 / 0.0::double between 80 and 280 as ok").fetchall()[0]
     assert (many.words, many.wpm, many.plain_ok) == (1100, *want) and not (many.publisher_a_ok or many.publisher_c_ok or many.captions_ok) and many.official_ok
+
+
+def test_compression_of_empty_texts(spark, tmp_path):
+    """An empty source, or one of line breaks, has no length to hold; other problems and texts stay as they are."""
+    spark.createDataFrame([(1, ""), (2, "\n"), (3, None), (4, "Ada said 7. " * 20), (5, "")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.item_id: r.problems for r in JOBS["compression_checks"](spark, str(tmp_path)).collect()}
+    assert got[1] == got[2] == got[5] == "length,layout" and set(got) == {1, 2, 3, 4, 5}
+    pairs = spark.createDataFrame([(1, "", "x"), (2, "", None), (3, None, "x"), (4, "ab", None), (5, "abcde", "ab")], "item_id int, source_text string, short_text string")
+    assert {r.item_id: r.problems for r in compression_checks(pairs).collect()} == {1: "length", 2: "length", 3: "", 4: "", 5: ""}
